@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from .hmm_scoring import op1_hmm_scoring
+from .line_dedup import OP3_SQL, op3_line_dedup
+from .packing import op5_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
 
 QUERIES = {
+    "op1_hmm_scoring": op1_hmm_scoring,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_packing": op5_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op3_line_dedup": OP3_SQL,
     "op10_quality_rules": OP10_SQL,
 }
