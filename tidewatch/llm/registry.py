@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .hmm_scoring import op1_hmm_scoring
 from .line_dedup import OP3_SQL, op3_line_dedup
+from .minhash_dedup import OP8_SQL, op8_minhash_dedup
 from .packing import op5_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
 
@@ -11,10 +12,12 @@ QUERIES = {
     "op1_hmm_scoring": op1_hmm_scoring,
     "op3_line_dedup": op3_line_dedup,
     "op5_packing": op5_packing,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": OP3_SQL,
+    "op8_minhash_dedup": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
 }
