@@ -1,13 +1,62 @@
-"""A cleaning pipeline over ``documents`` from five operators."""
+"""A cleaning pipeline over ``documents``: quality, lines, near-duplicates, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the
+last return the columns of ``documents``. Rows of one id are one document to the near-duplicate
+stage and stay or go together.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm import co_training, line_dedup, minhash_dedup, packing, soft_mixing
+from tidewatch.llm.common import materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts."""
+    return co_training.classify(docs, _labels(spark, sf_dir)).where("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that at least three share, but for the one with the largest id."""
+    cleaned = line_dedup.LineIndex.build(docs).clean(docs)
+    changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", changed).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles."""
+    gone = minhash_dedup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says; rates meet the targets of clean, low and toxic tokens."""
+    mixed = soft_mixing.mix(docs, _labels(spark, sf_dir)).withColumn("_copies", soft_mixing.copies())
+    return mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences of 2048 tokens."""
+    return packing.digest(packing.pack(docs, packing.default_tokenizer()))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", pack)]
+
+#: Trained models, iterative fitting and tokenizers have no SQL; tests hold each stage against a model.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
