@@ -7,13 +7,16 @@
 3. Candidates are compared batch by batch: after each batch of signature rows the posterior of
    the similarity (uniform prior) is bounded, and a pair is pruned when the chance that it still
    reaches the threshold is below ``MISS``. Survivors are verified exactly on their full sets.
+   Before, candidates with too many shingles that no other candidate holds are set aside: they
+   cannot reach the threshold with any partner, which empties large groups of texts that are
+   alike but not alike enough.
 4. Links become connected components by alternating large-star and small-star steps.
 
-No bucket is expanded to all its pairs. Rounds of hubs link a bucket's members to one member,
-another hub each round; members that are then in one component need no more comparisons. What is
+No bucket is expanded to all its pairs. In rounds, each member is compared with one hub of its
+buckets, other hubs each round; members that are then in one component need no more comparisons. What is
 left, each bucket's members outside its largest component, is compared with all members of that
 bucket in other components, so no link is lost: this costs (left over) x (bucket) rather than the
-square of the bucket. Hot buckets in that join are dealt over salted blocks.
+square of the bucket. Such comparisons run on longer signatures, block by block inside tasks.
 
 With ``BANDS`` bands of ``ROWS`` rows a pair at the threshold t shares no bucket with probability
 (1 - t^ROWS)^BANDS: 2e-10 at 0.85, 1.4e-7 at 0.8.
@@ -40,14 +43,16 @@ from .common import materialize, text_bytes
 
 BANDS, ROWS = 30, 4
 BATCH = 16  # signature rows compared at a time
-MISS = 1e-9
+MISS = 1e-7
+LONG = 1024  # rows of the longer signature of members that are left over and those they meet, a byte each
+LONG_BATCH = 64
 HUB_ROUNDS = 2
-BLOCK = 4096  # members of a bucket in a block of the last comparison
+BLOCK = 1024  # members of a bucket in a block of the last comparison
 BROADCAST_IDS = 2_000_000  # 16 MB of ids at most
 #: Odd multipliers and offsets of the signature's hash functions, from a fixed seed.
 _RNG = np.random.default_rng(20240607)
-_MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS + LONG, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS + LONG, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -88,21 +93,35 @@ class Shingler:
         return (np.concatenate(out) if out else mixed), np.fromiter(map(len, out), np.int64, len(out))
 
 
-def _signatures(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """[document, BANDS * ROWS] of uint32; documents without shingles are not among ``counts``."""
-    out = np.empty((len(counts), BANDS * ROWS), np.uint32)
+def _signatures(flat: np.ndarray, counts: np.ndarray, first: int = 0, rows: int = BANDS * ROWS) -> np.ndarray:
+    """[document, row] of uint32 for some of the hash functions; every document has shingles."""
+    out = np.empty((len(counts), rows), np.uint32)
     ends = np.cumsum(counts)
     at = 0
     while at < len(counts):  # about 32k hashes at a time stay in cache
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 15), side="right")))
         begin = int(ends[at - 1]) if at else 0
         part, starts = flat[begin : ends[to - 1]], (ends[at:to] - counts[at:to] - begin)
-        for j in range(BANDS * ROWS):
-            out[at:to, j] = np.minimum.reduceat(((part * _MULTIPLY[j] + _ADD[j]) >> np.uint64(32)).astype(np.uint32), starts)
+        for j in range(rows):
+            out[at:to, j] = np.minimum.reduceat(((part * _MULTIPLY[first + j] + _ADD[first + j]) >> np.uint64(32)).astype(np.uint32), starts)
         at = to
     return out
 
 
+def _long_signatures(sets: DataFrame) -> DataFrame:
+    """(id, long): the low byte of each of the LONG further rows."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = part.column(1).to_pylist()
+                made = _signatures(np.frombuffer(b"".join(own), np.uint64), np.array([len(x) // 8 for x in own]), BANDS * ROWS, LONG)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in made.astype(np.uint8)], pa.binary())], ["id", "long"])
+
+    return sets.select("id", "shingles").mapInArrow(task, "id long, long binary")
+
+
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, digest (two longs), signature of every row with an id."""
 
@@ -216,29 +235,85 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's hub of this turn, where components differ.
+def _lonely(sets: DataFrame) -> DataFrame:
+    """(id, r): the shingles that no other candidate holds, over those that some other holds.
+
+    Two sets A and B with u_A and u_B such shingles have a similarity of m / (m + u_A + u_B) at
+    most, m being the fewer of their other shingles; so a similarity of t needs
+    r_A + r_B <= (1 - t) / t.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = part.column(1).to_pylist()
+                ids = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(own), "<i8")), pa.array(ids)], ["h", "id"])
+
+    held = sets.mapInArrow(task, "h long, id long").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    lonely = held.where("n = 1").groupBy("id").agg(F.count("*").alias("u"))
+    sizes = sets.groupBy("id").agg(F.max(F.octet_length("shingles") / 8).alias("n"))
+    u = F.coalesce("u", F.lit(0))
+    return sizes.join(lonely, "id", "left").select("id", (u / F.greatest(F.col("n") - u, F.lit(1e-9))).alias("r"))
+
 
-    members: bucket, id, component.
+def _hub_pairs(members: DataFrame, turn: int, most: float) -> DataFrame:
+    """(a, b): each member of a bucket of several components with one hub of its buckets, of another component.
+
+    members: bucket, id, r, component. A bucket's hub is the member with the fewest lonely
+    shingles, in later turns any that has few; of its buckets' hubs a member takes the one that
+    it meets most often: one pair a member.
     """
-    rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    hub = members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), rank).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    hub = hub.where("lo < hi").select("bucket", F.col("hub.id").alias("b"), F.col("hub.component").alias("cb"))
-    return members.join(hub, "bucket").where("component != cb").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    rank = F.struct("r", "id") if turn == 0 else F.struct((F.col("r") > most / 2).cast("double"), F.xxhash64("id", F.lit(turn)))
+    hub = members.groupBy("bucket").agg(F.min_by(F.struct("id", "component", "r"), rank).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    hub = hub.where("lo < hi").select("bucket", F.col("hub.id").alias("b"), F.col("hub.component").alias("cb"), F.col("hub.r").alias("rb"))
+    met = members.join(hub, "bucket").where((F.col("component") != F.col("cb")) & (F.col("r") + F.col("rb") <= most)).groupBy("id", "b").agg(F.count("*").alias("n"))
+    best = met.groupBy("id").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    return best.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
 
+def _left_over_pairs(members: DataFrame, sets: DataFrame, most: float, threshold: float) -> DataFrame:
+    """(a, b): members outside their bucket's largest component with the bucket's members of other
+    components, unless their longer signatures rule the link out.
 
-def _left_over_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): members outside their bucket's largest component with the bucket's members of other components."""
+    One of a linked pair has r <= most / 2, so members with more meet only those with less. Buckets
+    are compared block by block inside tasks; only what may be linked leaves them.
+    """
     by = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = by.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("size"))
-    split = members.join(main.where("parts > 1"), "bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = split.where("component != main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("bucket", "block", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = split.withColumn("block", F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")).select("bucket", "block", F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"))
-    # a pair of two left-over members is met from the smaller one
-    met = left.join(right, ["bucket", "block"]).where("ca != cb and (in_main or a < b)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    split = materialize(members.join(main.where("parts > 1"), "bucket").withColumn("left", F.col("component") != F.col("main")), "minhash-split")
+    contested = split.select("id").distinct()
+    marks = materialize(_long_signatures(sets.join(contested, "id", "left_semi").dropDuplicates(["id"])), "minhash-long")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    own = F.pmod(F.xxhash64("id"), blocks)
+    # right members meet every block of left ones
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = split.where("left").select("bucket", own.alias("lb"), every.alias("rb"), "id", "r", "component")
+    right = split.select("bucket", every.alias("lb"), own.alias("rb"), "id", "r", "component", "left")
+    left, right = (x.join(marks, "id") for x in (left, right))
+    left = left.toDF(*(f"{c}_a" for c in left.columns))
+    bounds = prune_bounds(threshold + (1 - threshold) / 256, LONG, LONG_BATCH)
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), np.int64)]
+        if len(a) and len(b):
+            x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, LONG) for s in (a.long_a, b.long))
+            ids_a, ids_b, ra, rb = a.id_a.to_numpy(), b.id.to_numpy(), a.r_a.to_numpy(), b.r.to_numpy()
+            fine = (ra[:, None] + rb <= most) & (a.component_a.to_numpy()[:, None] != b.component.to_numpy())
+            fine &= ~b.left.to_numpy(bool) | (ids_a[:, None] < ids_b)  # two left-over members meet once
+            i, j = np.nonzero(fine)
+            for at in range(0, len(i), 100_000):
+                p, q = i[at : at + 100_000], j[at : at + 100_000]
+                matched, done = np.zeros(len(p), np.int64), 0
+                for n, least in bounds:
+                    matched += (x[p, done:n] == y[q, done:n]).sum(1)
+                    go, done = matched >= least, n
+                    p, q, matched = p[go], q[go], matched[go]
+                out.append(np.sort(np.column_stack([ids_a[p], ids_b[q]]), 1))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+    met = left.groupBy("bucket_a", "lb_a", "rb_a").cogroup(right.groupBy("bucket", "lb", "rb"))
+    return met.applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -261,16 +336,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signatures = materialize(classes.select("id", "signature").join(ids, "id", "left_semi"), "minhash-signatures")
     sets = materialize(_shingle_sets(read.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, read.doc_id == ids.id, "left_semi"), shingle), "minhash-sets")
 
-    links, component = None, members.select("bucket", "id", F.col("id").alias("component"))
     threshold = percent / 100
+    most = (1 - threshold) / threshold + 1e-9
+    members = materialize(members.join(_lonely(sets).where(F.col("r") <= most), "id").select("bucket", "id", "r"), "minhash-members")
+    links, component = None, members.withColumn("component", F.col("id"))
     for turn in range(HUB_ROUNDS + 1):
-        pairs = _hub_pairs(component, turn) if turn < HUB_ROUNDS else _left_over_pairs(component)
-        likely = _prune(pairs, signatures, threshold)
+        if turn < HUB_ROUNDS:
+            likely = _prune(_hub_pairs(component, turn, most), signatures, threshold)
+        else:
+            likely = _left_over_pairs(component, sets, most, threshold)
         found = materialize(_verify(likely, sets, percent), "minhash-links")
         links = found if links is None else links.unionByName(found)
         if turn < HUB_ROUNDS:
             now = components(links)
-            component = members.join(now, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+            component = members.join(now, "id", "left").select("bucket", "id", "r", F.coalesce("component", "id").alias("component"))
             component = materialize(component, "minhash-members")
     # a class is a star around its representative, which also ties the classes of one id together
     member = withs.join(classes.select("d1", "d2", "id"), ["d1", "d2"]).where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
