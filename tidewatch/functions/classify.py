@@ -6,7 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LOAD_BEARING = ("proc.exec", "fs.sensitive_read", "net.connect", "net.dns", "fs.settle", "gap")
-SHED_TIERS = {"net.flow": 0, "fs.meta": 1, "fs.write": 2, "net.dns": 2, "proc.fork": 3}
+#: Classes that may be shed, the first to go first; and those that never are.
+SHED_TIERS = {"fork_exit": 0, "fs.meta": 1, "fs.write_open": 2, "flow_dns": 3}
+NEVER_SHED = ("exec", "connect", "sensitive_read", "session", "gap")
+#: Where and under which names known interpreters and shells are installed.
+EXE_DIRS = ("/bin", "/usr/bin", "/usr/local/bin", "/sbin", "/usr/sbin")
+EXE_NAMES = ("sh", "bash", "dash", "zsh", "ksh", "fish", "env", "python", "python3", "python2", "perl", "ruby", "node", "nodejs", "awk", "gawk", "sed")
+EXE_PREFIXES = ("python3.", "python2.", "node", "ruby")
+#: Paths whose reading is sensitive.
+SENSITIVE_PATHS = (
+    "~/.ssh", "~/.aws", "~/.gnupg", "~/.kube", "~/.config/gcloud", "~/.config/google-chrome", "~/.config/chromium", "~/.mozilla/firefox",
+    "~/Library/Application Support/Google/Chrome", "~/Library/Application Support/Firefox", "~/.openclaw/credentials*",
+)
 
 
 def is_marker(t: Column) -> Column:
@@ -22,26 +33,27 @@ def is_gap(t: Column) -> Column:
 
 
 def lane(t: Column) -> Column:
-    return F.when(t.startswith("proc."), "process").when(t.startswith("fs."), "filesystem").when(t.startswith("net.") | t.startswith("unix."), "network").otherwise("other")
+    process = t.startswith("proc.") | t.isin("session.start", "session.end")
+    return F.when(process, "process").when(t.startswith("fs."), "filesystem").when(t.startswith("net.") | (t == "unix.connect"), "network").otherwise("other")
 
 
 def severity(t: Column, high: Column) -> Column:
     """crit, warn or null. ``high``: the event is marked as of high severity."""
-    crit = t.isin("alert.cgroup_escape", "alert.escape_precursor") | high
-    return F.when(crit, "crit").when(is_alert(t) | is_gap(t) | (t == "fs.sensitive_read"), "warn")
+    crit = t.isin("alert.sensitive_read", "alert.cgroup_escape", "alert.escape_precursor") | high
+    return F.when(crit, "crit").when(is_alert(t) | (t == "fs.sensitive_read"), "warn")
 
 
 def event_class(t: Column) -> Column:
+    """The class that load shedding accounts an event to; alerts, markers and the like count as session."""
     return (
-        F.when(t == "proc.exec", "proc.exec").when(t.isin("proc.fork", "proc.exit"), "proc.fork").when(t == "fs.sensitive_read", "fs.sensitive_read")
-        .when(t.isin("fs.write_open", "fs.settle"), "fs.write").when(t.startswith("fs."), "fs.meta").when(t.isin("net.connect", "unix.connect"), "net.connect")
-        .when(t == "net.dns", "net.dns").when(t == "net.flow_close", "net.flow").otherwise("control")
+        F.when(t == "proc.exec", "exec").when(t.isin("net.connect", "unix.connect"), "connect").when(t == "fs.sensitive_read", "sensitive_read").when(t == "gap", "gap")
+        .when(t.isin("proc.fork", "proc.exit"), "fork_exit").when(t == "fs.write_open", "fs.write_open").when(t.isin("fs.unlink", "fs.rename", "fs.mkdir", "fs.chmod", "fs.truncate"), "fs.meta")
+        .when(t.isin("net.flow_close", "net.dns"), "flow_dns").otherwise("session")
     )
 
 
 def never_shed(t: Column) -> Column:
-    """Sensitive reads are never shed, nor execs, connects and control events."""
-    return event_class(t).isin("proc.exec", "fs.sensitive_read", "net.connect", "control")
+    return event_class(t).isin(*NEVER_SHED)
 
 
 def shed_tier(t: Column) -> Column:
@@ -53,8 +65,8 @@ def shed_tier(t: Column) -> Column:
 
 
 def burst_class(t: Column) -> Column:
-    """The four classes in which bursts are looked for; null is exempt."""
-    return F.when(t == "proc.exec", "exec").when(t.isin("fs.write_open", "fs.unlink", "fs.rename", "fs.mkdir", "fs.chmod", "fs.truncate"), "file").when(t == "net.connect", "connect").when(t == "net.dns", "dns")
+    """Bursts are looked for in the classes that may be shed; null is exempt."""
+    return F.when(shed_tier(t).isNotNull(), event_class(t))
 
 
 def load_bearing(t: Column) -> Column:
@@ -73,7 +85,7 @@ def describe(t: Column, path: Column, addr: Column, qname: Column) -> Column:
     )
 
 
-def exe_class(path: Column, dirs: tuple[str, ...] = ("/usr/bin", "/bin", "/usr/local/bin", "/usr/sbin", "/sbin"), names: tuple[str, ...] = ("bash", "sh", "git", "node", "python3", "python", "ls", "cat", "grep", "sed", "awk", "find", "make", "curl", "tar", "env", "uname"), prefixes: tuple[str, ...] = ("python3.", "node-", "git-", "gcc-")) -> Column:
+def exe_class(path: Column, dirs: tuple[str, ...] = EXE_DIRS, names: tuple[str, ...] = EXE_NAMES, prefixes: tuple[str, ...] = EXE_PREFIXES) -> Column:
     """allowlisted if both the directory and the name (or its prefix) are known, else unclassified."""
     folder, name = F.regexp_extract(path, "^(.*)/[^/]*$", 1), F.regexp_extract(path, "([^/]*)$", 1)
     known = name.isin(*names)

@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labels of well-known address prefixes.
-PREFIX_LABELS = (("1.1.1.0", 24, "cloudflare"), ("8.8.8.0", 24, "google"), ("8.8.4.0", 24, "google"), ("9.9.9.0", 24, "quad9"), ("104.16.0.0", 13, "cloudflare"), ("140.82.112.0", 20, "github"), ("151.101.0.0", 16, "fastly"), ("160.79.104.0", 23, "anthropic"), ("172.64.0.0", 13, "cloudflare"), ("185.199.108.0", 22, "github"))
+PREFIX_LABELS = (
+    ("8.8.8.0", 24, "Google Public DNS"),
+    ("8.8.4.0", 24, "Google Public DNS"),
+    ("1.1.1.0", 24, "Cloudflare Public DNS"),
+    ("9.9.9.0", 24, "Quad9 Public DNS"),
+    ("140.82.112.0", 20, "GitHub"),
+    ("13.107.42.0", 24, "Microsoft"),
+    ("172.217.0.0", 16, "Google"),
+    ("142.250.0.0", 15, "Google"),
+    ("104.16.0.0", 13, "Cloudflare"),
+    ("151.101.0.0", 16, "Fastly"),
+)
 
 
 def v4_number(addr: Column) -> Column:

@@ -68,17 +68,17 @@ def exfil_precursor(spark, d):
     return detect.exfil_precursors(detect.sensitive_alerts(e), detect.new_domain_alerts(e), 6 * HOUR)
 
 
-BURST_CLASS = "CASE type WHEN 'proc.exec' THEN 'exec' WHEN 'fs.write_open' THEN 'file' WHEN 'net.connect' THEN 'connect' WHEN 'net.dns' THEN 'dns' END"
+BURST_CLASS = "CASE type WHEN 'fs.write_open' THEN 'fs.write_open' WHEN 'net.dns' THEN 'flow_dns' END"
 BURST_SQL = f"""-- n AS (
   SELECT *, row_number() OVER (PARTITION BY session, cls ORDER BY us, row_id)
-            - count(*) OVER (PARTITION BY session, cls ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {48 * HOUR} PRECEDING) AS n
+            - count(*) OVER (PARTITION BY session, cls ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND {240 * HOUR} PRECEDING) AS n
   FROM (SELECT *, {BURST_CLASS} AS cls FROM ev) WHERE cls IS NOT NULL),
-fired AS (SELECT * FROM (SELECT *, lag(n, 1, 0) OVER (PARTITION BY session, cls ORDER BY us, row_id) AS b FROM n) WHERE n >= 8 AND b < 8) """
+fired AS (SELECT * FROM (SELECT *, lag(n, 1, 0) OVER (PARTITION BY session, cls ORDER BY us, row_id) AS b FROM n) WHERE n >= 5 AND b < 5) """
 
 
 @query("burst_alerts", BURST_SQL + "SELECT session, row_id, us, 'alert.burst' AS type, cls AS burst_class, CAST(n AS BIGINT) AS n FROM fired")
 def burst_alerts(spark, d):
-    return detect.burst_alerts(ev(spark, d), 48 * HOUR, 8)
+    return detect.burst_alerts(ev(spark, d), 240 * HOUR, 5)
 
 
 ALERTS_SQL = FIRST_SQL.rstrip() + ", " + BURST_SQL.replace("--", "", 1).rstrip() + """,
@@ -91,13 +91,13 @@ alerts AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY us, row_id
 
 @query("alert_engine", ALERTS_SQL + "SELECT session, row_id, us, type, subject, rule, alert_idx FROM alerts")
 def alert_engine(spark, d):
-    return detect.all_alerts(ev(spark, d), 48 * HOUR, 8)
+    return detect.all_alerts(ev(spark, d), 240 * HOUR, 5)
 
 
 @query("notifications", ALERTS_SQL + """SELECT session, alert_idx, CASE type WHEN 'alert.new_domain' THEN 'New destination' WHEN 'alert.sensitive_read' THEN 'Sensitive file read' ELSE 'Burst of activity' END AS title,
   'session ' || session || ': ' || coalesce(subject, '?') AS body FROM alerts""")
 def notifications(spark, d):
-    return detect.notifications(detect.all_alerts(ev(spark, d), 48 * HOUR, 8))
+    return detect.notifications(detect.all_alerts(ev(spark, d), 240 * HOUR, 5))
 
 
 @query("escape_precursors", """SELECT session, row_id, us, 'alert.escape_precursor' AS type, path, pid FROM ev
@@ -129,7 +129,7 @@ def ip_class(spark, d):
     return found.groupBy("addr").agg(F.count("*").alias("hits")).withColumn("ip_class", net.ip_class(F.col("addr")))
 
 
-@query("asn_label", "SELECT row_id, addr, CASE WHEN addr LIKE '8.8.8.%' THEN 'google' END AS asn FROM ev WHERE type = 'net.connect'")
+@query("asn_label", "SELECT row_id, addr, CASE WHEN addr LIKE '8.8.8.%' THEN 'Google Public DNS' END AS asn FROM ev WHERE type = 'net.connect'")
 def asn_label(spark, d):
     return net.label_addresses(ev(spark, d).where("type = 'net.connect'").select("row_id", "addr"), net.prefix_table(spark))
 
@@ -168,7 +168,7 @@ def event_numbers(spark, d):
 
 @query("alert_list", ALERTS_SQL + "SELECT session, alert_idx, type FROM alerts WHERE type LIKE 'alert.%' AND session = 's7'")
 def alert_list(spark, d):
-    alerts = detect.all_alerts(ev(spark, d), 48 * HOUR, 8)
+    alerts = detect.all_alerts(ev(spark, d), 240 * HOUR, 5)
     return alerts.where(C.is_alert(F.col("type")) & (F.col("session") == "s7")).select("session", "alert_idx", "type").orderBy(F.desc("alert_idx"))
 
 
@@ -178,8 +178,8 @@ def lanes_severity(spark, d):
     return ev(spark, d).select("row_id", C.lane(F.col("type")).alias("lane"), C.severity(F.col("type"), F.col("value") > 95).alias("severity"))
 
 
-@query("event_class", f"""SELECT row_id, CASE type WHEN 'fs.write_open' THEN 'fs.write' ELSE type END AS class, type IN ('proc.exec', 'fs.sensitive_read', 'net.connect') AS never_shed,
-  CASE type WHEN 'fs.write_open' THEN 2 WHEN 'net.dns' THEN 2 END AS tier, {BURST_CLASS} AS burst_class,
+@query("event_class", f"""SELECT row_id, CASE type WHEN 'proc.exec' THEN 'exec' WHEN 'net.connect' THEN 'connect' WHEN 'fs.sensitive_read' THEN 'sensitive_read' WHEN 'net.dns' THEN 'flow_dns' ELSE type END AS class, type IN ('proc.exec', 'fs.sensitive_read', 'net.connect') AS never_shed,
+  CASE type WHEN 'fs.write_open' THEN 2 WHEN 'net.dns' THEN 3 END AS tier, {BURST_CLASS} AS burst_class,
   type IN ('proc.exec', 'fs.sensitive_read', 'net.connect', 'net.dns') AS load_bearing FROM ev""")
 def event_class(spark, d):
     t = F.col("type")
@@ -515,7 +515,7 @@ def _offered(spark, d: str) -> DataFrame:
     return ev(spark, d).select("session", "row_id", "us", C.event_class(t).alias("class"), C.shed_tier(t).alias("tier"), (C.shed_tier(t).isNotNull() & (F.col("k") % 10 == 0)).alias("shed"))
 
 
-LOST = "-- o AS (SELECT session, us, CASE type WHEN 'fs.write_open' THEN 'fs.write' ELSE 'net.dns' END AS class FROM ev WHERE type IN ('fs.write_open', 'net.dns') AND k % 10 = 0) "
+LOST = "-- o AS (SELECT session, us, CASE type WHEN 'fs.write_open' THEN 'fs.write_open' ELSE 'flow_dns' END AS class FROM ev WHERE type IN ('fs.write_open', 'net.dns') AND k % 10 = 0) "
 
 
 @query("gap_totals", LOST + "SELECT session, 'governor' AS reason, class, count(*) AS lost, min(f) AS from_us, max(t) AS to_us FROM (SELECT *, min(us) OVER w AS f, max(us) OVER w AS t FROM o WINDOW w AS (PARTITION BY session, floor(us / 5000000))) GROUP BY session, class")
@@ -529,11 +529,11 @@ def shed_gaps(spark, d):
     return g.select("session", "reason", F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("lost"), "from_us", "to_us")
 
 
-@query("final_gap", LOST + "SELECT session, 'governor' AS reason, count(*) FILTER (class = 'fs.write') AS fs_write, count(*) FILTER (class = 'net.dns') AS net_dns, min(us) AS from_us, max(us) AS to_us FROM o GROUP BY session")
+@query("final_gap", LOST + "SELECT session, 'governor' AS reason, count(*) FILTER (class = 'fs.write_open') AS fs_write, count(*) FILTER (class = 'flow_dns') AS flow_dns, min(us) AS from_us, max(us) AS to_us FROM o GROUP BY session")
 def final_gap(spark, d):
     g = govern.final_gap(govern.gap_rows(_offered(spark, d)))
     n = lambda c: F.coalesce(F.try_element_at("counts", F.lit(c)), F.lit(0).cast("long"))
-    return g.select("session", "reason", n("fs.write").alias("fs_write"), n("net.dns").alias("net_dns"), "from_us", "to_us")
+    return g.select("session", "reason", n("fs.write_open").alias("fs_write"), n("flow_dns").alias("flow_dns"), "from_us", "to_us")
 
 
 @query("conservation", LOST + "SELECT session, class, count(*) AS lost FROM o GROUP BY session, class HAVING false")
@@ -567,7 +567,7 @@ def map_equality(spark, d):
    WHEN 'alert.sensitive_read' THEN 'alert: sensitive read of ' || coalesce(subject, '?') ELSE 'alert: ' || substr(type, 7) END FROM alerts""")
 def timeline_union(spark, d):
     e = ev(spark, d)
-    return detect.timeline(e, detect.all_alerts(e, 48 * HOUR, 8))
+    return detect.timeline(e, detect.all_alerts(e, 240 * HOUR, 5))
 
 
 @query("incident_headers", ALERTS_SQL.rstrip() + """, a AS (SELECT session, count(*) AS alerts FROM alerts GROUP BY session),
@@ -575,7 +575,7 @@ def timeline_union(spark, d):
  SELECT h.*, coalesce(a.alerts, 0) AS alerts FROM h LEFT JOIN a USING (session)""")
 def incident_headers(spark, d):
     e = ev(spark, d)
-    return detect.incident_headers(e, detect.all_alerts(e, 48 * HOUR, 8))
+    return detect.incident_headers(e, detect.all_alerts(e, 240 * HOUR, 5))
 
 
 @query("causality_clusters", "SELECT 'c' || (conv_id % 50) AS session, CAST(conv_id AS VARCHAR) AS run_id, count(*) AS markers, min(turn) AS first_ord, max(turn) AS last_ord, arg_max(role, turn) AS last_status, string_agg(role, '>' ORDER BY turn, role) AS steps FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id", ev=False)
