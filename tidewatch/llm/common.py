@@ -1,38 +1,18 @@
-"""What the operators of this subpackage share: scratch tables and text conventions."""
+"""What the operators of this subpackage share: text conventions, and the library's scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.plans.tables import materialize, scratch_dir  # noqa: F401
+
 #: White space everywhere in this subpackage: space and the controls \t to \r.
 #: ``bytes.split``, ``bytes.strip`` and ``bytes.lower`` follow the same ASCII rules.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared scratch folder and read it back.
-
-    Later jobs start from the files, so lineage ends here and a lost executor costs one read.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(text: str | Column = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     col = F.col(text) if isinstance(text, str) else text
