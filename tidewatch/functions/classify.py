@@ -110,3 +110,9 @@ def proto_label(proto: Column) -> Column:
 
 def family_label(family: Column) -> Column:
     return F.when(family == 6, "6").otherwise("4")
+
+
+def headline(t: Column, subject: Column) -> Column:
+    """An alert in a few words."""
+    what = F.when(t == "alert.new_domain", "first contact").when(t == "alert.sensitive_read", "sensitive read").otherwise(F.substring(t, 7, 64))
+    return F.concat(what, F.lit(": "), F.coalesce(subject, F.lit("unknown")))

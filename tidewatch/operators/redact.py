@@ -195,3 +195,10 @@ def gates(rows: DataFrame) -> DataFrame:
     share = lambda on, of: F.try_divide(F.sum((on & of).cast("double")), F.sum(of.cast("double")))
     must = F.col("must_redact")
     return rows.agg(share(F.col("changed"), must).alias("recall"), share(F.col("changed"), ~must).alias("false_positives"), F.sum(F.col("leaked").cast("long")).alias("leaks"))
+
+
+def unredacted(rows: DataFrame, key: str, column: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(key, rule) where a structural rule without a checksum still matches outside markers; must be empty."""
+    bare = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), MARKER, " ")
+    hits = F.array(*(F.when(bare.rlike(r.pattern), F.lit(r.name)) for r in rules if not r.check))
+    return rows.select(key, F.explode(F.array_compact(hits)).alias("rule"))

@@ -699,3 +699,33 @@ def session_id_time(spark, d):
     ms = F.expr("us div 1000")
     code = F.concat(*(F.substring(F.lit(text.CROCKFORD), (F.shiftright(ms, 45 - 5 * i).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for i in range(10)), F.lit("0" * 16))
     return ev(spark, d).select("row_id", text.ulid_millis(code).alias("millis"))
+
+
+@query("manifest_check", """SELECT session, CASE WHEN n % 3 = 1 THEN 'BROKEN(manifest)' WHEN n % 3 = 2 THEN 'INCOMPLETE' ELSE 'OK' END AS status
+ FROM (SELECT DISTINCT session, CAST(substr(session, 2) AS BIGINT) AS n FROM ev)""")
+def manifest_check(spark, d):
+    """Exports whose manifest names another hash, or that lack a file."""
+    e, n = ev(spark, d), F.substring("session", 2, 20).cast("long")
+    made = tables.manifest(e, e.select("session").distinct()).withColumn("hash", F.when(n % 3 == 1, "md5").otherwise(F.col("hash")))
+    files = made.select("session", F.explode(F.array(*map(F.lit, tables.EXPORT_FILES))).alias("file")).where(~((n % 3 == 2) & (F.col("file") == "segments")))
+    return tables.check_exports(made, files)
+
+
+@query("alert_headlines", ALERTS_SQL + """SELECT session, alert_idx, CASE type WHEN 'alert.new_domain' THEN 'first contact: ' || coalesce(subject, 'unknown') WHEN 'alert.sensitive_read' THEN 'sensitive read: ' || coalesce(subject, 'unknown')
+ ELSE 'burst: ' || coalesce(subject, 'unknown') END AS headline, strftime(make_timestamp(us), '%H:%M:%S') AS at FROM alerts""")
+def alert_headlines(spark, d):
+    a = detect.all_alerts(ev(spark, d), 240 * HOUR, 5)
+    return a.select("session", "alert_idx", C.headline(F.col("type"), F.col("subject")).alias("headline"), F.date_format(F.timestamp_micros("us"), "HH:mm:ss").alias("at"))
+
+
+@query("raw_text_guard", "SELECT doc_id, '' AS rule FROM documents WHERE false", ev=False)
+def raw_text_guard(spark, d):
+    """Redacted texts, the only ones that may be hashed, in which a structural rule still matches."""
+    return redact.unredacted(_redacted(spark, d), "doc_id", "text_redacted")
+
+
+@query("marker_runs", """SELECT e.row_id, c.conv_id FROM ev e JOIN (SELECT DISTINCT conv_id FROM conversations) c ON c.conv_id = e.k""")
+def marker_runs(spark, d):
+    """Events with the outside records that carry the same run id."""
+    runs = table(spark, d, "conversations").select("conv_id").distinct()
+    return ev(spark, d).join(runs, F.col("k") == F.col("conv_id")).select("row_id", "conv_id")

@@ -90,3 +90,11 @@ def mutations(trusted: DataFrame, stored: DataFrame, key: str = "row_id", digest
     b = stored.select(F.col(key), F.col(digest).alias("_b"))
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed")
     return a.join(b, key, "full").withColumn("change", change).where("change is not null").select(key, "change")
+
+
+def check_exports(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """(session, status): BROKEN(manifest) for other algorithms than ours, INCOMPLETE for a missing file, else OK."""
+    lacking = missing_files(files, manifests).groupBy("session").agg(F.count("*").alias("_n"))
+    known = (F.col("format_version") == 1) & (F.col("hash") == "sha256") & (F.col("sig") == "none") & (F.col("encoding") == "json")
+    status = F.when(~known, "BROKEN(manifest)").when(F.col("_n") > 0, "INCOMPLETE").otherwise("OK")
+    return manifests.join(lacking, "session", "left").select("session", status.alias("status"))
