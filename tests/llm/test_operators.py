@@ -385,7 +385,7 @@ def secret_texts():
     r = random.Random(8)
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
-    prose = " ".join(r.choice(["thereafter", "información", "Geschwindigkeit", "compute_checksum", "internationalization", "src/main/loader.py"]) for _ in range(400))
+    prose = " ".join(r.choice(["thereafter", "información", "Geschwindigkeit", "compute_checksum", "internationalization", "src/main/loader.py", "2024-01-05", "build-17", "x86_64", "Section4.2", "UTF-8", "README"]) for _ in range(5000))
     planted = mixed(32)
     return [prose, f"Étude token = \"{hexes(40)}\" fin", f"SECRET:'{mixed(12)}' password=short api-key=x", "AK" + "IA" + mixed(14).upper(), f"x{hexes(31)} {hexes(64)}", f"see {planted} here", "", None, "ſecret=abcdefghij", "token=token=abcdefghij", prose], planted
 

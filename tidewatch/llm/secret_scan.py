@@ -4,7 +4,8 @@ Two first-order models over printable ASCII are trained from labelled samples: s
 fixed patterns mark as secrets (random) and the other tokens of the corpus (ordinary). Training
 is one scan whose tasks each emit a 95 x 95 table a label, summed in Spark. A token outside the
 pattern spans is a secret of kind ``markov`` when the ratio of its likelihoods under the two
-models, in natural log, exceeds ``MARGIN`` plus what the prior odds ask for.
+models, in natural log, exceeds ``MARGIN`` plus what the prior odds ask for. The token itself is
+left out of the ordinary counts it is scored by.
 
 The random model starts from ``UNIFORM`` pseudo-counts for each pair, so it exists without any
 sample; then it is that of uniform random strings.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -84,22 +86,32 @@ def _outside(pattern: re.Pattern, text: str, spans: list[tuple[int, str, int]])
 
 @dataclass
 class MarkovPair:
-    """log of random over ordinary for each pair of characters."""
+    """log probabilities of the next character under the random model, and the ordinary model's counts."""
 
-    ratio: np.ndarray
+    random: np.ndarray
+    ordinary: np.ndarray
 
     @classmethod
     def of(cls, random: np.ndarray, ordinary: np.ndarray) -> MarkovPair:
         # characters that secrets are made of; others get the share of one pseudo-count
         alphabet = np.zeros(SYMBOLS)
         alphabet[[c - 32 for c in TOKEN]] = 1
-        prior = np.outer(alphabet, alphabet) * UNIFORM + 1e-3
-        p, q = random + prior, ordinary + 0.5
-        return cls(np.log(p / p.sum(1, keepdims=True)) - np.log(q / q.sum(1, keepdims=True)))
+        p = random + np.outer(alphabet, alphabet) * UNIFORM + 1e-3
+        return cls(np.log(p / p.sum(1, keepdims=True)), ordinary)
 
-    def score(self, token: str) -> float:
+    def score(self, token: str, learned: bool = False) -> float:
+        """log of random over ordinary. ``learned``: the token is one of the ordinary samples; it is left out, so it can't vouch for itself."""
         raw = np.frombuffer(token.encode("ascii"), np.uint8).astype(np.int64) - 32
-        return float(self.ratio[raw[:-1], raw[1:]].sum())
+        a, b = raw[:-1], raw[1:]
+        n, rows = self.ordinary[a, b], self.totals[a]
+        if learned:
+            _, place, times = np.unique(a * SYMBOLS + b, return_inverse=True, return_counts=True)
+            n, rows = n - times[place], rows - np.bincount(a)[a]
+        return float((self.random[a, b] - np.log((n + 0.5) / (rows + 0.5 * SYMBOLS))).sum())
+
+    @cached_property
+    def totals(self) -> np.ndarray:
+        return self.ordinary.sum(1)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> MarkovPair:
@@ -145,7 +157,7 @@ def scan(docs: DataFrame, models: MarkovPair, id_col: str = "doc_id", text_col:
                 spans = [(s, ("assign", "access", "hex")[k], e) for s, k, e, _ in _base(raw, text)]
                 found = [{"kind": k, "start": s, "end": e, "score": None} for s, k, e in spans]
                 for m in _outside(CANDIDATE, text, spans) if has_long_token(raw) else ():
-                    score = own.score(m.group())
+                    score = own.score(m.group(), learned=True)
                     if score > needed:
                         found.append({"kind": "markov", "start": m.start(), "end": m.end(), "score": score})
                 out.append(sorted(found, key=lambda x: (x["start"], x["kind"] == "markov")))
