@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,49 +37,112 @@ ROWS = 20_000  # pieces in an output batch
 TASK_STRIDE = 1 << 33
 
 
+class _Numbers(dict):
+    """Numbers words as they are first asked for; ``new`` lists those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordEncoder:
     """Encodes whole texts by encoding each distinct space-separated word once.
 
-    Valid for tokenizers that split at white space and drop it: their ids of a text are the ids
-    of its words in a row.
+    For tokenizers that lower-case, split at white space and drop it, part letters from other
+    signs, and mark the last id of each part with ``</w>``: their ids of a text are those of its
+    words in a row. New words that are all letters, but for one stop or comma at the end, are
+    encoded many in one call and told apart by that mark; others one by one. Texts that may hold
+    a special token's string are encoded as they are.
     """
 
+    STOPS = ".,;:!?"
+    JOINED = 512
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.stop_ids = {c: self._whole(c) for c in self.STOPS}
         self._clear()
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbers()
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        n, first = sum(map(len, encoded)), len(self.index)
+    def _encoded(self, words: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        learned = len(self.index) - len(words)
+        letters: dict[str, list[tuple[int, str]]] = {}
+        single = []
+        for i, word in enumerate(words):
+            text = word.decode()
+            stop = text[-1] if text[-1] in self.stop_ids else ""
+            body = text[:-1] if stop else text
+            if not body.lower().isalpha():
+                single.append(i)
+            elif stop and self.index.get(word[:-1], learned) < learned:
+                n = self.index[word[:-1]]
+                out[i] = self.flat[self.starts[n] : self.starts[n] + self.counts[n]].tolist() + self.stop_ids[stop]
+            else:
+                letters.setdefault(body, []).append((i, stop))
+        bodies = list(letters)
+        for at in range(0, len(bodies), self.JOINED):
+            part = bodies[at : at + self.JOINED]
+            ids = self._whole(" ".join(part))
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                single += [i for body in part for i, _ in letters[body]]
+                continue
+            begin = 0
+            for body, end in zip(part, ends):
+                for i, stop in letters[body]:
+                    out[i] = ids[begin:end] + self.stop_ids[stop] if stop else ids[begin:end]
+                begin = end
+        for i, e in zip(single, self.tokenizer.encode_batch([words[i].decode() for i in single], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    def _learn(self) -> None:
+        words, self.index.new = self.index.new, []
+        encoded, last = self._encoded(words), len(self.index)
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        n = int(lengths.sum())
         while self.used + n > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        while first + len(words) > len(self.starts):
+        while last > len(self.starts):
             self.starts, self.counts = (np.resize(x, 2 * len(x)) for x in (self.starts, self.counts))
-        self.flat[self.used : self.used + n] = [i for ids in encoded for i in ids]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        at = slice(first, first + len(words))
+        self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(encoded), np.uint32, n)
+        at = slice(last - len(words), last)
         self.counts[at], self.starts[at] = lengths, self.used + np.cumsum(lengths) - lengths
         self.used += n
-        self.index.update(zip(words, range(first, first + len(words))))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
         if len(self.index) > CACHE_WORDS:
             self._clear()
-        known = self.index
-        if new := {w for words in split for w in words if w not in known}:
-            self._learn(list(new))
+        number = self.index.__getitem__
+        numbered = []
+        for text in texts:
+            words = None if b"<|" in text else text.lower().split()
+            numbered.append(words if words is None else np.fromiter(map(number, words), np.int64, len(words)))
+        if self.index.new:
+            self._learn()
         out = []
-        for words in split:
-            codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        for text, codes in zip(texts, numbered):
+            if codes is None:
+                out.append(np.array(self._whole(text.decode()), np.uint32))
+                continue
             counts = self.counts[codes]
             ends = np.cumsum(counts)
             total = int(ends[-1]) if len(ends) else 0
