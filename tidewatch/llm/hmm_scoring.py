@@ -16,10 +16,10 @@ Plan.
 1. ``encode``: one scan turns documents into chunks, each with a dictionary of its distinct words;
    a task holds one chunk. Chunks (word numbers, classes) and dictionaries are written once.
 2. Word counts are summed over dictionaries, which hold a word once a chunk: a word that makes up
-   a third of all tokens is one row a chunk.
+   a third of all tokens is one row a chunk. The counts stay with the chunks' words.
 3. Each Baum-Welch iteration maps over the chunks, sums a task's expected counts locally, and
    adds the tasks' tables up in Spark by class; transitions and starts are a few numbers a task.
-4. Scoring joins dictionaries with the counts, and each chunk meets its own words only.
+4. In scoring each chunk meets the counts of its own words only.
 
 Edge cases: a null or empty text is the end token alone; a null id counts as training text and is
 scored; repeated rows count and score each; an empty table gives no rows. Without training texts
@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_bytes
@@ -47,7 +47,7 @@ ITERATIONS = 3
 PRIOR = 20.0  # pseudo-tokens of p0 in each state's emissions
 CHUNK_TOKENS = 4_000_000
 PART_TOKENS = 250_000  # tokens in a row of encoded documents, or those of one document
-BATCH_TOKENS = 400_000  # tokens that are in memory as state vectors at a time
+BATCH_TOKENS = 600_000  # tokens that are in memory as state vectors at a time
 END = b""  # no word is empty
 
 
@@ -59,28 +59,34 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+class _Numbers(dict):
+    """Numbers words as they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class _Chunk:
     def __init__(self, key: int):
-        self.key, self.words, self.counts = key, {}, np.zeros(1 << 16, np.int64)
+        self.key, self.words = key, _Numbers()
         self.ids, self.held, self.lengths, self.codes, self.n = [], [], [], [], 0
 
     def add(self, doc, held: bool, text: bytes) -> None:
         words = text.lower().split()
         words.append(END)
-        known = self.words
-        codes = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
-        while len(known) > len(self.counts):
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        if not held:
-            self.counts += np.bincount(codes, minlength=len(self.counts)) if len(codes) > len(known) // 4 else 0
-            if len(codes) <= len(known) // 4:
-                np.add.at(self.counts, codes, 1)
+        codes = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
         self.ids.append(doc)
         self.held.append(held)
         self.lengths.append(len(codes))
         self.codes.append(codes)
         self.n += len(codes)
 
+    def counts(self) -> np.ndarray:
+        """Of each word in training texts."""
+        own = [c for c, held in zip(self.codes, self.held) if not held]
+        return np.bincount(np.concatenate(own), minlength=len(self.words)) if own else np.zeros(len(self.words), np.int64)
+
 
 #: kind 0: a word of a chunk's dictionary; kind 1: some of the chunk's documents.
 ENCODED = "kind int, chunk long, word binary, number int, n_train long, ids array<long>, held array<boolean>, lengths array<int>, codes binary, classes binary"
@@ -98,10 +104,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
             return pa.RecordBatch.from_arrays(made, list(kinds))
 
         def taken(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
-            words = list(chunk.words)
+            words, counts = list(chunk.words), chunk.counts()
             for at in range(0, len(words), 50_000):
                 part = words[at : at + 50_000]
-                yield rows(len(part), kind=[0] * len(part), chunk=[chunk.key] * len(part), word=part, number=np.arange(at, at + len(part), dtype=np.int32), n_train=chunk.counts[at : at + len(part)])
+                yield rows(len(part), kind=[0] * len(part), chunk=[chunk.key] * len(part), word=part, number=np.arange(at, at + len(part), dtype=np.int32), n_train=counts[at : at + len(part)])
             classes = np.fromiter(map(word_class, words), "<u2", len(words))
             at = 0
             while at < len(chunk.ids):
@@ -236,14 +242,15 @@ def baum_welch(chunks: DataFrame, p0: np.ndarray, unseen: float, states: int = S
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, sums, some = sent.value, None, False
             for batch in batches:
-                for held, lengths, classes in zip(*(batch.column(i) for i in range(3))):
-                    keep, lengths = ~np.array(held.as_py(), bool), np.array(lengths.as_py(), np.int64)
-                    if not keep.any():
-                        continue
-                    cls = np.frombuffer(classes.as_buffer(), "<u2").astype(np.int32)[np.repeat(keep, lengths)]
-                    made = own.expect(cls, lengths[keep])
-                    sums = made if sums is None else [a + b for a, b in zip(sums, made)]
-                    some = True
+                # all rows at once, so that documents of like length meet
+                keep = ~batch.column(0).flatten().to_numpy(zero_copy_only=False)
+                lengths = batch.column(1).flatten().to_numpy().astype(np.int64)
+                if not keep.any():
+                    continue
+                cls = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").astype(np.int32)[np.repeat(keep, lengths)]
+                made = own.expect(cls, lengths[keep])
+                sums = made if sums is None else [a + b for a, b in zip(sums, made)]
+                some = True
             if some:
                 starts, moves, emits, _ = sums
                 used = np.flatnonzero(emits.sum(1))
@@ -277,10 +284,12 @@ def baum_welch(chunks: DataFrame, p0: np.ndarray, unseen: float, states: int = S
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, iterations: int = ITERATIONS, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     encoded = encode(docs, id_col, text_col, chunk_tokens)
-    words, chunks = encoded.where("kind = 0").select("chunk", "word", "number", "n_train"), encoded.where("kind = 1")
-    counts = materialize(words.groupBy("word").agg(F.sum("n_train").alias("c")).where("c > 0"), "hmm-counts")
-    class_of = F.pmod(F.crc32("word"), F.lit(CLASSES)).cast("int")
-    by_class = counts.groupBy(class_of.alias("class")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).toPandas()  # CLASSES rows at most
+    chunks = encoded.where("kind = 1")
+    same = Window.partitionBy("word")
+    counted = encoded.where("kind = 0").select("chunk", "number", F.pmod(F.crc32("word"), F.lit(CLASSES)).cast("int").alias("class"), F.sum("n_train").over(same).alias("c"), F.row_number().over(same.orderBy("chunk")).alias("nth"))
+    counted = materialize(counted.where("c > 0"), "hmm-counts")
+    # CLASSES rows at most
+    by_class = counted.where("nth = 1").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).toPandas()
     n, v, once = (int(by_class[x].sum()) for x in ("c", "v", "once"))
     p0 = np.zeros(CLASSES + 1)
     p0[by_class["class"].to_numpy(int)] = (by_class.c + by_class.v).to_numpy() / (n + v + 1)
@@ -293,24 +302,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     empty = pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
     def task(rows: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
-        out = []
         if not len(rows):
             return empty
         c = np.zeros(1 + max(int(np.frombuffer(x, "<i4").max()) for x in rows.codes))
         c[dictionary.number.to_numpy()] = dictionary.c.to_numpy()
         classes = np.full(len(c), CLASSES)  # unseen words keep the last
         classes[dictionary.number.to_numpy()] = dictionary["class"].to_numpy()
-        for row in rows.to_dict("records"):
-            codes, lengths, held = np.frombuffer(row["codes"], "<i4"), np.asarray(row["lengths"], np.int64), np.asarray(row["held"], bool)
-            starts = np.cumsum(lengths) - lengths
-            base = np.add.reduceat(np.log10(c + 1)[codes], starts) - lengths * floor
-            known = np.add.reduceat((c > 0)[codes], starts, dtype=np.int64)
-            extra = sent.value.forward(classes[codes], lengths) / np.log(10)
-            out.append(pd.DataFrame({"doc_id": pd.array(row["ids"], "Int64"), "held_out": held, "n_tokens": lengths, "n_known": known, "train_tokens": n, "base_score": base, "score": base + extra}))
-        return pd.concat(out)
-
-    dictionary = words.join(counts, "word").select("chunk", "number", "c", class_of.alias("class"))
-    dictionary = dictionary.withColumnRenamed("chunk", "of_chunk")
+        codes = np.frombuffer(b"".join(rows.codes), "<i4")
+        lengths, held = np.concatenate(list(rows.lengths)).astype(np.int64), np.concatenate(list(rows.held)).astype(bool)
+        starts = np.cumsum(lengths) - lengths
+        base = np.add.reduceat(np.log10(c + 1)[codes], starts) - lengths * floor
+        known = np.add.reduceat((c > 0)[codes], starts, dtype=np.int64)
+        extra = sent.value.forward(classes[codes], lengths) / np.log(10)
+        ids = pd.array([i for own in rows.ids for i in own], "Int64")
+        return pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": lengths, "n_known": known, "train_tokens": n, "base_score": base, "score": base + extra})
+
+    dictionary = counted.select(F.col("chunk").alias("of_chunk"), "number", "c", "class")
     scored = chunks.select("chunk", "ids", "held", "lengths", "codes").groupBy("chunk").cogroup(dictionary.groupBy("of_chunk"))
     return scored.applyInPandas(task, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
