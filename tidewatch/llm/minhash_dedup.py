@@ -23,7 +23,7 @@ With ``BANDS`` bands of ``ROWS`` rows a pair at the threshold t shares no bucket
 
 Edge cases: null or empty texts, or texts without words, have no shingles, link with nothing and
 are kept; shorter texts than a shingle are one shingle; rows with a null id are kept, with a null
-component; rows of one id are one document, linked if any of them is; empty tables give empty
+component; rows of one id are one document and are taken to hold one text; empty tables give empty
 tables. Shingles are held as 64-bit hashes.
 """
 
@@ -142,20 +142,30 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(task, "doc_id long, n_shingles long, d1 long, d2 long, signature binary")
 
 
+def _band_keys(signatures: np.ndarray) -> np.ndarray:
+    """[document, band] of 64-bit keys of uint32 signatures."""
+    rows = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2])
+    for k in range(ROWS):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
+    return key
+
+
+def _stacked(cells, kind, width: int) -> np.ndarray:
+    """Rows of a binary column as a matrix."""
+    return np.frombuffer(b"".join(cells), kind).reshape(-1, width)
+
+
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, id) of class representatives, buckets of one member left out."""
+    """(bucket, band, id) of class representatives."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), signatures.shape[:2])
-            for k in range(ROWS):
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + signatures[:, :, k])
-            ids = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], ["bucket", "id"])
+            key = _band_keys(_stacked(batch.column(1).to_pylist(), np.uint32, BANDS * ROWS))
+            band = np.tile(np.arange(BANDS, dtype=np.int32), len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "band", "id"])
 
-    rows = classes.select("id", "signature").mapInArrow(task, "bucket long, id long")
-    return materialize(rows, "minhash-bands")
+    return materialize(classes.select("id", "signature").mapInArrow(task, "bucket long, band int, id long"), "minhash-bands")
 
 
 def prune_bounds(threshold: float, length: int = BANDS * ROWS, batch: int = BATCH, miss: float = MISS) -> list[tuple[int, int]]:
@@ -272,23 +282,24 @@ def _hub_pairs(members: DataFrame, turn: int, most: float) -> DataFrame:
     return best.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
 
 
-def _left_over_pairs(members: DataFrame, sets: DataFrame, most: float, threshold: float) -> DataFrame:
+def _left_over_pairs(members: DataFrame, sets: DataFrame, signatures: DataFrame, most: float, threshold: float) -> DataFrame:
     """(a, b): members outside their bucket's largest component with the bucket's members of other
     components, unless their longer signatures rule the link out.
 
-    One of a linked pair has r <= most / 2, so members with more meet only those with less. Buckets
-    are compared block by block inside tasks; only what may be linked leaves them.
+    Buckets are compared block by block inside tasks, a pair in the first band that it shares; only
+    what may be linked leaves them.
     """
     by = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = by.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("size"))
     split = materialize(members.join(main.where("parts > 1"), "bucket").withColumn("left", F.col("component") != F.col("main")), "minhash-split")
     contested = split.select("id").distinct()
-    marks = materialize(_long_signatures(sets.join(contested, "id", "left_semi").dropDuplicates(["id"])), "minhash-long")
+    marks = _long_signatures(sets.join(contested, "id", "left_semi").dropDuplicates(["id"]))
+    marks = materialize(marks.join(signatures.dropDuplicates(["id"]), "id"), "minhash-long")
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("id"), blocks)
     # right members meet every block of left ones
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = split.where("left").select("bucket", own.alias("lb"), every.alias("rb"), "id", "r", "component")
+    left = split.where("left").select("bucket", own.alias("lb"), every.alias("rb"), "band", "id", "r", "component")
     right = split.select("bucket", every.alias("lb"), own.alias("rb"), "id", "r", "component", "left")
     left, right = (x.join(marks, "id") for x in (left, right))
     left = left.toDF(*(f"{c}_a" for c in left.columns))
@@ -297,13 +308,18 @@ def _left_over_pairs(members: DataFrame, sets: DataFrame, most: float, threshold
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 2), np.int64)]
         if len(a) and len(b):
-            x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, LONG) for s in (a.long_a, b.long))
+            x, y = (_stacked(s, np.uint8, LONG) for s in (a.long_a, b.long))
+            kx, ky = (_band_keys(_stacked(s, np.uint32, BANDS * ROWS)) for s in (a.signature_a, b.signature))
+            band = int(a.band_a.iloc[0])
             ids_a, ids_b, ra, rb = a.id_a.to_numpy(), b.id.to_numpy(), a.r_a.to_numpy(), b.r.to_numpy()
             fine = (ra[:, None] + rb <= most) & (a.component_a.to_numpy()[:, None] != b.component.to_numpy())
             fine &= ~b.left.to_numpy(bool) | (ids_a[:, None] < ids_b)  # two left-over members meet once
             i, j = np.nonzero(fine)
             for at in range(0, len(i), 100_000):
                 p, q = i[at : at + 100_000], j[at : at + 100_000]
+                if band:
+                    met_before = (kx[p, :band] == ky[q, :band]).any(1)
+                    p, q = p[~met_before], q[~met_before]
                 matched, done = np.zeros(len(p), np.int64), 0
                 for n, least in bounds:
                     matched += (x[p, done:n] == y[q, done:n]).sum(1)
@@ -338,18 +354,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     threshold = percent / 100
     most = (1 - threshold) / threshold + 1e-9
-    members = materialize(members.join(_lonely(sets).where(F.col("r") <= most), "id").select("bucket", "id", "r"), "minhash-members")
+    members = materialize(members.join(_lonely(sets).where(F.col("r") <= most), "id").select("bucket", "band", "id", "r"), "minhash-members")
     links, component = None, members.withColumn("component", F.col("id"))
     for turn in range(HUB_ROUNDS + 1):
         if turn < HUB_ROUNDS:
             likely = _prune(_hub_pairs(component, turn, most), signatures, threshold)
         else:
-            likely = _left_over_pairs(component, sets, most, threshold)
+            likely = _left_over_pairs(component, sets, signatures, most, threshold)
         found = materialize(_verify(likely, sets, percent), "minhash-links")
         links = found if links is None else links.unionByName(found)
         if turn < HUB_ROUNDS:
             now = components(links)
-            component = members.join(now, "id", "left").select("bucket", "id", "r", F.coalesce("component", "id").alias("component"))
+            component = members.join(now, "id", "left").select("bucket", "band", "id", "r", F.coalesce("component", "id").alias("component"))
             component = materialize(component, "minhash-members")
     # a class is a star around its representative, which also ties the classes of one id together
     member = withs.join(classes.select("d1", "d2", "id"), ["d1", "d2"]).where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
