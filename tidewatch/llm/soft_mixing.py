@@ -7,11 +7,11 @@
    literal of fixed size in it.
 3. Nonnegative document rates x are fitted so that the expected domain tokens
    S_k = sum of tokens * p_k * x meet the targets T_k. It is least squares by projected gradient:
-   each step aggregates K sums in Spark, takes the gradient (S - T) / M (M: the domains' tokens)
-   and every document moves by minus its posteriors times that, projected to x >= 0. Steps are
-   accumulated before the projection, so a document's rate is max(0, 1 - p . G) for one K-vector
-   G, which is the solution that changes the rates least; Nesterov's momentum speeds it up.
-   With the step scaled by M the largest eigenvalue is 1, so no step size needs to be found.
+   each step aggregates K sums in Spark and every document moves by minus the product of its
+   posteriors and the scaled gradient, projected to x >= 0. The scale is the inverse Gram matrix
+   (K x K) of the documents whose rate is not 0, so a few steps do. Steps are accumulated before
+   the projection: a document's rate is max(0, 1 - p . G) for one K-vector G, the solution that
+   changes the rates least.
 
 Edge cases: null or empty texts have no tokens, no keywords and weigh nothing; a null label is no
 label, of several labels of a document the lowest quality and the highest toxicity count; repeated
@@ -22,10 +22,10 @@ the outputs are replaced.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ LABELLED = 4000  # labelled documents that the classifier is counted on
 KEYWORDS = 24  # words for each domain
 LANGUAGES = 32  # most frequent values of lang that are features
 MIN_DOCS = 5  # documents of the sample that hold a keyword
-STEPS = 60
+STEPS = 30
 TOLERANCE = 1e-5
 OUTPUTS = ("n_tokens", "posterior", "rate")
 
@@ -143,44 +143,59 @@ def rate(step: list[float]) -> Column:
 def fit_rates(members: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE, total: float | None = None) -> list[float]:
     """The step G whose rates meet ``weights`` of ``total`` tokens (all tokens by default).
 
-    members: n_tokens and posterior.
+    members: n_tokens and posterior. Each step is one aggregation of K + K * K sums; a step that
+    leads further off is halved.
     """
-    n_domains = len(weights)
-
-    def totals(step: list[float]) -> list[float]:
-        mass = F.col("n_tokens") * rate(step)
-        row = members.agg(*(F.sum(mass * F.get("posterior", F.lit(k))).alias(f"s{k}") for k in range(n_domains))).first()
-        return [float(x or 0.0) for x in row]
-
-    zero = [0.0] * n_domains
-    mass = totals(zero)
-    total = sum(mass) if total is None else total
-    used = [k for k in range(n_domains) if mass[k] > 0]
-    if not used or not total:
-        return zero
-    share = sum(weights[k] for k in used)
-    target = [total * weights[k] / share if k in used else 0.0 for k in range(n_domains)]
-    now, ahead, age = zero, zero, 1.0
+    n = len(weights)
+
+    def totals(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Domain tokens under the step's rates, and the Gram matrix of the documents with a rate."""
+        x, p = rate(step.tolist()), [F.get("posterior", F.lit(k)) for k in range(n)]
+        tokens = F.col("n_tokens")
+        live = tokens * (x > 0).cast("double")
+        row = members.agg(*(F.sum(tokens * x * q) for q in p), *(F.sum(live * q * r) for q in p for r in p)).first()
+        out = np.array([float(v or 0.0) for v in row])
+        return out[:n], out[n:].reshape(n, n)
+
+    step = np.zeros(n)
+    sums, gram = totals(step)
+    total = float(sums.sum()) if total is None else total
+    used = sums > 0
+    if not used.any() or not total:
+        return step.tolist()
+    target = np.where(used, weights, 0.0)
+    target *= total / max(target.sum(), 1e-300)
+    scale = np.maximum(target, 1e-9 * total)
+    off = lambda s: np.where(used, (s - target) / scale, 0.0)
+    loss = lambda s: float((off(s) ** 2).sum())
     for _ in range(steps):
-        sums = totals(ahead)
-        off = [(sums[k] - target[k]) / mass[k] if k in used else 0.0 for k in range(n_domains)]
-        if max(abs(off[k]) * mass[k] / max(target[k], 1e-9 * total) for k in used) < tolerance:
-            return ahead
-        after = [a + o for a, o in zip(ahead, off)]
-        if sum(o * (a - b) for o, a, b in zip(off, after, now)) < 0:  # momentum points back: start it anew
-            age = 1.0
-        later = (1 + math.sqrt(1 + 4 * age * age)) / 2
-        ahead = [a + (age - 1) / later * (a - b) for a, b in zip(after, now)]
-        now, age = after, later
-    return now
-
-
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with n_tokens, posterior and rate."""
+        if np.abs(off(sums)).max() < tolerance:
+            break
+        move, share, before = np.linalg.lstsq(gram / scale[:, None], off(sums), rcond=1e-6)[0], 1.0, loss(sums)
+        for _ in range(6):
+            ahead = step + share * move
+            sums_ahead, gram_ahead = totals(ahead)
+            if loss(sums_ahead) < before * 0.999:
+                break
+            share /= 2
+        else:
+            break  # the targets can't be met more closely
+        step, sums, gram = ahead, sums_ahead, gram_ahead
+    return step.tolist()
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text_col: str = "text", columns: tuple[str, ...] | None = None, **options) -> DataFrame:
+    """``docs`` with n_tokens, posterior and rate; of its columns only ``columns``, if given.
+
+    Memberships are written once, with these columns: fitting and the result both read them.
+    """
     model = train(docs, labels, text_col=text_col)
     members = memberships(docs, model, text_col)
+    if columns is not None:
+        members = members.select(*columns, "n_tokens", "posterior")
+    members = materialize(members, "mixing-members")
     targets = targets or TARGETS
-    step = fit_rates(materialize(members.select("n_tokens", "posterior"), "mixing-members"), [targets.get(d, 0.0) for d in model.domains], **options)
+    step = fit_rates(members.select("n_tokens", "posterior"), [targets.get(d, 0.0) for d in model.domains], **options)
     return members.withColumn("rate", rate(step))
 
 
@@ -193,6 +208,6 @@ def copies(id_col: str = "doc_id") -> Column:
 def op7_soft_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    mixed = mix(docs, labels).withColumn("copies", copies())
+    mixed = mix(docs, labels, columns=("doc_id",)).withColumn("copies", copies())
     posteriors = [F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
     return mixed.select("doc_id", "n_tokens", *posteriors, "rate", "copies")
