@@ -417,6 +417,17 @@ def test_secret_models_on_held_out_strings(spark):
     assert not any(model.score(s) > needed for s in ordinary)
 
 
+def test_copied_secrets_do_not_vouch_for_themselves(spark):
+    r = random.Random(10)
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    n = len(texts)
+    secrets = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)) for _ in range(3)]
+    texts += [f"copied {s} passage" for s in secrets[:2]] * 1500 + [" ".join(secrets[2:] * 2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs))).where("n_markov > 0").collect()
+    assert {x.doc_id: x.n_markov for x in got if x.doc_id >= n} == {**{i: 1 for i in range(n, n + 3000)}, n + 3000: 2000}
+
+
 # op 10
 
 

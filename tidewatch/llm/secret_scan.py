@@ -2,10 +2,14 @@
 
 Two first-order models over printable ASCII are trained from labelled samples: strings that the
 fixed patterns mark as secrets (random) and the other tokens of the corpus (ordinary). Training
-is one scan whose tasks each emit a 95 x 95 table a label, summed in Spark. A token outside the
-pattern spans is a secret of kind ``markov`` when the ratio of its likelihoods under the two
-models, in natural log, exceeds ``MARGIN`` plus what the prior odds ask for. The token itself is
-left out of the ordinary counts it is scored by.
+is one scan. A token outside the pattern spans is a secret of kind ``markov`` when the ratio of its
+likelihoods under the two models, in natural log, exceeds ``MARGIN`` plus what the prior odds ask
+for. The token itself is left out of the ordinary counts it is scored by.
+
+The models are counted twice, and the larger ratio holds: over all occurrences, of which one is
+left out, and over distinct strings, where a string counts once however often its text is copied,
+so that a copied secret is left out whole and vouches for nothing. Tasks emit 95 x 95 tables of the
+former and their distinct strings for the latter; Spark removes repeats and sums.
 
 The random model starts from ``UNIFORM`` pseudo-counts for each pair, so it exists without any
 sample; then it is that of uniform random strings.
@@ -90,61 +94,105 @@ class MarkovPair:
 
     random: np.ndarray
     ordinary: np.ndarray
+    distinct: MarkovPair | None = None  # the same, of counts that hold each string once
 
     @classmethod
-    def of(cls, random: np.ndarray, ordinary: np.ndarray) -> MarkovPair:
+    def of(cls, random: np.ndarray, ordinary: np.ndarray, distinct: MarkovPair | None = None) -> MarkovPair:
         # characters that secrets are made of; others get the share of one pseudo-count
         alphabet = np.zeros(SYMBOLS)
         alphabet[[c - 32 for c in TOKEN]] = 1
         p = random + np.outer(alphabet, alphabet) * UNIFORM + 1e-3
-        return cls(np.log(p / p.sum(1, keepdims=True)), ordinary)
+        return cls(np.log(p / p.sum(1, keepdims=True)), ordinary, distinct)
 
     def score(self, token: str, learned: bool = False) -> float:
-        """log of random over ordinary. ``learned``: the token is one of the ordinary samples; it is left out, so it can't vouch for itself."""
+        """log of random over ordinary, the larger one of both counts. ``learned``: the token is one of the ordinary samples; it is left out, so it can't vouch for itself."""
         raw = np.frombuffer(token.encode("ascii"), np.uint8).astype(np.int64) - 32
         a, b = raw[:-1], raw[1:]
         n, rows = self.ordinary[a, b], self.totals[a]
         if learned:
             _, place, times = np.unique(a * SYMBOLS + b, return_inverse=True, return_counts=True)
             n, rows = n - times[place], rows - np.bincount(a)[a]
-        return float((self.random[a, b] - np.log((n + 0.5) / (rows + 0.5 * SYMBOLS))).sum())
+        own = float((self.random[a, b] - np.log((n + 0.5) / (rows + 0.5 * SYMBOLS))).sum())
+        return max(own, self.distinct.score(token, learned)) if self.distinct else own
 
     @cached_property
     def totals(self) -> np.ndarray:
         return self.ordinary.sum(1)
 
 
+#: Labels of the tables: by occurrence, then by distinct string.
+RANDOM, ORDINARY, RANDOM_ONCE, ORDINARY_ONCE = range(4)
+HELD = 200_000  # distinct strings that a task holds before it passes them on
+
+
 def train(docs: DataFrame, text_col: str = "text") -> MarkovPair:
-    """Models from all documents; the driver gets two 95 x 95 tables."""
+    """Models from all documents; the driver gets four 95 x 95 tables."""
+    names = ["label", "pair", "token", "n"]
+
+    def rows_of(label, pair, token, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(label, pa.int64()), pa.array(pair, pa.int64()), pa.array(token, pa.binary()), pa.array(n, pa.int64())], names)
+
+    def table_rows(sums: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(sums)
+        label, pair = np.divmod(at, SYMBOLS * SYMBOLS)
+        return rows_of(label, pair, [None] * len(at), sums.reshape(-1)[at])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, SYMBOLS, SYMBOLS), np.int64)
+        held: tuple[set[bytes], set[bytes]] = (set(), set())
+
+        def taken() -> Iterator[pa.RecordBatch]:
+            for label, tokens in zip((RANDOM_ONCE, ORDINARY_ONCE), held):
+                yield rows_of([label] * len(tokens), [None] * len(tokens), list(tokens), [1] * len(tokens))
+                tokens.clear()
+
         for batch in batches:
             random, ordinary = [], []
             for raw in batch.column(0).to_pylist():
                 text = raw.decode()
                 at = 0
+                first = len(random), len(ordinary)
                 for start, _, end, value in _base(raw, text):
                     random.append(value.encode())
                     ordinary.append(text[at:start].encode().translate(_STAY))
                     at = max(at, end)
                 ordinary.append((text[at:].encode() if at else raw).translate(_STAY))
+                held[0].update(random[first[0] :])
+                for part in ordinary[first[1] :]:
+                    held[1].update(part.split())
+                if len(held[0]) + len(held[1]) > HELD:
+                    yield from taken()
             sums[0] += pair_counts(b"\n".join(random))
             sums[1] += pair_counts(b"\n".join(ordinary))
-        label, pair = np.divmod(np.flatnonzero(sums), SYMBOLS * SYMBOLS)
-        yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(pair), pa.array(sums.reshape(-1)[np.flatnonzero(sums)])], ["label", "pair", "n"])
+        yield from taken()
+        yield table_rows(sums)
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct strings become tables; tables pass."""
+        sums = np.zeros((4, SYMBOLS, SYMBOLS), np.int64)
+        for batch in batches:
+            label = batch.column(0).to_numpy()
+            for own in (RANDOM_ONCE, ORDINARY_ONCE):
+                sums[own] += pair_counts(b"\n".join(batch.column(2).filter(pa.array(label == own)).to_pylist()))
+            table = np.flatnonzero(label < RANDOM_ONCE)
+            pair, n = (batch.column(i).take(pa.array(table)).to_numpy() for i in (1, 3))
+            np.add.at(sums.reshape(4, -1), (label[table], pair), n)
+        yield table_rows(sums)
+
+    kind = "label long, pair long, token binary, n long"
     rows = docs.where(F.col(text_col).isNotNull()).select(text_bytes(text_col))
-    counts = rows.mapInArrow(task, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).toPandas()
-    tables = np.zeros((2, SYMBOLS * SYMBOLS))
+    once = rows.mapInArrow(task, kind).groupBy("label", "pair", "token").agg(F.sum("n").alias("n"))
+    counts = once.mapInArrow(spread, kind).groupBy("label", "pair").agg(F.sum("n").alias("n")).toPandas()
+    tables = np.zeros((4, SYMBOLS * SYMBOLS))
     tables[counts["label"].to_numpy(int), counts["pair"].to_numpy(int)] = counts["n"].to_numpy()
-    return MarkovPair.of(*tables.reshape(2, SYMBOLS, SYMBOLS))
+    random, ordinary, *distinct = tables.reshape(4, SYMBOLS, SYMBOLS)
+    return MarkovPair.of(random, ordinary, MarkovPair.of(*distinct))
 
 
 def scan(docs: DataFrame, models: MarkovPair, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end, score), of every row; score is null for base spans."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    models = docs.sparkSession.sparkContext.broadcast(models)  # 72 kB
+    models = docs.sparkSession.sparkContext.broadcast(models)  # 300 kB
     needed = margin + PRIOR_LOG_ODDS
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
