@@ -238,6 +238,30 @@ def test_redaction_gates(spark):
     assert [(r.text, r.text_redacted, r.findings) for r in sorted(odd)] == [(None, None, []), ("", "", [])]
 
 
+def test_entropy_finds_what_the_reference_does(spark):
+    r = random.Random(5)
+    hexes = "".join(r.choice("0123456789abcdef") for _ in range(40))
+    letters, signs, b64 = "qXvBnMzKtRwPyLdHgFsJcAeU", "k7!mQ2#xZ9$wL4%vB8&nT5*", "Zk9-Qw3_Er7Ty1Ui5Op8As2D"
+    cjk = "龍鳳麒麟龜鶴蘭竹菊梅"
+    texts = {f"a {signs} b": [signs], f"a {letters} b": [letters], f"{hexes}!gz": [hexes], f"{hexes}!aaaaaaaaaaaaaaaaaaaa!{hexes[::-1]}": [hexes, hexes[::-1]], f"~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~{b64}~~~": [b64]}
+    work = redact.Redactor("salt")
+    for t, secrets in texts.items():
+        done, found = work.redact(t)
+        assert found and not any(x in done for x in secrets) and work.redact(done)[0] == done
+    # a rule at a token's start does not hide the rest of it
+    done = work.redact("AK" + "IA" + "Q7Z2" * 4 + "!" + hexes)[0]
+    assert hexes not in done and work.redact(done)[0] == done
+    spared = ["0f8fad5b-d9cb-469f-a165-70867728950e", "x 0f8fad5b-d9cb-469f-a165-70867728950e y", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "internationalization", "", cjk[:3]]
+    assert not any(work.redact(t)[1] for t in spared) and not redact.Redactor("s", min_length=8, min_bits=3.0).redact("Configuration")[1]
+    # with and without the prefilter
+    pool = "abcdefXYZ0123456789!#$%^&*+_-~ \t\n=:/.,;@|\"'()<>éß龍鳳麒麟龜鶴蘭竹菊梅🐉"
+    rows = [*texts, *spared, cjk, cjk * 3, *("".join(r.choices(pool, k=r.randint(1, 60))) for _ in range(3000)), *("".join(r.sample(pool[:20] + pool[-12:], r.randint(5, 24))) for _ in range(2000))]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    got = {x.id: (x.text_redacted, [f.asDict() for f in x.findings]) for x in redact.redact(df, "text", "salt").collect()}
+    assert sum(bool(f) for _, f in got.values()) > 100
+    assert got == {i: work.redact(t) for i, t in enumerate(rows)}
+
+
 def test_thresholds_only_tighten():
     with pytest.raises(ValueError):
         redact.Redactor("s", min_length=30)

@@ -2,9 +2,11 @@
 
 Rules are data: (name, class, pattern). A text is looked at as UTF-8 bytes, so word boundaries and
 white space are ASCII ones. Structural rules come before entropy tokens; of overlapping spans the
-leftmost stays, then a structural one, then the longest. A span becomes a marker of its class,
-length class and salted checksum; markers are left alone, so redacting twice changes nothing.
-Rows without any sign of a rule never reach Python.
+leftmost stays, then a structural one, then the longest. An entropy token stands between delimiters
+and is a hex or base64 blob, or long and varied, but no common word or version 4 UUID; blobs inside
+longer tokens count too. A span becomes a marker of its class, length class and salted checksum;
+markers are left alone, so redacting twice changes nothing. Rows in which nothing can be marked
+never reach Python.
 
 Edge cases: null stays null with no findings; empty stays empty; repeated rows are redacted alike.
 """
@@ -55,7 +57,27 @@ RULES = (
     Rule("conn-string", "credential", r"\b[a-z][a-z0-9+]*://[^\s:/@]+:([^\s@/]+)@"),
 )
 MARKER = "⟦R:[a-z]+:[a-z]+:[0-9a-f]{8}⟧"
-DELIMITERS = rb"[\s=:/.,;@|\"'()<>]+"
+DELIMITERS = r"\s=:/.,;@|\"'()<>"
+RUN = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+HEX = re.compile(rb"[0-9a-fA-F]{16,}")
+BASE64 = re.compile(rb"(?=.{24})[A-Za-z0-9+/_-]+={0,2}")
+UUID4 = re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-4[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}")
+#: No secrets by themselves, however low the thresholds.
+COMMON_WORDS = frozenset(b"""
+    the a an and or but if then else for while password passwd secret secrets token tokens key keys configuration config
+    settings options value values user users name names file files path paths directory directories folder folders system
+    systems application applications server servers client clients database databases table tables column columns function
+    functions method methods class classes object objects array arrays string strings number numbers boolean true false null
+    undefined error errors warning warnings debug info trace session sessions request requests response responses header
+    headers body bodies content contents type types format formats version versions install installed installing
+    installation update updated updating updates create created creating creation delete deleted deleting deletion read
+    write written writing readable writable open opened opening close closed closing start started starting stop stopped
+    stopping linux windows darwin macos unix posix local remote global public private protected default defaults example
+    examples sample samples test tests testing tested production development staging environment environments variable
+    variables library libraries package packages module modules import imports export exports dependency dependencies build
+    builds building compile compiled compiling binary binaries executable executables script scripts language languages
+    framework frameworks runtime runtimes
+""".split())
 
 
 def _entropy(token: bytes) -> float:
@@ -79,15 +101,23 @@ class Redactor:
             raise ValueError("entropy thresholds may only be tightened")
         self.salt, self.min_length, self.min_bits = salt.encode(), min_length, min_bits
         self.rules = [(r, re.compile(r.pattern.encode())) for r in (*RULES, *extra)]
-        self.marker, self.split = re.compile(MARKER.encode()), re.compile(DELIMITERS)
+        self.marker = re.compile(MARKER.encode())
+        self.token = re.compile(f"[^{DELIMITERS}]{{{min(16, max(1, min_length))},}}".encode())
+
+    @staticmethod
+    def _blob(token: bytes) -> bool:
+        return bool(HEX.fullmatch(token) and _entropy(token) >= 3.0 or BASE64.fullmatch(token) and _entropy(token) >= 4.0)
 
     def _secret(self, token: bytes) -> bool:
-        if len(token) < 16 or re.fullmatch(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-4[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}", token):
+        if token.lower() in COMMON_WORDS or UUID4.fullmatch(token):
             return False
-        bits = _entropy(token)
-        if re.fullmatch(rb"[0-9a-fA-F]+", token):
-            return bits >= 3.0
-        return bits >= self.min_bits and len(token) >= self.min_length and any(48 <= c <= 57 for c in token)
+        return self._blob(token) or len(token) >= self.min_length and _entropy(token) >= self.min_bits
+
+    def _blobs(self, raw: bytes, start: int, end: int) -> Iterator[tuple[int, int]]:
+        """Hex and base64 blobs of a part of a token."""
+        for m in RUN.finditer(raw, start, end):
+            if self._blob(m.group()) and not UUID4.fullmatch(m.group()):
+                yield m.span()
 
     def spans(self, raw: bytes) -> list[tuple[int, int, str, str]]:
         """(start, end, class, rule) in bytes, without overlaps."""
@@ -98,12 +128,19 @@ class Redactor:
                 group = 1 if pattern.groups else 0
                 if rule.check != "luhn" or _luhn(m.group(group)):
                     found.append((m.start(group), 0, -m.end(group), rule.cls, rule.name))
-        at = 0
-        for gap in [*self.split.finditer(raw), None]:
-            end = gap.start() if gap else len(raw)
-            if self._secret(raw[at:end]):
-                found.append((at, 1, -end, "entropy", "entropy"))
-            at = gap.end() if gap else at
+        claimed = sorted([*held, *((start, -end) for start, _, end, _, _ in found)])
+        i = 0
+        for m in self.token.finditer(raw):
+            if self._secret(m.group()):
+                found.append((m.start(), 1, -m.end(), "entropy", "entropy"))
+            # blobs outside what rules and markers hold
+            at = m.start()
+            while at < m.end():
+                while i < len(claimed) and claimed[i][1] <= at:
+                    i += 1
+                a, b = claimed[i] if i < len(claimed) else (len(raw), len(raw))
+                found += [(x, 1, -y, "entropy", "entropy") for x, y in self._blobs(raw, at, min(max(a, at), m.end()))]
+                at = min(max(b, at), m.end())
         out, last = [], 0
         for start, _, end, cls, name in sorted(found):
             if start >= last and not any(a < -end and start < b for a, b in held):
@@ -124,8 +161,9 @@ class Redactor:
         return b"".join([*parts, raw[at:]]).decode(errors="replace"), found
 
 
-#: What a row must hold to be looked at: a rule's sign, a long digit run or a long token with a digit.
-HINT = r"(?i)A[KS]IA|AIza|AccountKey|aws|sk[-_]|rk_|gh[pousr]_|xox|hooks\.slack|ya29\.|eyJ|-----BEGIN|bearer|[0-9](?:[ -]?[0-9]){11}|pass|secret|token|api_?key|pwd|pw[\"']?\s*[:=]|://[^\s/]*@|[A-Za-z0-9+_-]{16}"
+#: What a row must hold to be looked at, a superset of all that Redactor marks: a rule's sign, a long digit run, or a
+#: token of 16 bytes, which has 16 characters or two beyond ASCII.
+HINT = r"(?i)A[KS]IA|AIza|AccountKey|aws|sk[-_]|rk_|gh[pousr]_|xox|hooks\.slack|ya29\.|eyJ|-----BEGIN|bearer|[0-9](?:[ -]?[0-9]){11}|pass|secret|token|api_?key|pwd|pw[\"']?\s*[:=]|://[^\s/]*@" + f"|[^{DELIMITERS}]{{16}}|[^\\x00-\\x7F][^{DELIMITERS}]{{0,13}}[^\\x00-\\x7F]"
 FINDING = "struct<start:int,end:int,class:string,rule:string,len_class:string,checksum:string>"
 
 
