@@ -136,6 +136,18 @@ def test_url_intervals(spark):
     assert url_filter.listed(captures.limit(0), entries).count() == 0 and url_filter.listed(captures, entries.limit(0)).where("is_listed").count() == 0
 
 
+def test_url_deep_paths(spark):
+    entries = spark.createDataFrame([(k, "add", "2024-01-05", c) for k, c in [("h.com/a/b/c/d", "four"), ("h.com/a/b/c/d/e/f/g", "seven"), ("h.com/x", "one")]], "key string, action string, since string, category string").withColumn("since", F.to_date("since"))
+    urls = ["http://h.com/a/b/c", "http://h.com/a/b/c/d", "http://h.com/a//b/c/d/e?q", "http://h.com/a/b/c/d/e/f/g/h", "http://h.com/a/b/c/dd", "http://h.com/x/y/z/u/v", "http://h.com"]
+    captures = spark.createDataFrame([(i, u, "2024-01-06") for i, u in enumerate(urls)], "page_id int, url string, fetch_date string").withColumn("fetch_date", F.to_date("fetch_date"))
+    got = {r.page_id: (r.categories, r.n_active) for r in url_filter.listed(captures, entries).collect()}
+    assert got == {0: ([], 0), 1: (["four"], 1), 2: (["four"], 1), 3: (["four", "seven"], 2), 4: ([], 0), 5: (["one"], 1), 6: ([], 0)}
+    domains_only = url_filter.listed(captures, entries.withColumn("key", F.lit("h.com")).limit(1))
+    assert all(r.n_active == 1 for r in domains_only.collect())
+    deep = spark.createDataFrame([("http://h.com/" + "/".join("abcdefgh"),)], "url string")
+    assert len(deep.select(url_filter.url_keys(F.col("url"))).first()[0]) == 9
+
+
 # op 3
 
 

@@ -6,8 +6,8 @@ registered domain or a path prefix from a day on. The entries of a key become va
 active at fetch time: the as-of join is an equi-join on the key with a range condition, and an
 entry dated after the fetch never counts.
 
-Scale: a capture is looked up by a few keys (its host, parent domains, path prefixes), and
-captures of one key and day are combined before the join, so a host with a third of all captures
+Scale: a capture is looked up by its host, parent domains, and its path prefixes of all depths that
+occur in the list, and captures of one key and day are combined before the join, so a host with a third of all captures
 is one row a day. Only matching (key, day) rows go back to captures, in a second equi-join on the
 whole key set of a URL, which AQE can split where one host is hot.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-MAX_PREFIXES = 3  # path prefixes of a URL that are looked up
+MAX_PREFIXES = 3  # path prefixes in OP2_SQL, whose entries have one path part at most
 
 
 def url_host(url: Column) -> Column:
@@ -36,13 +36,24 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def url_keys(url: Column) -> Column:
-    """Keys of a URL: the host and its parent domains of two labels or more, and host + path prefixes."""
+def list_depths(entries: DataFrame) -> list[int]:
+    """Numbers of path parts of the list's keys; no more than the deepest one has."""
+    depth = F.size(F.split("key", "/")) - 1
+    return sorted(r.depth for r in entries.where("key is not null").select(depth.alias("depth")).where("depth > 0").distinct().collect())
+
+
+def url_keys(url: Column, depths: list[int] | None = None) -> Column:
+    """Keys of a URL: the host and its parent domains of two labels or more, and host + path prefixes (all, or of these depths)."""
     labels = F.split(url_host(url), "\\.")
     domains = let(labels, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, F.size(x)), ".")))
     parts = F.filter(F.split(url_path(url), "/"), lambda p: p != "")
-    prefixes = let(F.slice(parts, 1, MAX_PREFIXES), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.concat(url_host(url), F.lit("/"), F.array_join(F.slice(p, 1, i), "/"))))
-    prefixes = F.when(F.size(parts) > 0, prefixes).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def prefixes_of(p: Column) -> Column:
+        asked = F.sequence(F.lit(1), F.size(p)) if depths is None else F.filter(F.array(*map(F.lit, depths)), lambda i: i <= F.size(p))
+        return F.transform(asked, lambda i: F.concat(url_host(url), F.lit("/"), F.array_join(F.slice(p, 1, i), "/")))
+
+    prefixes = none if depths == [] else F.when(F.size(parts) > 0, let(parts, prefixes_of)).otherwise(none)
     return F.when(F.coalesce(url_host(url), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 
 
@@ -58,7 +69,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def listed(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetch_date") -> DataFrame:
     """``captures`` with is_listed, n_active (intervals met), first_key and categories, as of the fetch."""
-    captures = captures.drop("is_listed", "n_active", "first_key", "categories").withColumn("_keys", url_keys(F.col(url_col)))
+    captures = captures.drop("is_listed", "n_active", "first_key", "categories").withColumn("_keys", url_keys(F.col(url_col), list_depths(entries)))
     asked = captures.select(F.explode("_keys").alias("key"), F.to_date(time_col).alias("day")).distinct()
     held = intervals(entries)
     active = asked.join(held, "key").where("since <= day and (until is null or day < until)")
