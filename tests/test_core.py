@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from collections import defaultdict, deque
 
 import duckdb
@@ -262,6 +263,22 @@ def test_entropy_finds_what_the_reference_does(spark):
     assert got == {i: work.redact(t) for i, t in enumerate(rows)}
 
 
+def test_all_rules_are_counted(spark, tmp_path):
+    pick = lambda k: ("aB3dE5gH7jK9" * 10)[:k]
+    hits = [
+        "AK" + "IA" + "Q7Z2" * 4, "aws_" + f"secret_access = {pick(40)}", "AI" + "za" + pick(35), "Account" + f"Key={pick(44)}", "sk-" + "ant-" + pick(30), "sk-" + "proj-" + pick(30), "gh" + "p_" + pick(36), "xo" + "xb-" + pick(20), "https://hooks." + f"slack.com/services/{pick(9)}/{pick(12)}", "sk" + "_live_" + pick(24), "ya" + "29." + pick(30), "ey" + f"J{pick(20)}.{pick(20)}.{pick(20)}",
+        "-----BEGIN RSA " + "PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "-----BEGIN " + "PRIVATE KEY----- cut", f"Bearer {pick(30)}", "4111 1111 1111 1111", "12345678901234567890", f"api_key = '{pick(12)}'", "pwd: hunter22", "postgres" + "://me:geheim@host/db",
+    ]
+    texts = [*hits, " ".join(hits), "\n".join(hits * 2), "nothing here", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.rule: (x["class"], x.hits, x.docs) for x in queries.QUERIES["redact_rule_counts_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for rule in redact.RULES:
+        per_text = [sum(1 for _ in re.finditer(rule.pattern.encode(), (t or "").encode())) for t in texts]
+        want[rule.name] = (rule.cls, sum(per_text), sum(n > 0 for n in per_text))
+    assert got == want and len(got) == 20 and all(n for _, n, _ in got.values())
+
+
 def test_thresholds_only_tighten():
     with pytest.raises(ValueError):
         redact.Redactor("s", min_length=30)
