@@ -271,10 +271,14 @@ def test_packing(docs, empty):
 def test_packing_odd_texts():
     r = random.Random(3)
     parts = ["a", "É", "é", "ß", "İ", "'s", "don't", "1", "²", "…", ".", ",", " ", "\n", "́", "ﬁ", "中", "<|endoftext|>", "<|ENDOFTEXT|>", "≠", "\x1c", "\x85", "-"]
-    encoder = packing.WordEncoder(packing.default_tokenizer())
-    texts = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(2000)]
-    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
-        assert list(ids) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    parts += ["`", "\u1fef", "word", "word,"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(3000)]
+    # with room for all words, and forgetting them again and again
+    for encoder in (packing.WordEncoder(packing.default_tokenizer()), packing.WordEncoder(packing.default_tokenizer(), cache_words=50)):
+        for at in range(0, len(texts), 500):
+            part = texts[at : at + 500]
+            for text, ids in zip(part, encoder.encode([t.encode() for t in part])):
+                assert list(ids) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 # op 6

@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,124 +31,169 @@ from .common import text_bytes
 CAPACITY = 2048
 CUT_SIZES = (1024, 512, 256)
 END_ID = 1
-CACHE_WORDS = 1_000_000  # distinct words a task keeps encoded; then it starts anew
+CACHE_WORDS = 1_000_000  # distinct words that a Python worker keeps encoded, across its tasks
+BYTES = 16 << 20  # of texts that are encoded at a time, or those of one text
 ROWS = 20_000  # pieces in an output batch
 #: Sequence ids are the task's number times this, plus the task's own count.
 TASK_STRIDE = 1 << 33
 
 
-class _Numbers(dict):
-    """Numbers words as they are first asked for; ``new`` lists those since it was last emptied."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-
 class WordEncoder:
-    """Encodes whole texts by encoding each distinct space-separated word once.
+    """Encodes whole texts by encoding each distinct white-space separated word once.
 
-    For tokenizers that lower-case, split at white space and drop it, part letters from other
-    signs, and mark the last id of each part with ``</w>``: their ids of a text are those of its
-    words in a row. New words that are all letters, but for one stop or comma at the end, are
-    encoded many in one call and told apart by that mark; others one by one. Texts that may hold
-    a special token's string are encoded as they are.
+    For tokenizers that lower-case, split at white space and drop it: their ids of a text are
+    those of its words in a row. Words are told apart, counted and looked up as Arrow columns;
+    new words are encoded many in one call with a mark of one id between them. Words that hold
+    the mark are encoded one by one, texts that may hold a special token's string as they are.
+
+    At most ``cache_words`` words stay known; beyond that those go that were not met again.
     """
 
+    MARK = "`"
     STOPS = ".,;:!?"
-    JOINED = 512
+    JOINED = 2048
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.stop_ids = {c: self._whole(c) for c in self.STOPS}
-        self._clear()
+        self.cache_words = cache_words
+        self.mark = self._whole(self.MARK)
+        self.stop_ids = np.array([self._whole(c) for c in self.STOPS], np.uint32)[:, 0]
+        self._keep(np.zeros(0, np.int64))
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _clear(self) -> None:
-        self.index = _Numbers()
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _encoded(self, words: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(words)
-        learned = len(self.index) - len(words)
-        letters: dict[str, list[tuple[int, str]]] = {}
-        single = []
-        for i, word in enumerate(words):
-            text = word.decode()
-            stop = text[-1] if text[-1] in self.stop_ids else ""
-            body = text[:-1] if stop else text
-            if not body.lower().isalpha():
-                single.append(i)
-            elif stop and self.index.get(word[:-1], learned) < learned:
-                n = self.index[word[:-1]]
-                out[i] = self.flat[self.starts[n] : self.starts[n] + self.counts[n]].tolist() + self.stop_ids[stop]
-            else:
-                letters.setdefault(body, []).append((i, stop))
-        bodies = list(letters)
-        for at in range(0, len(bodies), self.JOINED):
-            part = bodies[at : at + self.JOINED]
-            ids = self._whole(" ".join(part))
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) != len(part):
-                single += [i for body in part for i, _ in letters[body]]
-                continue
-            begin = 0
-            for body, end in zip(part, ends):
-                for i, stop in letters[body]:
-                    out[i] = ids[begin:end] + self.stop_ids[stop] if stop else ids[begin:end]
-                begin = end
-        for i, e in zip(single, self.tokenizer.encode_batch([words[i].decode() for i in single], add_special_tokens=False)):
-            out[i] = e.ids
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, places: np.ndarray) -> None:
+        """Forget all words but those at these places of the table."""
+        if not len(places):
+            self.known, self.used, self.size = pa.array([], pa.string()), 0, 0
+            self.flat = np.empty(1 << 16, np.uint32)
+            self.starts, self.counts, self.met = (np.zeros(1 << 14, kind) for kind in (np.int64, np.int64, bool))
+            return
+        known, counts, flat = self.known.take(pa.array(places)), self.counts[places], self.ids_at(places)
+        self._keep(places[:0])
+        self._add(known, counts, flat)
+
+    def _add(self, words: pa.Array, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Put words at the end of the table: their places."""
+        size, used = self.size + len(words), self.used + len(ids)
+        while used > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        while size > len(self.starts):
+            self.starts, self.counts, self.met = (np.resize(x, 2 * len(x)) for x in (self.starts, self.counts, self.met))
+        self.flat[self.used : used] = ids
+        self.counts[self.size : size], self.starts[self.size : size] = counts, self.used + np.cumsum(counts) - counts
+        self.met[self.size : size] = False
+        self.known = pa.concat_arrays([self.known, words])
+        first, self.size, self.used = self.size, size, used
+        return np.arange(first, size)
+
+    def ids_at(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the words at these places, in a row."""
+        counts = self.counts[places]
+        ends = np.cumsum(counts)
+        return self.flat[np.repeat(self.starts[places] - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words in the table; those not yet known are learnt."""
+        places = pc.index_in(words, value_set=self.known)
+        self.met[places.drop_null().to_numpy()] = True
+        places = places.fill_null(-1).to_numpy().astype(np.int64)
+        new = places < 0
+        if new.any():
+            places[new] = self._learn(words.filter(pa.array(new)))
+        return places
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Places of words that are not in the table. A stop after a plain letter or digit is a part of its own."""
+        stopped = pc.match_substring_regex(words, f"[a-z0-9à-öø-ÿ][{self.STOPS}]$")
+        plain = words.filter(pc.invert(stopped))
+        order = [self._encoded(plain)]
+        if len(plain) < len(words):
+            with_stop = words.filter(stopped)
+            body = pc.utf8_slice_codeunits(with_stop, 0, -1).dictionary_encode()
+            bodies = self._places(body.dictionary)[body.indices.to_numpy()]
+            stop = pc.index_in(pc.utf8_slice_codeunits(with_stop, -1), value_set=pa.array(list(self.STOPS))).to_numpy()
+            counts = self.counts[bodies]
+            ids = np.insert(self.ids_at(bodies), np.cumsum(counts), self.stop_ids[stop])
+            order.append(self._add(with_stop, counts + 1, ids))
+        out = np.empty(len(words), np.int64)
+        is_stopped = stopped.to_numpy(zero_copy_only=False)
+        out[~is_stopped] = order[0]
+        if len(order) > 1:
+            out[is_stopped] = order[1]
         return out
 
-    def _learn(self) -> None:
-        words, self.index.new = self.index.new, []
-        encoded, last = self._encoded(words), len(self.index)
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        n = int(lengths.sum())
-        while self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        while last > len(self.starts):
-            self.starts, self.counts = (np.resize(x, 2 * len(x)) for x in (self.starts, self.counts))
-        self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(encoded), np.uint32, n)
-        at = slice(last - len(words), last)
-        self.counts[at], self.starts[at] = lengths, self.used + np.cumsum(lengths) - lengths
-        self.used += n
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.index) > CACHE_WORDS:
-            self._clear()
-        number = self.index.__getitem__
-        numbered = []
-        for text in texts:
-            words = None if b"<|" in text else text.lower().split()
-            numbered.append(words if words is None else np.fromiter(map(number, words), np.int64, len(words)))
-        if self.index.new:
-            self._learn()
-        out = []
-        for text, codes in zip(texts, numbered):
-            if codes is None:
-                out.append(np.array(self._whole(text.decode()), np.uint32))
+    def _encoded(self, words: pa.Array) -> np.ndarray:
+        """Encode words and add them: their places."""
+        alone = pc.match_substring(words, self.MARK).to_numpy(zero_copy_only=False) if len(self.mark) == 1 else np.ones(len(words), bool)
+        single, joined = np.flatnonzero(alone).tolist(), np.flatnonzero(~alone)
+        texts, between = words.to_pylist(), f" {self.MARK} "
+        parts = [joined[at : at + self.JOINED] for at in range(0, len(joined), self.JOINED)]
+        order, counts, ids = [], [], []
+        for part, own in zip(parts, self._batch([between.join([texts[i] for i in part]) for part in parts])):
+            row = np.array(own, np.uint32)
+            ends = np.flatnonzero(row == self.mark[0])
+            if len(ends) != len(part) - 1:  # some word holds the mark in another spelling
+                single += part.tolist()
                 continue
-            counts = self.counts[codes]
-            ends = np.cumsum(counts)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.starts[codes] - ends + counts, counts) + np.arange(total)])
+            order.append(part)
+            counts.append(np.diff(np.concatenate([[-1], ends, [len(row)]])) - 1)
+            ids.append(np.delete(row, ends))
+        if single:
+            made = self._batch([texts[i] for i in single])
+            order.append(np.array(single))
+            counts.append(np.fromiter(map(len, made), np.int64, len(made)))
+            ids += [np.array(x, np.uint32) for x in made]
+        out = np.empty(len(words), np.int64)
+        if order:
+            order = np.concatenate(order)
+            out[order] = self._add(words.take(pa.array(order)), np.concatenate(counts), np.concatenate(ids))
         return out
 
+    def encode(self, texts: pa.Array | list[bytes]) -> list[np.ndarray]:
+        texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
+        texts = texts.cast(pa.string())
+        plain = pc.invert(pc.match_substring(texts, "<|"))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(plain, texts, "")))
+        each = words.flatten().dictionary_encode()
+        if self.size > self.cache_words:
+            met = np.flatnonzero(self.met[: self.size])
+            self._keep(met if len(met) <= self.cache_words // 2 else met[:0])
+        own = self._places(each.dictionary)[each.indices.to_numpy()]
+        ids = self.ids_at(own)
+        ends = np.concatenate([[0], np.cumsum(self.counts[own])])[np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]
+        out = np.split(ids, ends[:-1]) if len(texts) else []
+        for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)):
+            out[i] = np.array(self._whole(texts[int(i)].as_py()), np.uint32)
+        return out
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This process's encoder: the tasks that a worker runs one after another share what it has learnt."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
+def slices(texts: pa.Array, size: int = BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about ``size`` bytes, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield at, to
+        at = to
+
 
 def cuts(n: int, capacity: int, cut_sizes: tuple[int, ...]) -> list[int]:
     """Lengths of the pieces of a document of n tokens, in order."""
@@ -211,7 +256,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(capacity, cut_sizes, TaskContext.get().partitionId() * TASK_STRIDE)
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], np.uint32)
 
         def taken(id_kind: pa.DataType) -> pa.RecordBatch:
@@ -224,9 +269,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+            for at, to in slices(batch.column(1)):
+                part = batch.slice(at, to - at)
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     packer.add(doc, np.concatenate([ids, end]))
                     if len(packer.rows) >= ROWS:
                         yield taken(kind)
