@@ -628,35 +628,44 @@ def digest_check(spark, d):
     return docs.join(now, "doc_id", "left").select("doc_id", note.alias("note"))
 
 
-_SHARED = tuple(r for r in redact.RULES if r.name in ("aws-access-key", "gcp-api-key", "github-token", "slack-token", "stripe-key", "jwt", "pem-header", "numeric-long", "generic-credential-kv", "conn-string"))
+def _rule_counts_sql(source: str) -> str:
+    """Counts of every rule; the patterns are read alike by Spark, DuckDB and Python."""
+    return " UNION ALL ".join(f"""SELECT '{r.name}' AS rule, '{r.cls}' AS class, CAST(coalesce(sum(n), 0) AS BIGINT) AS hits, count(*) FILTER (n > 0) AS docs FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '{r.pattern.replace("'", "''")}')) AS n FROM {source})""" for r in redact.RULES)
 
 
-@query("redact_rule_counts", " UNION ALL ".join(f"""SELECT '{r.name}' AS rule, '{r.cls}' AS class, CAST(coalesce(sum(n), 0) AS BIGINT) AS hits, count(*) FILTER (n > 0) AS docs FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '{r.pattern.replace("'", "''")}')) AS n FROM documents)""" for r in _SHARED), ev=False)
+@query("redact_rule_counts", _rule_counts_sql("documents"), ev=False)
 def redact_rule_counts(spark, d):
-    return redact.rule_counts(table(spark, d, "documents"), "text", _SHARED)
+    return redact.rule_counts(table(spark, d, "documents"), "text")
 
 
-@query("redact_rule_counts_all")
+@query("redact_rule_counts_all", "WITH t AS (SELECT text FROM documents UNION ALL SELECT html FROM pages UNION ALL SELECT text FROM conversations) " + _rule_counts_sql("t"), ev=False)
 def redact_rule_counts_all(spark, d):
-    """All rules; redact_rule_counts has those whose patterns DuckDB shares."""
-    return redact.rule_counts(table(spark, d, "documents"), "text")
+    """All rules over all tables of texts."""
+    texts = [table(spark, d, t).select(F.col(c).alias("text")) for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
+    return redact.rule_counts(texts[0].unionByName(texts[1]).unionByName(texts[2]), "text")
 
 
 def _redacted(spark, d: str) -> DataFrame:
     return redact.redact(table(spark, d, "documents").select("doc_id", "text"), "text", "salt")
 
 
+def _half_redacted(spark, d: str) -> DataFrame:
+    """Redacted texts among which those of even ids were left as they are: what an audit must find."""
+    raw = F.col("doc_id") % 2 == 0
+    return _redacted(spark, d).withColumn("text_redacted", F.when(raw, F.col("text")).otherwise(F.col("text_redacted")))
+
+
 @query("redact_findings")
 def redact_findings(spark, d):
     return redact.findings(_redacted(spark, d), "doc_id")
 
 
-@query("redact_leaks", "SELECT doc_id, text AS secret FROM documents WHERE false", ev=False)
+@query("redact_leaks", r"""SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) AS secret FROM documents WHERE doc_id % 2 = 0""", ev=False)
 def redact_leaks(spark, d):
-    """40-digit tokens of the documents that are still there after redaction."""
+    """40-digit tokens of the documents that are still there in a table whose even rows were not redacted."""
     docs = table(spark, d, "documents")
     secrets = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit('token = "([0-9a-f]{40})"'), F.lit(1))).alias("secret")).distinct()
-    return redact.leaks(_redacted(spark, d), secrets, "doc_id", "text_redacted")
+    return redact.leaks(_half_redacted(spark, d), secrets, "doc_id", "text_redacted")
 
 
 @query("secret_reuse")
@@ -664,17 +673,39 @@ def secret_reuse(spark, d):
     return redact.reuse(redact.findings(_redacted(spark, d), "doc_id"), "doc_id")
 
 
-@query("redact_gates", """SELECT CASE WHEN count(*) FILTER (regexp_matches(text, 'token = "[0-9a-f]{40}"')) > 0 THEN 1.0 END AS recall, CAST(0 AS BIGINT) AS leaks FROM documents""", ev=False)
+@query("redact_gates", """SELECT CASE WHEN count(*) FILTER (regexp_matches(text, 'token = "[0-9a-f]{40}"')) > 0 THEN 1.0 END AS recall, CASE WHEN (SELECT count(*) FROM benchmark) > 0 THEN 0.0 END AS false_positives, CAST(0 AS BIGINT) AS leaks FROM documents""", ev=False)
 def redact_gates(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", 'token = "([0-9a-f]{40})"', 1).alias("secret"))
-    done = _redacted(spark, d).join(docs, "doc_id").select((F.col("secret") != "").alias("must_redact"), (F.size("findings") > 0).alias("changed"), ((F.col("secret") != "") & F.contains("text_redacted", F.col("secret"))).alias("leaked"))
-    return redact.gates(done).select("recall", "leaks")
+    """Documents that hold a token must change and lose it; the items of the benchmark, plain prose, must not change."""
+    docs = table(spark, d, "documents").select("text", F.regexp_extract("text", 'token = "([0-9a-f]{40})"', 1).alias("secret")).where("secret != ''")
+    rows = docs.unionByName(table(spark, d, "benchmark").select("text", F.lit("").alias("secret")))
+    done = redact.redact(rows, "text", "salt").select((F.col("secret") != "").alias("must_redact"), (F.size("findings") > 0).alias("changed"), ((F.col("secret") != "") & F.contains("text_redacted", F.col("secret"))).alias("leaked"))
+    return redact.gates(done)
 
 
-@query("argv_flags", """SELECT row_id, CASE WHEN k % 2 = 0 THEN 'run --token ⟦R:credential⟧' ELSE 'run --name v' || k END AS argv FROM ev""")
+@query("argv_flags", """SELECT row_id, CASE WHEN k % 2 = 0 THEN 'run --token ⟦R:entropy:s:' || substr(sha256('v' || k || 'salt'), 1, 8) || '⟧' ELSE 'run --name v' || k END AS argv FROM ev""")
 def argv_flags(spark, d):
     argv = F.array(F.lit("run"), F.when(F.col("k") % 2 == 0, "--token").otherwise("--name"), F.concat(F.lit("v"), F.col("k")))
-    return ev(spark, d).select("row_id", F.array_join(redact.redact_argv(argv), " ").alias("argv"))
+    return ev(spark, d).select("row_id", F.array_join(redact.mark_operands(argv, "salt"), " ").alias("argv"))
+
+
+@query("argv_redacted", """SELECT row_id, CASE k % 3 WHEN 0 THEN 'run --ApiKey ⟦R:entropy:s:' || substr(sha256('v' || k || 'salt'), 1, 8) || '⟧'
+ WHEN 1 THEN 'run token=⟦R:entropy:l:' || substr(sha256(sha256('t' || row_id) || 'salt'), 1, 8) || '⟧ x' ELSE 'run --name v' || k END AS argv FROM ev""")
+def argv_redacted(spark, d):
+    """Argument lists: operands of flags, secrets inside an argument, and plain ones."""
+    key, k = F.concat(F.lit("v"), F.col("k")), F.col("k") % 3
+    argv = F.when(k == 0, F.array(F.lit("run"), F.lit("--ApiKey"), key)).when(k == 1, F.array(F.lit("run"), F.concat(F.lit("token="), F.sha2(F.concat(F.lit("t"), "row_id").cast("binary"), 256)), F.lit("x"))).otherwise(F.array(F.lit("run"), F.lit("--name"), key))
+    return redact.redact_argv(ev(spark, d).select("row_id", argv.alias("argv")), "argv", "salt").select("row_id", F.array_join("argv_redacted", " ").alias("argv"))
+
+
+@query("path_redacted", """WITH p AS (SELECT row_id, sha256('p' || row_id) AS h, k % 2 = 0 AS resolved, CASE k % 3 WHEN 0 THEN 'objects' WHEN 1 THEN 'commits' ELSE 'files' END AS dir FROM (SELECT event_id AS row_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))
+ SELECT row_id, '/repo/' || dir || '/ab/' || CASE WHEN resolved AND dir <> 'files' THEN h ELSE '⟦R:entropy:l:' || substr(sha256(h || 'salt'), 1, 8) || '⟧' END || '/README' AS path FROM p""", ev=False)
+def path_redacted(spark, d):
+    """Object ids stay in paths that are known to exist, below a store; elsewhere they are marked."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    store = F.when(k % 3 == 0, "objects").when(k % 3 == 1, "commits").otherwise("files")
+    path = F.concat(F.lit("/repo/"), store, F.lit("/ab/"), F.sha2(F.concat(F.lit("p"), "event_id").cast("binary"), 256), F.lit("/README"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("row_id"), path.alias("path"), (k % 2 == 0).alias("resolved"))
+    return redact.redact_paths(rows, "path", F.col("resolved"), "salt").select("row_id", F.col("path_redacted").alias("path"))
 
 
 @query("token_shapes", r"""SELECT item_id, w, length(w) AS n, regexp_matches(w, '^[0-9a-fA-F]+$') AS is_hex, regexp_matches(w, '^[A-Za-z0-9+/_-]+={0,2}$') AS is_base64,
@@ -724,10 +755,10 @@ def alert_headlines(spark, d):
     return a.select("session", "alert_idx", C.headline(F.col("type"), F.col("subject")).alias("headline"), F.date_format(F.timestamp_micros("us"), "HH:mm:ss").alias("at"))
 
 
-@query("raw_text_guard", "SELECT doc_id, '' AS rule FROM documents WHERE false", ev=False)
+@query("raw_text_guard", " UNION ALL ".join(f"""SELECT doc_id, '{r.name}' AS rule FROM documents WHERE doc_id % 2 = 0 AND regexp_matches(text, '{r.pattern.replace("'", "''")}')""" for r in redact.RULES if not r.check), ev=False)
 def raw_text_guard(spark, d):
-    """Redacted texts, the only ones that may be hashed, in which a structural rule still matches."""
-    return redact.unredacted(_redacted(spark, d), "doc_id", "text_redacted")
+    """Texts with a structural rule's match, which must not be hashed, in a table whose even rows were not redacted."""
+    return redact.unredacted(_half_redacted(spark, d), "doc_id", "text_redacted")
 
 
 @query("marker_runs", """SELECT e.row_id, c.conv_id FROM ev e JOIN (SELECT DISTINCT conv_id FROM conversations) c ON c.conv_id = e.k""")
