@@ -328,13 +328,75 @@ def test_soft_mixing(spark):
     assert soft_mixing.mix(docs, labels.limit(0)).count() == 243
 
 
-def test_rates_match_a_projection(spark):
+def projected_gradient(n, p, weights, passes=20_000):
+    """Rates by plain projected gradient with the safe step, and the sums they reach."""
+    target, x = np.array(weights) * n.sum(), np.ones(len(n))
+    scale = (n[:, None] * p * p).sum(0)
+    safe = 1 / np.linalg.eigvalsh((n[:, None] * p).T @ p / np.sqrt(np.outer(scale, scale)))[-1]
+    for _ in range(passes):
+        x = np.maximum(0, x - safe * (p @ (((n * x) @ p - target) / scale)))
+    return x, (n * x) @ p
+
+
+@pytest.mark.parametrize("weights", [[0.5, 0.3, 0.2], [0.1, 0.1, 0.8], [0.85, 0.1, 0.05]])
+def test_rates_are_those_of_projected_gradient(spark, weights):
     r = np.random.default_rng(0)
-    n, p = r.integers(1, 50, 40).astype(float), r.dirichlet([1, 1, 1], 40)
-    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, posterior array<double>")
-    step = soft_mixing.fit_rates(members, [0.5, 0.3, 0.2], steps=400)
-    x = np.maximum(0, 1 - p @ np.array(step))
-    assert np.allclose((n[:, None] * p * x[:, None]).sum(0) / n.sum(), [0.5, 0.3, 0.2], atol=1e-4)
+    n, p = r.integers(1, 50, 60).astype(float), r.dirichlet([0.4, 0.4, 0.4], 60)
+    members = spark.createDataFrame([(i, int(a), b.tolist()) for i, (a, b) in enumerate(zip(n, p))], "id int, n_tokens long, posterior array<double>")
+    fit = soft_mixing.fit_rates(members, weights)  # as shipped
+    got = np.array([x.r for x in members.withColumn("r", soft_mixing.rate(fit.steps)).orderBy("id").collect()])
+    want = np.ones(60)
+    for g in fit.steps:
+        want = np.maximum(0, want - p @ np.array(g))
+    assert np.allclose(got, want, atol=1e-9) and (got >= 0).all() and (got == 0).any() == (want == 0).any()
+    sums = (n * got) @ p
+    assert np.allclose(sums, fit.sums) and fit.met and np.abs(sums / n.sum() - weights).max() < 1e-3
+    # least squares without a residual have many solutions: both reach the same domain tokens, by moves along the memberships
+    plain, plain_sums = projected_gradient(n, p, weights)
+    assert np.allclose(sums / n.sum(), plain_sums / n.sum(), atol=2e-3)
+    assert np.corrcoef(got, plain)[0, 1] > 0.9
+
+
+def test_unmet_targets_are_told(spark):
+    members = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.8, 0.2])], "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="not met"):
+        fit = soft_mixing.fit_rates(members, [0.1, 0.9])
+    assert not fit.met
+    x = np.ones(2)
+    n, p = np.array([10.0, 20.0]), np.array([[0.9, 0.1], [0.8, 0.2]])
+    best = min(((((n * np.array([a, b])) @ p - np.array([3.0, 27.0])) ** 2 / (n[:, None] * p * p).sum(0)).sum()) for a in np.linspace(0, 6, 301) for b in np.linspace(0, 6, 301))
+    got = (((np.array(fit.sums) - np.array([3.0, 27.0])) ** 2) / (n[:, None] * p * p).sum(0)).sum()
+    assert got >= best - 1e-6 and x.all()
+
+
+def test_posteriors_match_a_count(spark):
+    """The two decisions of the classifier, by hand, on all rows of the labelled table."""
+    docs, labels = labelled(spark)
+    model = soft_mixing.train(docs, labels)
+    rows = {x.doc_id: x for x in soft_mixing.memberships(docs, model).collect()}
+    own = {x.doc_id: (x.quality, x.toxic) for x in labels.collect() if x.quality is not None}
+    names = {i: "toxic" if t == 1 else "low" if q == 0 else "clean" for i, (q, t) in own.items()}
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    names = {i: d for i, d in names.items() if i in texts}
+    words = {i: set(words_of((t or "").lower())) for i, t in texts.items()}
+    size = Counter(names[x.doc_id] for x in docs.collect() if x.doc_id in names)  # repeated rows count each
+    held = lambda w, d: sum(w in words[x.doc_id] for x in docs_rows if names.get(x.doc_id) == d)
+    docs_rows = docs.collect()
+    d1 = sum(len(words[x.doc_id]) for x in docs_rows if names.get(x.doc_id) == "toxic") + 1
+    d0 = sum(len(words[x.doc_id]) for x in docs_rows if names.get(x.doc_id) in ("clean", "low")) + 1
+
+    def marks(w, d, rest):
+        n1, n = held(w, d), held(w, d) + sum(held(w, x) for x in rest)
+        lift = n1 * (size[d] + sum(size[x] for x in rest)) / (n * size[d]) if n else 0
+        return n >= 5 and lift > 3 and n1 * math.log(lift) > 12
+
+    toxic = {w for w in set().union(*words.values()) if marks(w, "toxic", ("clean", "low"))}
+    assert toxic == {"idiot", "moron", "clown"}
+    a = {w: ((held(w, "toxic") + 0.5) / d1, (held(w, "clean") + held(w, "low") + 0.5) / d0) for w in toxic}
+    for i in (1, 12, 40, 200, 901):
+        odds = math.log((size["toxic"] + 1) / (size["clean"] + size["low"] + 1)) - len(words[i]) * sum(x - y for x, y in a.values()) + sum(math.log(a[w][0] / a[w][1]) for w in toxic & words[i])
+        assert math.isclose(rows[i].posterior[2], 1 / (1 + math.exp(-odds)), rel_tol=1e-9)
+    assert model.weights and all(rows[i].posterior[1] > 0.5 for i in texts if i < 240 and i % 4 == 0)
 
 
 # op 8
