@@ -6,19 +6,23 @@ key. Spark range-partitions and sorts the keys, which gives every vector a rank
 query is compared with all vectors whose rank on some curve lies within its window; the windows'
 best are merged and ranked by the exact cosine.
 
-The window is a share of the rows. Vectors without structure (here: isotropic in 64 dimensions, a
-neighbour at cosine 0.4) are hardly nearer on a curve than others, so a window of a fixed number
-of rows would lose recall as rows are added; with clustered vectors a far smaller share does.
-Ranks are cut into blocks of ``BLOCK`` vectors and a query visits the blocks of its window, so a
-task holds one block and the queries that visit it, whatever the number of rows.
+The window is ``WINDOW`` ranks and a share of the rows (``SHARE``). Vectors without structure (here:
+isotropic in 64 dimensions, a neighbour at cosine 0.4) are hardly nearer on a curve than others,
+so a window of a fixed number of rows would lose recall as rows are added; with clustered vectors
+a far smaller share does. Ranks are cut into blocks of ``BLOCK`` vectors. A query goes once to
+each block that its window meets and is compared there with the vectors inside the window, so a
+task holds one block and some queries, whatever the number of rows.
 
 Equal vectors are one class: it is searched once and stands for its members with the smallest
 ids, so a vector that makes up a third of all rows is one point on every curve.
 
-Edge cases: vectors that are null, empty, zero, of another length than the longest, or that hold
-a null or a non-finite component take no part; null ids take no part; repeated rows count once;
-fewer candidates than asked for give fewer rows; an empty table gives none. Columns other than the
-id and the vector are not read.
+Vectors keep single precision where the column has it, else they are doubles; all products are
+taken in double precision.
+
+Edge cases: vectors that are null, empty, zero, of another length than most (of equally frequent
+ones the longest), or that hold a null or a non-finite component take no part; null ids take no
+part; repeated rows count once; fewer candidates than asked for give fewer rows; an empty table
+gives none. Columns other than the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -32,13 +36,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import materialize
 
 CURVES = 24
 DIMS, BITS = 8, 7
-SHARE = 0.04
-BLOCK = 512
+WINDOW = 24  # ranks of a window, besides its share of the rows
+SHARE = 0.025
+BLOCK = 8192
 NEIGHBOURS = 5
 
 
@@ -98,7 +104,8 @@ def _matrix(column) -> np.ndarray:
 def _valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    held = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>").alias("v"), fine.alias("ok"))
+    single = isinstance(rows.schema[vector_col].dataType.elementType, FloatType)
+    held = rows.select(F.col(id_col).cast("long").alias("vec_id"), (v if single else v.cast("array<double>")).alias("v"), fine.alias("ok"))
     return held.where("vec_id is not null and ok").select("vec_id", "v")
 
 
@@ -126,34 +133,52 @@ def _ranks(keys: DataFrame) -> DataFrame:
     return placed.join(before, ["curve", "part"]).select("curve", "c1", "c2", (F.col("first") + F.col("at")).alias("rank"))
 
 
-def _best_of_block(k: int):
+def _best_of_block(k: int, half: int):
+    """The k nearest of each query among a block's vectors within ``half`` ranks; of equal scores those with the smaller ids."""
+    columns = ("q1", "q2", "c1", "c2", "first_id", "score")
+
     def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: np.zeros(0, float if c == "score" else np.int64) for c in columns})]
         if not len(asked) or not len(held):
-            return pd.DataFrame({c: [] for c in ("q1", "q2", "c1", "c2", "first_id", "score")})
-        q, c = (np.stack(x.to_numpy()).astype(np.float64) for x in (asked.qv, held.v))
-        scores = (q @ c.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1)))
-        own = (asked.q1.to_numpy()[:, None] == held.c1.to_numpy()) & (asked.q2.to_numpy()[:, None] == held.c2.to_numpy())
-        scores[own] = -np.inf
-        # by falling score, ties by the smaller id
-        order = np.argsort(held.first_id.to_numpy(), kind="stable")
-        taken = order[np.argsort(-scores[:, order], 1, kind="stable")[:, :k]]
-        row = np.repeat(np.arange(len(q)), taken.shape[1])
-        at = taken.reshape(-1)
-        out = pd.DataFrame({"q1": asked.q1.to_numpy()[row], "q2": asked.q2.to_numpy()[row], "c1": held.c1.to_numpy()[at], "c2": held.c2.to_numpy()[at], "first_id": held.first_id.to_numpy()[at], "score": scores[row, at]})
-        return out[np.isfinite(out.score)]
+            return out[0]
+        held, asked = held.sort_values("rank").reset_index(drop=True), asked.sort_values("q_rank").reset_index(drop=True)
+        c, place, ids = np.stack(held.v.to_numpy()).astype(np.float64), held["rank"].to_numpy(), held.first_id.to_numpy()
+        c1, c2, size = held.c1.to_numpy(), held.c2.to_numpy(), np.sqrt((c * c).sum(1))
+        ranks, at = asked.q_rank.to_numpy(), 0
+        while at < len(asked):
+            # queries whose windows nearly coincide
+            to = min(at + 64, int(np.searchsorted(ranks, ranks[at] + max(half // 2, 1), side="right")))
+            lo, hi = np.searchsorted(place, ranks[at] - half), np.searchsorted(place, ranks[to - 1] + half, side="right")
+            part, at = asked.iloc[at:to], to
+            if lo == hi:
+                continue
+            q, mine = np.stack(part.qv.to_numpy()).astype(np.float64), part.q_rank.to_numpy()
+            scores = (q @ c[lo:hi].T) / (np.sqrt((q * q).sum(1))[:, None] * size[lo:hi])
+            q1, q2 = part.q1.to_numpy(), part.q2.to_numpy()
+            scores[(np.abs(mine[:, None] - place[lo:hi]) > half) | ((q1[:, None] == c1[lo:hi]) & (q2[:, None] == c2[lo:hi]))] = -np.inf
+            least = np.partition(scores, -k, 1)[:, -k] if hi - lo > k else np.full(len(q), -np.inf)
+            row, j = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            score, j = scores[row, j], j + lo
+            order = np.lexsort((ids[j], -score, row))
+            row, j, score = row[order], j[order], score[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, j = row[first], j[first]
+            out.append(pd.DataFrame(dict(zip(columns, (q1[row], q2[row], c1[j], c2[j], ids[j], score[first])))))
+        return pd.concat(out)
 
     return best
 
 
-def neighbours(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, curves: int = CURVES, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+def neighbours(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, curves: int = CURVES, share: float = SHARE, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by cosine, among all other rows.
 
     ``is_query`` is a condition on ``vec_id``.
     """
     held = _valid(rows, id_col, vector_col)
-    lengths = held.agg(F.max(F.size("v")).alias("n")).first().n
-    if lengths is None:
+    usual = held.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    if usual is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = usual.n
     held = held.where(F.size("v") == lengths).distinct().withColumns({"c1": F.xxhash64("v"), "c2": F.xxhash64(F.lit(1), "v")})
     held = materialize(held, "ann-vectors")
     # the k + 1 smallest ids of each class: a query leaves itself out
@@ -174,15 +199,14 @@ def neighbours(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector
             yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(keys.reshape(-1)), *(pa.array(np.repeat(batch.column(i).to_numpy(), keys.shape[1])) for i in (1, 2))], ["curve", "key", "c1", "c2"])
 
     ranks = _ranks(reps.select("v", "c1", "c2").mapInArrow(keyed, "curve int, key long, c1 long, c2 long"))
-    reach = math.ceil(share * reps.count() / 2 / block)
+    half = math.ceil((window + share * reps.count()) / 2)
     asked = held.where(is_query)
-    blocks = ranks.withColumn("block", F.floor(F.col("rank") / block))
-    candidates = blocks.join(reps, ["c1", "c2"]).select("curve", "block", "c1", "c2", "first_id", "v")
-    visits = blocks.join(asked.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi").join(reps.select("c1", "c2", "v"), ["c1", "c2"])
-    visits = visits.withColumn("block", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)))
-    visits = visits.select(F.col("curve").alias("q_curve"), F.col("block").alias("q_block"), F.col("c1").alias("q1"), F.col("c2").alias("q2"), F.col("v").alias("qv"))
+    candidates = ranks.join(reps, ["c1", "c2"]).select("curve", F.expr(f"`rank` div {block}").alias("block"), "rank", "c1", "c2", "first_id", "v")
+    visits = ranks.join(asked.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi").join(reps.select("c1", "c2", "v"), ["c1", "c2"])
+    visits = visits.withColumn("block", F.explode(F.sequence(F.expr(f"greatest(`rank` - {half}, 0) div {block}"), F.expr(f"(`rank` + {half}) div {block}"))))
+    visits = visits.select(F.col("curve").alias("q_curve"), F.col("block").alias("q_block"), F.col("rank").alias("q_rank"), F.col("c1").alias("q1"), F.col("c2").alias("q2"), F.col("v").alias("qv"))
     best = visits.groupBy("q_curve", "q_block").cogroup(candidates.groupBy("curve", "block"))
-    best = best.applyInPandas(_best_of_block(k), "q1 long, q2 long, c1 long, c2 long, first_id long, score double")
+    best = best.applyInPandas(_best_of_block(k, half), "q1 long, q2 long, c1 long, c2 long, first_id long, score double")
     # one pair met on several curves has one score up to rounding
     best = best.groupBy("q1", "q2", "c1", "c2", "first_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "first_id")
