@@ -241,6 +241,24 @@ def test_neighbours(spark):
     assert hilbert_ann.neighbours(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_as_shipped(spark):
+    """Recall at the shipped settings, on doubles that single precision would change, with a stray length and scaled copies."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(2000, 64))
+    v[7], v[8] = v[50] * 2, v[50] * 0.5
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5000, [1.0] * 70), (5050, [1e300] * 64)]
+    got = hilbert_ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    norms, hit = np.sqrt((v * v).sum(1)), 0
+    for q in range(0, 2000, 50):
+        s = v @ v[q] / (norms * norms[q])
+        s[q] = -9
+        own = sorted((x.rank, x.vec_id, x.score) for x in got if x.query_id == q)
+        assert len(own) == 5 and all(abs(s[i] - x) < 1e-12 for _, i, x in own if i < 2000)
+        hit += len({i for _, i, _ in own} & set(np.argsort(-s)[:5]))
+    assert hit / 200 >= 0.88
+    assert [x.vec_id for x in sorted((x for x in got if x.query_id == 50), key=lambda x: x.rank)][:2] == [7, 8]
+
+
 # op 5
 
 
@@ -313,6 +331,106 @@ def test_co_training(spark):
     assert co_training.classify(docs.limit(0), labels).count() == 0
 
 
+def co_training_model(docs, labels, rounds, passes):
+    """p_content, p_page and p_quality of each row, densely and one document at a time."""
+    W, S, P = co_training.WORD_SLOTS, co_training.SHAPE_SLOTS, co_training.PAGE_SLOTS
+    crc = lambda x: zlib.crc32(x.encode())
+
+    def shape(w):
+        kind = lambda c: "A" if re.match("[A-ZÀ-ÖØ-Þ]", c) else "a" if re.match("[a-zß-öø-ÿ]", c) else "0" if c in "0123456789" else c
+        out = ""
+        for c in map(kind, w):
+            out += "" if out and out[-1] == c else c
+        return out
+
+    def content(t):
+        x, w = np.zeros(W + S + 1), words_of(t)
+        for k in w:
+            x[crc(ascii_lower(k)) % W] += 1
+            x[W + crc(shape(k)) % S] += 1
+        x[-1] = sum(a == b for a, b in zip(w, w[1:]))
+        return x / max(len(w), 1)
+
+    def page(r):
+        x, raw = np.zeros(P), (r.text or "").encode()
+        lines, size = raw.count(b"\n") + 1, len(raw) if r.n_chars is None else max(r.n_chars, 0)
+        for name in (f"l:{r.lang}", f"s:{r.source}", f"n:{int(np.log2(size + 1))}", f"k:{int(np.log2(lines))}", f"w:{int(np.log2(size / lines + 1))}"):
+            x[crc(name) % P] += 1
+        return x
+
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    X = [np.array([content(r.text) for r in docs]), np.array([page(r) for r in docs])]
+    ids = sorted({r.doc_id for r in docs if r.doc_id in labels})
+    first = [next(i for i, r in enumerate(docs) if r.doc_id == d) for d in ids]
+    y = np.array([labels[d] for d in ids])
+    free = np.array([r.doc_id not in labels for r in docs])
+    order = [i for c in (0, 1) for i in range(len(y)) if y[i] == c]
+    held = order[::3]
+    own = [i for i in range(len(y)) if i not in held]
+    L = [x[first] for x in X]
+    state = [[np.zeros(x.shape[1]), 0.0, np.full(x.shape[1], 1e-8), 1e-8] for x in X]
+
+    def labelled_gradient(m, x, t):
+        w = np.where(t == 1, 0.5 / (t == 1).sum(), 0.5 / (t == 0).sum())
+        off = w * (sig(x @ m[0] + m[1]) - t)
+        return x.T @ off, off.sum()
+
+    def step(m, g, gb):
+        g = g + 1e-4 * m[0]
+        m[2], m[3] = m[2] + g * g, m[3] + gb * gb
+        m[0], m[1] = m[0] - g / np.sqrt(m[2]), m[1] - 0.3 * gb / np.sqrt(m[3])
+
+    for m, x in zip(state, L):
+        for _ in range(80):
+            step(m, *labelled_gradient(m, x[own], y[own]))
+    calibrate = lambda: [co_training.platt(x[held] @ m[0] + m[1], y[held]) for m, x in zip(state, L)]
+    for _ in range(rounds):
+        p = [sig(a * (x @ m[0] + m[1]) + b) for (a, b), m, x in zip(calibrate(), state, X)]
+        for _ in range(passes):
+            moves = []
+            for v in (0, 1):
+                m, other = state[v], p[1 - v]
+                g, gb = labelled_gradient(m, L[v][own], y[own])
+                taught = [np.flatnonzero(free & (other <= 0.05)), np.flatnonzero(free & (other >= 0.95))]
+                if all(len(t) for t in taught):
+                    both = [(X[v][t].T @ (sig(X[v][t] @ m[0] + m[1]) - c) / len(t), (sig(X[v][t] @ m[0] + m[1]) - c).mean()) for c, t in enumerate(taught)]
+                    g, gb = (g + (both[0][0] + both[1][0]) / 2) / 2, (gb + (both[0][1] + both[1][1]) / 2) / 2
+                moves.append((g, gb))
+            for m, move in zip(state, moves):
+                step(m, *move)
+    prior = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    z = [a * (x @ m[0] + m[1]) + b for (a, b), m, x in zip(calibrate(), state, X)]
+    return sig(z[0]), sig(z[1]), sig(z[0] + z[1] - prior), sum(map(len, taught)) if rounds else 0
+
+
+def test_co_training_matches_a_dense_model(spark):
+    """Labels that follow both views with noise, few of them, and many unlabelled documents of which both views are sure."""
+    r = random.Random(12)
+    rows, labels = [], {}
+    for i in range(300):
+        good = r.random() < 0.6
+        bank = ["river", "Walks", "green", "the", "of", "a1"] if good == (r.random() < 0.98) else ["BUY!!", "now%%", "the", "of", "zz"]
+        text = " ".join(r.choice(bank) for _ in range(r.randrange(3, 40))) + ("\nnow now now" if not good else "")
+        rows.append((i, text, "en", "blog" if good == (r.random() < 0.98) else "spam", len(text), 1, "x"))
+        if i < 60:
+            labels[i] = int(good)
+    rows += [(400, None, None, None, None, 1, "x"), (401, "  ", "en", "blog", -5, 1, "x"), rows[5], rows[250]]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    table = spark.createDataFrame([*labels.items(), (7, None), (9999, 1)], "doc_id long, quality int")
+    features = co_training.featured(docs, co_training._sampled(docs, table, "doc_id", 3000), columns=("doc_id", "n_lines"))
+    model = co_training.train(features)
+    got = {x.doc_id: (x.p_content, x.p_page, x.p_quality) for x in co_training.score_features(features, model, ("doc_id", "n_lines")).collect()}
+    collected = docs.collect()
+    *want, taught = co_training_model(collected, labels, co_training.ROUNDS, co_training.PASSES)
+    assert taught > 20
+    for i, x in enumerate(collected):
+        assert np.allclose(got[x.doc_id], [c[i] for c in want], atol=1e-6), x
+    again = {x.doc_id: (x.p_content, x.p_page, x.p_quality) for x in co_training.score(docs.withColumnRenamed("n_lines", "p_page"), model).collect()}
+    assert all(np.allclose(again[k], got[k], atol=1e-9) for k in got)
+    before = co_training_model(collected, labels, 0, 0)
+    assert not np.allclose(before[1], want[1], atol=1e-3)
+
+
 # op 7
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +16,7 @@ from tidewatch.plans.tables import materialize, scratch_dir  # noqa: F401
 #: ``bytes.split``, ``bytes.strip`` and ``bytes.lower`` follow the same ASCII rules.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
+BYTES = 16 << 20  # of texts that a task works on at a time, or those of one text
 
 
 def text_bytes(text: str | Column = "text") -> Column:
@@ -22,3 +28,13 @@ def text_bytes(text: str | Column = "text") -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``."""
     return F.transform(F.array(value), body)[0]
+
+
+def slices(texts: pa.Array, size: int = BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about ``size`` bytes, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield at, to
+        at = to

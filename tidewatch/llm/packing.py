@@ -26,13 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import BYTES, slices, text_bytes  # noqa: F401
 
 CAPACITY = 2048
 CUT_SIZES = (1024, 512, 256)
 END_ID = 1
 CACHE_WORDS = 1_000_000  # distinct words that a Python worker keeps encoded, across its tasks
-BYTES = 16 << 20  # of texts that are encoded at a time, or those of one text
 ROWS = 20_000  # pieces in an output batch
 #: Sequence ids are the task's number times this, plus the task's own count.
 TASK_STRIDE = 1 << 33
@@ -185,16 +184,6 @@ def encoder_of(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def slices(texts: pa.Array, size: int = BYTES) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of texts of about ``size`` bytes, one text at least."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(ends):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
-        yield at, to
-        at = to
-
-
 def cuts(n: int, capacity: int, cut_sizes: tuple[int, ...]) -> list[int]:
     """Lengths of the pieces of a document of n tokens, in order."""
     out = [capacity] * (n // capacity)

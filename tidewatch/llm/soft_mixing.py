@@ -246,7 +246,7 @@ def fit_rates(members: DataFrame, weights: list[float], steps: int = STEPS, tole
         change = float(((sums_ahead - sums) ** 2 / scale)[used].sum())
         taken, since, sums = [*taken, move], [*since, move], sums_ahead
         losses.append(loss(sums))
-        if off(sums) < off(best_sums):
+        if losses[-1] < loss(best_sums):
             best, best_sums = taken, sums
         if change <= 0:
             break  # no rate moves any more
