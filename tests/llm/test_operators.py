@@ -186,25 +186,38 @@ def state(index):
     shared = {(r.k1, r.k2) for r in index.counts.where("n_docs >= 3").collect()}
     filters = {r.shard: line_dedup.CuckooFilter.load(r.blob) for r in index.filters.collect()}
     for k1, k2 in shared:
-        assert filters[k1 % line_dedup.SHARDS].contains(np.array([k2]).view(np.uint64)).all()
+        assert filters[k1 % index.shards].contains(np.array([k2]).view(np.uint64)).all()
     return refs, counts, sorted((r.shard, r.n_keys) for r in index.filters.collect())
 
 
 def test_line_index_is_reversible(docs):
     first, rest = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
-    start = line_dedup.LineIndex.build(first)
+    start = line_dedup.LineIndex.build(first, shard_keys=1)
     both = start.insert(rest)
-    assert state(both) == state(line_dedup.LineIndex.build(docs))
-    assert state(both.delete(rest.select("doc_id"))) == state(start)
+    whole = line_dedup.LineIndex.build(docs, shard_keys=1)
+    assert start.shards > 1 and state(both)[:2] == state(whole)[:2]
+    again = both.delete(rest.select("doc_id"))
+    assert state(again) == state(start) == state(again.compact())
+    assert cleaned(both, docs) == cleaned(whole, docs)
+    # the largest ids go, so other documents keep the lines
+    late = both.delete(docs.where("doc_id >= 40").select("doc_id"))
+    assert cleaned(late, docs.where("doc_id < 40")) == line_model([(r.doc_id, r.text) for r in docs.where("doc_id < 40").collect()])
 
 
 def test_cuckoo_filter():
     r = np.random.default_rng(0)
-    keys = np.unique(r.integers(0, 1 << 63, 5000, np.uint64))
+    keys = np.unique(r.integers(0, 1 << 63, 50_000, np.uint64))
     made = line_dedup.CuckooFilter.build(keys)
     assert made.contains(keys).all() and made.contains(r.integers(0, 1 << 63, 20000, np.uint64)).mean() < 0.01
+    assert (made.table != 0).sum() == len(keys) and made.table.size < 4 * len(keys)
+    more = r.integers(0, 1 << 63, 50, np.uint64)
+    assert made.insert(more) and made.contains(keys).all() and made.contains(more).all() and made.delete(more)
     again = line_dedup.CuckooFilter.load(made.dump())
-    assert all(again.delete(k) for k in keys) and not again.table.any()
+    assert again.delete(keys[:2000]) and again.contains(keys[2000:]).all()
+    assert again.delete(keys[2000:]) and not again.table.any() and not again.delete(keys[:1])
+    assert not line_dedup.CuckooFilter(4).insert(keys[:64])
+    same = np.full(6, keys[0])
+    assert line_dedup.CuckooFilter(64).insert(same)
 
 
 # op 4

@@ -3,24 +3,27 @@
 An index holds three tables in the shared folder:
 
 * ``refs``    (k1, k2, doc_id): one row for each document that holds a line key,
-* ``counts``  (k1, k2, shard, n_docs, keep_doc): exact reference counts,
+* ``counts``  (k1, k2, n_docs, keep_doc): exact reference counts,
 * ``filters`` (shard, n_keys, blob): a cuckoo filter for each shard, over the keys found in at
   least ``min_docs`` documents.
 
 To clean documents, their keys are routed to their shard's filter, which drops nearly all keys
 that no other text shares; only what it lets through is joined with the exact counts, so a false
-positive costs a row and never a line. New documents raise counts and deleted ones lower them:
-both touch only the keys they hold, and a key that crosses ``min_docs`` enters or leaves its
-shard's filter, so ``delete`` after ``insert`` restores the tables.
+positive costs a row and never a line. New documents raise counts and deleted ones lower them. A
+key that crosses ``min_docs`` enters or leaves its shard's filter, so ``delete`` after ``insert``
+restores the tables. Such a change writes only rows of the keys and shards that it touches; the
+tables read older rows beside them, and ``compact`` writes them anew.
 
-Scale: counts are combined before the shuffle, so a line in a third of all documents is one row a
-task. Probing deals a shard's rows over as many groups as it has ``GROUP_ROWS``, and only such
-heavy shards' filters are copied. Keys are 128-bit hashes of the normalized line.
+Scale: there is a shard for each ``SHARD_KEYS`` shared keys; when an index outgrows its shards
+fourfold its filters are built anew. Counts are combined before the shuffle, so a line in a third
+of all documents is one row a task. Probing deals a shard's rows over as many groups as it has
+``GROUP_ROWS``, each with a copy of the shard's filter, so a hot line's rows spread. Keys are
+128-bit hashes of the normalized line.
 
 Edge cases: a null or empty text is one empty line; rows with a null id hold no references and
 keep all lines; repeated rows of one id count as one document and each is cleaned; a line as
 often as it occurs in its keeping document stays as often; empty tables give empty tables.
-Columns besides id and text are carried through.
+Columns besides id and text are carried through, but for those named like the outputs.
 """
 
 from __future__ import annotations
@@ -39,18 +42,21 @@ from .common import materialize, text_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-SHARDS = 256
-GROUP_ROWS = 1 << 20  # rows that one probing group holds at most, on average
+SHARD_KEYS = 1 << 16  # keys that one filter holds, on average, when it is built
+GROUP_ROWS = 1 << 14  # rows that one probing group holds at most, on average
+LOST, LOST_ID = "__line_lost", "__line_lost_id"
 
 
 class CuckooFilter:
     """Buckets of four 16-bit fingerprints over 64-bit hashes; supports deletion.
 
-    Lookups are vectorized. When an insertion finds no room the table doubles and refills from
-    the exact keys, so membership never has a false negative.
+    Lookups, insertions and the moves that insertions cause are vectorized. When an insertion
+    finds no room the table doubles and refills from the exact keys, so membership never has a
+    false negative.
     """
 
     SLOTS = 4
+    ROUNDS = 500
 
     def __init__(self, n_keys: int):
         self.bits = max(2, int(np.ceil(np.log2(max(1, n_keys) / (self.SLOTS * 0.85)))))
@@ -61,7 +67,7 @@ class CuckooFilter:
         size = len(keys)
         while True:
             made = cls(size)
-            if all(made.insert(h) for h in keys):
+            if made.insert(keys):
                 return made
             size = max(2 * size, 8)
 
@@ -80,28 +86,48 @@ class CuckooFilter:
         mark, a, b = self._places(hashes)
         return (self.table[a] == mark[:, None]).any(1) | (self.table[b] == mark[:, None]).any(1)
 
-    def insert(self, key) -> bool:
-        mark, a, b = (x[0] for x in self._places(np.array([key], np.uint64)))
-        place, mask = int(a), np.uint64((1 << self.bits) - 1)
-        for turn in range(500):
-            for p in (place, int(b)) if turn == 0 else (place,):
-                free = np.flatnonzero(self.table[p] == 0)
-                if len(free):
-                    self.table[p, free[0]] = mark
-                    return True
-            slot = (turn * 7 + place) % self.SLOTS
-            mark, self.table[place, slot] = self.table[place, slot], mark
-            place = int(self._other(np.uint64(place), np.uint16(mark), mask))
-        return False
-
-    def delete(self, key) -> bool:
-        mark, a, b = (x[0] for x in self._places(np.array([key], np.uint64)))
-        for p in (a, b):
-            held = np.flatnonzero(self.table[p] == mark)
-            if len(held):
-                self.table[p, held[0]] = 0
+    def insert(self, keys) -> bool:
+        """Add keys; false if some find no room, and then the table is not to be used."""
+        mark, place, other = self._places(np.atleast_1d(np.asarray(keys, np.uint64)))
+        mask = np.uint64((1 << self.bits) - 1)
+        for turn in range(self.ROUNDS):
+            if not len(mark):
                 return True
-        return False
+            # marks of one bucket take its free slots in turn
+            order = np.argsort(place, kind="stable")
+            mark, place, other = mark[order], place[order], other[order]
+            nth = np.arange(len(place)) - np.searchsorted(place, place)
+            free = self.table[place] == 0
+            fits = nth < free.sum(1)
+            slot = np.argmax(np.cumsum(free[fits], 1) > nth[fits, None], 1)
+            self.table[place[fits], slot] = mark[fits]
+            mark, place, other, nth = mark[~fits], place[~fits], other[~fits], nth[~fits]
+            if turn == 0:
+                place, other = other, place
+                continue
+            # one mark of each full bucket changes places with one that waits for it
+            first = np.unique(place, return_index=True)[1]
+            at, slot = place[first], (turn * 7 + place[first]) % self.SLOTS
+            out = self.table[at, slot]
+            self.table[at, slot] = mark[first]
+            mark = mark.copy()
+            mark[first] = out
+            place = place.copy()
+            place[first] = self._other(at.astype(np.uint64), out, mask)
+        return not len(mark)
+
+    def delete(self, keys) -> bool:
+        """Remove keys that are held, once each; false if one is not found."""
+        found = True
+        for mark, a, b in zip(*self._places(np.atleast_1d(np.asarray(keys, np.uint64)))):
+            for p in (a, b):
+                held = np.flatnonzero(self.table[p] == mark)
+                if len(held):
+                    self.table[p, held[0]] = 0
+                    break
+            else:
+                found = False
+        return found
 
     def dump(self) -> bytes:
         return bytes([self.bits]) + self.table.tobytes()
@@ -139,21 +165,20 @@ def _line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
     return held.mapInArrow(task, "k1 long, k2 long, doc_id long")
 
 
-def _shard():
-    return F.pmod(F.col("k1"), F.lit(SHARDS)).cast("int")
+def _shard(shards: int):
+    return F.pmod(F.col("k1"), F.lit(shards)).cast("int")
 
 
 def _counted(refs: DataFrame) -> DataFrame:
-    return refs.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc")).withColumn("shard", _shard())
+    return refs.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc"))
 
 
-def _filters(counts: DataFrame, min_docs: int) -> DataFrame:
+def _filters(shared: DataFrame, shards: int) -> DataFrame:
     def build(group: pd.DataFrame) -> pd.DataFrame:
         made = CuckooFilter.build(group.k2.to_numpy().view(np.uint64))
         return pd.DataFrame({"shard": [group.shard.iloc[0]], "n_keys": [len(group)], "blob": [made.dump()]})
 
-    shared = counts.where(F.col("n_docs") >= min_docs).select("shard", "k2")
-    return shared.groupBy("shard").applyInPandas(build, "shard int, n_keys long, blob binary")
+    return shared.select(_shard(shards).alias("shard"), "k2").groupBy("shard").applyInPandas(build, "shard int, n_keys long, blob binary")
 
 
 @dataclass
@@ -161,23 +186,29 @@ class LineIndex:
     refs: DataFrame
     counts: DataFrame
     filters: DataFrame
+    shards: int
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> LineIndex:
         # distinct, for repeated rows of one id are one document
         refs = materialize(_line_keys(docs, id_col, text_col, min_chars).distinct(), "line-refs")
         counts = materialize(_counted(refs), "line-counts")
-        return cls(refs, counts, materialize(_filters(counts, min_docs), "line-filters"), min_chars, min_docs)
+        shared = counts.where(F.col("n_docs") >= min_docs)
+        shards = shared.count() // shard_keys + 1
+        return cls(refs, counts, materialize(_filters(shared, shards), "line-filters"), shards, min_chars, min_docs)
+
+    def compact(self) -> LineIndex:
+        """The same index with each table in one piece."""
+        parts = (materialize(x, f"line-{name}") for x, name in ((self.refs, "refs"), (self.counts, "counts"), (self.filters, "filters")))
+        return LineIndex(*parts, self.shards, self.min_chars, self.min_docs)
 
     def probe(self, keys: DataFrame) -> DataFrame:
         """The rows of ``keys`` (k1, k2, doc_id) that their shard's filter lets through."""
-        keys = keys.withColumn("shard", _shard())
-        load = self.counts.groupBy("shard").agg(F.sum("n_docs").alias("n"))
+        keys = keys.withColumn("shard", _shard(self.shards))
+        load = self.counts.groupBy(_shard(self.shards).alias("shard")).agg(F.sum("n_docs").alias("n"))
         load = load.select("shard", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("groups"))
-        # one row a shard: SHARDS rows at most
-        load = F.broadcast(load)
         dealt = keys.join(load, "shard", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("groups", F.lit(1))).cast("int"))
         copies = self.filters.join(load, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
 
@@ -198,63 +229,73 @@ class LineIndex:
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The index with new documents. Their ids must be new."""
-        return self._changed(materialize(_line_keys(docs, id_col, text_col, self.min_chars).distinct(), "line-new"), 1)
+        delta = materialize(_line_keys(docs, id_col, text_col, self.min_chars).distinct(), "line-new")
+        more = _counted(delta).withColumnsRenamed({"n_docs": "more", "keep_doc": "newest"})
+        was = self.counts.join(more, ["k1", "k2"], "right")
+        touched = was.select("k1", "k2", F.coalesce("n_docs", F.lit(0)).alias("before"), (F.coalesce("n_docs", F.lit(0)) + F.col("more")).alias("n_docs"), F.greatest("keep_doc", "newest").alias("keep_doc"))
+        return self._changed(self.refs.unionByName(delta), touched)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The index without the documents of ``doc_ids`` (column doc_id)."""
         gone = self.refs.join(doc_ids.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
-        return self._changed(materialize(gone.select("k1", "k2", "doc_id"), "line-gone"), -1)
-
-    def _changed(self, delta: DataFrame, sign: int) -> LineIndex:
-        keys = delta.select("k1", "k2").distinct()
-        if sign > 0:
-            refs = self.refs.unionByName(delta)
-        else:
-            refs = self.refs.join(delta, ["k1", "k2", "doc_id"], "left_anti").select("k1", "k2", "doc_id")
-        refs = materialize(refs, "line-refs")
-        touched = _counted(refs.join(keys, ["k1", "k2"], "left_semi"))
-        counts = materialize(self.counts.join(keys, ["k1", "k2"], "left_anti").unionByName(touched), "line-counts")
-        before = self.counts.join(keys, ["k1", "k2"], "left_semi").where(F.col("n_docs") >= self.min_docs).select("k1", "k2", "shard")
-        after = touched.where(F.col("n_docs") >= self.min_docs).select("k1", "k2", "shard")
-        change = before.join(after, ["k1", "k2", "shard"], "left_anti").withColumn("enters", F.lit(False))
-        change = change.unionByName(after.join(before, ["k1", "k2", "shard"], "left_anti").withColumn("enters", F.lit(True)))
+        gone = materialize(gone.select("k1", "k2", "doc_id"), "line-gone")
+        refs = self.refs.join(gone, ["k1", "k2", "doc_id"], "left_anti").select("k1", "k2", "doc_id")
+        less = gone.groupBy("k1", "k2").agg(F.count("*").alias("less"), F.max("doc_id").alias("lost_doc"))
+        was = self.counts.join(less, ["k1", "k2"])
+        # only keys that lose the document that keeps their line look for the next one
+        orphans = was.where(F.col("keep_doc") == F.col("lost_doc")).select("k1", "k2")
+        heirs = refs.join(orphans, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("doc_id").alias("heir"))
+        keep = F.when(F.col("keep_doc") == F.col("lost_doc"), F.col("heir")).otherwise(F.col("keep_doc"))
+        return self._changed(refs, was.join(heirs, ["k1", "k2"], "left").select("k1", "k2", F.col("n_docs").alias("before"), (F.col("n_docs") - F.col("less")).alias("n_docs"), keep.alias("keep_doc")))
+
+    def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
+        """``touched``: k1, k2, the count before, n_docs and keep_doc of the keys that change."""
+        touched = materialize(touched, "line-touched")
+        old = self.counts.join(touched.select("k1", "k2"), ["k1", "k2"], "left_anti")
+        counts = old.unionByName(touched.where("n_docs > 0").select("k1", "k2", "n_docs", "keep_doc"))
         shared = counts.where(F.col("n_docs") >= self.min_docs)
+        enters, leaves = (F.col("before") < self.min_docs) & (F.col("n_docs") >= self.min_docs), (F.col("before") >= self.min_docs) & (F.col("n_docs") < self.min_docs)
+        change = touched.where(enters | leaves).select(_shard(self.shards).alias("shard"), "k2", enters.alias("enters"))
         crossed = change.groupBy("shard").agg(F.count("*").alias("n_changes"))
-        full = shared.join(crossed, "shard", "left_semi").select("shard", "k2", F.lit(None).cast("boolean").alias("enters"))
+        n_keys = self.filters.agg(F.sum("n_keys")).first()[0] or 0
+        if n_keys + touched.where(enters).count() > 4 * self.shards * SHARD_KEYS:
+            shards = shared.count() // SHARD_KEYS + 1
+            return LineIndex(refs, counts, materialize(_filters(shared, shards), "line-filters"), shards, self.min_chars, self.min_docs)
+        full = shared.select(_shard(self.shards).alias("shard"), "k2", F.lit(None).cast("boolean").alias("enters")).join(crossed, "shard", "left_semi")
 
         def update(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             if not len(rows):
-                return held[["shard", "n_keys", "blob"]]
+                return held.iloc[:0][["shard", "n_keys", "blob"]]
             change, exact = rows[rows.enters.notna()], rows[rows.enters.isna()]
             if not len(exact):
                 return held.iloc[:0][["shard", "n_keys", "blob"]]
             table = CuckooFilter.load(held.blob.iloc[0]) if len(held) else CuckooFilter(len(exact))
             keys = change.k2.to_numpy().view(np.uint64)
             enters = change.enters.to_numpy(bool)
-            kept = all([table.delete(h) for h in keys[~enters]]) and all(table.insert(h) for h in keys[enters])
-            if not kept:  # full: refill from the exact keys
+            if not (table.delete(keys[~enters]) and table.insert(keys[enters])):  # full: refill from the exact keys
                 table = CuckooFilter.build(exact.k2.to_numpy().view(np.uint64))
             return pd.DataFrame({"shard": [rows.shard.iloc[0]], "n_keys": [len(exact)], "blob": [table.dump()]})
 
-        rows = change.select("shard", "k2", "enters").unionByName(full)
-        filters = rows.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(update, "shard int, n_keys long, blob binary")
-        return LineIndex(refs, counts, materialize(filters, "line-filters"), self.min_chars, self.min_docs)
+        rows = change.unionByName(full)
+        made = rows.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(update, "shard int, n_keys long, blob binary")
+        filters = self.filters.join(crossed, "shard", "left_anti").unionByName(materialize(made, "line-filters"))
+        return LineIndex(refs, counts, filters, self.shards, self.min_chars, self.min_docs)
 
     def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``docs`` with the text cut to its kept lines, and n_lines and n_dropped (long)."""
-        lost = self.dropped().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("_lost"))
-        lost = lost.withColumnRenamed("doc_id", "_lost_id")
-        joined = docs.drop("n_lines", "n_dropped").join(lost.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_lost_id"), "left").drop("_lost_id")
+        lost = self.dropped().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias(LOST))
+        lost = lost.withColumnRenamed("doc_id", LOST_ID)
+        joined = docs.drop("n_lines", "n_dropped").join(lost, F.col(id_col).cast("long") == F.col(LOST_ID), "left").drop(LOST_ID)
         return _cut(joined, text_col, self.min_chars)
 
 
 def _cut(joined: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """Rows without ``_lost`` keys keep their text as it is; the others lose those keys' lines."""
+    """Rows without lost keys keep their text as it is; the others lose those keys' lines."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            texts, losts = batch.column(names.index(text_col)).to_pylist(), batch.column(names.index("_lost"))
+            texts, losts = batch.column(names.index(text_col)).to_pylist(), batch.column(names.index(LOST))
             k1, k2 = (losts.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             lengths = losts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             pairs, at = np.column_stack([k1, k2]).astype("<i8").tobytes(), 0
@@ -267,12 +308,12 @@ def _cut(joined: DataFrame, text_col: str, min_chars: int) -> DataFrame:
                 kept.append(b"\n".join(stay).decode() if gone else text)
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
-            columns = [pa.array(kept, batch.schema.field(c).type) if c == text_col else batch.column(c) for c in names if c != "_lost"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [c for c in names if c != "_lost"] + ["n_lines", "n_dropped"])
+            columns = [pa.array(kept, batch.schema.field(c).type) if c == text_col else batch.column(c) for c in names if c != LOST]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [c for c in names if c != LOST] + ["n_lines", "n_dropped"])
 
     from pyspark.sql.types import LongType, StructField, StructType
 
-    out = StructType([f for f in joined.schema.fields if f.name != "_lost"] + [StructField(n, LongType()) for n in ("n_lines", "n_dropped")])
+    out = StructType([f for f in joined.schema.fields if f.name != LOST] + [StructField(n, LongType()) for n in ("n_lines", "n_dropped")])
     return joined.mapInArrow(task, out)
 
 
