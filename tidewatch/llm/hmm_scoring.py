@@ -17,6 +17,7 @@ Plan.
    a task holds one chunk. Chunks (word numbers, classes) and dictionaries are written once.
 2. Word counts are summed over dictionaries, which hold a word once a chunk: a word that makes up
    a third of all tokens is one row a chunk. The counts stay with the chunks' words.
+   Windows spill, and such a row is a few bytes; no document is in it.
 3. Each Baum-Welch iteration maps over the chunks, sums a task's expected counts locally, and
    adds the tasks' tables up in Spark by class; transitions and starts are a few numbers a task.
 4. In scoring each chunk meets the counts of its own words only.
@@ -28,6 +29,7 @@ every token has p0 = 1 / (V + 1) with V = 0 and the states' ratios are 1.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,7 +45,8 @@ from .common import materialize, text_bytes
 
 STATES = 6
 CLASSES = 1 << 15
-ITERATIONS = 3
+ITERATIONS = 6  # at most; fewer when the likelihood settles
+SETTLED = 0.01  # gain of a token's log-likelihood, in nats, at which iterations end
 PRIOR = 20.0  # pseudo-tokens of p0 in each state's emissions
 CHUNK_TOKENS = 4_000_000
 PART_TOKENS = 250_000  # tokens in a row of encoded documents, or those of one document
@@ -236,6 +239,7 @@ def baum_welch(chunks: DataFrame, p0: np.ndarray, unseen: float, states: int = S
     model = first_model(states)
     shared = chunks.sparkSession.sparkContext.broadcast
     rows = chunks.select("held", "lengths", "classes")
+    before = -math.inf
     for _ in range(iterations):
         sent = shared(model)
 
@@ -252,15 +256,15 @@ def baum_welch(chunks: DataFrame, p0: np.ndarray, unseen: float, states: int = S
                 sums = made if sums is None else [a + b for a, b in zip(sums, made)]
                 some = True
             if some:
-                starts, moves, emits, _ = sums
+                starts, moves, emits, log = sums
                 used = np.flatnonzero(emits.sum(1))
-                table = np.concatenate([starts[None], moves, emits[used]])
-                numbers = np.concatenate([-1 - np.arange(1 + len(moves)), used])
+                table = np.concatenate([starts[None], moves, np.full((1, len(starts)), log), emits[used]])
+                numbers = np.concatenate([-1 - np.arange(2 + len(moves)), used])
                 yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), *(pa.array(np.ascontiguousarray(table[:, j])) for j in range(table.shape[1]))], ["row", *(f"s{j}" for j in range(table.shape[1]))])
 
         columns = [f"s{j}" for j in range(states)]
         parts = rows.mapInArrow(task, "row int, " + ", ".join(f"{c} double" for c in columns))
-        # at most CLASSES + STATES + 2 rows whatever the input
+        # at most CLASSES + STATES + 3 rows whatever the input
         sums = parts.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
         sent.unpersist()
         if not len(sums):
@@ -273,11 +277,15 @@ def baum_welch(chunks: DataFrame, p0: np.ndarray, unseen: float, states: int = S
             moves[i] += table[at == -2 - i][0]
         emits = np.zeros((CLASSES + 1, states))
         emits[at[at >= 0]] = table[at >= 0]
+        log = float(table[at == -2 - states][0, 0] / max(emits.sum(), 1))  # a token's
         ratio = np.ones_like(emits)
         ratio[:-1] = (emits[:-1] / np.maximum(seen, 1e-300)[:, None] + PRIOR) / (emits.sum(0) + PRIOR)
         ratio[:-1] *= (1 - unseen) / (1 - p0[-1])
         ratio[-1] = unseen / p0[-1]
         model = Model(starts / starts.sum(), moves / moves.sum(1, keepdims=True), ratio)
+        if log - before < SETTLED:
+            break
+        before = log
     return model
 
 
