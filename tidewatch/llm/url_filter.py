@@ -24,16 +24,19 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-MAX_PREFIXES = 3  # path prefixes in OP2_SQL, whose entries have one path part at most
+
+KEYS = "__url_keys"  # a column of captures, under a name that no input has
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+?)\.?(?::[0-9]*)?(?:[/?#].*)?$"
+_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 
 def url_host(url: Column) -> Column:
-    """Lower-case host without user, port and trailing dot; empty if there is none."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?::[0-9]*)?(?:[/?#].*)?$", 1))
+    """Lower-case host without user, port and trailing dot, an IPv6 address with its brackets; empty if there is none."""
+    return F.lower(F.regexp_extract(url, _HOST, 1))
 
 
 def url_path(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(url, _PATH, 1)
 
 
 def list_depths(entries: DataFrame) -> list[int]:
@@ -45,7 +48,7 @@ def list_depths(entries: DataFrame) -> list[int]:
 def url_keys(url: Column, depths: list[int] | None = None) -> Column:
     """Keys of a URL: the host and its parent domains of two labels or more, and host + path prefixes (all, or of these depths)."""
     labels = F.split(url_host(url), "\\.")
-    domains = let(labels, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, F.size(x)), ".")))
+    domains = F.when(url_host(url).startswith("["), F.array(url_host(url))).otherwise(let(labels, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, F.size(x)), "."))))
     parts = F.filter(F.split(url_path(url), "/"), lambda p: p != "")
     none = F.array().cast("array<string>")
 
@@ -69,17 +72,17 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def listed(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetch_date") -> DataFrame:
     """``captures`` with is_listed, n_active (intervals met), first_key and categories, as of the fetch."""
-    captures = captures.drop("is_listed", "n_active", "first_key", "categories").withColumn("_keys", url_keys(F.col(url_col), list_depths(entries)))
-    asked = captures.select(F.explode("_keys").alias("key"), F.to_date(time_col).alias("day")).distinct()
+    captures = captures.drop("is_listed", "n_active", "first_key", "categories").withColumn(KEYS, url_keys(F.col(url_col), list_depths(entries)))
+    asked = captures.select(F.explode(KEYS).alias("key"), F.to_date(time_col).alias("day")).distinct()
     held = intervals(entries)
     active = asked.join(held, "key").where("since <= day and (until is null or day < until)")
     active = active.groupBy("key", "day").agg(F.collect_set("category").alias("cs"), F.count("*").alias("n"))
     # captures of one URL and day share one verdict
-    urls = captures.select("_keys", F.to_date(time_col).alias("day")).distinct()
-    met = urls.select("_keys", "day", F.explode("_keys").alias("key")).join(active, ["key", "day"])
-    verdict = met.groupBy("_keys", "day").agg(F.sum("n").alias("n_active"), F.min("key").alias("first_key"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cs")))).alias("categories"))
-    verdict = verdict.withColumnsRenamed({"_keys": "_k", "day": "_day"})
-    out = captures.join(verdict, (F.col("_keys") == F.col("_k")) & (F.to_date(time_col) == F.col("_day")), "left").drop("_keys", "_k", "_day")
+    urls = captures.select(KEYS, F.to_date(time_col).alias("day")).distinct()
+    met = urls.select(KEYS, "day", F.explode(KEYS).alias("key")).join(active, ["key", "day"])
+    verdict = met.groupBy(KEYS, "day").agg(F.sum("n").alias("n_active"), F.min("key").alias("first_key"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cs")))).alias("categories"))
+    verdict = verdict.withColumnsRenamed({KEYS: "__url_k", "day": "__url_day"})
+    out = captures.join(verdict, (F.col(KEYS) == F.col("__url_k")) & (F.to_date(time_col) == F.col("__url_day")), "left").drop(KEYS, "__url_k", "__url_day")
     return out.withColumn("n_active", F.coalesce("n_active", F.lit(0).cast("long"))).withColumn("is_listed", F.col("n_active") > 0).withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
 
 
@@ -114,9 +117,6 @@ def op2_url_filter(spark, sf_dir: str) -> DataFrame:
     return listed(page_captures(pages), page_entries(pages)).select("page_id", "url", "fetch_date", "is_listed", "n_active", "first_key", F.array_join("categories", ",").alias("categories"))
 
 
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?::[0-9]*)?(?:[/?#].*)?$"
-_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
-
 OP2_SQL = rf"""
 WITH u AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetch_date,
@@ -125,8 +125,8 @@ WITH u AS (
 s AS (SELECT *, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM u),
 k AS (
   SELECT page_id, fetch_date, unnest(list_distinct(list_concat(
-           list_transform(range(1, greatest(len(l) - 1, 1) + 1), lambda i: array_to_string(l[i:], '.')),
-           list_transform(range(1, least({MAX_PREFIXES}, len(p)) + 1), lambda i: host || '/' || array_to_string(p[1:i], '/'))))) AS key
+           CASE WHEN starts_with(host, '[') THEN [host] ELSE list_transform(range(1, greatest(len(l) - 1, 1) + 1), lambda i: array_to_string(l[i:], '.')) END,
+           list_transform(range(1, len(p) + 1), lambda i: host || '/' || array_to_string(p[1:i], '/'))))) AS key
   FROM s WHERE coalesce(host, '') <> ''),
 names AS (
   SELECT DISTINCT host AS key FROM u WHERE host <> ''
