@@ -48,7 +48,6 @@ LONG = 1024  # rows of the longer signature of members that are left over and th
 LONG_BATCH = 64
 HUB_ROUNDS = 2
 BLOCK = 1024  # members of a bucket in a block of the last comparison
-BROADCAST_IDS = 2_000_000  # 16 MB of ids at most
 #: Odd multipliers and offsets of the signature's hash functions, from a fixed seed.
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS + LONG, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -348,9 +347,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = materialize(bands.join(shared, "bucket", "left_semi").distinct(), "minhash-members")
     ids = materialize(members.select("id").distinct(), "minhash-ids")
-    n_ids = ids.count()
     signatures = materialize(classes.select("id", "signature").join(ids, "id", "left_semi"), "minhash-signatures")
-    sets = materialize(_shingle_sets(read.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, read.doc_id == ids.id, "left_semi"), shingle), "minhash-sets")
+    sets = materialize(_shingle_sets(read.join(ids, read.doc_id == ids.id, "left_semi"), shingle), "minhash-sets")
 
     threshold = percent / 100
     most = (1 - threshold) / threshold + 1e-9
@@ -376,7 +374,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, shingles): little-endian sorted hashes.."""
+    """(id, shingles): little-endian sorted hashes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
