@@ -2,8 +2,8 @@
 
 Two first-order models over printable ASCII are trained from labelled samples: strings that the
 fixed patterns mark as secrets (random) and the other tokens of the corpus (ordinary). Training
-is one scan. A token outside the pattern spans is a secret of kind ``markov`` when the ratio of its
-likelihoods under the two models, in natural log, exceeds ``MARGIN`` plus what the prior odds ask
+is one scan. A token of ``LEAST`` characters or more outside the pattern spans (of one that touches
+a span, what is left of it) is a secret of kind ``markov`` when the ratio of its likelihoods under the two models, in natural log, exceeds ``MARGIN`` plus what the prior odds ask
 for. The token itself is left out of the ordinary counts it is scored by.
 
 The models are counted twice, and the larger ratio holds: over all occurrences, of which one is
@@ -36,7 +36,8 @@ from .common import text_bytes
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a whole run, for it is greedy
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST = 16  # characters of a scored token; shorter ones hold too little to outweigh the prior odds
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 #: What secrets and identifiers are made of.
 TOKEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -62,7 +63,7 @@ def _base(raw: bytes, text: str) -> list[tuple[int, int, int, str]]:
 
 def has_long_token(raw: bytes) -> bool:
     """Whether any CANDIDATE is there; access keys and long hex runs lie inside candidates."""
-    return b"x" * 16 in raw.translate(_LONG)
+    return b"x" * LEAST in raw.translate(_LONG)
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -78,13 +79,12 @@ def pair_counts(tokens: bytes) -> np.ndarray:
 
 
 def _outside(pattern: re.Pattern, text: str, spans: list[tuple[int, str, int]]) -> list[re.Match]:
-    """Matches that touch no span. Spans are sorted and few."""
-    out, i = [], 0
-    for m in pattern.finditer(text):
-        while i < len(spans) and spans[i][2] <= m.start():
-            i += 1
-        if not any(s < m.end() and e > m.start() for s, _, e in spans[i:]):
-            out.append(m)
+    """Matches in what the spans leave of the text. Spans are sorted by their start."""
+    out, at = [], 0
+    for start, _, end in [*spans, (len(text), "", len(text))]:
+        if start > at:
+            out += pattern.finditer(text, at, start)
+        at = max(at, end)
     return out
 
 
