@@ -148,6 +148,15 @@ def test_url_deep_paths(spark):
     assert len(deep.select(url_filter.url_keys(F.col("url"))).first()[0]) == 9
 
 
+def test_url_days_and_addresses(spark):
+    rows = [("h.com", "add", "2024-01-05", "a"), ("h.com", "remove", "2024-01-05", "a"), ("[2001:db8::1]", "add", "2024-01-01", "six"), ("10.0.0.1", "add", "2024-01-01", "four")]
+    entries = spark.createDataFrame(rows, "key string, action string, since string, category string").withColumn("since", F.to_date("since"))
+    urls = ["http://h.com/", "http://u:p@[2001:DB8::1]:80/x", "http://10.0.0.1/x", "http://[::1]/"]
+    captures = spark.createDataFrame([(u, "2024-01-06", 1, 2) for u in urls], "url string, fetch_date string, _keys int, key int").withColumn("fetch_date", F.to_date("fetch_date"))
+    got = {r.url: (r.categories, r._keys, r.key) for r in url_filter.listed(captures, entries).collect()}
+    assert got == {u: (c, 1, 2) for u, c in zip(urls, [[], ["six"], ["four"], []])}  # of one day's entries the removal comes last
+
+
 # op 3
 
 
@@ -637,6 +646,61 @@ def test_copied_secrets_do_not_vouch_for_themselves(spark):
     assert {x.doc_id: x.n_markov for x in got if x.doc_id >= n} == {**{i: 1 for i in range(n, n + 3000)}, n + 3000: 2000}
 
 
+def test_secret_ratios_match_a_count(spark):
+    """Spans and ratios from dictionaries of pairs, by occurrence and by distinct string, each token left out of its own counts."""
+    texts, _ = secret_texts()
+    r = random.Random(21)
+    pick = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+    twice = pick(20)
+    texts = [t and t[:6000] for t in texts] + [f"{pick(15)} {pick(16)} ends", f"a {twice} b {twice}", f"{twice}", f"{pick(18)}token={pick(9)}", f"é{pick(30)}é", f"AK{'IA'}{pick(14).upper()}", "token=abcdefgh12345678,x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: [(s.start, s.end, s.score) for s in x.spans if s.kind == "markov"] for x in secret_scan.scan(docs, secret_scan.train(docs)).collect()}
+    alphabet = set(secret_scan.TOKEN.decode())
+    split = lambda t: [m for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t)]
+    random_, ordinary, tokens = [], [], defaultdict(list)
+    for i, t in enumerate(texts):
+        t, at = t or "", 0
+        spans = sorted([(m.start(), m.end(), m.group(2)) for m in secret_scan.ASSIGN.finditer(t) if len(m.group(2)) >= 8] + [(m.start(), m.end(), m.group()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 16] + [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9a-f]{32,}", t)])
+        for start, end, value in [*spans, (len(t), len(t), None)]:
+            for m in split(t[at:start]) if start > at else ():
+                ordinary.append(m.group())
+                if len(m.group()) >= secret_scan.LEAST:
+                    tokens[i].append((at + m.start(), at + m.end(), m.group()))
+            at = max(at, end)
+            if value is not None:
+                random_.append(value)
+
+    def model(ran, ordi):
+        pairs = lambda ts: Counter((a, b) for t in ts for a, b in zip(t, t[1:]))
+        R, O = pairs(ran), pairs(ordi)
+        printable = [chr(c) for c in range(32, 127)]
+        p = {(a, b): R[a, b] + (secret_scan.UNIFORM if a in alphabet and b in alphabet else 0) + 1e-3 for a in printable for b in printable}
+        row, total = Counter(), Counter()
+        for (a, _), n in p.items():
+            row[a] += n
+        for (a, _), n in O.items():
+            total[a] += n
+
+        def score(t):
+            mine = pairs([t])
+            from_ = Counter()
+            for (a, _), n in mine.items():
+                from_[a] += n
+            return sum(math.log(p[a, b] / row[a]) - math.log((O[a, b] - mine[a, b] + 0.5) / (total[a] - from_[a] + 0.5 * 95)) for a, b in zip(t, t[1:]))
+
+        return score
+
+    often, once = model(random_, ordinary), model(set(random_), set(ordinary))
+    needed = secret_scan.MARGIN + secret_scan.PRIOR_LOG_ODDS
+    for i in range(len(texts)):
+        want = [(a, b, max(often(t), once(t))) for a, b, t in tokens[i]]
+        want = [x for x in want if x[2] > needed]
+        assert [x[:2] for x in got[i]] == [x[:2] for x in want]
+        assert np.allclose([x[2] for x in got[i]], [x[2] for x in want])
+    n = len(secret_texts()[0])
+    assert len(got[n]) == len(got[n + 4]) == 1 and got[n][0][0] == 16  # none below LEAST
+
+
 # op 10
 
 
@@ -662,3 +726,45 @@ def test_mixing_is_native(spark):
     plan = soft_mixing.mix(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert json.dumps(soft_mixing.TARGETS)
+
+
+# odd rows and names
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark, empty):
+    """Every operator that reads texts: the same row twice, null ids, null and empty texts, columns named like its own."""
+    text = "the quick brown fox jumps over the lazy dog and a token = abcdefgh1234 " + " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (None, text), (None, None), (2, None), (3, ""), (4, text + " more")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = plain
+    for c in ("word", "kind", "chunk", "k1", "k2", "shard", "d1", "id", "band", "bucket", "n_words", "spans", "_words", "_lines", "_body", "_lost", "_lost_id", "_distinct", "_marks", "_keys", "posterior", "rate", "p_quality", "_y", "_id", "domain", "m", "x"):
+        docs = docs.withColumn(c, F.lit("own"))
+    key = lambda r: (r is None, r or 0)
+
+    scores = hmm_scoring.score(docs).collect()
+    assert sorted((r.doc_id for r in scores), key=key) == sorted((r[0] for r in rows), key=key)
+    assert len({r.base_score for r in scores if r.doc_id == 1}) == 1 and all(r.n_tokens == 1 for r in scores if r.doc_id in (2, 3))
+    c = Counter(w for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words_of(ascii_lower(t or "")), ""])
+    assert {r.train_tokens for r in scores} == {sum(c.values())}
+
+    cleaned_rows = line_dedup.LineIndex.build(docs).clean(docs)
+    assert cleaned_rows.count() == 7 and cleaned_rows.where("_lost = 'own' and k1 = 'own' and n_dropped = 0").count() == 7
+
+    pieces = packing.pack(docs, packing.default_tokenizer()).collect()
+    assert sum(p.doc_id == 1 and p.start == 0 for p in pieces) == 2 and sum(p.doc_id is None and p.start == 0 for p in pieces) == 2
+    assert {p.doc_tokens for p in pieces if p.doc_id in (2, 3)} == {1}
+
+    near = minhash_dedup.near_duplicates(docs, shingle=3, percent=85).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in near), key=repr) == sorted([(1, 1, True), (1, 1, True), (None, None, True), (None, None, True), (2, 2, True), (3, 3, True), (4, 1, False)], key=repr)
+
+    found = secret_scan.digest(secret_scan.scan(docs, secret_scan.train(docs))).collect()
+    assert [r.n_assign for r in sorted(found, key=lambda r: key(r.doc_id))] == [1, 1, 0, 0, 1, 1, 0] or sorted(r.n_assign for r in found) == [0, 0, 0, 1, 1, 1, 1]
+    assert secret_scan.digest(secret_scan.scan(empty, secret_scan.train(empty))).count() == 0
+
+    ruled = quality_rules.apply_rules(docs).collect()
+    assert len(ruled) == 7 and all(r._body == r._words == "own" for r in ruled)
+
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (4, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert co_training.classify(docs, labels).where("_y = 'own' and p_quality between 0 and 1").count() == 7
+    mixed = soft_mixing.mix(docs, labels).collect()
+    assert len(mixed) == 7 and all(r._words == r._marks == r.domain == "own" and r.rate >= 0 for r in mixed)

@@ -82,17 +82,17 @@ def text_counts(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...]
     trimmed = F.regexp_replace(body, f"^{SPACE}+|{SPACE}+$", "")
     words = let(trimmed, lambda t: F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, f"{SPACE}+")))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(NOT_SPACE))
-    staged = docs.withColumn("_body", body).withColumn("_words", words).withColumn("_lines", lines)
+    staged = docs.withColumn("__rules_body", body).withColumn("__rules_words", words).withColumn("__rules_lines", lines)
     counts = {
-        "n_words": F.size("_words"),
-        "word_chars": F.length(F.array_join("_words", "")),
-        "n_symbols": F.regexp_count("_body", F.lit("[#*$%&|<>]")),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": _repeat_words(F.col("_words")),
-        "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(*stop_words))),
+        "n_words": F.size("__rules_words"),
+        "word_chars": F.length(F.array_join("__rules_words", "")),
+        "n_symbols": F.regexp_count("__rules_body", F.lit("[#*$%&|<>]")),
+        "n_lines": F.size("__rules_lines"),
+        "n_dup_lines": F.size("__rules_lines") - F.size(F.array_distinct("__rules_lines")),
+        "n_repeat_words": _repeat_words(F.col("__rules_words")),
+        "n_stop_words": F.size(F.filter("__rules_words", lambda w: F.lower(w).isin(*stop_words))),
     }
-    return staged.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_body", "_words", "_lines")
+    return staged.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("__rules_body", "__rules_words", "__rules_lines")
 
 
 def passes(rules: tuple[Rule, ...] = RULES) -> Column:
