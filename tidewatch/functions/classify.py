@@ -116,3 +116,18 @@ def headline(t: Column, subject: Column) -> Column:
     """An alert in a few words."""
     what = F.when(t == "alert.new_domain", "first contact").when(t == "alert.sensitive_read", "sensitive read").otherwise(F.substring(t, 7, 64))
     return F.concat(what, F.lit(": "), F.coalesce(subject, F.lit("unknown")))
+
+
+#: Event families that a profile may switch off, by its column; all others are always captured.
+SWITCHES = {
+    "capture_fork_exit": ("proc.fork", "proc.exit"), "capture_file_write": ("fs.write_open", "fs.settle"),
+    "capture_file_meta": ("fs.unlink", "fs.rename", "fs.mkdir", "fs.chmod", "fs.truncate"), "capture_flow": ("net.flow", "net.dns"), "capture_unix": ("unix.connect",),
+}
+
+
+def captured(t: Column) -> Column:
+    """Whether an event's profile, whose switches stand beside it, captures its type; null switches are on."""
+    on = F.lit(True)
+    for switch, types in SWITCHES.items():
+        on = F.when(t.isin(*types), F.coalesce(F.col(switch), F.lit(True))).otherwise(on)
+    return on

@@ -84,7 +84,9 @@ def restart_gaps(batches: DataFrame, sessions: DataFrame, limit_us: int) -> Data
     """A daemon_restart gap for each active session (session, start_us, end_us) over each pause between batches (us)."""
     from pyspark.sql import Window
 
+    from tidewatch.operators.joins import small
+
     # one row a batch: a small table of the stream's own log
     pauses = batches.select("us", F.lag("us").over(Window.orderBy("us")).alias("_before")).where(F.col("us") - F.col("_before") > limit_us)
-    hit = sessions.join(F.broadcast(pauses), (F.col("start_us") <= F.col("_before")) & (F.col("end_us").isNull() | (F.col("end_us") >= F.col("us"))))
+    hit = sessions.join(small(pauses), (F.col("start_us") <= F.col("_before")) & (F.col("end_us").isNull() | (F.col("end_us") >= F.col("us"))))
     return hit.select("session", F.lit("daemon_restart").alias("reason"), F.col("_before").alias("from_us"), F.col("us").alias("to_us"))

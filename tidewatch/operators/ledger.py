@@ -12,7 +12,6 @@ from tidewatch.functions.text import same_counts
 from tidewatch.operators.windows import chained
 
 ZERO = "0" * 64
-LEVELS = 13  # of a tree over at most 8192 leaves; segments have at most 4096 events
 CHECKPOINT_SEGMENTS, CHECKPOINT_US = 64, 300_000_000
 
 
@@ -39,7 +38,8 @@ def merkle_root(leaves: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / 2).cast("int")), lambda i: _sha(F.concat(F.lit("01"), F.get(nodes, 2 * i), F.coalesce(F.get(nodes, 2 * i + 1), F.get(nodes, 2 * i)))))
         return F.when(F.size(nodes) > 1, pairs).otherwise(nodes)
 
-    top = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), leaves, lambda nodes, _: level(nodes))
+    # as many levels as the number of leaves has binary digits
+    top = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(leaves)))), leaves, lambda nodes, _: level(nodes))
     return F.when(F.size(leaves) == 0, F.lit(ZERO)).otherwise(F.get(top, F.lit(0)))
 
 

@@ -252,8 +252,8 @@ def redact(rows: DataFrame, column: str, salt: str, extra: tuple[Rule, ...] = ()
     return done.withColumns({f"{column}_redacted": F.coalesce("_r.redacted", text), "findings": F.coalesce("_r.findings", F.array().cast(f"array<{FINDING}>"))}).drop("_r")
 
 
-def redact_argv(rows: DataFrame, column: str, salt: str) -> DataFrame:
-    """``rows`` with ``column``_redacted: operands of credential flags become markers whole, other arguments are redacted by themselves."""
+def redact_lists(lists: Column, salt: str) -> Column:
+    """An array of strings, each redacted by itself."""
     work = Redactor(salt)
 
     @F.pandas_udf("array<string>")
@@ -261,7 +261,12 @@ def redact_argv(rows: DataFrame, column: str, salt: str) -> DataFrame:
         for batch in lists:
             yield pd.Series([None if own is None else [None if x is None else work.redact(x)[0] for x in own] for own in batch], dtype=object)
 
-    return rows.withColumn(f"{column}_redacted", run(mark_operands(F.col(column), salt)))
+    return run(lists)
+
+
+def redact_argv(rows: DataFrame, column: str, salt: str) -> DataFrame:
+    """``rows`` with ``column``_redacted: operands of credential flags become markers whole, other arguments are redacted by themselves."""
+    return rows.withColumn(f"{column}_redacted", redact_lists(mark_operands(F.col(column), salt), salt))
 
 
 def mark_operands(argv: Column, salt: str) -> Column:

@@ -155,4 +155,4 @@ def chained(rows: DataFrame, order: str, value: str, out: str = "before", first=
     # one row a partition
     edges = placed.groupBy("_part").agg(F.min(order).alias("_first"), F.max_by(value, order).alias("_last"))
     edges = edges.select("_first", F.lag("_last", 1, first).over(Window.orderBy("_first")).alias("_edge"))
-    return placed.join(F.broadcast(edges), F.col(order) == F.col("_first"), "left").withColumn(out, F.coalesce(out, "_edge")).drop("_part", "_first", "_edge")
+    return placed.join(edges, F.col(order) == F.col("_first"), "left").withColumn(out, F.coalesce(out, "_edge")).drop("_part", "_first", "_edge")

@@ -26,5 +26,6 @@ def verify(events: DataFrame, segments: DataFrame, points: DataFrame, heads: Dat
     return ledger.verdict(ledger.verify(events, segments, points, heads), segments)
 
 
-def incident_report(events: DataFrame, alerts: DataFrame, session: str) -> DataFrame:
-    return detect.incident_text(detect.timeline(events, alerts), detect.incident_headers(events, alerts), session)
+def incident_report(events: DataFrame, alerts: DataFrame, session: str, markers: DataFrame | None = None) -> DataFrame:
+    clusters = None if markers is None else detect.causality_clusters(markers)
+    return detect.incident_text(detect.timeline(events, alerts), detect.incident_headers(events, alerts), session, clusters)

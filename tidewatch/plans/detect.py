@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import classify as C
@@ -10,17 +10,25 @@ from tidewatch.functions import net
 from tidewatch.operators import joins, windows
 
 
-def new_domain_alerts(events: DataFrame) -> DataFrame:
+def new_domain_alerts(events: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
     """First contact of a session with a name (dns) or an address (connect), with its network class and flags.
 
-    One set of contacts a session; ``bypass``: a connect that no resolved name explains.
+    One set of contacts a session; ``dns_bypass``: a connect that no resolved name explains;
+    ``dns_rebind``: a name that resolves to an address that is not public, by all of ``answers``
+    where there are several. ``prefixes`` (as of ``net.prefix_table``) label the address in ``asn``.
     """
     contact = F.when(F.col("type") == "net.dns", F.col("qname")).when(F.col("type") == "net.connect", F.col("addr"))
     first = windows.first_contacts(events, contact)
     connect = F.col("type") == "net.connect"
+    inner = lambda a: F.coalesce(net.ip_class(a) != "public", F.lit(False))
+    rebound = inner(F.col("addr")) | (F.coalesce(F.exists("answers", inner), F.lit(False)) if "answers" in events.columns else F.lit(False))
+    asn = []
+    if prefixes is not None:
+        first = net.label_addresses(first, prefixes)
+        asn = [F.when(connect, F.col("asn")).alias("asn")]
     return first.select(
         "session", "row_id", "us", F.lit("alert.new_domain").alias("type"), "contact", "pid", F.when(connect, net.ip_class(F.col("addr"))).alias("net_class"),
-        (connect & F.col("qname").isNull()).alias("dns_bypass"), (~connect & (net.ip_class(F.col("addr")) != "public")).alias("dns_rebind"),
+        (connect & F.col("qname").isNull()).alias("dns_bypass"), (~connect & rebound).alias("dns_rebind"), *asn,
     )
 
 
@@ -69,9 +77,10 @@ def notifications(alerts: DataFrame) -> DataFrame:
 
 
 def session_list(events: DataFrame) -> DataFrame:
-    """session, profile, started, ended and state of all sessions, from their events."""
+    """session, profile (where events name one, the first), started, ended and state of all sessions, from their events."""
     ended = F.max(F.when(F.col("type") == "session.end", F.col("us")))
-    return events.groupBy("session").agg(F.min("us").alias("started_us"), ended.alias("ended_us"), F.count("*").alias("events")).withColumn("state", F.when(F.col("ended_us").isNull(), "active").otherwise("ended"))
+    profile = [F.min_by("profile", F.when(F.col("profile").isNotNull(), F.struct("us", "row_id"))).alias("profile")] if "profile" in events.columns else []
+    return events.groupBy("session").agg(*profile, F.min("us").alias("started_us"), ended.alias("ended_us"), F.count("*").alias("events")).withColumn("state", F.when(F.col("ended_us").isNull(), "active").otherwise("ended"))
 
 
 def session_summary(events: DataFrame) -> DataFrame:
@@ -94,10 +103,15 @@ def next_after(page: DataFrame) -> DataFrame:
 
 
 def timeline(events: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Load-bearing events and alerts that they do not hold yet, each as a line."""
-    held = events.where(C.load_bearing(F.col("type"))).select("session", F.concat(F.lit("e"), F.col("row_id")).alias("row_id"), "us", "type", "path", "addr", "qname")
-    more = alerts.select("session", F.concat(F.lit("a"), F.col("row_id"), F.lit("."), F.col("rule")).alias("row_id"), "us", "type", F.col("subject").alias("path"), F.lit(None).cast("string").alias("addr"), F.col("subject").alias("qname"))
-    both = joins.merge_missing(held, more)
+    """Load-bearing events, alerts that are stored among them, and alerts that are not, each as a line.
+
+    An alert is stored if an event of its session has its type, time and subject.
+    """
+    subject = lambda *c: F.concat_ws("|", "session", F.col("us").cast("string"), "type", F.coalesce(*c, F.lit(""))).alias("key")
+    stored = F.col("type").startswith("alert.")
+    held = events.where(C.load_bearing(F.col("type")) | stored).select("session", F.concat(F.lit("e"), F.col("row_id")).alias("row_id"), "us", "type", F.when(stored, F.coalesce("path", "qname", "addr")).otherwise(F.col("path")).alias("path"), "addr", F.when(stored, F.coalesce("path", "qname", "addr")).otherwise(F.col("qname")).alias("qname"), subject("path", "qname", "addr"))
+    more = alerts.select("session", F.concat(F.lit("a"), F.col("row_id"), F.lit("."), F.col("rule")).alias("row_id"), "us", "type", F.col("subject").alias("path"), F.lit(None).cast("string").alias("addr"), F.col("subject").alias("qname"), subject("subject"))
+    both = joins.merge_missing(held, more, "key")
     return both.select("session", "row_id", "us", "type", C.describe(F.col("type"), F.col("path"), F.col("addr"), F.col("qname")).alias("line"))
 
 
@@ -108,13 +122,24 @@ def incident_headers(events: DataFrame, alerts: DataFrame) -> DataFrame:
     return head.join(counts, "session", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0).cast("long")))
 
 
-def incident_text(lines: DataFrame, headers: DataFrame, session: str) -> DataFrame:
-    """A session's report as ordered lines; an unknown session is an error."""
+FOOTER = "What this record can and cannot show is stated in the limits of the library."
+
+
+def incident_text(lines: DataFrame, headers: DataFrame, session: str, clusters: DataFrame | None = None) -> DataFrame:
+    """A session's report as ordered lines: header, timeline, causality clusters, footer; an unknown session is an error."""
     if headers.where(F.col("session") == session).isEmpty():
         raise ValueError(f"unknown session {session}")
-    head = headers.where(F.col("session") == session).select(F.lit(-1).cast("long").alias("us"), F.lit("").alias("row_id"), F.concat(F.lit("incident report for "), "session", F.lit(": "), F.col("events").cast("string"), F.lit(" events, "), F.col("alerts").cast("string"), F.lit(" alerts")).alias("line"))
-    body = lines.where(F.col("session") == session).select("us", "row_id", "line")
-    return head.unionByName(body).orderBy("us", "row_id")
+
+    def part(rows: DataFrame, number: int, us: Column, key: Column, line: Column) -> DataFrame:
+        return rows.where(F.col("session") == session).select(F.lit(number).alias("part"), us.cast("long").alias("us"), key.cast("string").alias("row_id"), line.alias("line"))
+
+    no, none = F.lit(0), F.lit("")
+    out = part(headers, 0, no, none, F.concat(F.lit("incident report for "), "session", F.lit(": "), F.col("events").cast("string"), F.lit(" events, "), F.col("alerts").cast("string"), F.lit(" alerts")))
+    body = part(lines, 1, F.col("us"), F.col("row_id"), F.col("line"))
+    out = out.unionByName(body if not body.isEmpty() else part(headers, 1, no, none, F.lit("no load-bearing events")))
+    if clusters is not None:
+        out = out.unionByName(part(clusters, 2, F.col("first_ord"), F.col("run_id"), F.concat(F.lit("run "), "run_id", F.lit(": "), F.col("markers").cast("string"), F.lit(" markers, last status "), F.coalesce("last_status", F.lit("unknown")))))
+    return out.unionByName(part(headers, 3, no, none, F.lit(FOOTER))).orderBy("part", "us", "row_id").drop("part")
 
 
 def causality_clusters(markers: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidewatch.functions import classify as C
 from tidewatch.functions import net, text
 from tidewatch.operators import govern, joins, ledger, redact, windows
 from tidewatch.plans import detect, tables
+from tidewatch.sources import files
 from tidewatch.sources.events import EV_SQL, adapt, parse_markers, reject_reason
 
 HOUR = 3_600_000_000
@@ -50,10 +53,12 @@ def first_contact(spark, d):
 
 
 @query("new_domain_alerts", FIRST_SQL + """SELECT session, row_id, us, 'alert.new_domain' AS type, contact, pid,
-  CASE WHEN type = 'net.connect' THEN CASE WHEN addr LIKE '10.%' THEN 'private' ELSE 'public' END END AS net_class,
-  type = 'net.connect' AND qname IS NULL AS dns_bypass, type <> 'net.connect' AND addr LIKE '10.%' AS dns_rebind FROM first""")
+  CASE WHEN type = 'net.connect' THEN CASE WHEN addr LIKE '10.%' THEN 'private' ELSE 'public' END END AS net_class, CASE WHEN type = 'net.connect' AND addr LIKE '8.8.8.%' THEN 'Google Public DNS' END AS asn,
+  type = 'net.connect' AND qname IS NULL AS dns_bypass, type <> 'net.connect' AND (addr LIKE '10.%' OR k % 7 = 0) AS dns_rebind FROM first""")
 def new_domain_alerts(spark, d):
-    return detect.new_domain_alerts(ev(spark, d))
+    """Names resolve to their address and, every seventh, to a loopback address besides."""
+    answers = F.array(F.col("addr"), F.when(F.col("k") % 7 == 0, "127.0.0.1").otherwise("8.8.8.8"))
+    return detect.new_domain_alerts(ev(spark, d).withColumn("answers", answers), net.prefix_table(spark))
 
 
 @query("sensitive_alerts", "SELECT session, row_id, us, 'alert.sensitive_read' AS type, path, pid FROM ev WHERE type = 'fs.sensitive_read'")
@@ -142,9 +147,10 @@ def address_render(spark, d):
 # sessions, pages, classes
 
 @query("session_list", """SELECT session, min(us) AS started_us, max(CASE WHEN k = 99 THEN us END) AS ended_us, count(*) AS events,
-  CASE WHEN max(CASE WHEN k = 99 THEN us END) IS NULL THEN 'active' ELSE 'ended' END AS state FROM ev GROUP BY session""")
+  CASE WHEN max(CASE WHEN k = 99 THEN us END) IS NULL THEN 'active' ELSE 'ended' END AS state, arg_min('p' || (k % 5), us) FILTER (k % 4 = 1) AS profile FROM ev GROUP BY session""")
 def session_list(spark, d):
-    return detect.session_list(ev(spark, d).withColumn("type", F.when(F.col("k") == 99, "session.end").otherwise(F.col("type"))))
+    e = ev(spark, d).withColumn("profile", F.when(F.col("k") % 4 == 1, F.concat(F.lit("p"), F.col("k") % 5)))
+    return detect.session_list(e.withColumn("type", F.when(F.col("k") == 99, "session.end").otherwise(F.col("type"))))
 
 
 @query("session_summary", """SELECT session, count(*) AS events, count(*) FILTER (type = 'proc.exec') AS execs, count(*) FILTER (type LIKE 'fs.%') AS files,
@@ -195,11 +201,13 @@ def describe_events(spark, d):
     return ev(spark, d).select("row_id", C.describe(F.col("type"), F.col("path"), F.col("addr"), F.col("qname")).alias("line"))
 
 
-@query("capture_switches", "SELECT row_id, type FROM ev WHERE type IN ('proc.exec', 'net.connect') OR (type = 'fs.write_open' AND k % 2 = 0)")
+@query("capture_switches", "SELECT row_id, type FROM ev WHERE type IN ('proc.exec', 'net.connect', 'fs.sensitive_read') OR (type = 'fs.write_open' AND k % 3 <> 1) OR (type = 'net.dns' AND k % 3 <> 2)")
 def capture_switches(spark, d):
-    """Exec and connect cannot be switched off; files are captured by profile (here by parity), names and reads not at all."""
-    t = F.col("type")
-    return ev(spark, d).where(t.isin("proc.exec", "net.connect") | ((t == "fs.write_open") & (F.col("k") % 2 == 0))).select("row_id", "type")
+    """Two profiles switch off files and names; exec, connect and sensitive reads cannot be switched off."""
+    profiles = spark.createDataFrame([(0, True, None), (1, False, True), (2, None, False)], "p long, capture_file_write boolean, capture_flow boolean")
+    off = {c: F.lit(None).cast("boolean") for c in C.SWITCHES if c not in profiles.columns}
+    rows = ev(spark, d).withColumn("p", F.col("k") % 3).join(joins.small(profiles), "p").withColumns(off)
+    return rows.where(C.captured(F.col("type"))).select("row_id", "type")
 
 
 @query("exe_class", """SELECT DISTINCT p_name, CASE WHEN p_partkey % 3 = 0 AND p_name = 'part 3' THEN 'allowlisted' ELSE 'unclassified' END AS exe_class FROM (
@@ -228,11 +236,14 @@ def validate_rejects(spark, d):
     return ev(spark, d).withColumn("reject_reason", reject_reason(cols)).where("reject_reason is not null").select("row_id", "reject_reason")
 
 
-@query("marker_ingest", """SELECT row_id, CASE WHEN row_id % 5 = 1 THEN 'not_an_object' WHEN row_id % 5 = 2 THEN 'undeclared' WHEN row_id % 5 = 3 THEN 'not_a_scalar' END AS reject_reason,
-  CASE WHEN row_id % 5 IN (0, 4) THEN 'marker.run.start' END AS type, CASE WHEN row_id % 5 IN (0, 4) THEN session END AS run_id FROM ev""")
+@query("marker_ingest", """SELECT row_id, CASE row_id % 8 WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'undeclared' WHEN 3 THEN 'not_a_scalar' WHEN 5 THEN 'not_a_scalar' WHEN 7 THEN 'too_long' END AS reject_reason,
+  CASE WHEN row_id % 8 IN (0, 4, 6) THEN 'marker.run.start' END AS type, CASE row_id % 8 WHEN 0 THEN session WHEN 4 THEN '-1.5' WHEN 6 THEN CAST(row_id AS VARCHAR) END AS run_id FROM ev""")
 def marker_ingest(spark, d):
-    m = F.col("row_id") % 5
-    run = F.concat(F.lit('{"event": "'), F.when(m == 2, "other").otherwise("run.start"), F.lit('", "runId": '), F.when(m == 3, "1.5").otherwise(F.concat(F.lit('"'), "session", F.lit('"'))), F.lit(', "token": "x"}'))
+    """Marker lines whose run id is a text (also one that looks like a number), a number, a fraction or a list; and other faults."""
+    m = F.col("row_id") % 8
+    text_of = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    value = F.when(m == 3, "1.5").when(m == 4, text_of(F.lit("-1.5"))).when(m == 5, "[1]").when(m == 6, F.col("row_id").cast("string")).otherwise(text_of(F.col("session")))
+    run = F.concat(F.lit('{"event": "'), F.when(m == 2, "other").otherwise("run.start"), F.lit('", "agentId": null, "runId": '), value, F.lit(', "token": {"x": 1}'), F.when(m == 7, F.concat(F.lit(', "pad": "'), F.repeat(F.lit("x"), 4096), F.lit('"'))).otherwise(""), F.lit("}"))
     rows = ev(spark, d).select("row_id", F.when(m == 1, "[1]").otherwise(run).alias("value"))
     made = parse_markers(rows, ["run.start", "run.end"], ["runId", "agentId", "token"], ["token"])
     return made.select("row_id", "reject_reason", "type", F.col("fields")["runId"].alias("run_id"))
@@ -336,8 +347,17 @@ def path_translate(spark, d):
     e = ev(spark, d).where("path is not null")
     mounts = e.select((F.col("k") % 3).alias("m")).distinct().select(F.concat(F.lit("/home/u"), "m").alias("prefix"), F.concat(F.lit("t"), "m").alias("tag"))
     rows = e.select("row_id", F.concat(F.lit("/home/u"), F.col("k") % 3, "path").alias("host_path"))
-    done = joins.by_ancestor(rows, mounts, path="host_path")
-    return done.select("row_id", "host_path", F.concat(F.lit("/mnt/host/"), "tag", F.expr("substring(host_path, length(prefix) + 1)")).alias("guest_path"))
+    return joins.host_to_guest(rows, mounts.withColumnRenamed("prefix", "host_root"), "host_path").select("row_id", "host_path", "guest_path")
+
+
+@query("path_back", """SELECT row_id, CASE k % 5 WHEN 0 THEN '/home/u0/data/f' || k WHEN 1 THEN '/home/u1/data/f' || k WHEN 4 THEN '/home/u2' END AS host_path, CASE k % 5 WHEN 2 THEN 'not_under_mount' WHEN 3 THEN 'unknown_tag' END AS unmapped FROM ev WHERE path IS NOT NULL""")
+def path_back(spark, d):
+    """Guest paths to host paths: plain, with dots, out of the mount, of an unknown tag, and a mount itself."""
+    k = F.col("k") % 5
+    guest = F.when(k == 0, F.concat(F.lit("/mnt/host/t0"), "path")).when(k == 1, F.concat(F.lit("/mnt/host/t1/x/.././"), "path")).when(k == 2, F.concat(F.lit("/mnt/host/t2/../../etc"), "path")).when(k == 3, F.concat(F.lit("/mnt/host/zz"), "path")).otherwise("/mnt/host/t2/")
+    mounts = spark.createDataFrame([(f"t{i}", f"/home/u{i}") for i in range(3)], "tag string, host_root string")
+    rows = ev(spark, d).where("path is not null").select("row_id", guest.alias("guest_path"))
+    return joins.guest_to_host(rows, joins.small(mounts), "guest_path").select("row_id", "host_path", "unmapped")
 
 
 # ledger
@@ -349,10 +369,10 @@ def _ledger_events(spark, d: str, size: int = 16) -> DataFrame:
     return ledger.row_hash(e, ["session", "row_id", "us", "type", "k"])
 
 
-def _sealed(spark, d: str):
+def _sealed(spark, d: str, points: bool = True):
     e = tables.materialize(_ledger_events(spark, d), "ledger-events")
     s = tables.materialize(ledger.seal(ledger.segment_table(e)), "ledger-segments")
-    return e, s, tables.materialize(ledger.checkpoints(s, 4, 1 << 60), "ledger-checkpoints")
+    return e, s, tables.materialize(ledger.checkpoints(s, 4, 1 << 60), "ledger-checkpoints") if points else None
 
 
 LEDGER = f"""-- {NUMBERED}, g AS (SELECT *, CAST(floor(idx / 16) AS BIGINT) AS seg, CASE WHEN k IN (13, 14) THEN 'gap' ELSE type END AS t FROM n),
@@ -387,7 +407,7 @@ def merkle_root(spark, d):
 @query("chain_verify", LEDGER + "SELECT 'chain_link_broken' AS kind, session, seg + 1 AS seg, 'link' AS detail FROM h GROUP BY session, seg HAVING seg = 1 AND (SELECT max(seg) FROM h x WHERE x.session = h.session) >= 2 UNION ALL SELECT 'chain_link_broken', session, 1, 'header' FROM h WHERE seg = 1 GROUP BY session")
 def chain_verify(spark, d):
     """Every session's segment 1 is forged: its hash is replaced."""
-    _, s, _ = _sealed(spark, d)
+    _, s, _ = _sealed(spark, d, points=False)
     return ledger.audit_links(s.withColumn("seg_hash", F.when(F.col("seg") == 1, F.sha2("seg_hash", 256)).otherwise(F.col("seg_hash"))))
 
 
@@ -395,7 +415,7 @@ def chain_verify(spark, d):
   UNION ALL SELECT 'gap_dishonest', session, seg, '' FROM h GROUP BY session, seg HAVING false""")
 def event_audit(spark, d):
     """Rows are deleted from segments that claim no gap; where one of several is gone, its count tells."""
-    e, s, _ = _sealed(spark, d)
+    e, s, _ = _sealed(spark, d, points=False)
     hit = e.where("row_id % 50 = 3").groupBy("session", "seg").agg(F.count("*").alias("n")).where("n = 1").select("session", "seg")
     clean = s.where((F.col("event_count") > 1) & (F.size("gap") == 0)).select("session", "seg")
     cut = hit.join(clean, ["session", "seg"])
@@ -406,7 +426,7 @@ def event_audit(spark, d):
 @query("gap_honesty", LEDGER + "SELECT 'gap_dishonest' AS kind, session, seg, '' AS detail FROM h GROUP BY session, seg HAVING count(*) FILTER (k = 13) > 0")
 def gap_honesty(spark, d):
     """Headers that hide the governor's gaps."""
-    e, s, _ = _sealed(spark, d)
+    e, s, _ = _sealed(spark, d, points=False)
     hidden = s.withColumn("gap", F.map_filter("gap", lambda k, v: k != "governor"))
     return ledger.audit_events(e, hidden).where("kind = 'gap_dishonest'")
 
@@ -433,17 +453,19 @@ def checkpoint_heads(spark, d):
     return ledger.audit_heads(c, s.where("seg != 3"))
 
 
-@query("mirror_check", POINTS + "SELECT 'mirror_mismatch' AS kind, session, seg, '' AS detail FROM cp WHERE seg = 7")
+@query("mirror_check", POINTS + "SELECT 'mirror_mismatch' AS kind, session, seg, '' AS detail FROM cp WHERE CAST(substr(session, 2) AS BIGINT) % 5 = 2")
 def mirror_check(spark, d):
+    """A mirror whose last line of each attested head counts; every fifth session's is forged."""
     c = _sealed(spark, d)[2]
     old = c.select("session", "seg_last", F.lit("old").alias("mirror_hash"), F.lit(1).alias("n"))
-    now = c.select("session", "seg_last", F.when(F.col("seg_last") == 7, "forged").otherwise(F.col("chain_head")).alias("mirror_hash"), F.lit(2).alias("n"))
+    forged = F.substring("session", 2, 20).cast("long") % 5 == 2
+    now = c.select("session", "seg_last", F.when(forged, "forged").otherwise(F.col("chain_head")).alias("mirror_hash"), F.lit(2).alias("n"))
     return ledger.audit_mirror(c, old.unionByName(now))
 
 
 @query("verdict", LEDGER + "SELECT session, CASE WHEN max(seg) >= 1 THEN 2 ELSE 0 END AS code, CAST(CASE WHEN max(seg) >= 2 THEN 2 WHEN max(seg) = 1 THEN 1 ELSE 0 END AS BIGINT) AS findings FROM h GROUP BY session")
 def verdict(spark, d):
-    _, s, _ = _sealed(spark, d)
+    _, s, _ = _sealed(spark, d, points=False)
     forged = s.withColumn("seg_hash", F.when(F.col("seg") == 1, F.sha2("seg_hash", 256)).otherwise(F.col("seg_hash")))
     return ledger.verdict(ledger.audit_links(forged), s)
 
@@ -473,7 +495,7 @@ def trust_card(spark, d):
 @query("export_verify", LEDGER + "SELECT session, seg, count(*) AS n FROM h GROUP BY session, seg")
 def export_verify(spark, d):
     """Exported rows fall into their segments by place, and their roots agree."""
-    e, s, _ = _sealed(spark, d)
+    e, s, _ = _sealed(spark, d, points=False)
     placed = ledger.export_leaves(e.drop("seg"), s)
     again = ledger.segment_table(placed).select("session", "seg", F.col("event_count").alias("n"), F.col("merkle_root").alias("root"))
     return again.join(s.select("session", "seg", "merkle_root"), ["session", "seg"]).where("root = merkle_root").select("session", "seg", "n")
@@ -536,18 +558,44 @@ def final_gap(spark, d):
     return g.select("session", "reason", n("fs.write_open").alias("fs_write"), n("flow_dns").alias("flow_dns"), "from_us", "to_us")
 
 
-@query("conservation", LOST + "SELECT session, class, count(*) AS lost FROM o GROUP BY session, class HAVING false")
+@query("conservation", LOST + "SELECT session, class, count(*) AS offered_lost, CAST(0 AS BIGINT) AS lost FROM o WHERE CAST(substr(session, 2) AS BIGINT) % 4 = 1 GROUP BY session, class")
 def conservation(spark, d):
+    """The gap rows of every fourth session were lost; its books don't balance, and all others do."""
     o = _offered(spark, d)
-    return govern.conservation(o, govern.gap_rows(o)).select("session", "class", "lost")
+    kept = govern.gap_rows(o).where(F.substring("session", 2, 20).cast("long") % 4 != 1)
+    return govern.conservation(o, kept).select("session", "class", (F.col("offered") - F.col("admitted")).alias("offered_lost"), "lost")
 
 
-@query("governor_replay")
+#: A bucket of 3 tokens in each of 4 tiers, refilled from the highest, row by row.
+BUCKET_SQL = f"""WITH RECURSIVE {EV_SQL}, c AS (
+  SELECT session, row_id, us, CASE type WHEN 'proc.exec' THEN 'exec' WHEN 'net.connect' THEN 'connect' WHEN 'fs.sensitive_read' THEN 'sensitive_read' WHEN 'net.dns' THEN 'flow_dns' ELSE type END AS class, CASE type WHEN 'fs.write_open' THEN 2 WHEN 'net.dns' THEN 3 END AS tier FROM ev),
+n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY us, row_id) AS rn FROM c WHERE tier IS NOT NULL),
+b AS (
+  SELECT session, row_id, us, rn, false AS shed, 3.0::DOUBLE AS t0, 3.0::DOUBLE AS t1, CASE tier WHEN 2 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS t2, CASE tier WHEN 3 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS t3 FROM n WHERE rn = 1
+  UNION ALL
+  SELECT session, row_id, us, rn, CASE tier WHEN 2 THEN t2 + a2 < 1 ELSE t3 + a3 < 1 END, t0 + a0, t1 + a1, t2 + a2 - CASE WHEN tier = 2 AND t2 + a2 >= 1 THEN 1 ELSE 0 END, t3 + a3 - CASE WHEN tier = 3 AND t3 + a3 >= 1 THEN 1 ELSE 0 END
+  FROM (SELECT *, least(3 - t0, f1) AS a0 FROM (SELECT *, least(3 - t1, f2) AS a1, f2 - least(3 - t1, f2) AS f1 FROM (SELECT *, least(3 - t2, f3) AS a2, f3 - least(3 - t2, f3) AS f2 FROM (
+    SELECT *, least(3 - t3, f) AS a3, f - least(3 - t3, f) AS f3 FROM (
+      SELECT n.session, n.row_id, n.us, n.rn, n.tier, b.t0, b.t1, b.t2, b.t3, greatest(n.us - b.us, 0)::DOUBLE * 0.00002::DOUBLE / 1e6::DOUBLE AS f FROM b JOIN n ON n.session = b.session AND n.rn = b.rn + 1))))))
+SELECT c.session, c.row_id, c.us, c.class, c.tier, coalesce(b.shed, false) AS shed FROM c LEFT JOIN b USING (row_id)"""
+
+
+@query("governor_replay", BUCKET_SQL, ev=False)
 def governor_replay(spark, d):
     return govern.shed(_offered(spark, d).drop("shed"), rate=0.00002, burst=3)
 
 
-@query("segment_age")
+#: A segment closes with its 20th event, or the first that is 5 days after its first.
+AGE_SQL = f"""WITH RECURSIVE {EV_SQL}, n AS (SELECT session, row_id, us, type, row_number() OVER (PARTITION BY session ORDER BY us, row_id) AS rn FROM ev),
+r AS (
+  SELECT *, CAST(0 AS BIGINT) AS seg, 1 AS c, us AS start FROM n WHERE rn = 1
+  UNION ALL
+  SELECT n.session, n.row_id, n.us, n.type, n.rn, CASE WHEN done THEN seg + 1 ELSE seg END, CASE WHEN done THEN 1 ELSE c + 1 END, CASE WHEN done THEN n.us ELSE start END
+  FROM (SELECT *, c >= 20 OR us - start >= {5 * 24 * HOUR} AS done FROM r) x JOIN n ON n.session = x.session AND n.rn = x.rn + 1)
+SELECT session, row_id, us, type, seg FROM r"""
+
+
+@query("segment_age", AGE_SQL, ev=False)
 def segment_age(spark, d):
     return windows.segments(ev(spark, d).select("session", "row_id", "us", "type"), 20, 5 * 24 * HOUR)
 
@@ -563,11 +611,14 @@ def map_equality(spark, d):
 # reports
 
 @query("timeline_union", ALERTS_SQL.rstrip() + f""", t AS (SELECT session, 'e' || row_id AS row_id, us, type, {DESCRIBE} AS line FROM ev WHERE type <> 'fs.write_open')
- SELECT * FROM t UNION ALL SELECT session, 'a' || row_id || '.' || rule, us, type, CASE type WHEN 'alert.new_domain' THEN 'first contact with ' || coalesce(subject, '?')
-   WHEN 'alert.sensitive_read' THEN 'alert: sensitive read of ' || coalesce(subject, '?') ELSE 'alert: ' || substr(type, 7) END FROM alerts""")
+ SELECT * FROM t UNION ALL SELECT session, 'e' || (row_id + 1000000000), us, 'alert.sensitive_read', 'alert: sensitive read of ' || path FROM ev WHERE type = 'fs.sensitive_read' AND k % 2 = 0
+ UNION ALL SELECT session, 'a' || row_id || '.' || rule, us, type, CASE type WHEN 'alert.new_domain' THEN 'first contact with ' || coalesce(subject, '?')
+   WHEN 'alert.sensitive_read' THEN 'alert: sensitive read of ' || coalesce(subject, '?') ELSE 'alert: ' || substr(type, 7) END FROM alerts WHERE type <> 'alert.sensitive_read' OR CAST(substr(subject, 8) AS BIGINT) % 2 = 1""")
 def timeline_union(spark, d):
+    """Half of the alerts of sensitive reads are stored among the events; they appear once."""
     e = ev(spark, d)
-    return detect.timeline(e, detect.all_alerts(e, 240 * HOUR, 5))
+    stored = e.where("type = 'fs.sensitive_read' and k % 2 = 0").withColumn("row_id", F.col("row_id") + 1_000_000_000).withColumn("type", F.lit("alert.sensitive_read"))
+    return detect.timeline(e.unionByName(stored), detect.all_alerts(e, 240 * HOUR, 5))
 
 
 @query("incident_headers", ALERTS_SQL.rstrip() + """, a AS (SELECT session, count(*) AS alerts FROM alerts GROUP BY session),
@@ -588,7 +639,8 @@ def causality_clusters(spark, d):
  SELECT r.session, r.run, count(*) AS effects FROM r JOIN ev ON ev.session = r.session AND ev.us BETWEEN r.a AND r.b AND ev.type LIKE 'fs.%' GROUP BY r.session, r.run""")
 def run_effects(spark, d):
     e = ev(spark, d)
-    runs = e.where("type = 'proc.exec'").groupBy("session", F.expr(f"us div {72 * HOUR}").alias("run")).agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+    execs = e.where("type = 'proc.exec'").select("session", F.expr(f"us div {72 * HOUR}").alias("run"), "us")
+    runs = joins.run_intervals(execs.select("*", F.explode(F.array(F.lit("run.start"), F.lit("run.end"))).alias("event")))
     return joins.interval_members(e.where("type like 'fs.%'"), runs, 24 * HOUR).groupBy("session", "run").agg(F.count("*").alias("effects"))
 
 
@@ -619,13 +671,16 @@ def file_changes(spark, d):
     return windows.settled_changes(o).select("path", "scan_no", "digest", "prev_digest", "size_delta")
 
 
-@query("digest_check", """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 7 = 1 THEN 'mismatch' ELSE 'match' END AS note FROM documents""", ev=False)
+@query("digest_check", """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'not_regular' WHEN 3 THEN 'untranslatable' ELSE 'match' END AS note FROM documents""", ev=False)
 def digest_check(spark, d):
-    """Recorded digests against those of the present files."""
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("recorded"))
-    now = docs.where("doc_id % 7 != 0").select("doc_id", F.when(F.col("doc_id") % 7 == 1, F.sha2("recorded", 256)).otherwise(F.col("recorded")).alias("present"))
-    note = F.when(F.col("present").isNull(), "missing").when(F.col("present") != F.col("recorded"), "mismatch").otherwise("match")
-    return docs.join(now, "doc_id", "left").select("doc_id", note.alias("note"))
+    """Recorded digests of guest paths against the files that stand at the host's paths now."""
+    m, name = F.col("doc_id") % 7, F.concat(F.lit("/d"), F.col("doc_id"))
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    mounts = spark.createDataFrame([("t", "/home/u")], "tag string, host_root string")
+    guest = docs.select("doc_id", F.col("digest").alias("new_digest"), F.concat(F.when(m == 3, "/elsewhere").otherwise("/mnt/host/t"), name).alias("guest_path"))
+    settled = joins.guest_to_host(guest, joins.small(mounts), "guest_path").withColumnRenamed("host_path", "local_path")
+    present = docs.where(m != 0).select(F.concat(F.lit("/home/u"), name).alias("path"), F.when(m == 2, "fifo").otherwise("file").alias("kind"), F.when(m == 1, F.sha2("digest", 256)).otherwise(F.col("digest")).alias("digest"))
+    return files.check_digests(settled, present).select("doc_id", "note")
 
 
 def _rule_counts_sql(source: str) -> str:
@@ -766,3 +821,49 @@ def marker_runs(spark, d):
     """Events with the outside records that carry the same run id."""
     runs = table(spark, d, "conversations").select("conv_id").distinct()
     return ev(spark, d).join(runs, F.col("k") == F.col("conv_id")).select("row_id", "conv_id")
+
+
+# sinks, written and read again
+
+def _folder(spark, name: str) -> str:
+    return f"{tables.scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("append_round_trip", "SELECT CAST(make_timestamp(us) AS DATE) AS event_date, count(*) AS events, count(DISTINCT session) AS sessions FROM ev GROUP BY 1")
+def append_round_trip(spark, d):
+    """Events appended in two batches, by day."""
+    path, rows = _folder(spark, "appended"), ev(spark, d).select("session", "row_id", "type", (F.col("us") * 1000).alias("ts_wall"))
+    for half in (0, 1):
+        tables.append_events(rows.where(F.col("row_id") % 2 == half), path)
+    return spark.read.parquet(path).groupBy("event_date").agg(F.count("*").alias("events"), F.count_distinct("session").alias("sessions"))
+
+
+@query("export_round_trip", "SELECT session, count(*) AS declared, count(*) - count(*) FILTER (row_id % 50 = 3 AND CAST(substr(session, 2) AS BIGINT) % 6 = 0) AS found, CASE WHEN CAST(substr(session, 2) AS BIGINT) % 6 = 0 AND count(*) FILTER (row_id % 50 = 3) > 0 THEN 'BROKEN(events)' ELSE 'OK' END AS status FROM ev WHERE CAST(substr(session, 2) AS BIGINT) % 3 = 0 GROUP BY session")
+def export_round_trip(spark, d):
+    """Every third session exported and read again; rows of half of them were taken out afterwards."""
+    e, s, c = _sealed(spark, d)
+    n, path = F.substring("session", 2, 20).cast("long"), _folder(spark, "exported")
+    made = tables.export_sessions(e, s, c, e.where(n % 3 == 0).select("session"), path)
+    read = tables.read_export(spark, path, "events", "session string, row_id long, us long, type string, row_hash string")
+    return tables.verify_export(made, read.where((n % 6 != 0) | (F.col("row_id") % 50 != 3)))
+
+
+@query("archive_round_trip", LEDGER + "SELECT session, count(*) FILTER (seg % 2 = 1) AS hot, count(*) FILTER (seg % 2 = 0) AS cold, count(DISTINCT seg) FILTER (seg % 2 = 0) AS archived FROM h GROUP BY session")
+def archive_round_trip(spark, d):
+    """Segments of even numbers are archived; what stays, what the archive holds, and what the segment table says."""
+    e, s, _ = _sealed(spark, d, points=False)
+    path = _folder(spark, "archived")
+    hot, marked = tables.archive(e, s, s.where("seg % 2 = 0"), path)
+    by = lambda rows, name: rows.groupBy("session").agg(F.count("*").alias(name))
+    out = e.select("session").distinct().join(by(hot, "hot"), "session", "left").join(by(spark.read.parquet(path), "cold"), "session", "left").join(by(marked.where("archived_path is not null"), "archived"), "session", "left")
+    return out.fillna(0)
+
+
+@query("owner_sink", """-- o AS (SELECT last_value(CASE WHEN type = 'proc.exec' THEN 1000 + k % 3 END IGNORE NULLS) OVER (PARTITION BY session ORDER BY us, row_id ROWS UNBOUNDED PRECEDING) AS owner_uid FROM ev)
+ SELECT owner_uid, count(*) AS events FROM o GROUP BY owner_uid""")
+def owner_sink(spark, d):
+    """Events routed to one folder an owner, those without an owner to the dead letters; both read again."""
+    path, e = _folder(spark, "owners"), ev(spark, d).withColumn("uid", 1000 + F.col("k") % 3)
+    tables.route_by_owner(windows.owners(e, F.col("type") == "proc.exec"), path)
+    owned = spark.read.parquet(f"{path}/owners").select(F.col("owner_uid").cast("long").alias("owner_uid"))
+    return owned.unionByName(spark.read.parquet(f"{path}/dead_letters").select("owner_uid")).groupBy("owner_uid").agg(F.count("*").alias("events"))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset a temporary one, on a local master only."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared
@@ -77,11 +79,28 @@ def retention_due(segments: DataFrame, ttl: DataFrame, now_us: int) -> DataFrame
     return segments.join(ttl, "profile").where((F.col("sealed_us") <= F.lit(now_us) - F.col("ttl_us")) & F.col("archived_path").isNull()).drop("ttl_us")
 
 
-def archive(events: DataFrame, due: DataFrame, path: str) -> DataFrame:
-    """Write the due segments' events to the archive; returns the events that stay hot."""
+def archive(events: DataFrame, segments: DataFrame, due: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write the due segments' events to the archive; (events that stay hot, segments with archived_path set for those written)."""
     key = ["session", "seg"]
-    events.join(due.select(*key), key, "left_semi").write.mode("append").partitionBy("session").option("compression", "zstd").parquet(path)
-    return events.join(due.select(*key), key, "left_anti")
+    due = due.select(*key).distinct()
+    events.join(due, key, "left_semi").write.mode("append").partitionBy("session").option("compression", "zstd").parquet(path)
+    moved = due.withColumn("_now", F.lit(path))
+    had = F.col("archived_path") if "archived_path" in segments.columns else F.lit(None).cast("string")
+    marked = segments.join(moved, key, "left").withColumn("archived_path", F.coalesce(had, "_now")).drop("_now")
+    return events.join(due, key, "left_anti"), marked
+
+
+def read_export(spark: SparkSession, path: str, name: str, schema=None) -> DataFrame:
+    """A table of an exported folder, with the session that its folder names."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(f"{path}/{name}")
+
+
+def verify_export(manifests: DataFrame, events: DataFrame) -> DataFrame:
+    """(session, declared, found, status) of an export: its events are counted against the manifest."""
+    found = events.groupBy("session").agg(F.count("*").alias("found"))
+    both = manifests.select("session", F.col("event_count").alias("declared")).join(found, "session", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("long")))
+    return both.withColumn("status", F.when(F.col("declared") == F.col("found"), "OK").otherwise("BROKEN(events)"))
 
 
 def mutations(trusted: DataFrame, stored: DataFrame, key: str = "row_id", digest: str = "row_hash") -> DataFrame:

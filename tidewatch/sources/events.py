@@ -63,21 +63,34 @@ def validate(rows: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, Da
     return marked.where("reject_reason is null").drop("reject_reason"), marked.where("reject_reason is not null")
 
 
-def parse_markers(lines: DataFrame, declared: list[str], carried: list[str], forbidden: list[str], line: str = "value") -> DataFrame:
+def parse_markers(lines: DataFrame, declared: list[str], carried: list[str], forbidden: list[str], line: str = "value", salt: str | None = None) -> DataFrame:
     """JSON lines as marker events: type, fields and reject_reason.
 
-    A line has at most 4096 bytes and is one object whose event is declared; carried fields that
-    are not forbidden stay, of scalars only; nulls are dropped; fractions, negative numbers,
-    arrays and objects reject the line.
+    A line has at most 4096 bytes and is one object whose event is a declared string; carried
+    fields that are not forbidden stay, of strings, booleans and whole numbers from 0; nulls are
+    dropped; fractions, negative numbers, arrays and objects reject the line. With a ``salt``
+    strings are redacted.
     """
-    fields = F.from_json(F.col(line), "map<string,string>")
-    event = F.element_at(F.col("_m"), F.lit("event"))
+    parsed = F.try_variant_get(F.try_parse_json(F.col(line)), "$", "map<string,variant>")
     allowed = F.array(*(F.lit(x) for x in carried if x not in forbidden))
-    kept = F.map_filter("_m", lambda k, v: F.array_contains(allowed, k) & v.isNotNull())
-    bad = F.size(F.filter(F.map_values(F.col("_kept")), lambda v: v.rlike(r"^\s*[\[{]|^-[0-9]|^[0-9]+\.[0-9]"))) > 0
-    rows = lines.withColumn("_m", fields).withColumn("_kept", kept)
-    reason = F.when(F.octet_length(line) > 4096, "too_long").when(~F.col(line).rlike(r"^\s*\{.*\}\s*$") | F.col("_m").isNull(), "not_an_object").when(event.isNull() | ~event.isin(*declared), "undeclared").when(bad, "not_a_scalar")
-    return rows.withColumn("reject_reason", reason).withColumn("type", F.when(F.col("reject_reason").isNull(), F.concat(F.lit("marker."), event))).withColumn("fields", F.when(F.col("reject_reason").isNull(), F.col("_kept"))).drop("_m", "_kept")
+    kind = lambda v: F.schema_of_variant(v)
+    kept = F.map_filter("__m", lambda k, v: F.array_contains(allowed, k) & v.isNotNull() & (kind(v) != "VOID"))
+    whole = lambda v: (kind(v) == "BIGINT") & (F.try_variant_get(v, "$", "bigint") >= 0)
+    bad = F.exists(F.map_values("__kept"), lambda v: ~(kind(v).isin("STRING", "BOOLEAN") | whole(v)))
+    held = F.element_at(F.col("__m"), F.lit("event"))
+    event = F.when(F.schema_of_variant(held) == "STRING", F.try_variant_get(held, "$", "string"))
+    rows = lines.withColumn("__m", parsed).withColumn("__kept", kept)
+    reason = F.when(F.octet_length(line) > 4096, "too_long").when(F.col("__m").isNull(), "not_an_object").when(event.isNull() | ~event.isin(*declared), "undeclared").when(bad, "not_a_scalar")
+    rows = rows.withColumn("reject_reason", reason)
+    good = F.col("reject_reason").isNull()
+    rows = rows.withColumn("type", F.when(good, F.concat(F.lit("marker."), event)))
+    values = F.transform(F.map_values("__kept"), lambda v: F.try_variant_get(v, "$", "string"))
+    if salt is not None:
+        from tidewatch.operators.redact import redact_lists
+
+        texts = F.transform(F.map_values("__kept"), lambda v: kind(v) == "STRING")
+        values = F.zip_with(values, F.arrays_zip(redact_lists(values, salt).alias("done"), texts.alias("text")), lambda v, x: F.when(x["text"], x["done"]).otherwise(v))
+    return rows.withColumn("fields", F.when(good, F.map_from_arrays(F.map_keys("__kept"), values))).drop("__m", "__kept")
 
 
 def read_heads(spark: SparkSession, path: str) -> DataFrame:
