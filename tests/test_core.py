@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import classify, net, text
 from tidewatch.operators import govern, joins, ledger, redact, windows
-from tidewatch.plans import api, detect, queries
+from tidewatch.plans import api, detect, queries, tables
 from tidewatch.sources import events, files
 
 SF = "/root/testdata/sf0.001"
@@ -435,6 +435,95 @@ def test_sessions_never_mix(spark):
         api.incident_report(e, alerts, "nobody")
 
 
+def test_merkle_root_of_any_number_of_leaves(spark):
+    import hashlib
+
+    def root(nodes):
+        if not nodes:
+            return ledger.ZERO
+        while len(nodes) > 1:
+            nodes = [hashlib.sha256(b"\x01" + bytes.fromhex(nodes[i]) + bytes.fromhex(nodes[min(i + 1, len(nodes) - 1)])).hexdigest() for i in range(0, len(nodes), 2)]
+        return nodes[0]
+
+    leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(8193)]
+    rows = [(n, leaves[:n]) for n in (0, 1, 2, 3, 5, 8, 4097, 8193)]
+    got = spark.createDataFrame(rows, "n int, x array<string>").select("n", ledger.merkle_root(F.col("x")).alias("r")).collect()
+    assert {r.n: r.r for r in got} == {n: root(x) for n, x in rows}
+
+
+def test_markers_keep_their_types(spark):
+    lines = ['{"event":"a","n":"1.5","m":"-3","l":"[x","b":true,"i":7,"z":null}', '{"event":"a","n":-3}', '{"event":"a","n":{"x":1}}', '{"event":5}', "{torn", "", None, '{"event":"a","other":[1]}', '{"event":"a","n":"token=abcdefgh1234"}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id int, value string")
+    got = {r.id: (r.reject_reason, r.fields) for r in events.parse_markers(df, ["a"], ["n", "m", "l", "b", "i", "z"], [], salt="s").collect()}
+    assert got[0] == (None, {"n": "1.5", "m": "-3", "l": "[x", "b": "true", "i": "7"})
+    assert [got[i][0] for i in range(1, 8)] == ["not_a_scalar", "not_a_scalar", "undeclared", "not_an_object", "not_an_object", "not_an_object", None]
+    assert got[8][1]["n"].startswith("token=⟦R:entropy:")
+
+
+def test_as_of_carries_over_buckets(spark, rows, table):
+    answers = table.where("type = 'net.dns'").withColumn("v", F.col("row_id"))
+    asked = table.where("type = 'net.connect'").unionByName(spark.createDataFrame([(9999, "s0", 5, "net.connect", None)], table.schema))
+    whole, cut = ({r.row_id: (r._seen, r.r_v) for r in joins.as_of(asked, answers, "k", "us", ["v"], width=w).collect()} for w in (1 << 40, 7))
+    assert whole == cut and whole[9999] == (None, None) and any(x[0] is not None for x in cut.values())
+
+
+def test_attribution_ends_with_the_binding(spark):
+    b = spark.createDataFrame([(1, "a", 10, 20), (1, "b", 20, None), (2, "c", 0, 5)], "cgid long, session string, bind_us long, unbind_us long")
+    r = spark.createDataFrame([(i, c, us) for i, (c, us) in enumerate([(1, 9), (1, 10), (1, 19), (1, 20), (1, 99), (2, 5), (3, 1)])], "row_id long, cgid long, us long")
+    held, lost = joins.attribute(r, b)
+    assert {x.row_id: x.session for x in held.collect()} == {1: "a", 2: "a", 3: "b", 4: "b"} and {x.row_id for x in lost.collect()} == {0, 5, 6}
+
+
+def test_small_tables_are_counted(spark):
+    df = spark.range(10)
+    hinted = lambda x: "isBroadcast" in x._jdf.queryExecution().analyzed().toString() or "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
+    assert hinted(joins.small(df, 10)) and not hinted(joins.small(df, 9))
+
+
+def test_reports_have_all_parts(spark):
+    e = queries.ev(spark, SF)
+    markers = spark.createDataFrame([("s3", "r1", 1, "started", ""), ("s3", "r1", 2, "ok", ""), ("s4", "r2", 1, "x", "")], "session string, run_id string, ord long, status string, agent string")
+    lines = [r.line for r in api.incident_report(e, detect.all_alerts(e, 240 * queries.HOUR, 5), "s3", markers).collect()]
+    assert lines[0].startswith("incident report for s3") and lines[-2:] == ["run r1: 2 markers, last status ok", detect.FOOTER] and len(lines) > 4
+    quiet = spark.createDataFrame([(1, "q", 1, "fs.meta", None, None, None)], "row_id long, session string, us long, type string, path string, addr string, qname string")
+    none = detect.all_alerts(e, 240 * queries.HOUR, 5).where("false")
+    assert [r.line for r in api.incident_report(quiet, none, "q").collect()][1] == "no load-bearing events"
+    assert [r.session for r in api.list_sessions(e).collect()] == [r.session for r in sorted(detect.session_list(e).collect(), key=lambda r: r.started_us)]
+
+
+def test_stored_events_and_head_mirrors(spark, tmp_path):
+    from tidewatch import schema
+
+    path = str(tmp_path / "ev")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "session string, ts_wall long").select(*(F.col(f.name) if f.name in ("session", "ts_wall") else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.EVENT.fields))
+    tables.append_events(rows, path)
+    got = events.read_events(spark, path, "a")
+    assert [r.session for r in got.collect()] == ["a"] and "EqualTo(session,a)" in got._jdf.queryExecution().executedPlan().toString()
+    heads = spark.createDataFrame([("a", 1, [1], [2], 3)], "session_id string, seg_last long, chain_head array<int>, ckpt_hash array<int>, at long")
+    for _ in range(2):
+        tables.append_heads(heads, str(tmp_path / "heads"))
+    assert [(r.session_id, r.error) for r in events.read_heads(spark, str(tmp_path / "heads")).collect()] == [("a", False)] * 2
+
+
+def test_restart_gaps(spark):
+    batches = spark.createDataFrame([(0,), (10,), (100,), (105,)], "us long")
+    sessions = spark.createDataFrame([("open", 5, None), ("over", 0, 50), ("late", 101, None)], "session string, start_us long, end_us long")
+    got = [(r.session, r.reason, r.from_us, r.to_us) for r in govern.restart_gaps(batches, sessions, 50).collect()]
+    assert got == [("open", "daemon_restart", 10, 100)]
+
+
+def test_cards_and_tokens(spark):
+    rows = [("4111111111111111", True), ("4111111111111112", False), ("0000000000", False)]
+    got = spark.createDataFrame(rows, "d string, want boolean").select(text.is_card(F.col("d")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+    r = random.Random(4)
+    work = redact.Redactor("s")
+    words = ["".join(r.choice(B62 + "-_") for _ in range(r.randrange(1, 40))) for _ in range(300)] + ["".join(r.choice(HEX) for _ in range(r.randrange(14, 40))) for _ in range(100)] + ["0f8fad5b-d9cb-469f-a165-70867728950e", "configuration"]
+    known = tuple(x.decode() for x in redact.COMMON_WORDS)
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.high_entropy_token(F.col("w"), known).alias("hit")).collect()
+    assert {x.w: x.hit for x in got} == {w: work._secret(w.encode()) for w in words}
+
+
 def test_entry_lists_every_query():
     import __spark_entry__ as entry
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import classify
-from tidewatch.operators import joins, windows
+from tidewatch.operators import govern, joins, windows
 from tidewatch.plans import detect, queries
 from tidewatch.streaming import live
 
@@ -30,7 +30,7 @@ def run(df, tmp_path, mode="append"):
 def test_bursts(spark, source, tmp_path):
     path, batch = source
     cls = classify.burst_class(F.col("type"))
-    got = run(live.bursts(live.tail(spark, path, batch.schema, files=1), cls, 240 * queries.HOUR, 5), tmp_path)
+    got = run(live.bursts(live.watch(live.tail(spark, path, batch.schema, files=1), "1 hour"), cls, 240 * queries.HOUR, 5), tmp_path)
     want = windows.bursts(batch, cls, 240 * queries.HOUR, 5)
     assert {r.row_id for r in got.collect()} == {r.row_id for r in want.collect()} != set()
 
@@ -43,14 +43,36 @@ def test_segments(spark, source, tmp_path):
 
 
 def test_first_contacts(spark, source, tmp_path):
+    """The watermark moves past contacts that come again; they are not new."""
     path, batch = source
     contact = F.when(F.col("type") == "net.dns", F.col("qname")).when(F.col("type") == "net.connect", F.col("addr"))
-    got = run(live.first_contacts(live.watch(live.tail(spark, path, batch.schema, files=1), "60 days"), contact), tmp_path)
+    got = run(live.first_contacts(live.watch(live.tail(spark, path, batch.schema, files=1), "1 hour"), contact, 60 * 86_400_000_000), tmp_path)
     want = windows.first_contacts(batch, contact)
-    key = lambda rows: {(r.session, r.contact) for r in rows}
+    key = lambda rows: sorted((r.session, r.contact, r.row_id) for r in rows)
     assert key(got.collect()) == key(want.collect())
 
 
+def test_shedding(spark, source, tmp_path):
+    path, batch = source
+    tiered = lambda rows: rows.withColumn("tier", classify.shed_tier(F.col("type")))
+    got = run(live.shed(tiered(live.watch(live.tail(spark, path, batch.schema, files=1), "1 hour")), rate=0.00002, burst=1), tmp_path)
+    want = govern.shed(tiered(batch).select("session", "row_id", "us", "tier"), rate=0.00002, burst=1)
+    assert {(r.row_id, r.shed) for r in got.collect()} == {(r.row_id, r.shed) for r in want.collect()}
+    assert want.where("shed").count() > 0
+
+
+def test_resumed_sources_and_loss_windows(spark, source, tmp_path):
+    path, batch = source
+    twice = live.tail(spark, path, batch.schema, files=1)
+    got = run(live.once_each(live.watch(twice.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))), "60 days")), tmp_path / "a")
+    assert got.count() == batch.count()
+    lost = live.watch(twice, "1 hour").withColumn("class", classify.event_class(F.col("type")))
+    rows = run(live.loss_windows(lost, "5 seconds").select("session", "class", "count"), tmp_path / "b").collect()
+    assert rows and {r["class"] for r in rows} <= {r["class"] for r in batch.select(classify.event_class(F.col("type")).alias("class")).collect()}
+    live.append_batches(live.tail(spark, path, batch.schema, session="s3"), str(tmp_path / "c"), str(tmp_path / "log_c")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "c")).count() == batch.where("session = 's3'").count()
+
+
 def test_correlation(spark, source, tmp_path):
     path, batch = source
     stream = lambda: live.watch(live.tail(spark, path, batch.schema, files=1), "60 days")
@@ -62,12 +84,16 @@ def test_correlation(spark, source, tmp_path):
 
 
 def test_answers_expire(spark, tmp_path):
-    rows = [("a", 1, 1, "answer", "x", 10), ("a", 5, 2, "connect", None, None), ("a", 12, 3, "connect", None, None), ("b", 5, 4, "connect", None, None)]
+    """Within an answer's time to live, after it, and once its state has gone with the watermark."""
+    S = 1_000_000
+    rows = [("a", 1 * S, 1, "answer", "x", 10 * S), ("a", 5 * S, 2, "connect", None, None), ("a", 12 * S, 3, "connect", None, None), ("b", 5 * S, 4, "connect", None, None)]
+    later = [("c", 9000 * S, 5, "connect", None, None)], [("a", 9001 * S, 6, "connect", None, None), ("a", 9002 * S, 7, "answer", "y", 5 * S), ("a", 9003 * S, 8, "connect", None, None)]
     path = str(tmp_path / "in")
-    df = spark.createDataFrame(rows, "addr string, us long, row_id long, kind string, qname string, ttl_us long")
-    df.coalesce(1).write.parquet(path)
-    got = run(live.latest_answers(live.tail(spark, path, df.schema)), tmp_path)
-    assert {(r.row_id, r.qname) for r in got.collect()} == {(2, "x"), (3, None), (4, None)}
+    for part in (rows, *later):
+        df = spark.createDataFrame(part, "addr string, us long, row_id long, kind string, qname string, ttl_us long").withColumn("ts", F.timestamp_micros("us"))
+        df.coalesce(1).write.mode("append").parquet(path)
+    got = run(live.latest_answers(live.watch(live.tail(spark, path, df.schema, files=1), "10 seconds")), tmp_path)
+    assert {(r.row_id, r.qname) for r in got.collect()} == {(2, "x"), (3, None), (4, None), (5, None), (6, None), (8, "y")}
 
 
 def test_late_rows_are_kept_aside(source):

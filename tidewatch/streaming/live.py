@@ -1,6 +1,9 @@
 """Structured Streaming twins of the batch operators, on event time.
 
 Streams hold envelope rows with ``ts`` (timestamp) beside ``us``; ``watch`` sets the watermark.
+State of ``bursts``, ``latest_answers`` and ``shed`` is dropped by event-time timers once it can no
+longer change a result, so what they give is what the batch operators give, however far the
+watermark moves.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators.govern import TIERS, TieredBucket
+
 
 def tail(spark: SparkSession, path: str, schema, session: str | None = None, files: int = 100) -> DataFrame:
     """The growing event table as a stream, ``files`` a trigger at most; resumes from its checkpoint."""
@@ -27,9 +32,28 @@ def once_each(events: DataFrame, key: str = "row_id") -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key])
 
 
-def first_contacts(events: DataFrame, contact: Column) -> DataFrame:
-    """The first event of each (session, contact) that arrives; state is kept for the watermark's span."""
-    return events.withColumn("contact", contact).where("contact is not null and contact != ''").dropDuplicatesWithinWatermark(["session", "contact"])
+def _keep_until(state, us: float) -> None:
+    """Ask for the timer that drops the state at a time; never before the watermark."""
+    state.setTimeoutTimestamp(max(int(us // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def first_contacts(events: DataFrame, contact: Column, idle_us: int = 30 * 86_400_000_000) -> DataFrame:
+    """session, contact, row_id and us of the first event of each (session, contact).
+
+    A contact is known until it has not been seen for ``idle_us``, whatever the watermark.
+    """
+    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["us", "row_id"])
+        if not state.exists:
+            yield pd.DataFrame([(*key, int(rows.row_id.iloc[0]), int(rows.us.iloc[0]))], columns=["session", "contact", "row_id", "us"])
+        state.update((True,))
+        _keep_until(state, int(rows.us.iloc[-1]) + idle_us)
+
+    rows = events.withColumn("contact", contact).where("contact is not null and contact != ''").select("session", "contact", "row_id", "us", "ts")
+    return rows.groupBy("session", "contact").applyInPandasWithState(update, "session string, contact string, row_id long, us long", "seen boolean", "append", "EventTimeTimeout")
 
 
 def correlate(reads: DataFrame, domains: DataFrame, seconds: int) -> DataFrame:
@@ -52,8 +76,11 @@ def split_late(batch: DataFrame, newest_us: int, delay_us: int) -> tuple[DataFra
 
 
 def bursts(events: DataFrame, cls: Column, window_us: int, threshold: int) -> DataFrame:
-    """Edge-triggered bursts by session and class. State: the times inside the window, never more than the threshold, and whether armed."""
+    """Edge-triggered bursts by session and class. State: the times inside the window, never more than the threshold, and whether armed; after a window without events both are as at the start."""
     def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times, armed = state.get if state.exists else ([], True)
         times, out = list(times), []
         rows = pd.concat(list(batches)).sort_values(["us", "row_id"])
@@ -64,10 +91,11 @@ def bursts(events: DataFrame, cls: Column, window_us: int, threshold: int) -> Da
                 out.append((key[0], key[1], row, us))
             armed = not full
         state.update((times, armed))
+        _keep_until(state, times[-1] + window_us)
         yield pd.DataFrame(out, columns=["session", "burst_class", "row_id", "us"])
 
-    rows = events.withColumn("burst_class", cls).where("burst_class is not null").select("session", "burst_class", "row_id", "us")
-    return rows.groupBy("session", "burst_class").applyInPandasWithState(update, "session string, burst_class string, row_id long, us long", "times array<long>, armed boolean", "append", "NoTimeout")
+    rows = events.withColumn("burst_class", cls).where("burst_class is not null").select("session", "burst_class", "row_id", "us", "ts")
+    return rows.groupBy("session", "burst_class").applyInPandasWithState(update, "session string, burst_class string, row_id long, us long", "times array<long>, armed boolean", "append", "EventTimeTimeout")
 
 
 def segments(events: DataFrame, size: int, age_us: int) -> DataFrame:
@@ -95,9 +123,12 @@ def segments(events: DataFrame, size: int, age_us: int) -> DataFrame:
 def latest_answers(events: DataFrame) -> DataFrame:
     """Connects with the name that their address was last resolved to, within its time to live; answers outlive it by nothing.
 
-    events: addr, us, row_id, kind ('answer' or 'connect'), qname, ttl_us. Rows of a trigger are taken in time order.
+    events: ts, addr, us, row_id, kind ('answer' or 'connect'), qname, ttl_us. Rows of a trigger are taken in time order.
     """
     def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = state.get if state.exists else None
         out = []
         rows = pd.concat(list(batches)).sort_values(["us", "kind", "row_id"])
@@ -108,9 +139,35 @@ def latest_answers(events: DataFrame) -> DataFrame:
                 out.append((row, us, key[0], held[0] if held and us <= held[2] else None))
         if held:
             state.update(held)
+            _keep_until(state, held[2])
         yield pd.DataFrame(out, columns=["row_id", "us", "addr", "qname"])
 
-    return events.groupBy("addr").applyInPandasWithState(update, "row_id long, us long, addr string, qname string", "qname string, seen long, until long", "append", "NoTimeout")
+    return events.groupBy("addr").applyInPandasWithState(update, "row_id long, us long, addr string, qname string", "qname string, seen long, until long", "append", "EventTimeTimeout")
+
+
+def shed(events: DataFrame, rate: float = 20_000, burst: float = 20_000) -> DataFrame:
+    """session, row_id, us and shed of events (session, us, row_id, tier, ts), by one tiered bucket a session.
+
+    An idle bucket is full again after ``TIERS * burst / rate`` seconds, and then its state goes.
+    """
+    full_us = int(TIERS * burst / rate * 1e6)
+
+    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        bucket = TieredBucket(rate, burst)
+        if state.exists:
+            bucket.tokens, bucket.last = list(state.get[0]), state.get[1]
+        rows = pd.concat(list(batches)).sort_values(["us", "row_id"])
+        gone = [not pd.isna(t) and not bucket.admit(int(us), int(t)) for us, t in zip(rows.us, rows.tier)]
+        if bucket.last is not None:
+            state.update((bucket.tokens, bucket.last))
+            _keep_until(state, bucket.last + full_us)
+        yield rows.assign(session=key[0], shed=gone)[["session", "row_id", "us", "shed"]]
+
+    rows = events.select("session", "row_id", "us", "tier", "ts")
+    return rows.groupBy("session").applyInPandasWithState(update, "session string, row_id long, us long, shed boolean", "tokens array<double>, last long", "append", "EventTimeTimeout")
 
 
 def append_batches(events: DataFrame, path: str, checkpoint: str):
