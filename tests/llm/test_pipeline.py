@@ -35,3 +35,15 @@ def test_stages(spark):
 def test_run_equals_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_other_columns_empty_and_odd_rows(spark):
+    """Stages keep the columns they get; nulls, repeats and empty tables pass."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    odd = spark.createDataFrame([(None, None), (9001, None), (9002, ""), (9003, "again and again"), (9003, "again and again")], docs.schema)
+    rows = docs.unionByName(odd).selectExpr("doc_id", "text", "'own' AS mine", "'own' AS x")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        rows = materialize(stage(spark, rows, SF), "test")
+        assert rows.columns == ["doc_id", "text", "mine", "x"] and rows.where("mine = 'own' and x = 'own'").count() == rows.count() > 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -63,7 +63,7 @@ class ContentFeatures:
     """
 
     SLOTS = WORD_SLOTS + SHAPE_SLOTS + 1
-    KNOWN = 1_000_000
+    KNOWN = 300_000
 
     def __init__(self):
         self.known, self.slots = pa.array([], pa.string()), np.zeros((0, 2), np.int32)

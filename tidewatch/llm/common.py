@@ -16,7 +16,7 @@ from tidewatch.plans.tables import materialize, scratch_dir  # noqa: F401
 #: ``bytes.split``, ``bytes.strip`` and ``bytes.lower`` follow the same ASCII rules.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
-BYTES = 16 << 20  # of texts that a task works on at a time, or those of one text
+BYTES = 4 << 20  # of texts that a task works on at a time, or those of one text
 
 
 def text_bytes(text: str | Column = "text") -> Column:

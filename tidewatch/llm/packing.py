@@ -31,7 +31,7 @@ from .common import BYTES, slices, text_bytes  # noqa: F401
 CAPACITY = 2048
 CUT_SIZES = (1024, 512, 256)
 END_ID = 1
-CACHE_WORDS = 1_000_000  # distinct words that a Python worker keeps encoded, across its tasks
+CACHE_WORDS = 300_000  # distinct words that a Python worker keeps encoded, across its tasks
 ROWS = 20_000  # pieces in an output batch
 #: Sequence ids are the task's number times this, plus the task's own count.
 TASK_STRIDE = 1 << 33
@@ -164,7 +164,7 @@ class WordEncoder:
         each = words.flatten().dictionary_encode()
         if self.size > self.cache_words:
             met = np.flatnonzero(self.met[: self.size])
-            self._keep(met if len(met) <= self.cache_words // 2 else met[:0])
+            self._keep(met if len(met) <= self.cache_words else met[:0])
         own = self._places(each.dictionary)[each.indices.to_numpy()]
         ids = self.ids_at(own)
         ends = np.concatenate([[0], np.cumsum(self.counts[own])])[np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]
