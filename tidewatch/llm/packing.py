@@ -32,7 +32,7 @@ CAPACITY = 2048
 CUT_SIZES = (1024, 512, 256)
 END_ID = 1
 CACHE_WORDS = 300_000  # distinct words that a Python worker keeps encoded, across its tasks
-ROWS = 20_000  # pieces in an output batch
+ROWS, TOKENS = 20_000, 1 << 20  # pieces and tokens in an output batch, about
 #: Sequence ids are the task's number times this, plus the task's own count.
 TASK_STRIDE = 1 << 33
 
@@ -202,12 +202,14 @@ class Packer:
         self.capacity, self.cut_sizes, self.next = capacity, cut_sizes, first_sequence
         self.open: dict[int, list[tuple]] = {}
         self.rows: list[tuple] = []
+        self.tokens = 0  # in the rows
 
     def _close(self, pieces: list[tuple]) -> None:
         at = 0
         for doc, start, ids, total in pieces:
             self.rows.append((doc, start, ids, total, self.next, at))
             at += len(ids)
+        self.tokens += at
         self.next += 1
 
     def add(self, doc, ids: np.ndarray) -> None:
@@ -215,7 +217,8 @@ class Packer:
         for length in cuts(len(ids), self.capacity, self.cut_sizes):
             k = self.capacity // length
             held = self.open.setdefault(k, [])
-            held.append((doc, start, ids[start : start + length], len(ids)))
+            # a copy, so that a waiting piece doesn't hold its document
+            held.append((doc, start, ids[start : start + length].copy(), len(ids)))
             if len(held) == k:
                 self._close(self.open.pop(k))
             start += length
@@ -249,7 +252,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         end = np.array([end_id], np.uint32)
 
         def taken(id_kind: pa.DataType) -> pa.RecordBatch:
-            rows, packer.rows = packer.rows, []
+            rows, packer.rows, packer.tokens = packer.rows, [], 0
             doc, start, ids, total, sequence, offset = zip(*rows)
             longs = lambda x: pa.array(x, pa.int64())
             columns = [pa.array(doc, id_kind), longs(start), longs([len(x) for x in ids]), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), longs(total), longs(sequence), longs(offset)]
@@ -262,7 +265,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 part = batch.slice(at, to - at)
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     packer.add(doc, np.concatenate([ids, end]))
-                    if len(packer.rows) >= ROWS:
+                    if len(packer.rows) >= ROWS or packer.tokens >= TOKENS:
                         yield taken(kind)
         packer.finish()
         if packer.rows:
