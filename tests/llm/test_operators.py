@@ -9,10 +9,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import co_training, hilbert_ann, hmm_scoring, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, soft_mixing, url_filter
+from tidewatch.llm import co_training, common, hilbert_ann, hmm_scoring, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, soft_mixing, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, kept string"
 SPACES = " \t\n\x0b\x0c\r"
@@ -308,6 +309,22 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_small_batches(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(40).selectExpr("id", "repeat('x', 1000) AS text")
+    rows = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches)
+    sizes = lambda: [r.n for r in docs.coalesce(1).mapInArrow(rows, "n long").collect()]
+    spark.conf.unset(limit)
+    try:
+        common.small_batches(docs, 10_000)
+        assert max(sizes()) <= 10 and sum(sizes()) == 40
+        spark.conf.set(limit, "64m")
+        common.small_batches(docs, 10_000)
+        assert spark.conf.get(limit) == "64m"  # one made before stands
+    finally:
+        spark.conf.unset(limit)
+
+
 def test_packing_odd_texts():
     r = random.Random(3)
     parts = ["a", "É", "é", "ß", "İ", "'s", "don't", "1", "²", "…", ".", ",", " ", "\n", "́", "ﬁ", "中", "<|endoftext|>", "<|ENDOFTEXT|>", "≠", "\x1c", "\x85", "-"]

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, slices, text_bytes  # noqa: F401
+from .common import slices, small_batches, text_bytes
 
 CAPACITY = 2048
 CUT_SIZES = (1024, 512, 256)
@@ -136,8 +136,8 @@ class WordEncoder:
         texts, between = words.to_pylist(), f" {self.MARK} "
         parts = [joined[at : at + self.JOINED] for at in range(0, len(joined), self.JOINED)]
         order, counts, ids = [], [], []
-        for part, own in zip(parts, self._batch([between.join([texts[i] for i in part]) for part in parts])):
-            row = np.array(own, np.uint32)
+        for part in parts:  # one call each: what the tokenizer returns is large
+            row = np.array(self._batch([between.join([texts[i] for i in part])])[0], np.uint32)
             ends = np.flatnonzero(row == self.mark[0])
             if len(ends) != len(part) - 1:  # some word holds the mark in another spelling
                 single += part.tolist()
@@ -146,7 +146,7 @@ class WordEncoder:
             counts.append(np.diff(np.concatenate([[-1], ends, [len(row)]])) - 1)
             ids.append(np.delete(row, ends))
         if single:
-            made = self._batch([texts[i] for i in single])
+            made = [x for at in range(0, len(single), self.JOINED) for x in self._batch([texts[i] for i in single[at : at + self.JOINED]])]
             order.append(np.array(single))
             counts.append(np.fromiter(map(len, made), np.int64, len(made)))
             ids += [np.array(x, np.uint32) for x in made]
@@ -267,13 +267,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     packer.add(doc, np.concatenate([ids, end]))
                     if len(packer.rows) >= ROWS or packer.tokens >= TOKENS:
                         yield taken(kind)
+            batch = part = ids = None  # not held while the next batch comes
         packer.finish()
         if packer.rows:
             yield taken(kind)
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     schema = f"doc_id {id_type.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long"
-    return docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(task, schema)
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(task, schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
