@@ -6,6 +6,7 @@ from .co_training import op6_co_training
 from .hilbert_ann import op4_hilbert_ann
 from .hmm_scoring import op1_hmm_scoring
 from .line_dedup import OP3_SQL, op3_line_dedup
+from .max_sketch import OP11_SQL, op11_max_sketch
 from .minhash_dedup import OP8_SQL, op8_minhash_dedup
 from .packing import op5_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_max_sketch": op11_max_sketch,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op3_line_dedup": OP3_SQL,
     "op8_minhash_dedup": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_max_sketch": OP11_SQL,
 }
