@@ -12,6 +12,7 @@ from .packing import op5_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .secret_scan import op9_secret_scan
 from .soft_mixing import op7_soft_mixing
+from .suffix_dedup import op13_suffix_dedup
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
     "op11_max_sketch": op11_max_sketch,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL = {
