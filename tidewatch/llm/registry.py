@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .co_training import op6_co_training
+from .glr_repair import OP12_SQL, op12_glr_repair
 from .hilbert_ann import op4_hilbert_ann
 from .hmm_scoring import op1_hmm_scoring
 from .line_dedup import OP3_SQL, op3_line_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
     "op11_max_sketch": op11_max_sketch,
+    "op12_glr_repair": op12_glr_repair,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
@@ -36,4 +38,5 @@ ORACLE_SQL = {
     "op8_minhash_dedup": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
     "op11_max_sketch": OP11_SQL,
+    "op12_glr_repair": OP12_SQL,
 }
