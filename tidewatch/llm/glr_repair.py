@@ -37,6 +37,9 @@ ROLES = {"u": "user", "a": "assistant"}  # what may be reread or inserted, by in
 COSTS = {"K": 0, "R": 2, "D": 3, "I": 2}
 TRUNCATED = 1  # more for a truncated row that stays
 END = "$"
+#: Any top can go on as another would at this cost more at most: a role inserted, or two, or one inserted and a system row
+#: deleted. A top that costs more than that above the cheapest is given up.
+SLACK = COSTS["I"] + COSTS["D"]
 FLUSH = 32  # rows after which the tops' common audit is put away
 
 
@@ -178,7 +181,8 @@ class Repair:
             for symbol in ROLES:
                 for new in self._after(top, symbol):
                     self._merge(out, new, stays + COSTS["R"], top.audit + "R")
-        self.tops = self._inserted(out)
+        least = min(x.cost for x in out.values())
+        self.tops = self._inserted({state: x for state, x in out.items() if x.cost <= least + SLACK})
         self.rows += 1
         if not self.rows % FLUSH:
             common = os.path.commonprefix([x.audit for x in self.tops.values()])
