@@ -211,11 +211,18 @@ def repeating(seed=5, n=320):
     return [*texts, "x\0" * 40, "x\0" * 40 + "\0\0", "\0" * 100, None, None]
 
 
-@pytest.mark.parametrize("length, token", [(24, 8), (64, 48)])
-def test_repeats(spark, length, token):
+@pytest.mark.parametrize("length, token, buckets", [(24, 8, 4), (64, 48, 4), (24, 8, 60)])
+def test_repeats(spark, length, token, buckets):
     texts = repeating()
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", buckets)  # with many, groups of like regions spread over them
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     docs = spark.createDataFrame([(i if i % 50 else None, t, "clash", i) for i, t in enumerate(texts)], "doc_id long, text string, marks string, key long").repartition(6)
-    got = sorted(map(str, (tuple(x) for x in suffix_dedup.remove_repeats(docs, length=length, token=token).collect())))
+    try:
+        got = sorted(map(str, (tuple(x) for x in suffix_dedup.remove_repeats(docs, length=length, token=token).collect())))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
     assert got == sorted(str((i if i % 50 else None, *x)) for i, x in enumerate(kept_bytes(texts, length)))
 
 

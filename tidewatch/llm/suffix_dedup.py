@@ -15,11 +15,13 @@ A sparse suffix array over all texts, sorted as Spark partitions:
    if another region shares length - d bytes of suffix and d bytes before, that is, if both lie in
    one run of the two orders at these depths.
 3. Boundaries. A run that touches the first or last suffix of its bucket may go on in the next.
-   Such windows are compared across buckets by the 128-bit digest of their whole bytes.
+   Regions with such windows meet again in a second array, range-partitioned by the reversed text
+   before the anchor, which tells apart what follows many different texts. Windows whose runs
+   touch a bucket's end in both arrays are compared by the 128-bit digest of their whole bytes.
 
 Hot groups: equal regions are counted in sorted order, where a group may span any number of
 partitions, and enter the array once a partition at most; a token in very many different contexts
-spreads over buckets by what follows it. What returns to a text is at most a number a region.
+spreads over buckets by what follows it, then by what is before it. What returns to a text is at most a number a region.
 Texts are shuffled once, those with undecided regions a second time. Digests of 128 bits stand for
 texts, regions and windows at boundaries; all else is compared byte by byte.
 
@@ -211,14 +213,12 @@ def multikey_order(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def _padded(values: pa.Array, width: int, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _padded(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """A row of ``width`` bytes for each value, filled up with zeros, and the lengths."""
     data, ends = _bytes_of(values)
     sizes = np.diff(np.concatenate([[0], ends]))
     out = np.zeros((len(sizes), width), np.uint8)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    column = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
-    out[row, (sizes[row] - 1 - column) if backwards else column] = data
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(data)) - np.repeat(ends - sizes, sizes)] = data
     return out, sizes
 
 
@@ -232,25 +232,29 @@ def _common(sorted_rows: np.ndarray) -> np.ndarray:
 
 
 class Bucket:
-    """A bucket of the suffix array: regions by the suffix from their anchor and the reversed text before it."""
+    """A bucket of the suffix array: regions by the suffix from their anchor and the reversed text before it.
 
-    def __init__(self, suffix: pa.Array, before: pa.Array, length: int = LENGTH):
-        self.length = length
-        self.suffixes, sizes = _padded(suffix, -(-length // 8) * 8)
-        self.befores, self.most = _padded(before, -(-length // 8) * 8, backwards=True)
-        self.least = length - sizes  # windows begin from least to most bytes before the anchor
-        self.order, self.common = self._sorted(self.suffixes)
-        self.order_before, self.common_before = self._sorted(self.befores)
+    ``by``: 0 if buckets part the suffixes, 1 if they part the reversed texts. ``least``: windows
+    that begin nearer to the anchor than this are not looked at.
+    """
+
+    def __init__(self, suffix: pa.Array, before: pa.Array, length: int = LENGTH, by: int = 0, least: np.ndarray | int = 0):
+        self.length, self.by = length, by
+        (self.suffixes, sizes), (self.befores, self.most) = (_padded(x, -(-length // 8) * 8) for x in (suffix, before))
+        self.least = np.maximum(length - sizes, least)  # windows begin from least to most bytes before the anchor
+        self.sorted = [self._sorted(x) for x in (self.suffixes, self.befores)]
 
     @staticmethod
     def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = multikey_order(rows.view(">u8").astype(np.uint64))
         return order, _common(rows[order])
 
-    def _runs(self, order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    def _runs(self, side: int, depth: int) -> np.ndarray:
         """For each region the number of its run, whose members have ``depth`` bytes in common."""
-        out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(common < depth) - 1 if depth else 0
+        order, common = self.sorted[side]
+        out = np.zeros(len(order), np.int64)
+        if depth:
+            out[order] = np.cumsum(common < depth) - 1
         return out
 
     def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -259,46 +263,59 @@ class Bucket:
             own = np.flatnonzero((self.least <= d) & (d <= self.most))
             if not len(own):
                 continue
-            run = self._runs(self.order, self.common, self.length - d)
-            both = run[own] * len(run) + self._runs(self.order_before, self.common_before, d)[own]
-            _, first, which, count = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
+            runs = self._runs(0, self.length - d), self._runs(1, d)
+            _, first, which, count = np.unique(runs[0][own] * len(runs[0]) + runs[1][own], return_index=True, return_inverse=True, return_counts=True)
             is_first = np.zeros(len(own), bool)
             is_first[first] = True
-            is_open = (run[own] == run[self.order[0]]) | (run[own] == run[self.order[-1]])
-            yield d, own, count[which], is_first, is_open
+            run, order = runs[self.by], self.sorted[self.by][0]
+            yield d, own, count[which], is_first, (run[own] == run[order[0]]) | (run[own] == run[order[-1]])
 
     def window(self, i: int, d: int) -> bytes:
         return self.befores[i, :d][::-1].tobytes() + self.suffixes[i, : self.length - d].tobytes()
 
 
-FOUND = ["t0", "t1", "start", "windows", "w0", "w1", "copies"]
+ASKED = "t0 long, t1 long, start long, single boolean, suffix binary, before binary, least long"
+FOUND = "t0 long, t1 long, start long, windows long, w0 long, w1 long, copies long"
+
 
+def _array(length: int, by: int):
+    """Repeated windows as FOUND; windows of open runs from the first array as ASKED beside it, from the second with their digests."""
+    names = [x.split()[0] for x in f"{FOUND}, single boolean, suffix binary, before binary, least long".split(", ")]
+    kinds = dict.fromkeys(names, pa.int64()) | {"single": pa.bool_(), "suffix": pa.binary(), "before": pa.binary()}
+
+    def made(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(n, kinds[c]) for c in names], names)
 
-def _array(length: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = [b for b in batches if b.num_rows]
         if not table:
             return
         table = pa.Table.from_batches(table).combine_chunks()
-        t0, t1, start, single = (table.column(c).to_numpy() for c in ("t0", "t1", "start", "single"))
-        bucket = Bucket(*(pa.concat_arrays(table.column(c).chunks) for c in ("suffix", "before")), length)
-        repeats = np.zeros((len(t0), length), bool)
+        t0, t1, start, single, least = (table.column(c).to_numpy() for c in ("t0", "t1", "start", "single", "least"))
+        suffix, before = (pa.concat_arrays(table.column(c).chunks) for c in ("suffix", "before"))
+        bucket = Bucket(suffix, before, length, by, least)
+        repeats, asked = np.zeros((len(t0), length), bool), np.full(len(t0), length)
         for d, own, copies, is_first, is_open in bucket.windows():
             repeats[own, bucket.most[own] - d] = copies > 1
             sent = np.flatnonzero(is_open & is_first)
-            if len(sent):
-                i = own[sent]
+            i = own[sent]
+            if by == 0:
+                asked[i] = np.minimum(asked[i], d)
+            elif len(i):
                 digests = np.frombuffer(b"".join([blake2b(bucket.window(x, d), digest_size=16).digest() for x in i.tolist()]), np.int64).reshape(-1, 2)
-                yield _batch(FOUND, t0[i], t1[i], start[i] + bucket.most[i] - d, np.where(single[i], 1, 0), digests[:, 0], digests[:, 1], copies[sent])
+                yield made(len(i), t0=t0[i], t1=t1[i], start=start[i] + bucket.most[i] - d, windows=np.where(single[i], 1, 0), w0=digests[:, 0], w1=digests[:, 1], copies=copies[sent])
+        again = np.flatnonzero(asked < length)
+        if len(again):
+            at = pa.array(again)
+            yield made(len(again), t0=t0[again], t1=t1[again], start=start[again], single=single[again], suffix=suffix.take(at), before=before.take(at), least=asked[again])
         repeats &= single[:, None]
         # runs of repeated windows
         edge = np.diff(np.pad(repeats, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         i, a = np.nonzero(edge > 0)
         _, b = np.nonzero(edge < 0)
-        none = pa.nulls(len(i), pa.int64())
-        yield _batch(FOUND, t0[i], t1[i], start[i] + a, b - a, none, none, none)
+        yield made(len(i), t0=t0[i], t1=t1[i], start=start[i] + a, windows=b - a)
 
-    return task
+    return task, ", ".join(f"{c} {'boolean' if c == 'single' else 'binary' if c in ('suffix', 'before') else 'long'}" for c in names)
 
 
 def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -356,7 +373,7 @@ def _settle(length: int, id_type: pa.DataType):
                     if times < 2:  # equal texts follow each other; two of them are enough to see that they repeat
                         for x, m, anchor, s in zip(start.tolist(), n.tolist(), at.tolist(), status.tolist()):
                             if s > EQUAL:
-                                rows.append({**own, "start": x, "single": s == SINGLE, "suffix": text[x + anchor : x + m + length - 1], "before": text[x : x + anchor]})
+                                rows.append({**own, "start": x, "single": s == SINGLE, "suffix": text[x + anchor : x + m + length - 1], "before": text[x : x + anchor][::-1]})
                     last = own
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
@@ -405,9 +422,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     told = rows.join(marks, ["t0", "t1"], "left").select("doc_id", "t0", "t1", "text", "marks")
     staged = materialize(told.mapInArrow(_settle(length, to_arrow_type(id_type)), STAGED.format(id=id_type.simpleString())), "repeats")
-    asked = staged.where("suffix is not null").select("t0", "t1", "start", "single", "suffix", "before")
-    answers = materialize(asked.repartitionByRange("suffix", "before").mapInArrow(_array(length), ", ".join(f"{c} long" for c in FOUND)), "suffixes")
-    # windows at boundaries: a row a bucket and window at most
+    asked = staged.where("suffix is not null").select("t0", "t1", "start", "single", "suffix", "before", F.lit(0).cast("long").alias("least"))
+    names = [x.split()[0] for x in ASKED.split(", ")]
+    answers = materialize(asked.repartitionByRange("suffix", "before").mapInArrow(*_array(length, 0)), "suffixes")
+    again = answers.where("suffix is not null").select(*names).repartitionByRange("before", "suffix").mapInArrow(*_array(length, 1))
+    answers = answers.where("windows is not null").unionByName(materialize(again, "befores"))
+    # windows at boundaries of both: a row a bucket and window at most
     place = F.when(F.col("windows") > 0, F.struct("t0", "t1", "start"))
     across = answers.where("w0 is not null").groupBy("w0", "w1").agg(F.sum("copies").alias("copies"), F.collect_list(place).alias("places")).where("copies > 1")
     across = across.select(F.explode("places").alias("p")).select("p.*", F.lit(1).cast("long").alias("windows"))
