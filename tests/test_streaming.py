@@ -101,3 +101,60 @@ def test_late_rows_are_kept_aside(source):
     newest = batch.agg(F.max("us")).first()[0]
     fine, late = live.split_late(batch, newest, 24 * queries.HOUR)
     assert fine.count() + late.count() == batch.count() and late.count() > 0
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+SECOND = 1_000_000
+ROWS = "session string, row_id long, us long, type string, contact string, cls string, tier int"
+
+
+def stepped(spark, tmp_path, made, batches):
+    """What a stream gives for each batch of rows, written as a file one after another."""
+    source = tmp_path / "in"
+    source.mkdir()
+    got = {}
+
+    def keep(df, number):
+        got[number] = sorted(tuple(r) for r in df.collect())
+
+    rows = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).json(str(source)).withColumn("ts", F.timestamp_micros("us"))
+    stream = made(live.watch(rows, "0 seconds")).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", str(tmp_path / "log"))
+    out, seen = [], set()
+    for i, batch in enumerate(batches):
+        staged = tmp_path / f"b{i}"
+        spark.createDataFrame(batch, ROWS).coalesce(1).write.json(str(staged))
+        next(staged.glob("part-*")).rename(source / f"{i}.json")
+        stream.trigger(availableNow=True).start().awaitTermination(120)
+        out.append([r for n in sorted(set(got) - seen) for r in got[n]])
+        seen = set(got)
+    return out
+
+
+def test_segments_close_by_timer(spark, rocks, tmp_path):
+    """Another session's events move the watermark on; nothing of the first one comes."""
+    at = lambda s, i, sec, kind="x": (s, i, sec * SECOND, kind, None, None, None)
+    batches = [[at("a", i, i) for i in range(1, 4)], [at("b", 9, 30)], [at("b", 10, 100)], [at("a", 11, 101), at("a", 12, 170), at("a", 13, 171, "session.end"), at("a", 14, 172)]]
+    got = stepped(spark, tmp_path, lambda e: live.closed_segments(e, 5, 60 * SECOND), batches)
+    assert got[0] == got[1] == []
+    assert ("a", 0, 3, SECOND, 3 * SECOND, "timer") in got[2] and ("b", 0, 1, 30 * SECOND, 30 * SECOND, "age") in got[2]
+    assert [r for r in got[3] if r[0] == "a"] == [("a", 1, 1, 101 * SECOND, 101 * SECOND, "age"), ("a", 2, 2, 170 * SECOND, 171 * SECOND, "end")]
+
+
+def test_session_end_clears_everything(spark, rocks, tmp_path):
+    col = F.col
+    at = lambda i, sec, kind="x", contact=None, cls=None, tier=None, s="a": (s, i, sec * SECOND, kind, contact, cls, tier)
+    first = [at(1, 1, contact="h1"), at(2, 2, contact="h1"), at(3, 3, cls="c"), at(4, 4, cls="c"), at(5, 5, cls="c"), at(6, 6, tier=0), at(7, 6, tier=0)]
+    again = [at(11, 11, contact="h1"), at(12, 12, cls="c"), at(13, 13, tier=0)]
+    ended = [at(20, 20, "session.end")]
+    anew = [at(31, 21, contact="h1"), at(32, 22, cls="c"), at(33, 23, cls="c"), at(34, 24, tier=0)]
+    idle = [at(40, 5000, s="b")]
+    later = [at(51, 5001, contact="h1")]
+    made = lambda e: live.session_watch(e, col("contact"), col("cls"), col("tier"), 60 * SECOND, 2, rate=0.001, burst=1, idle_us=1000 * SECOND)
+    got = [[(r[1], r[3]) for r in rows if r[0] == "a"] for rows in stepped(spark, tmp_path, made, [first, again, ended, anew, idle, later])]
+    assert got == [[(1, "first_contact"), (4, "burst"), (7, "shed")], [(13, "shed")], [], [(31, "first_contact"), (33, "burst")], [], [(51, "first_contact")]]

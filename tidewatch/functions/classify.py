@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Event types that a timeline shows.
 LOAD_BEARING = ("proc.exec", "fs.sensitive_read", "net.connect", "net.dns", "fs.settle", "gap")
 #: Classes that may be shed, the first to go first; and those that never are.
 SHED_TIERS = {"fork_exit": 0, "fs.meta": 1, "fs.write_open": 2, "flow_dns": 3}
@@ -94,6 +95,7 @@ def exe_class(path: Column, dirs: tuple[str, ...] = EXE_DIRS, names: tuple[str,
     return F.when(folder.isin(*dirs) & known, "allowlisted").otherwise("unclassified")
 
 
+#: File operation codes of raw records.
 FS_OPS = {1: "fs.write_open", 2: "fs.unlink", 3: "fs.rename", 4: "fs.mkdir", 5: "fs.chmod", 6: "fs.truncate", 7: "fs.sensitive_read"}
 
 
@@ -118,10 +120,10 @@ def headline(t: Column, subject: Column) -> Column:
     return F.concat(what, F.lit(": "), F.coalesce(subject, F.lit("unknown")))
 
 
-#: Event families that a profile may switch off, by its column; all others are always captured.
+#: Event families that a profile may switch off, by its column; all others are always captured.
 SWITCHES = {
     "capture_fork_exit": ("proc.fork", "proc.exit"), "capture_file_write": ("fs.write_open", "fs.settle"),
-    "capture_file_meta": ("fs.unlink", "fs.rename", "fs.mkdir", "fs.chmod", "fs.truncate"), "capture_flow": ("net.flow", "net.dns"), "capture_unix": ("unix.connect",),
+    "capture_file_meta": ("fs.unlink", "fs.rename", "fs.mkdir", "fs.chmod", "fs.truncate"), "capture_flow": ("net.flow_close", "net.dns"), "capture_unix": ("unix.connect",),
 }
 
 

@@ -139,6 +139,37 @@ def by_ancestor(rows: DataFrame, rules: DataFrame, path: str = "path", prefix: s
     return rows.join(best, F.col(path) == F.col("_p"), "left").select(*rows.columns, F.col(f"_r.{prefix}").alias(prefix), *(F.col(f"_r.{c}").alias(c) for c in extra))
 
 
+PATH_BYTES = 256  # of a path that is looked up
+
+
+def watched(events: DataFrame, paths: DataFrame, inodes: DataFrame) -> DataFrame:
+    """``events`` (path, dev, ino) with rule: that of the whole path, cut to 256 bytes, else that of the pinned (dev, ino); null for none.
+
+    paths: prefix, rule. inodes: dev, ino, rule. Of several rules the least name holds.
+    """
+    key = F.when(F.octet_length("path") <= PATH_BYTES, F.col("path").cast("binary")).otherwise(F.substring(F.col("path").cast("binary"), 1, PATH_BYTES))
+    by_path = paths.groupBy(F.col("prefix").cast("binary").alias("_p")).agg(F.min("rule").alias("_by_path"))
+    by_inode = inodes.groupBy(F.col("dev").alias("_d"), F.col("ino").alias("_i")).agg(F.min("rule").alias("_by_inode"))
+    met = events.join(small(by_path), key == F.col("_p"), "left").join(small(by_inode), (F.col("dev") == F.col("_d")) & (F.col("ino") == F.col("_i")), "left")
+    return met.withColumn("rule", F.coalesce("_by_path", "_by_inode")).drop("_p", "_by_path", "_d", "_i", "_by_inode")
+
+
+def builtin_watchlist(homes: DataFrame, data_dir: str | None = None) -> DataFrame:
+    """(prefix, rule) of the built-in sensitive paths below each home (column home), and of the data folder. A star at a path's end is cut off."""
+    from tidewatch.functions.classify import SENSITIVE_PATHS
+
+    names = F.explode(F.array(*(F.lit(p.removeprefix("~").removesuffix("*")) for p in SENSITIVE_PATHS)))
+    rules = homes.select("home", names.alias("_n")).select(F.concat("home", "_n").alias("prefix"), F.concat(F.lit("builtin:"), F.substring("_n", 2, 256)).alias("rule")).distinct()
+    own = homes.sparkSession.createDataFrame([(data_dir, "data")] if data_dir else [], "prefix string, rule string")
+    return rules.unionByName(own)
+
+
+def with_logs(markers: DataFrame, logs: DataFrame, key: str = "run_id", log_key: str | None = None) -> DataFrame:
+    """Markers with the rows of a framework's own log of the same run; markers and rows without a partner are left out."""
+    right = logs.withColumnRenamed(log_key or key, "_run")
+    return markers.where(F.col(key).isNotNull()).join(small(right), F.col(key) == F.col("_run")).drop("_run")
+
+
 MOUNTED = "/mnt/host"  # where a guest sees the host's folders
 
 

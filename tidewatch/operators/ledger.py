@@ -7,11 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.text import same_counts
+from tidewatch.operators import scan
 from tidewatch.operators.windows import chained
 
 ZERO = "0" * 64
+SPAN = 4096  # places in a bucket, as many as a segment has events at most
 CHECKPOINT_SEGMENTS, CHECKPOINT_US = 64, 300_000_000
 
 
@@ -24,11 +27,29 @@ def canonical(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+#: Texts of the envelope, from closed vocabularies or made by the recorder: the only ones that are hashed as they are.
+ENVELOPE = ("session", "type", "origin", "state", "gap_reason", "path_source")
+
+
+def raw_texts(rows: DataFrame, columns: list[str]) -> list[str]:
+    """Those of ``columns`` that hold texts, also inside lists, maps and structs, and are neither of the envelope nor marked as redacted."""
+    from tidewatch.operators.redact import REDACTED
+
+    def holds_text(kind: T.DataType) -> bool:
+        inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [getattr(kind, x) for x in ("elementType", "keyType", "valueType") if hasattr(kind, x)]
+        return isinstance(kind, (T.StringType, T.VarcharType, T.CharType)) or any(map(holds_text, inner))
+
+    return [f.name for f in rows.select(*columns).schema if holds_text(f.dataType) and f.name not in ENVELOPE and not f.metadata.get(REDACTED)]
+
+
 def row_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` with row_hash: the leaf hash of their canonical text."""
+    """``rows`` with row_hash: the leaf hash of their canonical text. Texts must have been redacted, as their columns' metadata say."""
     floats = [c for c, t in rows.select(*columns).dtypes if t in ("double", "float")]
     if floats:
         raise ValueError(f"floating point has no canonical form: {floats}")
+    raw = raw_texts(rows, columns)
+    if raw:
+        raise ValueError(f"raw text is not hashed, redact it first: {raw}")
     return rows.withColumn("row_hash", _sha(F.concat(F.lit("00"), F.hex(canonical(columns).cast("binary")))))
 
 
@@ -91,27 +112,10 @@ def checkpoints(segments: DataFrame, every: int = CHECKPOINT_SEGMENTS, age_us: i
     A session's pending segments are attested at ``every`` segments, at an age, and at its end;
     prev_hash links the attestations of all sessions in one order.
     """
-    def cadence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, first, start, n, held = None, 0, 0, 0, None
-        for batch in batches:
-            out = []
-            for s, seg, us, h in zip(batch.session, batch.seg, batch.sealed_us, batch.seg_hash):
-                if s != session:
-                    if n:
-                        out.append((session, first, *held))
-                    session, n = s, 0
-                if n == 0:
-                    first, start = seg, us
-                n, held = n + 1, (seg, h, us)
-                if n >= every or us - start >= age_us:
-                    out.append((session, first, *held))
-                    n = 0
-            yield pd.DataFrame(out, columns=["session", "seg_first", "seg_last", "chain_head", "signed_us"])
-        if n:
-            yield pd.DataFrame([(session, first, *held)], columns=["session", "seg_first", "seg_last", "chain_head", "signed_us"])
-
-    ordered = segments.select("session", "seg", "sealed_us", "seg_hash").repartition("session").sortWithinPartitions("session", "seg")
-    made = ordered.mapInPandas(cadence, "session string, seg_first long, seg_last long, chain_head string, signed_us long")
+    pending = scan.cuts(segments.select("session", "seg", "sealed_us", "seg_hash"), "session", ["seg"], "sealed_us", every, age_us, out="_point")
+    last = F.max_by(F.struct("seg", "seg_hash", "sealed_us"), "seg").alias("_l")
+    made = pending.groupBy("session", "_point").agg(F.min("seg").alias("seg_first"), last)
+    made = made.select("session", "seg_first", F.col("_l.seg").alias("seg_last"), F.col("_l.seg_hash").alias("chain_head"), F.col("_l.sealed_us").alias("signed_us"))
     made = made.withColumn("cid", F.concat_ws("/", F.lpad(F.col("signed_us").cast("string"), 20, "0"), "session", F.lpad(F.col("seg_last").cast("string"), 12, "0")))
     made = made.withColumn("body", F.sha2(F.concat_ws("|", "session", F.col("seg_first").cast("string"), F.col("seg_last").cast("string"), "chain_head", F.col("signed_us").cast("string")), 256))
     return chained(made, "cid", "body", "prev_hash", ZERO)
@@ -217,9 +221,12 @@ def trust_card(verdicts: DataFrame, segments: DataFrame, points: DataFrame) -> D
 def export_leaves(exported: DataFrame, segments: DataFrame) -> DataFrame:
     """Exported events with the segment their place in the session falls into: a cursor over cumulative counts.
 
-    exported: session, us, row_id, row_hash. Offsets join on the session and a range of places.
+    exported: session, us, row_id, row_hash. Places are dealt to buckets of ``SPAN``; a segment goes
+    to each bucket that it reaches into, so an event meets the segments of its bucket alone.
     """
     end = F.sum("event_count").over(Window.partitionBy("session").orderBy("seg"))
-    spans = segments.select("session", "seg", (end - F.col("event_count")).alias("_from"), end.alias("_to"))
-    place = F.row_number().over(Window.partitionBy("session").orderBy("us", "row_id")) - 1
-    return exported.withColumn("_place", place).join(spans, "session").where("_place >= _from and _place < _to").drop("_place", "_from", "_to")
+    spans = segments.select("session", "seg", (end - F.col("event_count")).alias("_from"), end.alias("_to")).where("_to > _from")
+    bucket = lambda c: F.floor(c / SPAN).cast("long")
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to") - 1))))
+    placed = scan.numbers(exported, "session", ["us", "row_id"], "_place").withColumn("_bucket", bucket(F.col("_place")))
+    return placed.join(spans, ["session", "_bucket"]).where("_place >= _from and _place < _to").drop("_place", "_from", "_to", "_bucket")

@@ -2,13 +2,15 @@
 
 Rules are data of three sorts: ``SHAPES`` of tokens that name their issuer by a prefix, ``FIELDS``
 whose name says that the value is a credential, and ``CONTEXTS`` of their own form. A text is
-looked at as UTF-8 bytes, so word boundaries and white space are ASCII ones. Structural rules come
+looked at as UTF-8 bytes, so word boundaries and white space are ASCII ones. One automaton finds all
+prefixes, signs and field names in one pass; only rules with a sign in the text are tried, and a
+field's value, of any length, is read where its name was found: to the closing quote of the same
+kind, which a backslash may escape, or without quotes to white space, a quote, ``;`` or ``&``. Structural rules come
 before entropy tokens; of overlapping spans the leftmost stays, then a structural one (one that
 knows the issuer first), then the longest. An entropy token stands between delimiters and is a hex
 or base64 blob, or long and varied, but no common word or version 4 UUID; blobs inside longer
 tokens count too. A span becomes a marker of its class, length class and salted checksum; markers
-are left alone, so redacting twice changes nothing. One scan does it: rows in which nothing can be
-marked reach Python as nulls.
+are left alone, so redacting twice changes nothing.
 
 Edge cases: null stays null with no findings; empty stays empty; repeated rows are redacted alike;
 columns named like the outputs are replaced.
@@ -41,7 +43,6 @@ class Rule:
     cls: str
     pattern: str  # group 1 is the secret, else the whole match
     needles: tuple[str, ...] = ()  # lower-case; every match holds one of them
-    hint: str = ""  # matches wherever the pattern does; by default any needle
     check: str = ""  # "luhn"
 
 
@@ -49,7 +50,7 @@ SPACE = r" \t\n\x0b\x0c\r"
 GAP = f"[{SPACE}]*"
 QUOTE = "[\"']?"
 ASSIGNED = f"{QUOTE}{GAP}(?:=>|[:=]){GAP}{QUOTE}"
-VALUE = f"[^{SPACE}\"']"
+VALUE = f"[^{SPACE}\"';&]"
 
 #: Public token formats as (name, class, prefixes, characters that follow, how many at least).
 SHAPES = (
@@ -69,25 +70,28 @@ SHAPES = (
     ("stripe", "stripekey", ("sk_live_", "sk_test_", "rk_live_", "rk_test_"), "A-Za-z0-9", 16),
 )
 
-#: (name, class, ends of field names, a value's characters at least). Short names stand alone or behind a sign.
+#: (name, class, ends of field names, signs between their words, a value's characters at least). Names other than those of
+#: ``field`` stand alone or behind a sign.
 FIELDS = (
-    ("field", "entropy", ("password", "passwd", "passphrase", "passcode", "secret", "token", "credentials?", "(?:api|access|auth|private|secret|signing)[_-]?key"), 8),
-    ("short_field", "entropy", ("pass", "pin", "otp", "pw", "pwd"), 4),
+    ("field", "entropy", ("password", "passwd", "passphrase", "passcode", "secret", "token", "credential", "credentials", "api key", "access key", "access code", "auth key", "private key", "secret key", "signing key"), 1),
+    ("short_field", "entropy", ("pin", "otp", "pwd"), 1),
+    ("loose_field", "entropy", ("pass", "pw"), 4),
 )
 
 GENERAL = {name for name, *_ in FIELDS}  # give way to rules that know the issuer
 
 CONTEXTS = (
     Rule("authorization", "bearer", f"(?i)(?:\\bbearer|authorization{ASSIGNED}(?:basic|token))[{SPACE}]+([A-Za-z0-9._~+/=-]{{16,}})", ("bearer", "authorization")),
+    Rule("authorization_header", "bearer", f"(?i)authorization{QUOTE}{GAP}:{GAP}{QUOTE}(?:bearer|basic|token)[{SPACE}]+([^{SPACE}\"']+)", ("authorization",)),
     Rule("aws_secret", "awskey", f"(?i)\\baws[a-z0-9_. -]{{0,40}}(?:key|secret){ASSIGNED}([A-Za-z0-9/+]{{40}})", ("aws",)),
     Rule("azure_key", "connstring", f"(?i)(?:AccountKey|SharedAccessKey|SharedAccessSignature)=([^{SPACE}\"';]{{16,}})", ("accountkey", "sharedaccess")),
-    Rule("card", "entropy", r"\b(?:[0-9][ -]?){12,18}[0-9]\b", (), r"(?:[0-9][ -]?){12}", "luhn"),
-    Rule("digits", "entropy", r"\b[0-9]{16,}\b", (), "[0-9]{16}"),
+    Rule("card", "entropy", r"\b(?:[0-9][ -]?){12,18}[0-9]\b", (), "luhn"),
+    Rule("digits", "entropy", r"\b[0-9]{16,}\b"),
     Rule("jwt", "jwt", r"\beyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{4,}){1,4}\.?", ("eyj",)),
     Rule("pem", "pem", f"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----(?:.*?-----END [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----|(?:[{SPACE}]+[A-Za-z0-9+/=]{{40,}})*)", ("-----begin",)),
     Rule("signed_url", "connstring", f"[?&]sig=([^{SPACE}\"'&]{{16,}})", ("sig=",)),
-    Rule("slack_hook", "slacktoken", r"(?i)https?://hooks\.slack\.com/[A-Za-z0-9/_-]+", ("hooks.slack",)),
-    Rule("url_password", "connstring", f"\\b[a-z][a-z0-9+.-]*://[^{SPACE}:/@]*:([^{SPACE}/]+)@", ("://",), f"://[^{SPACE}/]*@"),
+    Rule("slack_hook", "slacktoken", r"(?i)(?:https?://)?\bhooks\.slack\.com/[A-Za-z0-9/_-]+", ("hooks.slack",)),
+    Rule("url_password", "connstring", f"\\b[a-z][a-z0-9+.-]*://[^{SPACE}:/@]*:([^{SPACE}/]+)@", ("://",)),
 )
 
 
@@ -95,17 +99,27 @@ def _shape(name: str, cls: str, prefixes: tuple[str, ...], letters: str, least:
     return Rule(name, cls, rf"\b(?:{'|'.join(map(re.escape, prefixes))})[{letters}]{{{least},}}", tuple(x.lower() for x in prefixes))
 
 
+def _spellings(name: str) -> list[str]:
+    """A field name's words joined by nothing, a hyphen or an underscore."""
+    return list(dict.fromkeys(sign.join(name.split()) for sign in ("", "-", "_")))
+
+
 def _field(name: str, cls: str, ends: tuple[str, ...], least: int) -> Rule:
     alone = "" if name == "field" else "(?:^|[^a-z0-9])"
-    return Rule(name, cls, f"(?i){alone}(?:{'|'.join(ends)}){ASSIGNED}({VALUE}{{{least},}})", (), f"(?:{'|'.join(ends)}){QUOTE}{GAP}[:=]")
+    return Rule(name, cls, f"(?i){alone}(?:{'|'.join(x.replace(' ', '[_-]?') for x in sorted(ends, key=len, reverse=True))}){ASSIGNED}({VALUE}{{{least},}})")
 
 
+NUMERIC = ("card", "digits")  # need 13 digits in a row
 RULES = (*(_shape(*x) for x in SHAPES), *(_field(*x) for x in FIELDS), *CONTEXTS)
 MARKER = "⟦R:[a-z]+:[a-z]+:[0-9a-f]{8}⟧"
 DELIMITERS = r"\s=:/.,;@|\"'()<>"
 RUN = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 HEX = re.compile(rb"[0-9a-fA-F]{16,}")
 BASE64 = re.compile(rb"(?=.{24})[A-Za-z0-9+/_-]+={0,2}")
+DIGITS = re.compile(rb"[0-9](?:[ -]?[0-9]){12}")
+BETWEEN = re.compile(rf"(?:\\*[\"'])?{GAP}(?:=>|[:=]){GAP}".encode())
+OPENS = re.compile(rb"(\\*)([\"'])")
+BARE = re.compile(f"{VALUE}+".encode())
 UUID4 = re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-4[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}")
 #: Argument flags whose operand is a credential; the hyphen inside may be missing.
 FLAGS = (
@@ -144,6 +158,36 @@ def _luhn(digits: bytes) -> bool:
     return total % 10 == 0
 
 
+def _quoted(raw: bytes, at: int, escapes: bytes, quote: bytes) -> tuple[int, int] | None:
+    """The text from ``at`` to the closing quote on its line, with as many backslashes as the opening one, if there is one."""
+    line = raw.find(b"\n", at)
+    line = len(raw) if line < 0 else line
+    end = at
+    while 0 <= (end := raw.find(quote, end, line)):
+        before = end
+        while before > at and raw[before - 1 : before] == b"\\":
+            before -= 1
+        # inside plain quotes a backslash takes the quote with it; inside escaped ones more backslashes do
+        if end - before == len(escapes) or not escapes and (end - before) % 2 == 0:
+            return at, end - len(escapes)
+        end += 1
+    return None
+
+
+def field_value(raw: bytes, at: int) -> tuple[int, int] | None:
+    """Where the value lies that is assigned to the name that ends at ``at``."""
+    sign = BETWEEN.match(raw, at)
+    if not sign:
+        return None
+    opened = OPENS.match(raw, sign.end())
+    if opened:
+        span = _quoted(raw, opened.end(), *opened.groups())
+        if span:
+            return span if span[1] > span[0] else None
+    bare = BARE.match(raw, opened.end() if opened else sign.end())
+    return bare.span() if bare else None
+
+
 class Redactor:
     """Rules may be added and entropy thresholds tightened, never loosened; checked here."""
 
@@ -154,9 +198,55 @@ class Redactor:
         for rule in extra:
             if rule.cls != "entropy":
                 raise ValueError(f"added rules mark the class entropy: {rule.name}")
-        self.rules = [(r, re.compile(r.pattern.encode()), [x.encode() for x in r.needles]) for r in (*RULES, *extra)]
+        self.rules = [(r, re.compile(r.pattern.encode())) for r in (*RULES, *extra) if r.name not in GENERAL]
+        self.always = [i for i, (r, _) in enumerate(self.rules) if not r.needles and r.name not in NUMERIC]
+        self.numeric = [i for i, (r, _) in enumerate(self.rules) if r.name in NUMERIC]
         self.marker = re.compile(MARKER.encode())
         self.token = re.compile(f"[^{DELIMITERS}]{{{min(16, max(1, min_length))},}}".encode())
+        self.signs = None  # built where it is used
+
+    def _automaton(self):
+        """All needles, each with the rules that it calls for, and all field names, each with its rule."""
+        import ahocorasick
+
+        words: dict[str, tuple[set, list]] = {}
+        for i, (rule, _) in enumerate(self.rules):
+            for needle in rule.needles:
+                words.setdefault(needle, (set(), []))[0].add(i)
+        for name, cls, ends, least in FIELDS:
+            for spelling in (x for end in ends for x in _spellings(end)):
+                words.setdefault(spelling, (set(), []))[1].append((name, cls, least, len(spelling), name != "field"))
+        made = ahocorasick.Automaton()
+        for word, (rules, fields) in words.items():
+            made.add_word(word, (frozenset(rules), tuple(fields)))
+        made.make_automaton()
+        return made
+
+    def __getstate__(self):
+        return self.__dict__ | {"signs": None}
+
+    def _structural(self, raw: bytes) -> list[tuple[int, int, int, int, str, str]]:
+        """(start, 0, -end, general, class, rule) of all rules' matches."""
+        if self.signs is None:
+            self.signs = self._automaton()
+        low = raw.lower().decode("latin-1")  # a character a byte
+        found, called, values = [], set(self.always), {}
+        for last, (rules, fields) in self.signs.iter(low):
+            called |= rules
+            for name, cls, least, size, alone in fields:
+                if alone and last >= size and low[last - size].isascii() and low[last - size].isalnum():
+                    continue
+                if last not in values:
+                    values[last] = field_value(raw, last + 1)
+                if values[last] and values[last][1] - values[last][0] >= least:
+                    found.append((values[last][0], 0, -values[last][1], 1, cls, name))
+        if DIGITS.search(raw):
+            called.update(self.numeric)
+        for i in sorted(called):
+            rule, pattern = self.rules[i]
+            group = 1 if pattern.groups else 0
+            found += [(m.start(group), 0, -m.end(group), 0, rule.cls, rule.name) for m in pattern.finditer(raw) if rule.check != "luhn" or _luhn(m.group(group))]
+        return found
 
     @staticmethod
     def _blob(token: bytes) -> bool:
@@ -176,29 +266,22 @@ class Redactor:
     def spans(self, raw: bytes, entropy: bool = True) -> list[tuple[int, int, str, str]]:
         """(start, end, class, rule) in bytes, without overlaps. Without ``entropy`` by structural rules only."""
         held = [(m.start(), m.end()) for m in self.marker.finditer(raw)]
-        found, low = [], raw.lower()
-        for rule, pattern, needles in self.rules:
-            if needles and not any(x in low for x in needles):
-                continue
-            for m in pattern.finditer(raw):
-                group = 1 if pattern.groups else 0
-                if rule.check != "luhn" or _luhn(m.group(group)):
-                    found.append((m.start(group), int(rule.name in GENERAL), -m.end(group), rule.cls, rule.name))
-        claimed = sorted([*held, *((start, -end) for start, _, end, _, _ in found)])
+        found = self._structural(raw)
+        claimed = sorted([*held, *((x[0], -x[2]) for x in found)])
         i = 0
         for m in self.token.finditer(raw) if entropy else ():
             if self._secret(m.group()):
-                found.append((m.start(), 2, -m.end(), "entropy", "entropy"))
+                found.append((m.start(), 1, -m.end(), 1, "entropy", "entropy"))
             # blobs outside what rules and markers hold
             at = m.start()
             while at < m.end():
                 while i < len(claimed) and claimed[i][1] <= at:
                     i += 1
                 a, b = claimed[i] if i < len(claimed) else (len(raw), len(raw))
-                found += [(x, 2, -y, "entropy", "entropy") for x, y in self._blobs(raw, at, min(max(a, at), m.end()))]
+                found += [(x, 1, -y, 1, "entropy", "entropy") for x, y in self._blobs(raw, at, min(max(a, at), m.end()))]
                 at = min(max(b, at), m.end())
         out, last = [], 0
-        for start, _, end, cls, name in sorted(found):
+        for start, _, end, _, cls, name in sorted(found):
             if start >= last and not any(a < -end and start < b for a, b in held):
                 out.append((start, -end, cls, name))
                 last = -end
@@ -221,22 +304,19 @@ class Redactor:
         return b"".join([*parts, raw[at:]]).decode(errors="replace"), found
 
 
-def hint(min_length: int = 20) -> str:
-    """What a row must hold to be looked at, a superset of all that Redactor marks: a rule's sign, or a token of enough bytes.
+#: Mark in a column's metadata: its texts went through a redactor.
+REDACTED = "redacted"
 
-    Tokens count from 16 bytes by default, which 16 characters or two beyond ASCII hold; with a
-    lower threshold from a quarter of its characters.
-    """
-    signs = "|".join(x for r in RULES for x in ((r.hint,) if r.hint else map(re.escape, r.needles)))
-    token = f"[^{DELIMITERS}]{{16}}|[^\\x00-\\x7F][^{DELIMITERS}]{{0,13}}[^\\x00-\\x7F]" if min_length >= 20 else f"[^{DELIMITERS}]{{{max(1, min(16, min_length) // 4)}}}"
-    return f"(?i){signs}|{token}"
+
+def tagged(column: Column, name: str) -> Column:
+    """``column`` as ``name``, marked as redacted. The mark stays through selections, joins, files and tables."""
+    return column.alias(name, metadata={REDACTED: True})
 
 
-HINT = hint()
 FINDING = "struct<start:int,end:int,class:string,rule:string,len_class:string,checksum:string>"
 
 
-def redact(rows: DataFrame, column: str, salt: str, extra: tuple[Rule, ...] = (), min_length: int = 20, min_bits: float = 4.0, prefilter: bool = True) -> DataFrame:
+def redact(rows: DataFrame, column: str, salt: str, extra: tuple[Rule, ...] = (), min_length: int = 20, min_bits: float = 4.0) -> DataFrame:
     """``rows`` with ``column``_redacted and findings."""
     work = Redactor(salt, extra, min_length, min_bits)
 
@@ -246,10 +326,14 @@ def redact(rows: DataFrame, column: str, salt: str, extra: tuple[Rule, ...] = ()
             made = [work.redact(t) if t is not None else (None, []) for t in batch]
             yield pd.DataFrame({"redacted": [m[0] for m in made], "findings": [m[1] for m in made]})
 
-    text = F.col(column)
-    looked_at = text if extra or not prefilter else F.when(text.rlike(hint(min_length)), text)
-    done = rows.withColumn("_r", run(looked_at))
-    return done.withColumns({f"{column}_redacted": F.coalesce("_r.redacted", text), "findings": F.coalesce("_r.findings", F.array().cast(f"array<{FINDING}>"))}).drop("_r")
+    done = rows.withColumn("_r", run(F.col(column)))
+    return _with(done, tagged(F.col("_r.redacted"), f"{column}_redacted"), F.coalesce("_r.findings", F.array().cast(f"array<{FINDING}>")).alias("findings")).drop("_r")
+
+
+def _with(rows: DataFrame, *made: Column) -> DataFrame:
+    """``rows`` with named columns in place of those of the same name, their metadata kept."""
+    names = {rows.select(m).columns[0] for m in made}
+    return rows.select(*(c for c in rows.columns if c not in names), *made)
 
 
 def redact_lists(lists: Column, salt: str) -> Column:
@@ -266,7 +350,7 @@ def redact_lists(lists: Column, salt: str) -> Column:
 
 def redact_argv(rows: DataFrame, column: str, salt: str) -> DataFrame:
     """``rows`` with ``column``_redacted: operands of credential flags become markers whole, other arguments are redacted by themselves."""
-    return rows.withColumn(f"{column}_redacted", redact_lists(mark_operands(F.col(column), salt), salt))
+    return _with(rows, tagged(redact_lists(mark_operands(F.col(column), salt), salt), f"{column}_redacted"))
 
 
 def mark_operands(argv: Column, salt: str) -> Column:
@@ -305,7 +389,7 @@ def redact_paths(rows: DataFrame, column: str, resolved: Column, salt: str) -> D
         for segments, spared in parts:
             yield pd.Series([None if own is None else "/".join(work.redact(x, not free)[0] for x, free in zip(own, frees)) for own, frees in zip(segments, spared)], dtype=object)
 
-    return rows.withColumn(f"{column}_redacted", run(F.split(F.col(column), "/"), path_segments_spared(F.col(column), resolved)))
+    return _with(rows, tagged(run(F.split(F.col(column), "/"), path_segments_spared(F.col(column), resolved)), f"{column}_redacted"))
 
 
 def findings(redacted: DataFrame, key: str) -> DataFrame:
@@ -339,6 +423,6 @@ def gates(rows: DataFrame) -> DataFrame:
 
 def unredacted(rows: DataFrame, key: str, column: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(key, rule) where a structural rule without a checksum still matches outside markers; must be empty."""
-    bare = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), MARKER, " ")
+    bare = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), MARKER, '"')  # a sign that no value holds
     hits = F.array(*(F.when(bare.rlike(r.pattern), F.lit(r.name)) for r in rules if not r.check))
     return rows.select(key, F.explode(F.array_compact(hits)).alias("rule"))

@@ -89,12 +89,23 @@ def session_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("session").agg(F.count("*").alias("events"), F.count_if(t == "proc.exec").alias("execs"), F.count_if(t.startswith("fs.")).alias("files"), F.count_if(t == "net.connect").alias("connects"), F.count_if(t == "fs.sensitive_read").alias("sensitive_reads"), F.count_if(crit).alias("critical"))
 
 
-def event_page(events: DataFrame, session: str, after: int | None = None, limit: int = 200) -> DataFrame:
-    """The session's events after an idx, by idx. A limit outside 1 to 2000 is 200."""
+def event_rows(events: DataFrame, session: str, after: int | None = None, limit: int = 0) -> DataFrame:
+    """The session's events after an idx, by idx; all of them with a limit of 0 or less."""
     rows = events.where(F.col("session") == session)
     if after is not None:
         rows = rows.where(F.col("idx") > after)
-    return rows.orderBy("idx").limit(limit if 1 <= limit <= 2000 else 200)
+    rows = rows.orderBy("idx")
+    return rows.limit(limit) if limit > 0 else rows
+
+
+def event_page(events: DataFrame, session: str, after: int | None = None, limit: int = 200) -> DataFrame:
+    """The session's events after an idx, by idx. A limit outside 1 to 2000 is 200."""
+    return event_rows(events, session, after, limit if 1 <= limit <= 2000 else 200)
+
+
+def first_of(events: DataFrame, kind: str) -> DataFrame:
+    """Each session's first event of a type, whole."""
+    return events.where(F.col("type") == kind).groupBy("session").agg(F.min_by(F.struct(*events.columns), F.struct("us", "row_id")).alias("e")).select("e.*")
 
 
 def next_after(page: DataFrame) -> DataFrame:
@@ -116,9 +127,11 @@ def timeline(events: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def incident_headers(events: DataFrame, alerts: DataFrame) -> DataFrame:
-    """One row a session: span, events, alerts, first event of a type."""
+    """One row a session: span, events, alerts, when it says that it began, and the first program."""
     counts = alerts.groupBy("session").agg(F.count("*").alias("alerts"))
     head = events.groupBy("session").agg(F.min("us").alias("from_us"), F.max("us").alias("to_us"), F.count("*").alias("events"), F.min_by("path", F.when(F.col("type") == "proc.exec", F.struct("us", "row_id"))).alias("first_exec"))
+    starts = first_of(events, "session.start").select("session", F.col("us").alias("start_us"))
+    head = head.join(starts, "session", "left")
     return head.join(counts, "session", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0).cast("long")))
 
 

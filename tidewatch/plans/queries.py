@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidewatch.functions import classify as C
 from tidewatch.functions import net, text
 from tidewatch.operators import govern, joins, ledger, redact, windows
-from tidewatch.plans import detect, tables
-from tidewatch.sources import files
+from tidewatch.plans import detect, exports, tables
+from tidewatch.sources import files, records
 from tidewatch.sources.events import EV_SQL, adapt, parse_markers, reject_reason
 
 HOUR = 3_600_000_000
@@ -56,8 +56,8 @@ def first_contact(spark, d):
   CASE WHEN type = 'net.connect' THEN CASE WHEN addr LIKE '10.%' THEN 'private' ELSE 'public' END END AS net_class, CASE WHEN type = 'net.connect' AND addr LIKE '8.8.8.%' THEN 'Google Public DNS' END AS asn,
   type = 'net.connect' AND qname IS NULL AS dns_bypass, type <> 'net.connect' AND (addr LIKE '10.%' OR k % 7 = 0) AS dns_rebind FROM first""")
 def new_domain_alerts(spark, d):
-    """Names resolve to their address and, every seventh, to a loopback address besides."""
-    answers = F.array(F.col("addr"), F.when(F.col("k") % 7 == 0, "127.0.0.1").otherwise("8.8.8.8"))
+    """Names resolve to their address and, every seventh, to a loopback address besides, written as IPv6."""
+    answers = F.array(F.col("addr"), F.when(F.col("k") % 7 == 0, "::ffff:127.0.0.1").otherwise("2001:4860:4860::8888"))
     return detect.new_domain_alerts(ev(spark, d).withColumn("answers", answers), net.prefix_table(spark))
 
 
@@ -94,15 +94,45 @@ raw AS (
 alerts AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY us, row_id, rule) - 1 AS alert_idx FROM raw) """
 
 
-@query("alert_engine", ALERTS_SQL + "SELECT session, row_id, us, type, subject, rule, alert_idx FROM alerts")
+PLANTED = {3: "session.start", 7: "alert.cgroup_escape", 8: "alert.escape_precursor"}
+
+
+def planted(spark, d: str) -> DataFrame:
+    """The events with three files' writes made a session's start and two kinds of escapes."""
+    kind = F.col("type")
+    for k, name in PLANTED.items():
+        kind = F.when((F.col("type") == "fs.write_open") & (F.col("k") == k), name).otherwise(kind)
+    return ev(spark, d).withColumn("type", kind)
+
+
+PLANTED_SQL = f"""-- pe AS (SELECT * REPLACE (CASE {' '.join(f"WHEN type = 'fs.write_open' AND k = {k} THEN '{name}'" for k, name in PLANTED.items())} ELSE type END AS type) FROM ev),
+ {ALERTS_SQL[2:].replace("FROM ev", "FROM pe").replace("FROM fired),", "FROM fired UNION ALL SELECT session, row_id, us, type, path, 2 FROM pe WHERE type LIKE 'alert.%'),")}"""
+
+
+@query("alert_engine", PLANTED_SQL + "SELECT session, row_id, us, type, subject, rule, alert_idx FROM alerts")
 def alert_engine(spark, d):
-    return detect.all_alerts(ev(spark, d), 240 * HOUR, 5)
+    """All rules' alerts, escapes that the events hold among them."""
+    return detect.all_alerts(planted(spark, d), 240 * HOUR, 5)
+
 
+@query("session_starts", PLANTED_SQL + "SELECT session, min(row_id) AS row_id, min(us) AS us, arg_min(path, row_id) AS path FROM pe WHERE type = 'session.start' GROUP BY session")
+def session_starts(spark, d):
+    return detect.first_of(planted(spark, d), "session.start").select("session", "row_id", "us", "path")
 
-@query("notifications", ALERTS_SQL + """SELECT session, alert_idx, CASE type WHEN 'alert.new_domain' THEN 'New destination' WHEN 'alert.sensitive_read' THEN 'Sensitive file read' ELSE 'Burst of activity' END AS title,
+
+@query("type_families", """SELECT row_id, k % 4 = 0 AS is_marker, k % 4 = 1 AS is_gap, k % 4 = 2 AS is_alert FROM ev""")
+def type_families(spark, d):
+    """Markers, gaps and alerts among the types."""
+    m = F.col("k") % 4
+    rows = ev(spark, d).withColumn("type", F.when(m == 0, "marker.run.start").when(m == 1, "gap").when(m == 2, "alert.burst").otherwise(F.col("type")))
+    t = F.col("type")
+    return rows.select("row_id", C.is_marker(t).alias("is_marker"), C.is_gap(t).alias("is_gap"), C.is_alert(t).alias("is_alert"))
+
+
+@query("notifications", PLANTED_SQL + """SELECT session, alert_idx, CASE type WHEN 'alert.new_domain' THEN 'New destination' WHEN 'alert.sensitive_read' THEN 'Sensitive file read' WHEN 'alert.burst' THEN 'Burst of activity' ELSE 'Escape from the session' END AS title,
   'session ' || session || ': ' || coalesce(subject, '?') AS body FROM alerts""")
 def notifications(spark, d):
-    return detect.notifications(detect.all_alerts(ev(spark, d), 240 * HOUR, 5))
+    return detect.notifications(detect.all_alerts(planted(spark, d), 240 * HOUR, 5))
 
 
 @query("escape_precursors", """SELECT session, row_id, us, 'alert.escape_precursor' AS type, path, pid FROM ev
@@ -125,7 +155,7 @@ def dns_asof(spark, d):
 
 @query("ip_class", r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS addr FROM documents),
  p AS (SELECT doc_id, addr, list_transform(string_split(addr, '.'), lambda x: CAST(x AS BIGINT)) AS o FROM a),
- n AS (SELECT doc_id, addr, CASE WHEN list_max(o) <= 255 THEN o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] END AS n FROM p)
+ n AS (SELECT doc_id, addr, CASE WHEN list_max(o) <= 255 AND NOT regexp_matches(addr, '(^|[.])0[0-9]') THEN o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] END AS n FROM p)
  SELECT addr, count(*) AS hits, CASE WHEN n IS NULL THEN NULL WHEN n BETWEEN 2130706432 AND 2147483647 THEN 'loopback' WHEN n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 3758096384 AND 3758096639 THEN 'link_local'
    WHEN n BETWEEN 1681915904 AND 1686110207 THEN 'cgnat' WHEN n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3232235520 AND 3232301055 THEN 'private' ELSE 'public' END AS ip_class
  FROM n GROUP BY addr, n""", ev=False)
@@ -144,6 +174,28 @@ def address_render(spark, d):
     return ev(spark, d).select("addr").where("addr is not null").distinct().withColumn("rendered", net.render_address(net.mapped_bytes(F.col("addr"))))
 
 
+ADDRESSES = (("2001:db8::", 32, "Documentation"), ("2001:db8:40::", 42, "Examples"), ("fd00::", 9, "Local"), ("10.0.0.0", 27, "Lab"))
+
+
+@query("address_forms", """-- f AS (SELECT row_id, k, row_id % 10 AS m, lpad(lower(to_hex(k)), 2, '0') AS h, lower(to_hex(k)) AS x FROM ev),
+ g AS (SELECT *, CASE m WHEN 0 THEN '::ffff:10.0.0.' || k WHEN 1 THEN '0:0:0:0:0:FFFF:0a00:' || x WHEN 2 THEN 'fe80::' || x || '%eth0' WHEN 3 THEN 'fd' || h || '::1:0:0:' || x WHEN 4 THEN '2001:DB8:' || x || '::' WHEN 5 THEN '0:0::1'
+     WHEN 6 THEN 'ff02::1:' || x WHEN 7 THEN '1::2::' || x WHEN 8 THEN '1:2:3:4:5:6:7:8:' || x ELSE '64:ff9b::192.0.2.' || k END AS addr FROM f)
+ SELECT row_id, addr, CASE m WHEN 0 THEN 'private' WHEN 1 THEN 'private' WHEN 2 THEN 'link_local' WHEN 3 THEN 'private' WHEN 4 THEN 'public' WHEN 5 THEN 'loopback' WHEN 6 THEN 'link_local' WHEN 9 THEN 'public' END AS ip_class,
+   CASE m WHEN 0 THEN '10.0.0.' || k WHEN 1 THEN '10.0.0.' || k WHEN 2 THEN 'fe80:0:0:0:0:0:0:' || x WHEN 3 THEN 'fd' || h || ':0:0:0:1:0:0:' || x WHEN 4 THEN '2001:db8:' || x || ':0:0:0:0:0' WHEN 5 THEN '0:0:0:0:0:0:0:1'
+     WHEN 6 THEN 'ff02:0:0:0:0:0:1:' || x WHEN 9 THEN '64:ff9b:0:0:0:0:c000:2' || h ELSE '' END AS rendered,
+   CASE WHEN m < 2 AND k < 32 THEN 'Lab' WHEN m = 3 THEN 'Local' WHEN m = 4 AND k >= 64 THEN 'Examples' WHEN m = 4 THEN 'Documentation' END AS asn FROM g""")
+def address_forms(spark, d):
+    """Addresses of both families in many spellings, two of them none: class, full form and longest prefix."""
+    k, m, x = F.col("k"), F.col("row_id") % 10, F.lower(F.hex("k"))
+    addr = (
+        F.when(m == 0, F.concat(F.lit("::ffff:10.0.0."), k)).when(m == 1, F.concat(F.lit("0:0:0:0:0:FFFF:0a00:"), x)).when(m == 2, F.concat(F.lit("fe80::"), x, F.lit("%eth0"))).when(m == 3, F.concat(F.lit("fd"), F.lpad(x, 2, "0"), F.lit("::1:0:0:"), x))
+        .when(m == 4, F.concat(F.lit("2001:DB8:"), x, F.lit("::"))).when(m == 5, F.lit("0:0::1")).when(m == 6, F.concat(F.lit("ff02::1:"), x)).when(m == 7, F.concat(F.lit("1::2::"), x)).when(m == 8, F.concat(F.lit("1:2:3:4:5:6:7:8:"), x)).otherwise(F.concat(F.lit("64:ff9b::192.0.2."), k))
+    )
+    rows = ev(spark, d).select("row_id", addr.alias("addr"))
+    rows = rows.withColumn("ip_class", net.ip_class(F.col("addr"))).withColumn("rendered", net.render_address(net.address_bytes(F.col("addr"))))
+    return net.label_addresses(rows, net.prefix_table(spark, ADDRESSES)).select("row_id", "addr", "ip_class", "rendered", "asn")
+
+
 # sessions, pages, classes
 
 @query("session_list", """SELECT session, min(us) AS started_us, max(CASE WHEN k = 99 THEN us END) AS ended_us, count(*) AS events,
@@ -167,6 +219,12 @@ def event_page(spark, d):
     return detect.event_page(windows.numbered(ev(spark, d)), "s7", 10, 20).select("session", "idx", "row_id", "type")
 
 
+@query("event_rows", f"-- {NUMBERED} SELECT session, idx, row_id, type FROM n WHERE session = 's7' AND idx > 2")
+def event_rows(spark, d):
+    """All that comes after a place; a limit of 0 is none."""
+    return detect.event_rows(windows.numbered(ev(spark, d)), "s7", 2, 0).select("session", "idx", "row_id", "type")
+
+
 @query("event_numbers", f"-- {NUMBERED} SELECT session, row_id, CAST(idx AS BIGINT) AS idx FROM n")
 def event_numbers(spark, d):
     return windows.numbered(ev(spark, d)).select("session", "row_id", "idx")
@@ -201,12 +259,14 @@ def describe_events(spark, d):
     return ev(spark, d).select("row_id", C.describe(F.col("type"), F.col("path"), F.col("addr"), F.col("qname")).alias("line"))
 
 
-@query("capture_switches", "SELECT row_id, type FROM ev WHERE type IN ('proc.exec', 'net.connect', 'fs.sensitive_read') OR (type = 'fs.write_open' AND k % 3 <> 1) OR (type = 'net.dns' AND k % 3 <> 2)")
+@query("capture_switches", """SELECT row_id, CASE WHEN type = 'net.dns' AND k % 2 = 0 THEN 'net.flow_close' ELSE type END AS type FROM ev
+  WHERE type IN ('proc.exec', 'net.connect', 'fs.sensitive_read') OR (type = 'fs.write_open' AND k % 3 <> 1) OR (type = 'net.dns' AND k % 3 <> 2)""")
 def capture_switches(spark, d):
-    """Two profiles switch off files and names; exec, connect and sensitive reads cannot be switched off."""
+    """Two profiles switch off files, and names and flows (every second name's event is made a flow's end); exec, connect and sensitive reads cannot be switched off."""
     profiles = spark.createDataFrame([(0, True, None), (1, False, True), (2, None, False)], "p long, capture_file_write boolean, capture_flow boolean")
     off = {c: F.lit(None).cast("boolean") for c in C.SWITCHES if c not in profiles.columns}
-    rows = ev(spark, d).withColumn("p", F.col("k") % 3).join(joins.small(profiles), "p").withColumns(off)
+    flow = F.when((F.col("type") == "net.dns") & (F.col("k") % 2 == 0), "net.flow_close").otherwise(F.col("type"))
+    rows = ev(spark, d).withColumn("p", F.col("k") % 3).withColumn("type", flow).join(joins.small(profiles), "p").withColumns(off)
     return rows.where(C.captured(F.col("type"))).select("row_id", "type")
 
 
@@ -256,6 +316,31 @@ def raw_records(spark, d):
     return ev(spark, d).select("row_id", C.fs_op_type(F.col("k") % 8).alias("fs_type"), C.proto_label(F.when(F.col("k") % 2 == 0, 17).otherwise(6)).alias("proto"), C.family_label(F.when(F.col("k") % 3 == 0, 6).otherwise(4)).alias("family"), F.array_join(argv, " ").alias("argv"))
 
 
+RAW_SQL = """-- m AS (SELECT *, ['exec', 'fork', 'exit', 'fs_op', 'connect', 'sendmsg', 'unix_connect', 'flow_close', 'dns', 'migration'][row_id % 10 + 1] AS kind, row_id % 23 AS f FROM ev),
+ r AS (SELECT *, CASE f WHEN 1 THEN 'json' WHEN 2 THEN 'version' WHEN 3 THEN 'kind' WHEN 4 THEN 'length' WHEN 5 THEN 'length' END AS bad FROM m)
+ SELECT row_id, bad AS reject_reason, CASE WHEN f = 3 THEN 'ptrace' WHEN f <> 1 THEN kind END AS kind, CASE WHEN bad IS NULL THEN CASE kind WHEN 'exec' THEN 'proc.exec' WHEN 'fork' THEN 'proc.fork' WHEN 'exit' THEN 'proc.exit'
+     WHEN 'fs_op' THEN ['fs.write_open', 'fs.unlink', 'fs.rename', 'fs.mkdir', 'fs.chmod', 'fs.truncate', 'fs.sensitive_read'][k % 7 + 1] WHEN 'unix_connect' THEN 'unix.connect' WHEN 'flow_close' THEN 'net.flow_close' WHEN 'dns' THEN 'net.dns' WHEN 'migration' THEN 'alert.cgroup_escape' ELSE 'net.connect' END END AS type,
+   CASE WHEN bad IS NULL THEN pid END AS pid, CASE WHEN bad IS NULL AND kind IN ('fs_op', 'unix_connect') THEN '/f' || k END AS path, CASE WHEN bad IS NULL AND kind IN ('exec', 'fork') THEN 1 END AS ppid,
+   CASE WHEN bad IS NULL AND kind IN ('connect', 'sendmsg', 'flow_close') THEN k END AS dport, CASE WHEN bad IS NULL AND kind = 'exec' THEN 'run a' || k END AS argv, CASE WHEN bad IS NULL AND kind = 'dns' THEN 'h' || k END AS qname, CASE WHEN bad IS NULL AND kind = 'migration' THEN k END AS to_cgid FROM r"""
+
+
+@query("raw_kinds", RAW_SQL)
+def raw_kinds(spark, d):
+    """Lines of all ten kinds, each with every field there is, and five faults: no JSON, another version, an unknown kind, a missing and an overlong field."""
+    m, f, k = F.col("row_id") % 10, F.col("row_id") % 23, F.col("k")
+    kind = F.when(f == 3, "ptrace").otherwise(F.element_at(F.array(*map(F.lit, records.KINDS)), (m + 1).cast("int")))
+    fields = {name: F.lit(1).cast("long") for name in records.COLUMNS if name not in records.FIELDS} | {"pid": F.when(f != 4, F.col("pid")), "op": k % 7 + 1, "dport": k, "to_cgid": k, "ts_wall": F.col("us"), "comm": F.lit("c"), "exe_path": F.lit("/x"), "cwd": F.lit("/"), "path2": F.lit("/g"), "exe_digest": F.repeat(F.lit("0"), 64)}
+    fields |= {"path": F.concat(F.lit("/f"), k), "qname": F.concat(F.lit("h"), k), "daddr": F.repeat(F.lit("a"), 32), "argv": F.array(F.lit("run"), F.concat(F.lit("a"), k)), "answers": F.array(F.lit("::1")), "argv_truncated": F.lit(False), "answers_truncated": F.lit(True)}
+    # too long for any kind: it has one of these
+    for name, value in (("comm", F.repeat(F.lit("c"), 17)), ("path", F.repeat(F.lit("p"), 4097)), ("daddr", F.lit("aa")), ("qname", F.repeat(F.lit("q"), 256))):
+        fields[name] = F.when(f == 5, value).otherwise(fields[name])
+    for name in ("ppid", "exit_code", "from_cgid"):
+        fields[name] = F.when(f != 5, fields[name])
+    line = F.to_json(F.struct(F.when(f == 2, 2).otherwise(1).alias("v"), kind.alias("kind"), *(v.alias(n) for n, v in fields.items())))
+    made = records.decode(ev(spark, d).select("row_id", F.when(f == 1, F.concat(F.lit("torn "), line)).otherwise(line).alias("value")))
+    return made.select("row_id", "reject_reason", "kind", "type", "pid", "path", "ppid", "dport", F.array_join("argv", " ").alias("argv"), "qname", "to_cgid")
+
+
 # bindings, profiles, paths
 
 BINDINGS = f"b AS (SELECT k AS cgid, session AS s, us AS bind_us, lead(us) OVER (PARTITION BY k ORDER BY us, row_id) AS unbind_us FROM ev WHERE type = 'proc.exec')"
@@ -341,6 +426,17 @@ def watchlist(spark, d):
     return joins.by_ancestor(e.where("path is not null").select("row_id", "path"), rules).select("row_id", "path", "rule")
 
 
+@query("watchlist_identity", """SELECT row_id, CASE WHEN k % 4 = 0 THEN 'builtin:.ssh' WHEN k % 4 IN (1, 3) AND row_id % 3 = 0 THEN 'pinned' || (row_id % 2) WHEN k % 4 = 2 AND k % 3 = 1 THEN 'data' END AS rule FROM ev WHERE path IS NOT NULL""")
+def watchlist_identity(spark, d):
+    """Built-in paths of three homes and a data folder; else pinned files by (dev, ino), however they are called."""
+    m, home = F.col("k") % 4, F.concat(F.lit("/home/u"), F.col("k") % 3)
+    path = F.when(m == 0, F.concat(home, F.lit("/.ssh"))).when((m == 2) & (F.col("k") % 3 == 1), "/var/lib/own").otherwise(F.concat(home, F.lit("/.ssh/id"), F.col("k")))
+    e = ev(spark, d).where("path is not null").select("row_id", path.alias("path"), F.lit(1).alias("dev"), F.when(m != 2, F.col("row_id")).alias("ino"))
+    homes = spark.createDataFrame([(f"/home/u{i}",) for i in range(3)], "home string")
+    pinned = ev(spark, d).where("row_id % 3 = 0").select(F.lit(1).alias("dev"), F.col("row_id").alias("ino"), F.concat(F.lit("pinned"), F.col("row_id") % 2).alias("rule"))
+    return joins.watched(e, joins.builtin_watchlist(homes, "/var/lib/own"), pinned).select("row_id", "rule")
+
+
 @query("path_translate", """SELECT row_id, '/home/u' || (k % 3) || '/data/f' || k AS host_path, '/mnt/host/t' || (k % 3) || '/data/f' || k AS guest_path FROM ev WHERE path IS NOT NULL""")
 def path_translate(spark, d):
     """Host paths to guest paths by the longest mounted root."""
@@ -384,6 +480,15 @@ def row_hash(spark, d):
     return _ledger_events(spark, d).select("row_id", "row_hash")
 
 
+@query("redacted_hash", r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'token = ⟦R:entropy:m:' || substr(sha256(sha256(CAST(doc_id AS VARCHAR)) || 'salt'), 1, 8) || '⟧' END AS t FROM documents)
+ SELECT doc_id, sha256(unhex('00' || hex('{"doc_id":' || doc_id || ',"text_redacted":' || coalesce('"' || t || '"', 'null') || '}'))) AS row_hash FROM d""".replace(":m:", ":l:"), ev=False)
+def redacted_hash(spark, d):
+    """Texts with a credential, redacted and then hashed; as they were they would be refused."""
+    secret = F.concat(F.lit("token = "), F.sha2(F.col("doc_id").cast("string"), 256))
+    rows = redact.redact(table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, secret).alias("text")), "text", "salt")
+    return ledger.row_hash(rows, ["doc_id", "text_redacted"]).select("doc_id", "row_hash")
+
+
 @query("segments_count", LEDGER + """SELECT session, seg, count(*) AS event_count, min(row_id) AS first_row, max(row_id) AS last_row, max(us) AS sealed_us,
   count(*) FILTER (k = 13) AS governor, count(*) FILTER (k = 14) AS ringbuf_full FROM h GROUP BY session, seg""")
 def segments_count(spark, d):
@@ -621,11 +726,11 @@ def timeline_union(spark, d):
     return detect.timeline(e.unionByName(stored), detect.all_alerts(e, 240 * HOUR, 5))
 
 
-@query("incident_headers", ALERTS_SQL.rstrip() + """, a AS (SELECT session, count(*) AS alerts FROM alerts GROUP BY session),
- h AS (SELECT session, min(us) AS from_us, max(us) AS to_us, count(*) AS events, arg_min(path, row_id) FILTER (type = 'proc.exec') AS first_exec FROM ev GROUP BY session)
+@query("incident_headers", PLANTED_SQL.rstrip() + """, a AS (SELECT session, count(*) AS alerts FROM alerts GROUP BY session),
+ h AS (SELECT session, min(us) AS from_us, max(us) AS to_us, count(*) AS events, arg_min(path, row_id) FILTER (type = 'proc.exec') AS first_exec, min(us) FILTER (type = 'session.start') AS start_us FROM pe GROUP BY session)
  SELECT h.*, coalesce(a.alerts, 0) AS alerts FROM h LEFT JOIN a USING (session)""")
 def incident_headers(spark, d):
-    e = ev(spark, d)
+    e = planted(spark, d)
     return detect.incident_headers(e, detect.all_alerts(e, 240 * HOUR, 5))
 
 
@@ -649,12 +754,27 @@ def inferred_clusters(spark, d):
     return windows.inferred_clusters(ev(spark, d), 24 * HOUR).select("row_id", "cluster")
 
 
+RUNS_SQL = f"""p AS (SELECT session, k, us AS s, lead(us) OVER (PARTITION BY session, k ORDER BY us, row_id) AS f FROM ev WHERE type = 'proc.exec'),
+ t AS (SELECT session, k, s, session || '|' || (k + 100) || '|' || s AS root FROM p WHERE k = 0 OR NOT EXISTS (SELECT 1 FROM p q WHERE q.session = p.session AND q.k = p.k // 2 AND q.s <= p.s AND (q.f IS NULL OR p.s < q.f))
+   UNION ALL SELECT p.session, p.k, p.s, t.root FROM p JOIN p q ON q.session = p.session AND q.k = p.k // 2 AND p.k > 0 AND q.s <= p.s AND (q.f IS NULL OR p.s < q.f) JOIN t ON t.session = q.session AND t.k = q.k AND t.s = q.s),
+ h AS (SELECT ev.session, ev.row_id, ev.us, coalesce(t.root, ev.session || '|' || ev.pid) AS root FROM ev LEFT JOIN p ON p.session = ev.session AND p.k = ev.k AND p.s <= ev.us AND (p.f IS NULL OR ev.us < p.f) LEFT JOIN t ON t.session = p.session AND t.k = p.k AND t.s = p.s)"""
+
+
+@query("inferred_runs", f"WITH RECURSIVE {EV_SQL}, {RUNS_SQL} SELECT row_id, root, 'inferred' AS label, CAST(sum(g) OVER (PARTITION BY session, root ORDER BY us, row_id) AS BIGINT) AS cluster FROM (SELECT *, coalesce(CAST(us - lag(us) OVER (PARTITION BY session, root ORDER BY us, row_id) > {24 * HOUR} AS INTEGER), 0) AS g FROM h)", ev=False)
+def inferred_runs(spark, d):
+    """Events clustered by process tree and pauses. A program's process lasts until its pid comes again; its parent has half its number."""
+    e = ev(spark, d)
+    again = Window.partitionBy("session", "k").orderBy("us", "row_id")
+    processes = e.where("type = 'proc.exec'").select("session", "pid", F.when(F.col("k") > 0, F.floor(F.col("k") / 2) + 100).alias("ppid"), F.col("us").alias("start_us"), F.lead("us").over(again).alias("end_us"))
+    return windows.inferred_runs(e, processes, 24 * HOUR).select("row_id", "root", "label", "cluster")
+
+
 @query("process_lineage", """WITH RECURSIVE t AS (SELECT o_orderkey AS pid, CASE WHEN o_orderkey % 8 <> 0 THEN o_orderkey // 2 END AS ppid FROM orders),
  r AS (SELECT pid, pid AS root, ppid AS up, 0 AS hops FROM t UNION ALL SELECT r.pid, t.pid, t.ppid, hops + 1 FROM r JOIN t ON r.up = t.pid AND t.pid <> r.root WHERE hops < 64)
- SELECT pid, arg_max(root, hops) AS root, max(hops) AS hops FROM r GROUP BY pid""", ev=False)
+ SELECT pid, arg_max(root, hops) AS root, max(hops) AS hops, false AS cycle FROM r GROUP BY pid""", ev=False)
 def process_lineage(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pid"), F.when(F.col("o_orderkey") % 8 != 0, F.expr("o_orderkey div 2")).alias("ppid"))
-    return windows.lineage(o, 64)
+    return windows.lineage(o)
 
 
 # files and texts
@@ -820,7 +940,7 @@ def raw_text_guard(spark, d):
 def marker_runs(spark, d):
     """Events with the outside records that carry the same run id."""
     runs = table(spark, d, "conversations").select("conv_id").distinct()
-    return ev(spark, d).join(runs, F.col("k") == F.col("conv_id")).select("row_id", "conv_id")
+    return joins.with_logs(ev(spark, d), runs.withColumn("run", F.col("conv_id")), "k", "run").select("row_id", "conv_id")
 
 
 # sinks, written and read again
@@ -848,6 +968,27 @@ def export_round_trip(spark, d):
     return tables.verify_export(made, read.where((n % 6 != 0) | (F.col("row_id") % 50 != 3)))
 
 
+@query("export_from_disk", LEDGER.rstrip() + """, x AS (SELECT session, CAST(substr(session, 2) AS BIGINT) % 9 AS m, count(*) AS n, max(row_id) AS last, max(seg) AS segs FROM h GROUP BY session)
+ SELECT session, n AS declared, CASE m WHEN 6 THEN n - 1 ELSE n END AS found, CASE m WHEN 1 THEN 'INCOMPLETE(segments)' WHEN 2 THEN 'BROKEN(events)' WHEN 3 THEN 'BROKEN(merkle_mismatch)' WHEN 4 THEN 'BROKEN(chain_link_broken)' WHEN 5 THEN 'BROKEN(row_hash)' WHEN 6 THEN 'BROKEN(event_count)' WHEN 7 THEN 'BROKEN(checkpoint_head_mismatch)' ELSE 'OK' END AS status
+ FROM x UNION ALL SELECT 'nobody', 0, 0, 'unknown_session'""")
+def export_from_disk(spark, d):
+    """Exported folders with faults: no segments, a torn line, a forged root in a chain sealed anew, a forged link, a changed event, a lost event, a forged head."""
+    e, s, c = _sealed(spark, d)
+    m, path = F.substring("session", 2, 20).cast("long") % 9, _folder(spark, "export-faults")
+    forged = ledger.seal(s.drop("prev_seg_hash", "seg_hash").withColumn("merkle_root", F.when((m == 3) & (F.col("seg") == 0), F.sha2("merkle_root", 256)).otherwise(F.col("merkle_root"))))
+    forged = forged.withColumn("prev_seg_hash", F.when((m == 4) & (F.col("seg") == 0), F.sha2("prev_seg_hash", 256)).otherwise(F.col("prev_seg_hash")))
+    heads = c.drop("chain_head").join(forged.select("session", F.col("seg").alias("seg_last"), F.col("seg_hash").alias("chain_head")), ["session", "seg_last"])
+    heads = heads.withColumn("chain_head", F.when(m == 7, F.sha2("chain_head", 256)).otherwise(F.col("chain_head")))
+    last = e.groupBy("session").agg(F.max("row_id").alias("_last"))
+    sessions = e.select("session").unionByName(spark.createDataFrame([("nobody",)], "session string"))
+    tables.export_sessions(e, forged, heads, sessions, path)
+    # after the export: files are lost, torn and changed
+    for name, kept in (("segments", forged.where(m != 1)), ("events", e.join(last, "session").where(~((m == 6) & (F.col("row_id") == F.col("_last")))).withColumn("k", F.when((m == 5) & (F.col("row_id") == F.col("_last")), F.col("k") + 1).otherwise(F.col("k"))).drop("_last"))):
+        kept.write.mode("overwrite").partitionBy("session").json(f"{path}/{name}")
+    e.where(m == 2).select("session", F.lit('{"row_id": 12').alias("value")).distinct().write.mode("append").partitionBy("session").text(f"{path}/events")
+    return exports.verify_folder(spark, path, ["session", "row_id", "us", "type", "k"], "session string, row_id long, us long, type string, k long, gap_reason string")
+
+
 @query("archive_round_trip", LEDGER + "SELECT session, count(*) FILTER (seg % 2 = 1) AS hot, count(*) FILTER (seg % 2 = 0) AS cold, count(DISTINCT seg) FILTER (seg % 2 = 0) AS archived FROM h GROUP BY session")
 def archive_round_trip(spark, d):
     """Segments of even numbers are archived; what stays, what the archive holds, and what the segment table says."""

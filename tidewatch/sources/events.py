@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch import schema as S
+from tidewatch.functions.text import CROCKFORD
 
 #: The driver's event kinds as event types.
 KINDS = {"purchase": "proc.exec", "click": "fs.write_open", "view": "net.connect", "signup": "net.dns", "error": "fs.sensitive_read"}
 
 
-def read_events(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
-    """Stored events; a session and its date reach the scan as pushed filters."""
-    rows = spark.read.schema(S.EVENT).parquet(path)
-    return rows if session is None else rows.where(F.col("session") == session)
+def session_start(session: str) -> datetime.datetime | None:
+    """When a session with a ULID for its name began, as the ULID's first ten characters say; None for other names."""
+    text = session.upper()
+    if len(text) != 26 or text[0] not in CROCKFORD[:8] or any(c not in CROCKFORD for c in text):
+        return None
+    millis = 0
+    for c in text[:10]:
+        millis = 32 * millis + CROCKFORD.index(c)
+    try:
+        return datetime.datetime.fromtimestamp(0, datetime.UTC) + datetime.timedelta(milliseconds=millis)
+    except OverflowError:
+        return None
+
+
+def read_events(spark: SparkSession, path: str, session: str | None = None, until: datetime.date | None = None, slack_days: int = 1) -> DataFrame:
+    """Stored events of ``append_events``, by day. A session reaches the scan as a filter.
+
+    Folders of days before a session began are not listed, if its name is a ULID: its events are
+    from ``slack_days`` before the ULID's time, for clocks differ, to ``until``, both included.
+    """
+    stored = T.StructType([*S.EVENT.fields, T.StructField("event_date", T.DateType())])
+    rows = spark.read.schema(stored).parquet(path)
+    if session is None:
+        return rows
+    began = session_start(session)
+    if began is not None:
+        rows = rows.where(F.col("event_date") >= F.lit((began - datetime.timedelta(days=slack_days)).date()))
+    if until is not None:
+        rows = rows.where(F.col("event_date") <= F.lit(until))
+    return rows.where(F.col("session") == session)
 
 
 def adapt(events: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tidewatch.operators.govern import TIERS, TieredBucket
 
@@ -173,3 +174,149 @@ def shed(events: DataFrame, rate: float = 20_000, burst: float = 20_000) -> Data
 def append_batches(events: DataFrame, path: str, checkpoint: str):
     """Append sink of a stream, exactly once by the file sink's own log."""
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: What ``transformWithStateInPandas`` keeps its state in; set it as spark.sql.streaming.stateStore.providerClass.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class ClosedSegments(StatefulProcessor):
+    """A session's open segment (number, events, first and last time), and a timer for its age.
+
+    A segment holds ``size`` events at most, all less than ``age_us`` after its first. It closes when
+    it is full, with an event that is too late for it, when the watermark passes its age without
+    one, or at the session's end, which clears the state.
+    """
+
+    def __init__(self, size: int, age_us: int):
+        self.size, self.age_us = size, age_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "seg long, n long, first long, last long")
+
+    def _timer(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    @staticmethod
+    def _closed(key, held, why: str) -> tuple:
+        seg, n, first, last = held
+        return key[0], seg, n, first, last, why
+
+    def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(rows, columns=["session", "seg", "events", "first_us", "last_us", "closed_by"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seg, n, first, last = self.open.get() if self.open.exists() else (0, 0, 0, 0)
+        out, ended = [], False
+        for batch in rows:
+            ordered = batch.sort_values(["us", "row_id"])
+            for us, kind in zip(ordered.us.tolist(), ordered.type):
+                if n and us - first >= self.age_us:
+                    out.append(self._closed(key, (seg, n, first, last), "age"))
+                    seg, n = seg + 1, 0
+                first = us if n == 0 else first
+                n, last = n + 1, us
+                if n >= self.size or kind == "session.end":
+                    out.append(self._closed(key, (seg, n, first, last), "end" if kind == "session.end" else "size"))
+                    seg, n = seg + 1, 0
+                ended = kind == "session.end"
+        self._timer()
+        if ended:
+            self.open.clear()
+        else:
+            self.open.update((seg, n, first, last))
+            if n:
+                self.handle.registerTimer((first + self.age_us) // 1000 + 1)
+        yield from self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seg, n, first, last = self.open.get()
+        self.open.update((seg + 1, 0, 0, 0))
+        yield from self._frame([self._closed(key, (seg, n, first, last), "timer")] if n else [])
+
+    def close(self) -> None:
+        pass
+
+
+def closed_segments(events: DataFrame, size: int = 4096, age_us: int = 60_000_000) -> DataFrame:
+    """session, seg, events, first_us, last_us and closed_by (size, age, timer, end) of segments as they close. events carry a watermark on ts."""
+    rows = events.select("session", "row_id", "us", "type", "ts")
+    return rows.groupBy("session").transformWithStateInPandas(ClosedSegments(size, age_us), "session string, seg long, events long, first_us long, last_us long, closed_by string", "Append", "EventTime")
+
+
+class SessionWatch(StatefulProcessor):
+    """All that is remembered of a session under one key, so that its end clears all of it.
+
+    contacts: when each was last seen. bursts: the times inside the window of each class, a list a
+    class at most the threshold long. bucket: the load shedder's tokens. An idle session is
+    forgotten by a timer, and a contact by its time to live.
+    """
+
+    def __init__(self, window_us: int, threshold: int, rate: float, burst: float, idle_us: int):
+        self.window_us, self.threshold, self.rate, self.burst, self.idle_us = window_us, threshold, rate, burst, idle_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.contacts = handle.getMapState("contacts", "contact string", "seen long")
+        self.bursts = handle.getMapState("bursts", "class string", "times array<long>, armed boolean")
+        self.bucket = handle.getValueState("bucket", "tokens array<double>, last long")
+
+    def _clear(self) -> None:
+        for state in (self.contacts, self.bursts, self.bucket):
+            state.clear()
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def _burst(self, cls: str, us: int) -> bool:
+        times, armed = self.bursts.getValue((cls,)) if self.bursts.containsKey((cls,)) else ([], True)
+        times = [t for t in times if t > us - self.window_us][max(0, len(times) - self.threshold + 1) :] if self.threshold > 1 else []
+        times.append(us)
+        full = len(times) >= self.threshold
+        self.bursts.updateValue((cls,), (times[-self.threshold :], not full))
+        return full and armed
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out, newest = [], 0
+        for batch in rows:
+            for r in batch.sort_values(["us", "row_id"]).itertuples():
+                us, row = int(r.us), int(r.row_id)
+                newest = max(newest, us)
+                if r.contact:
+                    known = self.contacts.containsKey((r.contact,)) and us - self.contacts.getValue((r.contact,))[0] <= self.idle_us
+                    if not known:
+                        out.append((key[0], row, us, "first_contact", r.contact))
+                    self.contacts.updateValue((r.contact,), (us,))
+                if r.burst_class and self._burst(r.burst_class, us):
+                    out.append((key[0], row, us, "burst", r.burst_class))
+                if not pd.isna(r.tier):
+                    bucket = TieredBucket(self.rate, self.burst)
+                    if self.bucket.exists():
+                        held = self.bucket.get()
+                        bucket.tokens, bucket.last = list(held[0]), held[1]
+                    if not bucket.admit(us, int(r.tier)):
+                        out.append((key[0], row, us, "shed", str(int(r.tier))))
+                    self.bucket.update((bucket.tokens, bucket.last))
+                if r.type == "session.end":
+                    self._clear()
+                    newest = 0
+        if newest:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(max((newest + self.idle_us) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(out, columns=["session", "row_id", "us", "what", "subject"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._clear()
+        yield pd.DataFrame([], columns=["session", "row_id", "us", "what", "subject"])
+
+    def close(self) -> None:
+        pass
+
+
+def session_watch(events: DataFrame, contact: Column, cls: Column, tier: Column, window_us: int, threshold: int, rate: float = 20_000, burst: float = 20_000, idle_us: int = 30 * 86_400_000_000) -> DataFrame:
+    """session, row_id, us, what (first_contact, burst, shed) and subject, from one state a session that session.end clears. events carry a watermark on ts."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = events.select("session", "row_id", "us", "type", "ts", text(contact).alias("contact"), text(cls).alias("burst_class"), tier.cast("double").alias("tier"))
+    return rows.groupBy("session").transformWithStateInPandas(SessionWatch(window_us, threshold, rate, burst, idle_us), "session string, row_id long, us long, what string, subject string", "Append", "EventTime")
