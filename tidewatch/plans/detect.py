@@ -58,7 +58,17 @@ def escape_precursors(events: DataFrame, names: tuple[str, ...] = ("systemd-run"
 
 
 def all_alerts(events: DataFrame, burst_window_us: int, burst_threshold: int) -> DataFrame:
-    """All rules' alerts, numbered in each session in time order and, at one event, in rule order."""
+    """All rules' alerts, numbered in each session in time order and, at one event, in rule order.
+
+    The events are read once: what the rules look at is written in narrow form, and each rule reads
+    that. First contacts are a partial aggregate and bursts a segmented scan, so no shuffle puts a
+    session into one task but that of the alerts' own numbers.
+    """
+    from tidewatch.plans.tables import materialize
+
+    t = F.col("type")
+    looked_at = t.isin("net.dns", "net.connect", "fs.sensitive_read", "alert.cgroup_escape", "alert.escape_precursor") | C.burst_class(t).isNotNull()
+    events = materialize(events.where(looked_at).select(*(c for c in events.columns if c in ("session", "row_id", "us", "type", "path", "addr", "qname", "answers", "pid"))), "alert-events")
     a = new_domain_alerts(events).select("session", "row_id", "us", "type", F.col("contact").alias("subject"), F.lit(0).alias("rule"))
     b = sensitive_alerts(events).select("session", "row_id", "us", "type", F.col("path").alias("subject"), F.lit(1).alias("rule"))
     c = events.where(F.col("type").isin("alert.cgroup_escape", "alert.escape_precursor")).select("session", "row_id", "us", "type", F.col("path").alias("subject"), F.lit(2).alias("rule"))

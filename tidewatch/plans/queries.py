@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tidewatch.functions import classify as C
 from tidewatch.functions import net, text
 from tidewatch.operators import govern, joins, ledger, redact, windows
-from tidewatch.plans import detect, exports, tables
+from tidewatch.plans import api, detect, exports, tables
 from tidewatch.sources import files, records
-from tidewatch.sources.events import EV_SQL, adapt, parse_markers, reject_reason
+from tidewatch.sources.events import EV_SQL, adapt, parse_markers, read_heads, reject_reason
 
 HOUR = 3_600_000_000
 QUERIES: dict = {}
@@ -1008,3 +1008,105 @@ def owner_sink(spark, d):
     tables.route_by_owner(windows.owners(e, F.col("type") == "proc.exec"), path)
     owned = spark.read.parquet(f"{path}/owners").select(F.col("owner_uid").cast("long").alias("owner_uid"))
     return owned.unionByName(spark.read.parquet(f"{path}/dead_letters").select("owner_uid")).groupBy("owner_uid").agg(F.count("*").alias("events"))
+
+
+# tokens, profiles, files and reports
+
+BLOBS = """WITH e AS (SELECT event_id AS row_id, md5('t' || event_id) AS h FROM events),
+ t AS (SELECT row_id, CASE row_id % 6 WHEN 0 THEN h WHEN 1 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) WHEN 2 THEN to_base64(unhex(h || h)) WHEN 3 THEN repeat('ab', 12)
+   WHEN 4 THEN 'install' ELSE substr(h, 1, 9) || '!#%qzXWvK' || substr(h, 20, 4) END AS token FROM e),
+ p AS (SELECT *, list_sort(regexp_extract_all(hex(encode(token)), '..')) AS b FROM t),
+ s AS (SELECT *, round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_sort(list_distinct(b)), lambda x: len(list_filter(b, lambda y: y = x))::DOUBLE / len(b))), lambda a, q: a - q * log2(q)), 9) AS bits FROM p),
+ f AS (SELECT *, (regexp_matches(token, '^[0-9a-fA-F]+$') AND length(token) >= 16 AND bits >= 3.0) OR (regexp_matches(token, '^[A-Za-z0-9+/_-]+={0,2}$') AND length(token) >= 24 AND bits >= 4.0) AS blob,
+   regexp_matches(token, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-4[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$') AS uuid FROM s)
+ SELECT row_id, token, blob, uuid, token <> 'install' AND NOT uuid AND (blob OR (strlen(token) >= 20 AND bits >= 4.0)) AS secret FROM f"""
+
+
+@query("token_blobs", BLOBS, ev=False)
+def token_blobs(spark, d):
+    """Hex, UUIDs, base64, repeats, a plain word and mixed tokens, by form and entropy."""
+    m, h = F.col("row_id") % 6, F.md5(F.concat(F.lit("t"), F.col("row_id")))
+    part = lambda a, n: F.substring(h, a, n)
+    uuid4 = F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12))
+    token = F.when(m == 0, h).when(m == 1, uuid4).when(m == 2, F.base64(F.unhex(F.concat(h, h)))).when(m == 3, F.repeat(F.lit("ab"), 12)).when(m == 4, "install").otherwise(F.concat(part(1, 9), F.lit("!#%qzXWvK"), part(20, 4)))
+    rows = ev(spark, d).select("row_id", token.alias("token"))
+    t = F.col("token")
+    return rows.select("row_id", "token", text.high_entropy_blob(t).alias("blob"), text.is_uuid4(t).alias("uuid"), text.high_entropy_token(t, tuple(x.decode() for x in redact.COMMON_WORDS)).alias("secret"))
+
+
+@query("restart_gaps", f"""-- b AS (SELECT us, lag(us) OVER (ORDER BY us) AS f FROM ev WHERE row_id % 40 = 0), p AS (SELECT * FROM b WHERE us - f > {2 * HOUR}),
+ s AS (SELECT session, min(us) AS a, CASE WHEN CAST(substr(session, 2) AS BIGINT) % 3 = 0 THEN max(us) END AS z FROM ev GROUP BY session)
+ SELECT session, 'daemon_restart' AS reason, f AS from_us, us AS to_us FROM s JOIN p ON s.a <= p.f AND (s.z IS NULL OR s.z >= p.us)""")
+def restart_gaps(spark, d):
+    """A gap for each session that is active over a pause between batches; every third session ends with its last event."""
+    e = ev(spark, d)
+    ended = F.when(F.substring("session", 2, 20).cast("long") % 3 == 0, F.max("us"))
+    sessions = e.groupBy("session").agg(F.min("us").alias("start_us"), ended.alias("end_us"))
+    return govern.restart_gaps(e.where("row_id % 40 = 0").select("us"), sessions, 2 * HOUR)
+
+
+@query("head_mirror", """SELECT session AS session_id, count(*) AS seg_last, false AS error FROM ev GROUP BY session UNION ALL SELECT NULL, NULL, true UNION ALL SELECT 'late', 3, false""")
+def head_mirror(spark, d):
+    """Appended heads, and a second mirror with a bad line among others and a torn last one."""
+    path = _folder(spark, "heads")
+    heads = ev(spark, d).groupBy(F.col("session").alias("session_id")).agg(F.count("*").alias("seg_last"))
+    zeros = F.array_repeat(F.lit(0), 32)
+    tables.append_heads(heads.withColumns({"chain_head": zeros, "ckpt_hash": zeros, "at": F.lit(1)}), path)
+    lines = ['{"session_id": 12', '{"session_id": "late", "seg_last": 3, "chain_head": [1], "ckpt_hash": [2], "at": 2}', '{"session_id": "to']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
+    return read_heads(spark, path).select("session_id", "seg_last", "error")
+
+
+@query("profile_rejects", """SELECT p_partkey, CASE p_partkey % 9 WHEN 1 THEN 'name' WHEN 2 THEN 'capture_disabled' WHEN 3 THEN 'entropy_looser' WHEN 4 THEN 'bad_pattern' WHEN 5 THEN 'bad_lens' WHEN 6 THEN 'negative_ttl' WHEN 7 THEN 'forbidden_field' WHEN 8 THEN 'capture_disabled' END AS reject_reason FROM part""", ev=False)
+def profile_rejects(spark, d):
+    """A profile a part, eight of nine with one fault each."""
+    m = F.col("p_partkey") % 9
+    texts = lambda *x: F.array(*map(F.lit, x))
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.when(m == 1, "").otherwise(F.col("p_brand")).alias("name"), (m != 2).alias("capture_exec"), (m != 8).alias("capture_connect"), F.when(m == 3, 4.5).otherwise(3.5).alias("entropy_bits"), F.lit(20).alias("entropy_length"),
+        F.when(m == 4, texts("a+", "(")).otherwise(texts("a+")).alias("patterns"), texts("/x/**", "/y/[a-c]*").alias("scopes"), F.when(m == 5, "map").otherwise("tree").alias("lens"), F.when(m == 6, -1).otherwise(7).alias("ttl_days"),
+        texts("runId").alias("carry_fields"), F.when(m == 7, texts("runId", "x")).otherwise(texts("x")).alias("forbid_fields"),
+    )
+    return files.validate_profiles(rows).select("p_partkey", "reject_reason")
+
+
+@query("file_scan", """SELECT page_id, CAST(strlen(url) + 1 AS BIGINT) AS size, sha256(url || chr(10)) AS digest FROM pages WHERE NOT starts_with(CAST(page_id AS VARCHAR), '1')""", ev=False)
+def file_scan(spark, d):
+    """A file a page, all but those of numbers that begin with 1 in scope."""
+    path = _folder(spark, "scanned")
+    table(spark, d, "pages").select("page_id", F.col("url").alias("value")).repartition("page_id").write.partitionBy("page_id").text(path)
+    bare = path.removeprefix("file://")
+    found = files.scan(spark, [f"{bare}/page_id=*/**"], [f"{bare}/page_id=1*/**"], 1)
+    return found.where(~F.col("path").contains("_SUCCESS")).select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long").alias("page_id"), "size", "digest")
+
+
+@query("first_sessions", "SELECT session, started_us FROM (SELECT session, min(us) AS started_us FROM ev GROUP BY session) ORDER BY started_us LIMIT 7")
+def first_sessions(spark, d):
+    """The seven sessions that began first: what the read API's order puts on top."""
+    return api.list_sessions(ev(spark, d)).limit(7).select("session", "started_us")
+
+
+@query("api_verify", LEDGER + "SELECT session, CASE WHEN CAST(substr(session, 2) AS BIGINT) % 4 = 1 THEN 2 ELSE 0 END AS code FROM ev GROUP BY session")
+def api_verify(spark, d):
+    """The read API's verdicts where one event of every fourth session was changed."""
+    e, s, c = _sealed(spark, d)
+    first = e.groupBy("session").agg(F.min("row_id").alias("_first"))
+    changed = (F.substring("session", 2, 20).cast("long") % 4 == 1) & (F.col("row_id") == F.col("_first"))
+    forged = e.join(first, "session").withColumn("row_hash", F.when(changed, F.sha2("row_hash", 256)).otherwise(F.col("row_hash"))).drop("_first")
+    return api.verify(forged, s, c).select("session", "code")
+
+
+@query("incident_report", ALERTS_SQL.rstrip() + f""", t AS (SELECT session, 'e' || row_id AS row_id, us, {DESCRIBE} AS line FROM ev WHERE type <> 'fs.write_open'
+   UNION ALL SELECT session, 'a' || row_id || '.' || rule, us, CASE type WHEN 'alert.new_domain' THEN 'first contact with ' || coalesce(subject, '?') WHEN 'alert.sensitive_read' THEN 'alert: sensitive read of ' || coalesce(subject, '?') ELSE 'alert: ' || substr(type, 7) END FROM alerts)
+ SELECT CAST(0 AS BIGINT) AS us, '' AS row_id, 'incident report for s7: ' || (SELECT count(*) FROM ev WHERE session = 's7') || ' events, ' || (SELECT count(*) FROM alerts WHERE session = 's7') || ' alerts' AS line
+ UNION ALL SELECT us, row_id, line FROM t WHERE session = 's7' UNION ALL SELECT 0, '', '{detect.FOOTER}'""")
+def incident_report(spark, d):
+    e = ev(spark, d)
+    return api.incident_report(e, tables.materialize(detect.all_alerts(e, 240 * HOUR, 5), "report-alerts"), "s7")
+
+
+@query("added_rules", """SELECT row_id, 'case CASE-⟦R:entropy:s:' || substr(sha256(row_id || 'salt'), 1, 8) || '⟧ is open' AS note FROM ev""")
+def added_rules(spark, d):
+    """A rule of the user's own beside the built-in ones."""
+    rows = ev(spark, d).select("row_id", F.concat(F.lit("case CASE-"), F.col("row_id"), F.lit(" is open")).alias("note"))
+    return redact.redact(rows, "note", "salt", (redact.Rule("case", "entropy", "CASE-([0-9]+)"),)).select("row_id", F.col("note_redacted").alias("note"))
