@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 LOAD_BEARING = ("proc.exec", "fs.sensitive_read", "net.connect", "net.dns", "fs.settle", "gap")
 #: Classes that may be shed, the first to go first; and those that never are.
 SHED_TIERS = {"fork_exit": 0, "fs.meta": 1, "fs.write_open": 2, "flow_dns": 3}
+#: The event types of these classes.
+SHED_TYPES = {
+    "fork_exit": ("proc.fork", "proc.exit"), "fs.meta": ("fs.unlink", "fs.rename", "fs.mkdir", "fs.chmod", "fs.truncate"), "fs.write_open": ("fs.write_open",), "flow_dns": ("net.flow_close", "net.dns"),
+}
 NEVER_SHED = ("exec", "connect", "sensitive_read", "session", "gap")
 #: Where and under which names known interpreters and shells are installed.
 EXE_DIRS = ("/bin", "/usr/bin", "/usr/local/bin", "/sbin", "/usr/sbin")
@@ -46,28 +50,28 @@ def severity(t: Column, high: Column) -> Column:
 
 def event_class(t: Column) -> Column:
     """The class that load shedding accounts an event to; alerts, markers and the like count as session."""
-    return (
-        F.when(t == "proc.exec", "exec").when(t.isin("net.connect", "unix.connect"), "connect").when(t == "fs.sensitive_read", "sensitive_read").when(t == "gap", "gap")
-        .when(t.isin("proc.fork", "proc.exit"), "fork_exit").when(t == "fs.write_open", "fs.write_open").when(t.isin("fs.unlink", "fs.rename", "fs.mkdir", "fs.chmod", "fs.truncate"), "fs.meta")
-        .when(t.isin("net.flow_close", "net.dns"), "flow_dns").otherwise("session")
-    )
+    return F.coalesce(burst_class(t), F.when(t == "proc.exec", "exec").when(t.isin("net.connect", "unix.connect"), "connect").when(t == "fs.sensitive_read", "sensitive_read").when(t == "gap", "gap").otherwise("session"))
 
 
 def never_shed(t: Column) -> Column:
     return event_class(t).isin(*NEVER_SHED)
 
 
+def _by_class(t: Column, values: dict[str, object]) -> Column:
+    out = F.lit(None)
+    for c, types in SHED_TYPES.items():
+        out = F.when(t.isin(*types), F.lit(values[c])).otherwise(out)
+    return out
+
+
 def shed_tier(t: Column) -> Column:
     """0 goes first, 3 last; null for what is never shed."""
-    out = F.lit(None).cast("int")
-    for c, tier in SHED_TIERS.items():
-        out = F.when(event_class(t) == c, F.lit(tier)).otherwise(out)
-    return out
+    return _by_class(t, SHED_TIERS).cast("int")
 
 
 def burst_class(t: Column) -> Column:
     """Bursts are looked for in the classes that may be shed; null is exempt."""
-    return F.when(shed_tier(t).isNotNull(), event_class(t))
+    return _by_class(t, {c: c for c in SHED_TYPES}).cast("string")
 
 
 def load_bearing(t: Column) -> Column:
