@@ -67,7 +67,7 @@ def all_alerts(events: DataFrame, burst_window_us: int, burst_threshold: int) ->
     from tidewatch.plans.tables import materialize
 
     t = F.col("type")
-    looked_at = t.isin("net.dns", "net.connect", "fs.sensitive_read", "alert.cgroup_escape", "alert.escape_precursor") | C.burst_class(t).isNotNull()
+    looked_at = t.isin("net.dns", "net.connect", "fs.sensitive_read", "alert.cgroup_escape", "alert.escape_precursor", *(x for types in C.SHED_TYPES.values() for x in types))
     events = materialize(events.where(looked_at).select(*(c for c in events.columns if c in ("session", "row_id", "us", "type", "path", "addr", "qname", "answers", "pid"))), "alert-events")
     a = new_domain_alerts(events).select("session", "row_id", "us", "type", F.col("contact").alias("subject"), F.lit(0).alias("rule"))
     b = sensitive_alerts(events).select("session", "row_id", "us", "type", F.col("path").alias("subject"), F.lit(1).alias("rule"))

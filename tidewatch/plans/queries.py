@@ -53,7 +53,8 @@ def first_contact(spark, d):
 
 
 @query("new_domain_alerts", FIRST_SQL + """SELECT session, row_id, us, 'alert.new_domain' AS type, contact, pid,
-  CASE WHEN type = 'net.connect' THEN CASE WHEN addr LIKE '10.%' THEN 'private' ELSE 'public' END END AS net_class, CASE WHEN type = 'net.connect' AND addr LIKE '8.8.8.%' THEN 'Google Public DNS' END AS asn,
+  CASE WHEN type = 'net.connect' THEN CASE WHEN addr LIKE '10.%' THEN 'private' ELSE 'public' END END AS net_class, CASE WHEN type = 'net.connect'
+   AND addr LIKE '8.8.8.%' THEN 'Google Public DNS' END AS asn,
   type = 'net.connect' AND qname IS NULL AS dns_bypass, type <> 'net.connect' AND (addr LIKE '10.%' OR k % 7 = 0) AS dns_rebind FROM first""")
 def new_domain_alerts(spark, d):
     """Names resolve to their address and, every seventh, to a loopback address besides, written as IPv6."""
@@ -105,7 +106,8 @@ def planted(spark, d: str) -> DataFrame:
     return ev(spark, d).withColumn("type", kind)
 
 
-PLANTED_SQL = f"""-- pe AS (SELECT * REPLACE (CASE {' '.join(f"WHEN type = 'fs.write_open' AND k = {k} THEN '{name}'" for k, name in PLANTED.items())} ELSE type END AS type) FROM ev),
+PLANTED_SQL = f"""-- pe AS (SELECT * REPLACE (CASE {' '.join(f"WHEN type = 'fs.write_open' AND k = {k} THEN '{name}'" for k, name in PLANTED.items())}
+   ELSE type END AS type) FROM ev),
  {ALERTS_SQL[2:].replace("FROM ev", "FROM pe").replace("FROM fired),", "FROM fired UNION ALL SELECT session, row_id, us, type, path, 2 FROM pe WHERE type LIKE 'alert.%'),")}"""
 
 
@@ -129,7 +131,8 @@ def type_families(spark, d):
     return rows.select("row_id", C.is_marker(t).alias("is_marker"), C.is_gap(t).alias("is_gap"), C.is_alert(t).alias("is_alert"))
 
 
-@query("notifications", PLANTED_SQL + """SELECT session, alert_idx, CASE type WHEN 'alert.new_domain' THEN 'New destination' WHEN 'alert.sensitive_read' THEN 'Sensitive file read' WHEN 'alert.burst' THEN 'Burst of activity' ELSE 'Escape from the session' END AS title,
+@query("notifications", PLANTED_SQL + """SELECT session, alert_idx, CASE type WHEN 'alert.new_domain' THEN 'New destination'
+   WHEN 'alert.sensitive_read' THEN 'Sensitive file read' WHEN 'alert.burst' THEN 'Burst of activity' ELSE 'Escape from the session' END AS title,
   'session ' || session || ': ' || coalesce(subject, '?') AS body FROM alerts""")
 def notifications(spark, d):
     return detect.notifications(detect.all_alerts(planted(spark, d), 240 * HOUR, 5))
@@ -155,9 +158,12 @@ def dns_asof(spark, d):
 
 @query("ip_class", r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS addr FROM documents),
  p AS (SELECT doc_id, addr, list_transform(string_split(addr, '.'), lambda x: CAST(x AS BIGINT)) AS o FROM a),
- n AS (SELECT doc_id, addr, CASE WHEN list_max(o) <= 255 AND NOT regexp_matches(addr, '(^|[.])0[0-9]') THEN o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] END AS n FROM p)
- SELECT addr, count(*) AS hits, CASE WHEN n IS NULL THEN NULL WHEN n BETWEEN 2130706432 AND 2147483647 THEN 'loopback' WHEN n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 3758096384 AND 3758096639 THEN 'link_local'
-   WHEN n BETWEEN 1681915904 AND 1686110207 THEN 'cgnat' WHEN n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3232235520 AND 3232301055 THEN 'private' ELSE 'public' END AS ip_class
+ n AS (SELECT doc_id, addr, CASE WHEN list_max(o) <= 255 AND NOT regexp_matches(addr,
+   '(^|[.])0[0-9]') THEN o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] END AS n FROM p)
+ SELECT addr, count(*) AS hits, CASE WHEN n IS NULL THEN NULL WHEN n BETWEEN 2130706432 AND 2147483647 THEN 'loopback' WHEN n BETWEEN 2851995648
+   AND 2852061183 OR n BETWEEN 3758096384 AND 3758096639 THEN 'link_local'
+   WHEN n BETWEEN 1681915904 AND 1686110207 THEN 'cgnat' WHEN n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3232235520
+   AND 3232301055 THEN 'private' ELSE 'public' END AS ip_class
  FROM n GROUP BY addr, n""", ev=False)
 def ip_class(spark, d):
     found = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})"), F.lit(1))).alias("addr"))
@@ -178,10 +184,13 @@ ADDRESSES = (("2001:db8::", 32, "Documentation"), ("2001:db8:40::", 42, "Example
 
 
 @query("address_forms", """-- f AS (SELECT row_id, k, row_id % 10 AS m, lpad(lower(to_hex(k)), 2, '0') AS h, lower(to_hex(k)) AS x FROM ev),
- g AS (SELECT *, CASE m WHEN 0 THEN '::ffff:10.0.0.' || k WHEN 1 THEN '0:0:0:0:0:FFFF:0a00:' || x WHEN 2 THEN 'fe80::' || x || '%eth0' WHEN 3 THEN 'fd' || h || '::1:0:0:' || x WHEN 4 THEN '2001:DB8:' || x || '::' WHEN 5 THEN '0:0::1'
+ g AS (SELECT *, CASE m WHEN 0 THEN '::ffff:10.0.0.' || k WHEN 1 THEN '0:0:0:0:0:FFFF:0a00:' || x WHEN 2 THEN 'fe80::' || x || '%eth0'
+   WHEN 3 THEN 'fd' || h || '::1:0:0:' || x WHEN 4 THEN '2001:DB8:' || x || '::' WHEN 5 THEN '0:0::1'
      WHEN 6 THEN 'ff02::1:' || x WHEN 7 THEN '1::2::' || x WHEN 8 THEN '1:2:3:4:5:6:7:8:' || x ELSE '64:ff9b::192.0.2.' || k END AS addr FROM f)
- SELECT row_id, addr, CASE m WHEN 0 THEN 'private' WHEN 1 THEN 'private' WHEN 2 THEN 'link_local' WHEN 3 THEN 'private' WHEN 4 THEN 'public' WHEN 5 THEN 'loopback' WHEN 6 THEN 'link_local' WHEN 9 THEN 'public' END AS ip_class,
-   CASE m WHEN 0 THEN '10.0.0.' || k WHEN 1 THEN '10.0.0.' || k WHEN 2 THEN 'fe80:0:0:0:0:0:0:' || x WHEN 3 THEN 'fd' || h || ':0:0:0:1:0:0:' || x WHEN 4 THEN '2001:db8:' || x || ':0:0:0:0:0' WHEN 5 THEN '0:0:0:0:0:0:0:1'
+ SELECT row_id, addr, CASE m WHEN 0 THEN 'private' WHEN 1 THEN 'private' WHEN 2 THEN 'link_local' WHEN 3 THEN 'private' WHEN 4 THEN 'public'
+   WHEN 5 THEN 'loopback' WHEN 6 THEN 'link_local' WHEN 9 THEN 'public' END AS ip_class,
+   CASE m WHEN 0 THEN '10.0.0.' || k WHEN 1 THEN '10.0.0.' || k WHEN 2 THEN 'fe80:0:0:0:0:0:0:' || x WHEN 3 THEN 'fd' || h || ':0:0:0:1:0:0:' || x
+   WHEN 4 THEN '2001:db8:' || x || ':0:0:0:0:0' WHEN 5 THEN '0:0:0:0:0:0:0:1'
      WHEN 6 THEN 'ff02:0:0:0:0:0:1:' || x WHEN 9 THEN '64:ff9b:0:0:0:0:c000:2' || h ELSE '' END AS rendered,
    CASE WHEN m < 2 AND k < 32 THEN 'Lab' WHEN m = 3 THEN 'Local' WHEN m = 4 AND k >= 64 THEN 'Examples' WHEN m = 4 THEN 'Documentation' END AS asn FROM g""")
 def address_forms(spark, d):
@@ -199,14 +208,16 @@ def address_forms(spark, d):
 # sessions, pages, classes
 
 @query("session_list", """SELECT session, min(us) AS started_us, max(CASE WHEN k = 99 THEN us END) AS ended_us, count(*) AS events,
-  CASE WHEN max(CASE WHEN k = 99 THEN us END) IS NULL THEN 'active' ELSE 'ended' END AS state, arg_min('p' || (k % 5), us) FILTER (k % 4 = 1) AS profile FROM ev GROUP BY session""")
+  CASE WHEN max(CASE WHEN k = 99 THEN us END) IS NULL THEN 'active' ELSE 'ended' END AS state, arg_min('p' || (k % 5), us) FILTER (k % 4 = 1) AS profile
+   FROM ev GROUP BY session""")
 def session_list(spark, d):
     e = ev(spark, d).withColumn("profile", F.when(F.col("k") % 4 == 1, F.concat(F.lit("p"), F.col("k") % 5)))
     return detect.session_list(e.withColumn("type", F.when(F.col("k") == 99, "session.end").otherwise(F.col("type"))))
 
 
 @query("session_summary", """SELECT session, count(*) AS events, count(*) FILTER (type = 'proc.exec') AS execs, count(*) FILTER (type LIKE 'fs.%') AS files,
-  count(*) FILTER (type = 'net.connect') AS connects, count(*) FILTER (type = 'fs.sensitive_read') AS sensitive_reads, CAST(0 AS BIGINT) AS critical FROM ev GROUP BY session""")
+  count(*) FILTER (type = 'net.connect') AS connects, count(*) FILTER (type = 'fs.sensitive_read') AS sensitive_reads, CAST(0 AS BIGINT) AS critical
+   FROM ev GROUP BY session""")
 def session_summary(spark, d):
     return detect.session_summary(ev(spark, d))
 
@@ -242,7 +253,8 @@ def lanes_severity(spark, d):
     return ev(spark, d).select("row_id", C.lane(F.col("type")).alias("lane"), C.severity(F.col("type"), F.col("value") > 95).alias("severity"))
 
 
-@query("event_class", f"""SELECT row_id, CASE type WHEN 'proc.exec' THEN 'exec' WHEN 'net.connect' THEN 'connect' WHEN 'fs.sensitive_read' THEN 'sensitive_read' WHEN 'net.dns' THEN 'flow_dns' ELSE type END AS class, type IN ('proc.exec', 'fs.sensitive_read', 'net.connect') AS never_shed,
+@query("event_class", f"""SELECT row_id, CASE type WHEN 'proc.exec' THEN 'exec' WHEN 'net.connect' THEN 'connect' WHEN 'fs.sensitive_read' THEN 'sensitive_read'
+   WHEN 'net.dns' THEN 'flow_dns' ELSE type END AS class, type IN ('proc.exec', 'fs.sensitive_read', 'net.connect') AS never_shed,
   CASE type WHEN 'fs.write_open' THEN 2 WHEN 'net.dns' THEN 3 END AS tier, {BURST_CLASS} AS burst_class,
   type IN ('proc.exec', 'fs.sensitive_read', 'net.connect', 'net.dns') AS load_bearing FROM ev""")
 def event_class(spark, d):
@@ -282,8 +294,10 @@ def exe_class(spark, d):
 INJECT = {"version": 1, "session": 2, "type_empty": 3, "origin": 4, "state": 5, "type_unknown": 6, "origin_marker": 7, "daddr": 8, "path_source": 9}
 
 
-@query("validate_rejects", """SELECT row_id, CASE row_id % 97 WHEN 1 THEN 'version' WHEN 2 THEN 'session' WHEN 3 THEN 'type_empty' WHEN 4 THEN 'origin' WHEN 5 THEN 'state'
-  WHEN 6 THEN 'type_unknown' WHEN 7 THEN 'origin_marker' ELSE CASE WHEN row_id % 97 = 8 AND type = 'net.connect' THEN 'daddr' WHEN row_id % 97 = 9 THEN 'path_source' END END AS reject_reason
+@query("validate_rejects", """SELECT row_id, CASE row_id % 97 WHEN 1 THEN 'version' WHEN 2 THEN 'session' WHEN 3 THEN 'type_empty' WHEN 4 THEN 'origin'
+   WHEN 5 THEN 'state'
+  WHEN 6 THEN 'type_unknown' WHEN 7 THEN 'origin_marker' ELSE CASE WHEN row_id % 97 = 8 AND type = 'net.connect' THEN 'daddr'
+   WHEN row_id % 97 = 9 THEN 'path_source' END END AS reject_reason
   FROM ev WHERE row_id % 97 BETWEEN 1 AND 7 OR (row_id % 97 = 8 AND type = 'net.connect') OR row_id % 97 = 9""")
 def validate_rejects(spark, d):
     """Events with faults put in by their number; the rejects and their reasons."""
@@ -296,8 +310,10 @@ def validate_rejects(spark, d):
     return ev(spark, d).withColumn("reject_reason", reject_reason(cols)).where("reject_reason is not null").select("row_id", "reject_reason")
 
 
-@query("marker_ingest", """SELECT row_id, CASE row_id % 8 WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'undeclared' WHEN 3 THEN 'not_a_scalar' WHEN 5 THEN 'not_a_scalar' WHEN 7 THEN 'too_long' END AS reject_reason,
-  CASE WHEN row_id % 8 IN (0, 4, 6) THEN 'marker.run.start' END AS type, CASE row_id % 8 WHEN 0 THEN session WHEN 4 THEN '-1.5' WHEN 6 THEN CAST(row_id AS VARCHAR) END AS run_id FROM ev""")
+@query("marker_ingest", """SELECT row_id, CASE row_id % 8 WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'undeclared' WHEN 3 THEN 'not_a_scalar' WHEN 5 THEN 'not_a_scalar'
+   WHEN 7 THEN 'too_long' END AS reject_reason,
+  CASE WHEN row_id % 8 IN (0, 4, 6) THEN 'marker.run.start' END AS type, CASE row_id % 8 WHEN 0 THEN session WHEN 4 THEN '-1.5'
+   WHEN 6 THEN CAST(row_id AS VARCHAR) END AS run_id FROM ev""")
 def marker_ingest(spark, d):
     """Marker lines whose run id is a text (also one that looks like a number), a number, a fraction or a list; and other faults."""
     m = F.col("row_id") % 8
@@ -309,19 +325,27 @@ def marker_ingest(spark, d):
     return made.select("row_id", "reject_reason", "type", F.col("fields")["runId"].alias("run_id"))
 
 
-@query("raw_records", """SELECT row_id, CASE k % 8 WHEN 0 THEN NULL WHEN 1 THEN 'fs.write_open' WHEN 2 THEN 'fs.unlink' WHEN 3 THEN 'fs.rename' WHEN 4 THEN 'fs.mkdir' WHEN 5 THEN 'fs.chmod' WHEN 6 THEN 'fs.truncate' ELSE 'fs.sensitive_read' END AS fs_type,
+@query("raw_records", """SELECT row_id, CASE k % 8 WHEN 0 THEN NULL WHEN 1 THEN 'fs.write_open' WHEN 2 THEN 'fs.unlink' WHEN 3 THEN 'fs.rename'
+   WHEN 4 THEN 'fs.mkdir' WHEN 5 THEN 'fs.chmod' WHEN 6 THEN 'fs.truncate' ELSE 'fs.sensitive_read' END AS fs_type,
   CASE WHEN k % 2 = 0 THEN 'udp' ELSE 'tcp' END AS proto, CASE WHEN k % 3 = 0 THEN '6' ELSE '4' END AS family, array_to_string(['run', 'a' || k], ' ') AS argv FROM ev""")
 def raw_records(spark, d):
     argv = text.argv_of(F.concat(F.lit("run"), F.lit("\x00"), F.lit("a"), F.col("k"), F.lit("\x00")))
     return ev(spark, d).select("row_id", C.fs_op_type(F.col("k") % 8).alias("fs_type"), C.proto_label(F.when(F.col("k") % 2 == 0, 17).otherwise(6)).alias("proto"), C.family_label(F.when(F.col("k") % 3 == 0, 6).otherwise(4)).alias("family"), F.array_join(argv, " ").alias("argv"))
 
 
-RAW_SQL = """-- m AS (SELECT *, ['exec', 'fork', 'exit', 'fs_op', 'connect', 'sendmsg', 'unix_connect', 'flow_close', 'dns', 'migration'][row_id % 10 + 1] AS kind, row_id % 23 AS f FROM ev),
+RAW_SQL = """-- m AS (SELECT *, ['exec', 'fork', 'exit', 'fs_op', 'connect', 'sendmsg', 'unix_connect', 'flow_close', 'dns',
+   'migration'][row_id % 10 + 1] AS kind, row_id % 23 AS f FROM ev),
  r AS (SELECT *, CASE f WHEN 1 THEN 'json' WHEN 2 THEN 'version' WHEN 3 THEN 'kind' WHEN 4 THEN 'length' WHEN 5 THEN 'length' END AS bad FROM m)
- SELECT row_id, bad AS reject_reason, CASE WHEN f = 3 THEN 'ptrace' WHEN f <> 1 THEN kind END AS kind, CASE WHEN bad IS NULL THEN CASE kind WHEN 'exec' THEN 'proc.exec' WHEN 'fork' THEN 'proc.fork' WHEN 'exit' THEN 'proc.exit'
-     WHEN 'fs_op' THEN ['fs.write_open', 'fs.unlink', 'fs.rename', 'fs.mkdir', 'fs.chmod', 'fs.truncate', 'fs.sensitive_read'][k % 7 + 1] WHEN 'unix_connect' THEN 'unix.connect' WHEN 'flow_close' THEN 'net.flow_close' WHEN 'dns' THEN 'net.dns' WHEN 'migration' THEN 'alert.cgroup_escape' ELSE 'net.connect' END END AS type,
-   CASE WHEN bad IS NULL THEN pid END AS pid, CASE WHEN bad IS NULL AND kind IN ('fs_op', 'unix_connect') THEN '/f' || k END AS path, CASE WHEN bad IS NULL AND kind IN ('exec', 'fork') THEN 1 END AS ppid,
-   CASE WHEN bad IS NULL AND kind IN ('connect', 'sendmsg', 'flow_close') THEN k END AS dport, CASE WHEN bad IS NULL AND kind = 'exec' THEN 'run a' || k END AS argv, CASE WHEN bad IS NULL AND kind = 'dns' THEN 'h' || k END AS qname, CASE WHEN bad IS NULL AND kind = 'migration' THEN k END AS to_cgid FROM r"""
+ SELECT row_id, bad AS reject_reason, CASE WHEN f = 3 THEN 'ptrace' WHEN f <> 1 THEN kind END AS kind, CASE WHEN bad IS NULL THEN CASE kind
+   WHEN 'exec' THEN 'proc.exec' WHEN 'fork' THEN 'proc.fork' WHEN 'exit' THEN 'proc.exit'
+     WHEN 'fs_op' THEN ['fs.write_open', 'fs.unlink', 'fs.rename', 'fs.mkdir', 'fs.chmod', 'fs.truncate', 'fs.sensitive_read'][k % 7 + 1]
+   WHEN 'unix_connect' THEN 'unix.connect' WHEN 'flow_close' THEN 'net.flow_close' WHEN 'dns' THEN 'net.dns' WHEN 'migration' THEN 'alert.cgroup_escape'
+   ELSE 'net.connect' END END AS type,
+   CASE WHEN bad IS NULL THEN pid END AS pid, CASE WHEN bad IS NULL AND kind IN ('fs_op', 'unix_connect') THEN '/f' || k END AS path, CASE WHEN bad IS NULL
+   AND kind IN ('exec', 'fork') THEN 1 END AS ppid,
+   CASE WHEN bad IS NULL AND kind IN ('connect', 'sendmsg', 'flow_close') THEN k END AS dport, CASE WHEN bad IS NULL
+   AND kind = 'exec' THEN 'run a' || k END AS argv, CASE WHEN bad IS NULL AND kind = 'dns' THEN 'h' || k END AS qname, CASE WHEN bad IS NULL
+   AND kind = 'migration' THEN k END AS to_cgid FROM r"""
 
 
 @query("raw_kinds", RAW_SQL)
@@ -369,13 +393,15 @@ def migration(spark, d):
 
 
 @query("exe_provenance", """SELECT row_id, row_number() OVER (PARTITION BY session, path, g ORDER BY us, row_id) = 1 AS exe_first_seen,
-  coalesce(lag(g) OVER (PARTITION BY session, path ORDER BY us, row_id) <> g, false) AS exe_changed FROM (SELECT *, CAST(floor(value) AS BIGINT) % 3 AS g FROM ev WHERE type = 'proc.exec')""")
+  coalesce(lag(g) OVER (PARTITION BY session, path ORDER BY us, row_id) <> g, false) AS exe_changed FROM (SELECT *,
+   CAST(floor(value) AS BIGINT) % 3 AS g FROM ev WHERE type = 'proc.exec')""")
 def exe_provenance(spark, d):
     execs = ev(spark, d).where("type = 'proc.exec'").withColumn("digest", (F.floor("value") % 3).cast("long"))
     return windows.provenance(execs).select("row_id", "exe_first_seen", "exe_changed")
 
 
-@query("owner_route", """SELECT row_id, last_value(CASE WHEN type = 'proc.exec' THEN 1000 + k % 3 END IGNORE NULLS) OVER (PARTITION BY session ORDER BY us, row_id ROWS UNBOUNDED PRECEDING) AS owner_uid FROM ev""")
+@query("owner_route", """SELECT row_id, last_value(CASE WHEN type = 'proc.exec' THEN 1000 + k % 3 END IGNORE NULLS) OVER (PARTITION BY session
+   ORDER BY us, row_id ROWS UNBOUNDED PRECEDING) AS owner_uid FROM ev""")
 def owner_route(spark, d):
     e = ev(spark, d).withColumn("uid", 1000 + F.col("k") % 3)
     return windows.owners(e, F.col("type") == "proc.exec").select("row_id", "owner_uid")
@@ -411,7 +437,8 @@ GLOBS = (["/en/**", "/*/[0-4]*"], ["/en/1*"])
 
 
 @query("glob_scope", rf"""SELECT page_id, path FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) AS path FROM pages)
- WHERE (regexp_matches(path, '{joins.glob_regex(GLOBS[0][0])}') OR regexp_matches(path, '{joins.glob_regex(GLOBS[0][1])}')) AND NOT regexp_matches(path, '{joins.glob_regex(GLOBS[1][0])}')""", ev=False)
+ WHERE (regexp_matches(path, '{joins.glob_regex(GLOBS[0][0])}') OR regexp_matches(path, '{joins.glob_regex(GLOBS[0][1])}')) AND NOT regexp_matches(path,
+   '{joins.glob_regex(GLOBS[1][0])}')""", ev=False)
 def glob_scope(spark, d):
     rows = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]*(/[^?#]*)", 1).alias("path"))
     return rows.where(joins.in_scope(F.col("path"), *GLOBS))
@@ -426,7 +453,8 @@ def watchlist(spark, d):
     return joins.by_ancestor(e.where("path is not null").select("row_id", "path"), rules).select("row_id", "path", "rule")
 
 
-@query("watchlist_identity", """SELECT row_id, CASE WHEN k % 4 = 0 THEN 'builtin:.ssh' WHEN k % 4 IN (1, 3) AND row_id % 3 = 0 THEN 'pinned' || (row_id % 2) WHEN k % 4 = 2 AND k % 3 = 1 THEN 'data' END AS rule FROM ev WHERE path IS NOT NULL""")
+@query("watchlist_identity", """SELECT row_id, CASE WHEN k % 4 = 0 THEN 'builtin:.ssh' WHEN k % 4 IN (1, 3)
+   AND row_id % 3 = 0 THEN 'pinned' || (row_id % 2) WHEN k % 4 = 2 AND k % 3 = 1 THEN 'data' END AS rule FROM ev WHERE path IS NOT NULL""")
 def watchlist_identity(spark, d):
     """Built-in paths of three homes and a data folder; else pinned files by (dev, ino), however they are called."""
     m, home = F.col("k") % 4, F.concat(F.lit("/home/u"), F.col("k") % 3)
@@ -437,7 +465,8 @@ def watchlist_identity(spark, d):
     return joins.watched(e, joins.builtin_watchlist(homes, "/var/lib/own"), pinned).select("row_id", "rule")
 
 
-@query("path_translate", """SELECT row_id, '/home/u' || (k % 3) || '/data/f' || k AS host_path, '/mnt/host/t' || (k % 3) || '/data/f' || k AS guest_path FROM ev WHERE path IS NOT NULL""")
+@query("path_translate", """SELECT row_id, '/home/u' || (k % 3) || '/data/f' || k AS host_path, '/mnt/host/t' || (k % 3) || '/data/f' || k AS guest_path
+   FROM ev WHERE path IS NOT NULL""")
 def path_translate(spark, d):
     """Host paths to guest paths by the longest mounted root."""
     e = ev(spark, d).where("path is not null")
@@ -446,7 +475,8 @@ def path_translate(spark, d):
     return joins.host_to_guest(rows, mounts.withColumnRenamed("prefix", "host_root"), "host_path").select("row_id", "host_path", "guest_path")
 
 
-@query("path_back", """SELECT row_id, CASE k % 5 WHEN 0 THEN '/home/u0/data/f' || k WHEN 1 THEN '/home/u1/data/f' || k WHEN 4 THEN '/home/u2' END AS host_path, CASE k % 5 WHEN 2 THEN 'not_under_mount' WHEN 3 THEN 'unknown_tag' END AS unmapped FROM ev WHERE path IS NOT NULL""")
+@query("path_back", """SELECT row_id, CASE k % 5 WHEN 0 THEN '/home/u0/data/f' || k WHEN 1 THEN '/home/u1/data/f' || k WHEN 4 THEN '/home/u2' END AS host_path,
+   CASE k % 5 WHEN 2 THEN 'not_under_mount' WHEN 3 THEN 'unknown_tag' END AS unmapped FROM ev WHERE path IS NOT NULL""")
 def path_back(spark, d):
     """Guest paths to host paths: plain, with dots, out of the mount, of an unknown tag, and a mount itself."""
     k = F.col("k") % 5
@@ -472,7 +502,8 @@ def _sealed(spark, d: str, points: bool = True):
 
 
 LEDGER = f"""-- {NUMBERED}, g AS (SELECT *, CAST(floor(idx / 16) AS BIGINT) AS seg, CASE WHEN k IN (13, 14) THEN 'gap' ELSE type END AS t FROM n),
- h AS (SELECT *, sha256(unhex('00' || hex('{{"session":"' || session || '","row_id":' || row_id || ',"us":' || us || ',"type":"' || t || '","k":' || k || '}}'))) AS row_hash FROM g) """
+ h AS (SELECT *, sha256(unhex('00' || hex('{{"session":"' || session || '","row_id":' || row_id || ',"us":' || us || ',"type":"' || t || '","k":' || k || '}}'))) AS row_hash
+   FROM g) """
 
 
 @query("row_hash", LEDGER + "SELECT row_id, row_hash FROM h")
@@ -480,7 +511,8 @@ def row_hash(spark, d):
     return _ledger_events(spark, d).select("row_id", "row_hash")
 
 
-@query("redacted_hash", r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'token = ⟦R:entropy:m:' || substr(sha256(sha256(CAST(doc_id AS VARCHAR)) || 'salt'), 1, 8) || '⟧' END AS t FROM documents)
+@query("redacted_hash", r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL
+   ELSE 'token = ⟦R:entropy:m:' || substr(sha256(sha256(CAST(doc_id AS VARCHAR)) || 'salt'), 1, 8) || '⟧' END AS t FROM documents)
  SELECT doc_id, sha256(unhex('00' || hex('{"doc_id":' || doc_id || ',"text_redacted":' || coalesce('"' || t || '"', 'null') || '}'))) AS row_hash FROM d""".replace(":m:", ":l:"), ev=False)
 def redacted_hash(spark, d):
     """Texts with a credential, redacted and then hashed; as they were they would be refused."""
@@ -503,7 +535,8 @@ def _level(x: str) -> str:
 
 
 @query("merkle_root", LEDGER.rstrip() + f""", l0 AS (SELECT session, seg, list(row_hash ORDER BY us, row_id) AS x FROM h GROUP BY session, seg),
- l1 AS (SELECT session, seg, {_level('x')} AS x FROM l0), l2 AS (SELECT session, seg, {_level('x')} AS x FROM l1), l3 AS (SELECT session, seg, {_level('x')} AS x FROM l2),
+ l1 AS (SELECT session, seg, {_level('x')} AS x FROM l0), l2 AS (SELECT session, seg, {_level('x')} AS x FROM l1), l3 AS (SELECT session, seg,
+   {_level('x')} AS x FROM l2),
  l4 AS (SELECT session, seg, {_level('x')} AS x FROM l3) SELECT session, seg, x[1] AS merkle_root FROM l4""")
 def merkle_root(spark, d):
     return ledger.segment_table(_ledger_events(spark, d)).select("session", "seg", "merkle_root")
@@ -516,7 +549,9 @@ def chain_verify(spark, d):
     return ledger.audit_links(s.withColumn("seg_hash", F.when(F.col("seg") == 1, F.sha2("seg_hash", 256)).otherwise(F.col("seg_hash"))))
 
 
-@query("event_audit", LEDGER + """SELECT 'row_continuity_broken' AS kind, session, seg, (count(*) - 1) || ' of ' || count(*) AS detail FROM h GROUP BY session, seg HAVING bool_or(row_id % 50 = 3 AND k NOT IN (13, 14)) AND count(*) FILTER (row_id % 50 = 3) = 1 AND count(*) > 1 AND count(*) FILTER (k IN (13, 14)) = 0
+@query("event_audit", LEDGER + """SELECT 'row_continuity_broken' AS kind, session, seg, (count(*) - 1) || ' of ' || count(*) AS detail FROM h GROUP BY session,
+   seg HAVING bool_or(row_id % 50 = 3 AND k NOT IN (13, 14)) AND count(*) FILTER (row_id % 50 = 3) = 1 AND count(*) > 1 AND count(*) FILTER (k IN (13,
+   14)) = 0
   UNION ALL SELECT 'gap_dishonest', session, seg, '' FROM h GROUP BY session, seg HAVING false""")
 def event_audit(spark, d):
     """Rows are deleted from segments that claim no gap; where one of several is gone, its count tells."""
@@ -544,7 +579,8 @@ def checkpoints(spark, d):
     return _sealed(spark, d)[2].select("session", "seg_first", "seg_last", "signed_us")
 
 
-@query("ledger_chain", POINTS.rstrip() + """, o AS (SELECT session, seg, lag(session) OVER (ORDER BY lpad(CAST(sealed_us AS VARCHAR), 20, '0') || '/' || session || '/' || lpad(CAST(seg AS VARCHAR), 12, '0')) AS before FROM cp)
+@query("ledger_chain", POINTS.rstrip() + """, o AS (SELECT session, seg, lag(session) OVER (ORDER BY lpad(CAST(sealed_us AS VARCHAR), 20,
+   '0') || '/' || session || '/' || lpad(CAST(seg AS VARCHAR), 12, '0')) AS before FROM cp)
  SELECT 'checkpoint_chain_broken' AS kind, session, seg, '' AS detail FROM o WHERE session <> 's7' AND before = 's7'""")
 def ledger_chain(spark, d):
     """A whole session is deleted; the next checkpoint of another one no longer links."""
@@ -613,7 +649,8 @@ def mutation_diff(spark, d):
     return tables.mutations(e, stored)
 
 
-@query("retention_due", LEDGER.rstrip() + """, sg AS (SELECT session, seg, max(us) AS sealed_us FROM h GROUP BY session, seg), p AS (SELECT *, CAST(substr(session, 2) AS BIGINT) % 3 AS profile FROM sg)
+@query("retention_due", LEDGER.rstrip() + """, sg AS (SELECT session, seg, max(us) AS sealed_us FROM h GROUP BY session, seg), p AS (SELECT *, CAST(substr(session,
+   2) AS BIGINT) % 3 AS profile FROM sg)
  SELECT session, seg FROM p WHERE sealed_us <= 1706745600000000 - (7 + profile * 7) * 86400000000 AND seg % 5 <> 0""")
 def retention_due(spark, d):
     s = ledger.segment_table(_ledger_events(spark, d)).withColumn("profile", F.substring("session", 2, 20).cast("long") % 3).withColumn("archived_path", F.when(F.col("seg") % 5 == 0, "cold"))
@@ -673,15 +710,20 @@ def conservation(spark, d):
 
 #: A bucket of 3 tokens in each of 4 tiers, refilled from the highest, row by row.
 BUCKET_SQL = f"""WITH RECURSIVE {EV_SQL}, c AS (
-  SELECT session, row_id, us, CASE type WHEN 'proc.exec' THEN 'exec' WHEN 'net.connect' THEN 'connect' WHEN 'fs.sensitive_read' THEN 'sensitive_read' WHEN 'net.dns' THEN 'flow_dns' ELSE type END AS class, CASE type WHEN 'fs.write_open' THEN 2 WHEN 'net.dns' THEN 3 END AS tier FROM ev),
+  SELECT session, row_id, us, CASE type WHEN 'proc.exec' THEN 'exec' WHEN 'net.connect' THEN 'connect' WHEN 'fs.sensitive_read' THEN 'sensitive_read'
+   WHEN 'net.dns' THEN 'flow_dns' ELSE type END AS class, CASE type WHEN 'fs.write_open' THEN 2 WHEN 'net.dns' THEN 3 END AS tier FROM ev),
 n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY us, row_id) AS rn FROM c WHERE tier IS NOT NULL),
 b AS (
-  SELECT session, row_id, us, rn, false AS shed, 3.0::DOUBLE AS t0, 3.0::DOUBLE AS t1, CASE tier WHEN 2 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS t2, CASE tier WHEN 3 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS t3 FROM n WHERE rn = 1
+  SELECT session, row_id, us, rn, false AS shed, 3.0::DOUBLE AS t0, 3.0::DOUBLE AS t1, CASE tier WHEN 2 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS t2,
+   CASE tier WHEN 3 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS t3 FROM n WHERE rn = 1
   UNION ALL
-  SELECT session, row_id, us, rn, CASE tier WHEN 2 THEN t2 + a2 < 1 ELSE t3 + a3 < 1 END, t0 + a0, t1 + a1, t2 + a2 - CASE WHEN tier = 2 AND t2 + a2 >= 1 THEN 1 ELSE 0 END, t3 + a3 - CASE WHEN tier = 3 AND t3 + a3 >= 1 THEN 1 ELSE 0 END
-  FROM (SELECT *, least(3 - t0, f1) AS a0 FROM (SELECT *, least(3 - t1, f2) AS a1, f2 - least(3 - t1, f2) AS f1 FROM (SELECT *, least(3 - t2, f3) AS a2, f3 - least(3 - t2, f3) AS f2 FROM (
+  SELECT session, row_id, us, rn, CASE tier WHEN 2 THEN t2 + a2 < 1 ELSE t3 + a3 < 1 END, t0 + a0, t1 + a1, t2 + a2 - CASE WHEN tier = 2
+   AND t2 + a2 >= 1 THEN 1 ELSE 0 END, t3 + a3 - CASE WHEN tier = 3 AND t3 + a3 >= 1 THEN 1 ELSE 0 END
+  FROM (SELECT *, least(3 - t0, f1) AS a0 FROM (SELECT *, least(3 - t1, f2) AS a1, f2 - least(3 - t1, f2) AS f1 FROM (SELECT *, least(3 - t2, f3) AS a2,
+   f3 - least(3 - t2, f3) AS f2 FROM (
     SELECT *, least(3 - t3, f) AS a3, f - least(3 - t3, f) AS f3 FROM (
-      SELECT n.session, n.row_id, n.us, n.rn, n.tier, b.t0, b.t1, b.t2, b.t3, greatest(n.us - b.us, 0)::DOUBLE * 0.00002::DOUBLE / 1e6::DOUBLE AS f FROM b JOIN n ON n.session = b.session AND n.rn = b.rn + 1))))))
+      SELECT n.session, n.row_id, n.us, n.rn, n.tier, b.t0, b.t1, b.t2, b.t3, greatest(n.us - b.us, 0)::DOUBLE * 0.00002::DOUBLE / 1e6::DOUBLE AS f
+   FROM b JOIN n ON n.session = b.session AND n.rn = b.rn + 1))))))
 SELECT c.session, c.row_id, c.us, c.class, c.tier, coalesce(b.shed, false) AS shed FROM c LEFT JOIN b USING (row_id)"""
 
 
@@ -716,9 +758,11 @@ def map_equality(spark, d):
 # reports
 
 @query("timeline_union", ALERTS_SQL.rstrip() + f""", t AS (SELECT session, 'e' || row_id AS row_id, us, type, {DESCRIBE} AS line FROM ev WHERE type <> 'fs.write_open')
- SELECT * FROM t UNION ALL SELECT session, 'e' || (row_id + 1000000000), us, 'alert.sensitive_read', 'alert: sensitive read of ' || path FROM ev WHERE type = 'fs.sensitive_read' AND k % 2 = 0
+ SELECT * FROM t UNION ALL SELECT session, 'e' || (row_id + 1000000000), us, 'alert.sensitive_read', 'alert: sensitive read of ' || path FROM ev
+   WHERE type = 'fs.sensitive_read' AND k % 2 = 0
  UNION ALL SELECT session, 'a' || row_id || '.' || rule, us, type, CASE type WHEN 'alert.new_domain' THEN 'first contact with ' || coalesce(subject, '?')
-   WHEN 'alert.sensitive_read' THEN 'alert: sensitive read of ' || coalesce(subject, '?') ELSE 'alert: ' || substr(type, 7) END FROM alerts WHERE type <> 'alert.sensitive_read' OR CAST(substr(subject, 8) AS BIGINT) % 2 = 1""")
+   WHEN 'alert.sensitive_read' THEN 'alert: sensitive read of ' || coalesce(subject, '?') ELSE 'alert: ' || substr(type, 7) END FROM alerts
+   WHERE type <> 'alert.sensitive_read' OR CAST(substr(subject, 8) AS BIGINT) % 2 = 1""")
 def timeline_union(spark, d):
     """Half of the alerts of sensitive reads are stored among the events; they appear once."""
     e = ev(spark, d)
@@ -727,7 +771,8 @@ def timeline_union(spark, d):
 
 
 @query("incident_headers", PLANTED_SQL.rstrip() + """, a AS (SELECT session, count(*) AS alerts FROM alerts GROUP BY session),
- h AS (SELECT session, min(us) AS from_us, max(us) AS to_us, count(*) AS events, arg_min(path, row_id) FILTER (type = 'proc.exec') AS first_exec, min(us) FILTER (type = 'session.start') AS start_us FROM pe GROUP BY session)
+ h AS (SELECT session, min(us) AS from_us, max(us) AS to_us, count(*) AS events, arg_min(path, row_id) FILTER (type = 'proc.exec') AS first_exec,
+   min(us) FILTER (type = 'session.start') AS start_us FROM pe GROUP BY session)
  SELECT h.*, coalesce(a.alerts, 0) AS alerts FROM h LEFT JOIN a USING (session)""")
 def incident_headers(spark, d):
     e = planted(spark, d)
@@ -740,7 +785,8 @@ def causality_clusters(spark, d):
     return detect.causality_clusters(c.select(F.concat(F.lit("c"), F.col("conv_id") % 50).alias("session"), F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("ord"), F.col("role").alias("status"), F.lit("").alias("agent")))
 
 
-@query("run_effects", f"""-- r AS (SELECT session, us // {72 * HOUR} AS run, min(us) AS a, max(us) AS b FROM ev WHERE type = 'proc.exec' GROUP BY session, us // {72 * HOUR})
+@query("run_effects", f"""-- r AS (SELECT session, us // {72 * HOUR} AS run, min(us) AS a, max(us) AS b FROM ev WHERE type = 'proc.exec' GROUP BY session,
+   us // {72 * HOUR})
  SELECT r.session, r.run, count(*) AS effects FROM r JOIN ev ON ev.session = r.session AND ev.us BETWEEN r.a AND r.b AND ev.type LIKE 'fs.%' GROUP BY r.session, r.run""")
 def run_effects(spark, d):
     e = ev(spark, d)
@@ -755,9 +801,12 @@ def inferred_clusters(spark, d):
 
 
 RUNS_SQL = f"""p AS (SELECT session, k, us AS s, lead(us) OVER (PARTITION BY session, k ORDER BY us, row_id) AS f FROM ev WHERE type = 'proc.exec'),
- t AS (SELECT session, k, s, session || '|' || (k + 100) || '|' || s AS root FROM p WHERE k = 0 OR NOT EXISTS (SELECT 1 FROM p q WHERE q.session = p.session AND q.k = p.k // 2 AND q.s <= p.s AND (q.f IS NULL OR p.s < q.f))
-   UNION ALL SELECT p.session, p.k, p.s, t.root FROM p JOIN p q ON q.session = p.session AND q.k = p.k // 2 AND p.k > 0 AND q.s <= p.s AND (q.f IS NULL OR p.s < q.f) JOIN t ON t.session = q.session AND t.k = q.k AND t.s = q.s),
- h AS (SELECT ev.session, ev.row_id, ev.us, coalesce(t.root, ev.session || '|' || ev.pid) AS root FROM ev LEFT JOIN p ON p.session = ev.session AND p.k = ev.k AND p.s <= ev.us AND (p.f IS NULL OR ev.us < p.f) LEFT JOIN t ON t.session = p.session AND t.k = p.k AND t.s = p.s)"""
+ t AS (SELECT session, k, s, session || '|' || (k + 100) || '|' || s AS root FROM p WHERE k = 0 OR NOT EXISTS (SELECT 1 FROM p q WHERE q.session = p.session
+   AND q.k = p.k // 2 AND q.s <= p.s AND (q.f IS NULL OR p.s < q.f))
+   UNION ALL SELECT p.session, p.k, p.s, t.root FROM p JOIN p q ON q.session = p.session AND q.k = p.k // 2 AND p.k > 0 AND q.s <= p.s
+   AND (q.f IS NULL OR p.s < q.f) JOIN t ON t.session = q.session AND t.k = q.k AND t.s = q.s),
+ h AS (SELECT ev.session, ev.row_id, ev.us, coalesce(t.root, ev.session || '|' || ev.pid) AS root FROM ev LEFT JOIN p ON p.session = ev.session
+   AND p.k = ev.k AND p.s <= ev.us AND (p.f IS NULL OR ev.us < p.f) LEFT JOIN t ON t.session = p.session AND t.k = p.k AND t.s = p.s)"""
 
 
 @query("inferred_runs", f"WITH RECURSIVE {EV_SQL}, {RUNS_SQL} SELECT row_id, root, 'inferred' AS label, CAST(sum(g) OVER (PARTITION BY session, root ORDER BY us, row_id) AS BIGINT) AS cluster FROM (SELECT *, coalesce(CAST(us - lag(us) OVER (PARTITION BY session, root ORDER BY us, row_id) > {24 * HOUR} AS INTEGER), 0) AS g FROM h)", ev=False)
@@ -770,7 +819,8 @@ def inferred_runs(spark, d):
 
 
 @query("process_lineage", """WITH RECURSIVE t AS (SELECT o_orderkey AS pid, CASE WHEN o_orderkey % 8 <> 0 THEN o_orderkey // 2 END AS ppid FROM orders),
- r AS (SELECT pid, pid AS root, ppid AS up, 0 AS hops FROM t UNION ALL SELECT r.pid, t.pid, t.ppid, hops + 1 FROM r JOIN t ON r.up = t.pid AND t.pid <> r.root WHERE hops < 64)
+ r AS (SELECT pid, pid AS root, ppid AS up, 0 AS hops FROM t UNION ALL SELECT r.pid, t.pid, t.ppid, hops + 1 FROM r JOIN t ON r.up = t.pid
+   AND t.pid <> r.root WHERE hops < 64)
  SELECT pid, arg_max(root, hops) AS root, max(hops) AS hops, false AS cycle FROM r GROUP BY pid""", ev=False)
 def process_lineage(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pid"), F.when(F.col("o_orderkey") % 8 != 0, F.expr("o_orderkey div 2")).alias("ppid"))
@@ -779,7 +829,8 @@ def process_lineage(spark, d):
 
 # files and texts
 
-@query("file_changes", """WITH o AS (SELECT 'p' || (doc_id // 20) AS path, doc_id % 20 AS scan_no, doc_id // 60 AS mtime, (doc_id % 20) // 3 AS size, CAST((doc_id % 20) // 6 AS VARCHAR) AS digest FROM documents WHERE doc_id % 20 <> 11),
+@query("file_changes", """WITH o AS (SELECT 'p' || (doc_id // 20) AS path, doc_id % 20 AS scan_no, doc_id // 60 AS mtime, (doc_id % 20) // 3 AS size,
+   CAST((doc_id % 20) // 6 AS VARCHAR) AS digest FROM documents WHERE doc_id % 20 <> 11),
  n AS (SELECT *, CAST(coalesce(scan_no - lag(scan_no) OVER (PARTITION BY path ORDER BY scan_no) <> 1, true) AS INTEGER) AS f FROM o),
  i AS (SELECT *, sum(f) OVER (PARTITION BY path ORDER BY scan_no) AS isl FROM n),
  s AS (SELECT * FROM (SELECT *, lag(mtime) OVER w = mtime AND lag(size) OVER w = size AS still FROM i WINDOW w AS (PARTITION BY path, isl ORDER BY scan_no)) WHERE still),
@@ -791,7 +842,8 @@ def file_changes(spark, d):
     return windows.settled_changes(o).select("path", "scan_no", "digest", "prev_digest", "size_delta")
 
 
-@query("digest_check", """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'not_regular' WHEN 3 THEN 'untranslatable' ELSE 'match' END AS note FROM documents""", ev=False)
+@query("digest_check", """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'not_regular' WHEN 3 THEN 'untranslatable'
+   ELSE 'match' END AS note FROM documents""", ev=False)
 def digest_check(spark, d):
     """Recorded digests of guest paths against the files that stand at the host's paths now."""
     m, name = F.col("doc_id") % 7, F.concat(F.lit("/d"), F.col("doc_id"))
@@ -805,7 +857,8 @@ def digest_check(spark, d):
 
 def _rule_counts_sql(source: str) -> str:
     """Counts of every rule; the patterns are read alike by Spark, DuckDB and Python."""
-    return " UNION ALL ".join(f"""SELECT '{r.name}' AS rule, '{r.cls}' AS class, CAST(coalesce(sum(n), 0) AS BIGINT) AS hits, count(*) FILTER (n > 0) AS docs FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '{r.pattern.replace("'", "''")}')) AS n FROM {source})""" for r in redact.RULES)
+    return " UNION ALL ".join(f"""SELECT '{r.name}' AS rule, '{r.cls}' AS class, CAST(coalesce(sum(n), 0) AS BIGINT) AS hits,
+   count(*) FILTER (n > 0) AS docs FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '{r.pattern.replace("'", "''")}')) AS n FROM {source})""" for r in redact.RULES)
 
 
 @query("redact_rule_counts", _rule_counts_sql("documents"), ev=False)
@@ -835,7 +888,8 @@ def redact_findings(spark, d):
     return redact.findings(_redacted(spark, d), "doc_id")
 
 
-@query("redact_leaks", r"""SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) AS secret FROM documents WHERE doc_id % 2 = 0""", ev=False)
+@query("redact_leaks", r"""SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) AS secret FROM documents
+   WHERE doc_id % 2 = 0""", ev=False)
 def redact_leaks(spark, d):
     """40-digit tokens of the documents that are still there in a table whose even rows were not redacted."""
     docs = table(spark, d, "documents")
@@ -848,7 +902,8 @@ def secret_reuse(spark, d):
     return redact.reuse(redact.findings(_redacted(spark, d), "doc_id"), "doc_id")
 
 
-@query("redact_gates", """SELECT CASE WHEN count(*) FILTER (regexp_matches(text, 'token = "[0-9a-f]{40}"')) > 0 THEN 1.0 END AS recall, CASE WHEN (SELECT count(*) FROM benchmark) > 0 THEN 0.0 END AS false_positives, CAST(0 AS BIGINT) AS leaks FROM documents""", ev=False)
+@query("redact_gates", """SELECT CASE WHEN count(*) FILTER (regexp_matches(text, 'token = "[0-9a-f]{40}"')) > 0 THEN 1.0 END AS recall, CASE
+   WHEN (SELECT count(*) FROM benchmark) > 0 THEN 0.0 END AS false_positives, CAST(0 AS BIGINT) AS leaks FROM documents""", ev=False)
 def redact_gates(spark, d):
     """Documents that hold a token must change and lose it; the items of the benchmark, plain prose, must not change."""
     docs = table(spark, d, "documents").select("text", F.regexp_extract("text", 'token = "([0-9a-f]{40})"', 1).alias("secret")).where("secret != ''")
@@ -857,7 +912,8 @@ def redact_gates(spark, d):
     return redact.gates(done)
 
 
-@query("argv_flags", """SELECT row_id, CASE WHEN k % 2 = 0 THEN 'run --token ⟦R:entropy:s:' || substr(sha256('v' || k || 'salt'), 1, 8) || '⟧' ELSE 'run --name v' || k END AS argv FROM ev""")
+@query("argv_flags", """SELECT row_id, CASE WHEN k % 2 = 0 THEN 'run --token ⟦R:entropy:s:' || substr(sha256('v' || k || 'salt'), 1, 8) || '⟧'
+   ELSE 'run --name v' || k END AS argv FROM ev""")
 def argv_flags(spark, d):
     argv = F.array(F.lit("run"), F.when(F.col("k") % 2 == 0, "--token").otherwise("--name"), F.concat(F.lit("v"), F.col("k")))
     return ev(spark, d).select("row_id", F.array_join(redact.mark_operands(argv, "salt"), " ").alias("argv"))
@@ -872,8 +928,10 @@ def argv_redacted(spark, d):
     return redact.redact_argv(ev(spark, d).select("row_id", argv.alias("argv")), "argv", "salt").select("row_id", F.array_join("argv_redacted", " ").alias("argv"))
 
 
-@query("path_redacted", """WITH p AS (SELECT row_id, sha256('p' || row_id) AS h, k % 2 = 0 AS resolved, CASE k % 3 WHEN 0 THEN 'objects' WHEN 1 THEN 'commits' ELSE 'files' END AS dir FROM (SELECT event_id AS row_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))
- SELECT row_id, '/repo/' || dir || '/ab/' || CASE WHEN resolved AND dir <> 'files' THEN h ELSE '⟦R:entropy:l:' || substr(sha256(h || 'salt'), 1, 8) || '⟧' END || '/README' AS path FROM p""", ev=False)
+@query("path_redacted", """WITH p AS (SELECT row_id, sha256('p' || row_id) AS h, k % 2 = 0 AS resolved, CASE k % 3 WHEN 0 THEN 'objects' WHEN 1 THEN 'commits'
+   ELSE 'files' END AS dir FROM (SELECT event_id AS row_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))
+ SELECT row_id, '/repo/' || dir || '/ab/' || CASE WHEN resolved AND dir <> 'files' THEN h ELSE '⟦R:entropy:l:' || substr(sha256(h || 'salt'), 1,
+   8) || '⟧' END || '/README' AS path FROM p""", ev=False)
 def path_redacted(spark, d):
     """Object ids stay in paths that are known to exist, below a store; elsewhere they are marked."""
     k = F.get_json_object("props", "$.k").cast("long")
@@ -884,22 +942,27 @@ def path_redacted(spark, d):
 
 
 @query("token_shapes", r"""SELECT item_id, w, length(w) AS n, regexp_matches(w, '^[0-9a-fA-F]+$') AS is_hex, regexp_matches(w, '^[A-Za-z0-9+/_-]+={0,2}$') AS is_base64,
-  CASE WHEN strlen(w) <= 20 THEN 's' WHEN strlen(w) <= 40 THEN 'm' WHEN strlen(w) <= 80 THEN 'l' ELSE 'xl' END AS len_class, substr(sha256(w || 'salt'), 1, 8) AS checksum,
-  CASE WHEN length(w) <= 10 THEN w ELSE left(w, 6) || '…' || right(w, 4) END AS short_id FROM (SELECT DISTINCT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> ''""", ev=False)
+  CASE WHEN strlen(w) <= 20 THEN 's' WHEN strlen(w) <= 40 THEN 'm' WHEN strlen(w) <= 80 THEN 'l' ELSE 'xl' END AS len_class, substr(sha256(w || 'salt'),
+   1, 8) AS checksum,
+  CASE WHEN length(w) <= 10 THEN w ELSE left(w, 6) || '…' || right(w, 4) END AS short_id FROM (SELECT DISTINCT item_id, unnest(string_split(text,
+   ' ')) AS w FROM benchmark) WHERE w <> ''""", ev=False)
 def token_shapes(spark, d):
     w = F.col("w")
     rows = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("w")).where("w != ''").distinct()
     return rows.select("item_id", "w", F.length(w).cast("long").alias("n"), text.is_hex(w).alias("is_hex"), text.is_base64(w).alias("is_base64"), text.length_class(w).alias("len_class"), text.salted_checksum(w, "salt").alias("checksum"), text.short_id(w).alias("short_id"))
 
 
-@query("token_entropy", r"""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark), p AS (SELECT w, list_sort(regexp_extract_all(hex(encode(w)), '..')) AS b FROM w WHERE w <> ''),
- c AS (SELECT w, len(b) AS n, unnest(list_distinct(b)) AS x, b FROM p) SELECT w, round(sum(-(len(list_filter(b, lambda y: y = x)) / n) * log2(len(list_filter(b, lambda y: y = x)) / n)), 6) + 0.0 AS bits FROM c GROUP BY w""", ev=False)
+@query("token_entropy", r"""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark), p AS (SELECT w, list_sort(regexp_extract_all(hex(encode(w)),
+   '..')) AS b FROM w WHERE w <> ''),
+ c AS (SELECT w, len(b) AS n, unnest(list_distinct(b)) AS x, b FROM p) SELECT w, round(sum(-(len(list_filter(b, lambda y: y = x)) / n) * log2(len(list_filter(b,
+   lambda y: y = x)) / n)), 6) + 0.0 AS bits FROM c GROUP BY w""", ev=False)
 def token_entropy(spark, d):
     rows = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).where("w != ''").distinct()
     return rows.select("w", (F.round(text.entropy(F.col("w")), 6) + 0.0).alias("bits"))
 
 
-@query("luhn_numbers", """SELECT o_orderkey, list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN (length(s) - i) % 2 = 1 THEN CASE WHEN CAST(s[i] AS INTEGER) > 4 THEN CAST(s[i] AS INTEGER) * 2 - 9 ELSE CAST(s[i] AS INTEGER) * 2 END ELSE CAST(s[i] AS INTEGER) END)) % 10 = 0 AS luhn
+@query("luhn_numbers", """SELECT o_orderkey, list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN (length(s) - i) % 2 = 1 THEN CASE
+   WHEN CAST(s[i] AS INTEGER) > 4 THEN CAST(s[i] AS INTEGER) * 2 - 9 ELSE CAST(s[i] AS INTEGER) * 2 END ELSE CAST(s[i] AS INTEGER) END)) % 10 = 0 AS luhn
  FROM (SELECT o_orderkey, '4' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS s FROM orders)""", ev=False)
 def luhn_numbers(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.luhn(F.concat(F.lit("4"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))).alias("luhn"))
@@ -923,14 +986,16 @@ def manifest_check(spark, d):
     return tables.check_exports(made, files)
 
 
-@query("alert_headlines", ALERTS_SQL + """SELECT session, alert_idx, CASE type WHEN 'alert.new_domain' THEN 'first contact: ' || coalesce(subject, 'unknown') WHEN 'alert.sensitive_read' THEN 'sensitive read: ' || coalesce(subject, 'unknown')
+@query("alert_headlines", ALERTS_SQL + """SELECT session, alert_idx, CASE type WHEN 'alert.new_domain' THEN 'first contact: ' || coalesce(subject, 'unknown')
+   WHEN 'alert.sensitive_read' THEN 'sensitive read: ' || coalesce(subject, 'unknown')
  ELSE 'burst: ' || coalesce(subject, 'unknown') END AS headline, strftime(make_timestamp(us), '%H:%M:%S') AS at FROM alerts""")
 def alert_headlines(spark, d):
     a = detect.all_alerts(ev(spark, d), 240 * HOUR, 5)
     return a.select("session", "alert_idx", C.headline(F.col("type"), F.col("subject")).alias("headline"), F.date_format(F.timestamp_micros("us"), "HH:mm:ss").alias("at"))
 
 
-@query("raw_text_guard", " UNION ALL ".join(f"""SELECT doc_id, '{r.name}' AS rule FROM documents WHERE doc_id % 2 = 0 AND regexp_matches(text, '{r.pattern.replace("'", "''")}')""" for r in redact.RULES if not r.check), ev=False)
+@query("raw_text_guard", " UNION ALL ".join(f"""SELECT doc_id, '{r.name}' AS rule FROM documents WHERE doc_id % 2 = 0 AND regexp_matches(text, '{r.pattern.replace("'",
+   "''")}')""" for r in redact.RULES if not r.check), ev=False)
 def raw_text_guard(spark, d):
     """Texts with a structural rule's match, which must not be hashed, in a table whose even rows were not redacted."""
     return redact.unredacted(_half_redacted(spark, d), "doc_id", "text_redacted")
@@ -968,8 +1033,11 @@ def export_round_trip(spark, d):
     return tables.verify_export(made, read.where((n % 6 != 0) | (F.col("row_id") % 50 != 3)))
 
 
-@query("export_from_disk", LEDGER.rstrip() + """, x AS (SELECT session, CAST(substr(session, 2) AS BIGINT) % 9 AS m, count(*) AS n, max(row_id) AS last, max(seg) AS segs FROM h GROUP BY session)
- SELECT session, n AS declared, CASE m WHEN 6 THEN n - 1 ELSE n END AS found, CASE m WHEN 1 THEN 'INCOMPLETE(segments)' WHEN 2 THEN 'BROKEN(events)' WHEN 3 THEN 'BROKEN(merkle_mismatch)' WHEN 4 THEN 'BROKEN(chain_link_broken)' WHEN 5 THEN 'BROKEN(row_hash)' WHEN 6 THEN 'BROKEN(event_count)' WHEN 7 THEN 'BROKEN(checkpoint_head_mismatch)' ELSE 'OK' END AS status
+@query("export_from_disk", LEDGER.rstrip() + """, x AS (SELECT session, CAST(substr(session, 2) AS BIGINT) % 9 AS m, count(*) AS n, max(row_id) AS last,
+   max(seg) AS segs FROM h GROUP BY session)
+ SELECT session, n AS declared, CASE m WHEN 6 THEN n - 1 ELSE n END AS found, CASE m WHEN 1 THEN 'INCOMPLETE(segments)' WHEN 2 THEN 'BROKEN(events)'
+   WHEN 3 THEN 'BROKEN(merkle_mismatch)' WHEN 4 THEN 'BROKEN(chain_link_broken)' WHEN 5 THEN 'BROKEN(row_hash)' WHEN 6 THEN 'BROKEN(event_count)'
+   WHEN 7 THEN 'BROKEN(checkpoint_head_mismatch)' ELSE 'OK' END AS status
  FROM x UNION ALL SELECT 'nobody', 0, 0, 'unknown_session'""")
 def export_from_disk(spark, d):
     """Exported folders with faults: no segments, a torn line, a forged root in a chain sealed anew, a forged link, a changed event, a lost event, a forged head."""
@@ -1000,7 +1068,8 @@ def archive_round_trip(spark, d):
     return out.fillna(0)
 
 
-@query("owner_sink", """-- o AS (SELECT last_value(CASE WHEN type = 'proc.exec' THEN 1000 + k % 3 END IGNORE NULLS) OVER (PARTITION BY session ORDER BY us, row_id ROWS UNBOUNDED PRECEDING) AS owner_uid FROM ev)
+@query("owner_sink", """-- o AS (SELECT last_value(CASE WHEN type = 'proc.exec' THEN 1000 + k % 3 END IGNORE NULLS) OVER (PARTITION BY session
+   ORDER BY us, row_id ROWS UNBOUNDED PRECEDING) AS owner_uid FROM ev)
  SELECT owner_uid, count(*) AS events FROM o GROUP BY owner_uid""")
 def owner_sink(spark, d):
     """Events routed to one folder an owner, those without an owner to the dead letters; both read again."""
@@ -1013,11 +1082,14 @@ def owner_sink(spark, d):
 # tokens, profiles, files and reports
 
 BLOBS = """WITH e AS (SELECT event_id AS row_id, md5('t' || event_id) AS h FROM events),
- t AS (SELECT row_id, CASE row_id % 6 WHEN 0 THEN h WHEN 1 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) WHEN 2 THEN to_base64(unhex(h || h)) WHEN 3 THEN repeat('ab', 12)
+ t AS (SELECT row_id, CASE row_id % 6 WHEN 0 THEN h WHEN 1 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h,
+   18, 3) || '-' || substr(h, 21, 12) WHEN 2 THEN to_base64(unhex(h || h)) WHEN 3 THEN repeat('ab', 12)
    WHEN 4 THEN 'install' ELSE substr(h, 1, 9) || '!#%qzXWvK' || substr(h, 20, 4) END AS token FROM e),
  p AS (SELECT *, list_sort(regexp_extract_all(hex(encode(token)), '..')) AS b FROM t),
- s AS (SELECT *, round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_sort(list_distinct(b)), lambda x: len(list_filter(b, lambda y: y = x))::DOUBLE / len(b))), lambda a, q: a - q * log2(q)), 9) AS bits FROM p),
- f AS (SELECT *, (regexp_matches(token, '^[0-9a-fA-F]+$') AND length(token) >= 16 AND bits >= 3.0) OR (regexp_matches(token, '^[A-Za-z0-9+/_-]+={0,2}$') AND length(token) >= 24 AND bits >= 4.0) AS blob,
+ s AS (SELECT *, round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_sort(list_distinct(b)), lambda x: len(list_filter(b,
+   lambda y: y = x))::DOUBLE / len(b))), lambda a, q: a - q * log2(q)), 9) AS bits FROM p),
+ f AS (SELECT *, (regexp_matches(token, '^[0-9a-fA-F]+$') AND length(token) >= 16 AND bits >= 3.0) OR (regexp_matches(token, '^[A-Za-z0-9+/_-]+={0,2}$')
+   AND length(token) >= 24 AND bits >= 4.0) AS blob,
    regexp_matches(token, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-4[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$') AS uuid FROM s)
  SELECT row_id, token, blob, uuid, token <> 'install' AND NOT uuid AND (blob OR (strlen(token) >= 20 AND bits >= 4.0)) AS secret FROM f"""
 
@@ -1045,7 +1117,8 @@ def restart_gaps(spark, d):
     return govern.restart_gaps(e.where("row_id % 40 = 0").select("us"), sessions, 2 * HOUR)
 
 
-@query("head_mirror", """SELECT session AS session_id, count(*) AS seg_last, false AS error FROM ev GROUP BY session UNION ALL SELECT NULL, NULL, true UNION ALL SELECT 'late', 3, false""")
+@query("head_mirror", """SELECT session AS session_id, count(*) AS seg_last, false AS error FROM ev GROUP BY session UNION ALL SELECT NULL, NULL, true
+   UNION ALL SELECT 'late', 3, false""")
 def head_mirror(spark, d):
     """Appended heads, and a second mirror with a bad line among others and a torn last one."""
     path = _folder(spark, "heads")
@@ -1057,7 +1130,9 @@ def head_mirror(spark, d):
     return read_heads(spark, path).select("session_id", "seg_last", "error")
 
 
-@query("profile_rejects", """SELECT p_partkey, CASE p_partkey % 9 WHEN 1 THEN 'name' WHEN 2 THEN 'capture_disabled' WHEN 3 THEN 'entropy_looser' WHEN 4 THEN 'bad_pattern' WHEN 5 THEN 'bad_lens' WHEN 6 THEN 'negative_ttl' WHEN 7 THEN 'forbidden_field' WHEN 8 THEN 'capture_disabled' END AS reject_reason FROM part""", ev=False)
+@query("profile_rejects", """SELECT p_partkey, CASE p_partkey % 9 WHEN 1 THEN 'name' WHEN 2 THEN 'capture_disabled' WHEN 3 THEN 'entropy_looser'
+   WHEN 4 THEN 'bad_pattern' WHEN 5 THEN 'bad_lens' WHEN 6 THEN 'negative_ttl' WHEN 7 THEN 'forbidden_field' WHEN 8 THEN 'capture_disabled' END AS reject_reason
+   FROM part""", ev=False)
 def profile_rejects(spark, d):
     """A profile a part, eight of nine with one fault each."""
     m = F.col("p_partkey") % 9
@@ -1070,7 +1145,8 @@ def profile_rejects(spark, d):
     return files.validate_profiles(rows).select("p_partkey", "reject_reason")
 
 
-@query("file_scan", """SELECT page_id, CAST(strlen(url) + 1 AS BIGINT) AS size, sha256(url || chr(10)) AS digest FROM pages WHERE NOT starts_with(CAST(page_id AS VARCHAR), '1')""", ev=False)
+@query("file_scan", """SELECT page_id, CAST(strlen(url) + 1 AS BIGINT) AS size, sha256(url || chr(10)) AS digest FROM pages
+   WHERE NOT starts_with(CAST(page_id AS VARCHAR), '1')""", ev=False)
 def file_scan(spark, d):
     """A file a page, all but those of numbers that begin with 1 in scope."""
     path = _folder(spark, "scanned")
@@ -1097,8 +1173,10 @@ def api_verify(spark, d):
 
 
 @query("incident_report", ALERTS_SQL.rstrip() + f""", t AS (SELECT session, 'e' || row_id AS row_id, us, {DESCRIBE} AS line FROM ev WHERE type <> 'fs.write_open'
-   UNION ALL SELECT session, 'a' || row_id || '.' || rule, us, CASE type WHEN 'alert.new_domain' THEN 'first contact with ' || coalesce(subject, '?') WHEN 'alert.sensitive_read' THEN 'alert: sensitive read of ' || coalesce(subject, '?') ELSE 'alert: ' || substr(type, 7) END FROM alerts)
- SELECT CAST(0 AS BIGINT) AS us, '' AS row_id, 'incident report for s7: ' || (SELECT count(*) FROM ev WHERE session = 's7') || ' events, ' || (SELECT count(*) FROM alerts WHERE session = 's7') || ' alerts' AS line
+   UNION ALL SELECT session, 'a' || row_id || '.' || rule, us, CASE type WHEN 'alert.new_domain' THEN 'first contact with ' || coalesce(subject, '?')
+   WHEN 'alert.sensitive_read' THEN 'alert: sensitive read of ' || coalesce(subject, '?') ELSE 'alert: ' || substr(type, 7) END FROM alerts)
+ SELECT CAST(0 AS BIGINT) AS us, '' AS row_id, 'incident report for s7: ' || (SELECT count(*) FROM ev WHERE session = 's7') || ' events, ' || (SELECT count(*)
+   FROM alerts WHERE session = 's7') || ' alerts' AS line
  UNION ALL SELECT us, row_id, line FROM t WHERE session = 's7' UNION ALL SELECT 0, '', '{detect.FOOTER}'""")
 def incident_report(spark, d):
     e = ev(spark, d)
