@@ -101,6 +101,11 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1, so that no square leaves the doubles' range."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1]) if len(v) else v
+
+
 def _valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
@@ -142,7 +147,7 @@ def _best_of_block(k: int, half: int):
         if not len(asked) or not len(held):
             return out[0]
         held, asked = held.sort_values("rank").reset_index(drop=True), asked.sort_values("q_rank").reset_index(drop=True)
-        c, place, ids = np.stack(held.v.to_numpy()).astype(np.float64), held["rank"].to_numpy(), held.first_id.to_numpy()
+        c, place, ids = _scaled(np.stack(held.v.to_numpy()).astype(np.float64)), held["rank"].to_numpy(), held.first_id.to_numpy()
         c1, c2, size = held.c1.to_numpy(), held.c2.to_numpy(), np.sqrt((c * c).sum(1))
         ranks, at = asked.q_rank.to_numpy(), 0
         while at < len(asked):
@@ -152,7 +157,7 @@ def _best_of_block(k: int, half: int):
             part, at = asked.iloc[at:to], to
             if lo == hi:
                 continue
-            q, mine = np.stack(part.qv.to_numpy()).astype(np.float64), part.q_rank.to_numpy()
+            q, mine = _scaled(np.stack(part.qv.to_numpy()).astype(np.float64)), part.q_rank.to_numpy()
             scores = (q @ c[lo:hi].T) / (np.sqrt((q * q).sum(1))[:, None] * size[lo:hi])
             q1, q2 = part.q1.to_numpy(), part.q2.to_numpy()
             scores[(np.abs(mine[:, None] - place[lo:hi]) > half) | ((q1[:, None] == c1[lo:hi]) & (q2[:, None] == c2[lo:hi]))] = -np.inf
@@ -193,7 +198,7 @@ def neighbours(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = _matrix(batch.column(0))
+            v = _scaled(_matrix(batch.column(0)))
             keys = maps.value.keys(v / np.sqrt((v * v).sum(1))[:, None])
             number = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(keys.reshape(-1)), *(pa.array(np.repeat(batch.column(i).to_numpy(), keys.shape[1])) for i in (1, 2))], ["curve", "key", "c1", "c2"])
@@ -212,7 +217,8 @@ def neighbours(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     order = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "first_id")
     best = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n", "first_id")
 
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    size = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))))
+    square = F.aggregate(F.transform("v", lambda x: x.cast("double") / size), F.lit(0.0), lambda a, x: a + x * x)
     own = asked.select("vec_id", F.col("c1").alias("q1"), F.col("c2").alias("q2"), "v").distinct()
     same = own.select(F.col("vec_id").alias("query_id"), F.col("q1").alias("c1"), F.col("q2").alias("c2"), (square / (F.sqrt(square) * F.sqrt(square))).alias("score"))
     found = own.select(F.col("vec_id").alias("query_id"), "q1", "q2").join(best, ["q1", "q2"]).select("query_id", "c1", "c2", "score").unionByName(same)
