@@ -118,16 +118,18 @@ class CuckooFilter:
 
     def delete(self, keys) -> bool:
         """Remove keys that are held, once each; false if one is not found."""
-        found = True
-        for mark, a, b in zip(*self._places(np.atleast_1d(np.asarray(keys, np.uint64)))):
-            for p in (a, b):
-                held = np.flatnonzero(self.table[p] == mark)
-                if len(held):
-                    self.table[p, held[0]] = 0
-                    break
-            else:
-                found = False
-        return found
+        mark, place, other = self._places(np.atleast_1d(np.asarray(keys, np.uint64)))
+        for _ in range(2):
+            # equal marks of one bucket take its slots in turn
+            order = np.lexsort([mark, place])
+            mark, place, other = mark[order], place[order], other[order]
+            both = place.astype(np.int64) << 16 | mark
+            nth = np.arange(len(both)) - np.searchsorted(both, both)
+            held = self.table[place] == mark[:, None]
+            fits = nth < held.sum(1)
+            self.table[place[fits], np.argmax(np.cumsum(held[fits], 1) > nth[fits, None], 1)] = 0
+            mark, place, other = mark[~fits], other[~fits], place[~fits]
+        return not len(mark)
 
     def dump(self) -> bytes:
         return bytes([self.bits]) + self.table.tobytes()
@@ -228,8 +230,9 @@ class LineIndex:
         return maybe.join(shared, ["k1", "k2"]).where("doc_id < keep_doc").select("k1", "k2", "doc_id")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """The index with new documents. Their ids must be new."""
-        delta = materialize(_line_keys(docs, id_col, text_col, self.min_chars).distinct(), "line-new")
+        """The index with new documents. Of an id that the index has, only keys that it lacks are added, so inserting twice changes nothing."""
+        keys = _line_keys(docs, id_col, text_col, self.min_chars).distinct()
+        delta = materialize(keys.join(self.refs, ["k1", "k2", "doc_id"], "left_anti"), "line-new")
         more = _counted(delta).withColumnsRenamed({"n_docs": "more", "keep_doc": "newest"})
         was = self.counts.join(more, ["k1", "k2"], "right")
         touched = was.select("k1", "k2", F.coalesce("n_docs", F.lit(0)).alias("before"), (F.coalesce("n_docs", F.lit(0)) + F.col("more")).alias("n_docs"), F.greatest("keep_doc", "newest").alias("keep_doc"))
