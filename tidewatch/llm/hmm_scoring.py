@@ -15,9 +15,8 @@ training tokens whose word occurs once (Good-Turing) in every state.
 Plan.
 1. ``encode``: one scan turns documents into chunks, each with a dictionary of its distinct words;
    a task holds one chunk. Chunks (word numbers, classes) and dictionaries are written once.
-2. Word counts are summed over dictionaries, which hold a word once a chunk: a word that makes up
-   a third of all tokens is one row a chunk. The counts stay with the chunks' words.
-   Windows spill, and such a row is a few bytes; no document is in it.
+2. Word counts are summed over dictionaries, in each task before the shuffle, and joined back to
+   the chunks' words; Spark splits a join's partition that a frequent word makes too large.
 3. Each Baum-Welch iteration maps over the chunks, sums a task's expected counts locally, and
    adds the tasks' tables up in Spark by class; transitions and starts are a few numbers a task.
 4. In scoring each chunk meets the counts of its own words only.
@@ -38,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_bytes
@@ -293,11 +292,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     encoded = encode(docs, id_col, text_col, chunk_tokens)
     chunks = encoded.where("kind = 1")
-    same = Window.partitionBy("word")
-    counted = encoded.where("kind = 0").select("chunk", "number", F.pmod(F.crc32("word"), F.lit(CLASSES)).cast("int").alias("class"), F.sum("n_train").over(same).alias("c"), F.row_number().over(same.orderBy("chunk")).alias("nth"))
-    counted = materialize(counted.where("c > 0"), "hmm-counts")
+    words = encoded.where("kind = 0").select("chunk", "number", "word", "n_train")
+    # summed in each task before the shuffle; the join back splits a frequent word's chunks
+    totals = materialize(words.groupBy("word").agg(F.sum("n_train").alias("c")).where("c > 0").withColumn("class", F.pmod(F.crc32("word"), F.lit(CLASSES)).cast("int")), "hmm-totals")
+    counted = materialize(words.join(totals, "word").select("chunk", "number", "class", "c"), "hmm-counts")
     # CLASSES rows at most
-    by_class = counted.where("nth = 1").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).toPandas()
+    by_class = totals.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).toPandas()
     n, v, once = (int(by_class[x].sum()) for x in ("c", "v", "once"))
     p0 = np.zeros(CLASSES + 1)
     p0[by_class["class"].to_numpy(int)] = (by_class.c + by_class.v).to_numpy() / (n + v + 1)
