@@ -13,7 +13,7 @@ from .packing import op5_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .secret_scan import op9_secret_scan
 from .soft_mixing import op7_soft_mixing
-from .suffix_dedup import op13_suffix_dedup
+from .suffix_dedup import OP13_SQL, op13_suffix_dedup
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
@@ -39,4 +39,5 @@ ORACLE_SQL = {
     "op10_quality_rules": OP10_SQL,
     "op11_max_sketch": OP11_SQL,
     "op12_glr_repair": OP12_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }

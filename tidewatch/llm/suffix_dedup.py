@@ -441,3 +441,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op13_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Windows of 200 bytes by their MD5, cut from hex in pieces so that no long text is walked again and again.
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT r, n, unnest(range(0, n - 199, 256)) AS b, h FROM d WHERE n >= 200),
+k AS (SELECT r, b, least(256, n - 199 - b) AS m, substr(h, 2 * b + 1, 910) AS s FROM c),
+w AS (SELECT r, b + o AS p, md5_number(substr(s, 2 * o + 1, 400)) AS x FROM (SELECT r, b, s, unnest(range(0, m)) AS o FROM k)),
+t AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1),
+g AS (SELECT r, p, CASE WHEN p <= lag(p) OVER q + 200 THEN 0 ELSE 1 END AS new FROM w JOIN t USING (x) WINDOW q AS (PARTITION BY r ORDER BY p)),
+i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS s FROM g),
+u AS (SELECT r, s, min(p) AS a, max(p) + 200 AS z FROM i GROUP BY r, s),
+e AS (SELECT r, a, z FROM u UNION ALL SELECT r, n, n FROM d),
+f AS (SELECT e.r, a, z, substr(h, 2 * lag(z, 1, 0) OVER (PARTITION BY e.r ORDER BY a, z) + 1, 2 * (a - lag(z, 1, 0) OVER (PARTITION BY e.r ORDER BY a, z))) AS kept FROM e JOIN d USING (r)),
+j AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans, sha256(unhex(string_agg(kept, '' ORDER BY a, z))) AS kept_sha256 FROM f GROUP BY r)
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, kept_sha256 FROM d JOIN j USING (r)
+"""

@@ -12,7 +12,8 @@ is one row a day. Only matching (key, day) rows go back to captures, in a second
 whole key set of a URL, which AQE can split where one host is hot.
 
 Edge cases: a null URL or one without a host has no keys and is not listed; a null fetch time or a
-null date in an entry matches nothing; of two entries of one key and day the removal comes last;
+null date in an entry matches nothing; of a key's entries of one day one holds, a
+removal before the category that sorts last;
 repeated rows are each evaluated; empty tables give unlisted captures; the operator's columns
 replace input columns of the same names.
 """
