@@ -25,17 +25,6 @@ def text_bytes(text: str | Column = "text") -> Column:
     return F.coalesce(col.cast("string"), F.lit("")).cast("binary")
 
 
-def small_batches(docs: DataFrame, size: int = 2 * BYTES) -> DataFrame:
-    """``docs``, in a session that hands Python batches of about ``size`` bytes, or of one row.
-
-    A batch is several times in the JVM's and in Python's memory; Spark's default of 64 MB is too
-    much beside an executor's heap. This is a setting of the session: one made before stands.
-    """
-    limit, conf = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession.conf
-    conf.set(limit, conf.get(limit, str(size)))
-    return docs
-
-
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``."""
     return F.transform(F.array(value), body)[0]

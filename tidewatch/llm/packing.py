@@ -23,16 +23,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, text_bytes
+from .common import slices, text_bytes
 
 CAPACITY = 2048
 CUT_SIZES = (1024, 512, 256)
 END_ID = 1
 CACHE_WORDS = 300_000  # distinct words that a Python worker keeps encoded, across its tasks
-ROWS, TOKENS = 20_000, 1 << 20  # pieces and tokens in an output batch, about
+ROWS, TOKENS = 8_000, 1 << 18  # pieces and tokens in an output batch, about
+SLICE = 1 << 21  # bytes of text encoded at a time
+#: Bytes of a text in a row on the way to Python, so that a batch of Spark's 10,000 rows has 10 MB, however long texts are.
+CHUNK = 1 << 10
 #: Sequence ids are the task's number times this, plus the task's own count.
 TASK_STRIDE = 1 << 33
 
@@ -195,6 +198,32 @@ def cuts(n: int, capacity: int, cut_sizes: tuple[int, ...]) -> list[int]:
     return out + [rest] * (rest > 0)
 
 
+def _chunked(text: Column) -> Column:
+    """Bytes as an array of parts of ``CHUNK``, one at least."""
+    last = F.floor(F.greatest(F.octet_length(text) - 1, F.lit(0)) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) from rows (id, part's number, part): parts of a text lie in a row, so their bytes are not copied but for those of a batch's last text."""
+    held_id, held = None, []
+    for batch in batches:
+        ids, number, part = batch.columns
+        begins = np.flatnonzero(number.to_numpy(zero_copy_only=False) == 0)
+        _, offsets, data = part.buffers()
+        ends = np.frombuffer(offsets, np.int32)[part.offset : part.offset + len(part) + 1]
+        held += [data[ends[0] : ends[begins[0] if len(begins) else -1]].to_pybytes()] if data is not None and len(part) else []
+        if not len(begins):
+            continue
+        if held_id is not None:
+            yield held_id, pa.array([b"".join(held)], pa.binary())
+        if len(begins) > 1:
+            yield ids.take(pa.array(begins[:-1])), pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(ends[begins].copy()), data])
+        held_id, held = ids.slice(int(begins[-1]), 1), [data[ends[begins[-1]] : ends[-1]].to_pybytes()] if data is not None else []
+    if held_id is not None:
+        yield held_id, pa.array([b"".join(held)], pa.binary())
+
+
 class Packer:
     """One task's bins. ``rows`` gets (document, start, ids, document tokens, sequence, offset)."""
 
@@ -259,22 +288,23 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays(columns, names)
 
         kind = None
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for at, to in slices(batch.column(1)):
-                part = batch.slice(at, to - at)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
+        for doc_ids, texts in _whole(batches):
+            kind = doc_ids.type
+            for at, to in slices(texts, SLICE):
+                for doc, ids in zip(doc_ids[at:to].to_pylist(), encoder.encode(texts.slice(at, to - at))):
                     packer.add(doc, np.concatenate([ids, end]))
                     if len(packer.rows) >= ROWS or packer.tokens >= TOKENS:
                         yield taken(kind)
-            batch = part = ids = None  # not held while the next batch comes
+            doc_ids = texts = ids = None  # not held while the next batch comes
+            pa.default_memory_pool().release_unused()
         packer.finish()
         if packer.rows:
             yield taken(kind)
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     schema = f"doc_id {id_type.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long"
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(task, schema)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
+    return rows.select("doc_id", F.posexplode(_chunked(F.col("text"))).alias("number", "part")).mapInArrow(task, schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
