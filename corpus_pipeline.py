@@ -42,10 +42,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+COPIES = 8  # of a document that are written one after another
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says; rates meet the targets of clean, low and toxic tokens."""
-    mixed = soft_mixing.mix(docs, _labels(spark, sf_dir)).withColumn("__copies", soft_mixing.copies())
-    return mixed.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    """Each document as often as its rate says; rates meet the targets of clean, low and toxic tokens.
+
+    Copies are dealt out a few at a time: thousands of one long text in a row would be one task's,
+    and one batch's, memory in whatever reads them next.
+    """
+    mixed = soft_mixing.mix(docs, _labels(spark, sf_dir)).withColumn("__copies", soft_mixing.copies()).where("__copies > 0")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.col("__copies") - 1) / COPIES).cast("int")), lambda i: F.least(F.lit(COPIES), F.col("__copies") - COPIES * i))
+    dealt = mixed.select(*docs.columns, F.explode(parts).alias("__some")).hint("rebalance")
+    return dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__some"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
