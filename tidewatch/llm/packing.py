@@ -33,9 +33,9 @@ CUT_SIZES = (1024, 512, 256)
 END_ID = 1
 CACHE_WORDS = 300_000  # distinct words that a Python worker keeps encoded, across its tasks
 ROWS, TOKENS = 8_000, 1 << 18  # pieces and tokens in an output batch, about
-SLICE = 1 << 21  # bytes of text encoded at a time
-#: Bytes of a text in a row on the way to Python, so that a batch of Spark's 10,000 rows has 10 MB, however long texts are.
-CHUNK = 1 << 10
+SLICE = 1 << 20  # bytes of text encoded at a time
+#: Bytes of a text in a row on the way to Python, so that a batch of Spark's 10,000 rows has 5 MB, however long texts are.
+CHUNK = 1 << 9
 #: Sequence ids are the task's number times this, plus the task's own count.
 TASK_STRIDE = 1 << 33
 
