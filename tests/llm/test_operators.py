@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -420,6 +421,14 @@ def test_chunks_are_put_together(spark, monkeypatch):
     assert list(packing._whole(iter([]))) == []
 
 
+def test_chunks_of_a_long_text_cost_no_copy_each(spark):
+    docs = spark.range(1).select(F.repeat(F.concat(F.lit("é2345678"), F.col("id").cast("string")), 800_000).cast("binary").alias("text")).repartition(1)
+    began = time.monotonic()
+    parts = docs.select(F.explode(packing._chunked(F.col("text"))).alias("part")).agg(F.count("*"), F.sum(F.octet_length("part"))).first()
+    assert tuple(parts) == (-(-8_000_000 // packing.CHUNK), 8_000_000)
+    assert time.monotonic() - began < 15  # a copy of the text for each part would be over 100 GB
+
+
 def test_packing_odd_texts():
     r = random.Random(3)
     parts = ["a", "É", "é", "ß", "İ", "'s", "don't", "1", "²", "…", ".", ",", " ", "\n", "́", "ﬁ", "中", "<|endoftext|>", "<|ENDOFTEXT|>", "≠", "\x1c", "\x85", "-"]

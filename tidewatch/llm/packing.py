@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import let, slices, text_bytes
 
 CAPACITY = 2048
 CUT_SIZES = (1024, 512, 256)
@@ -199,9 +199,13 @@ def cuts(n: int, capacity: int, cut_sizes: tuple[int, ...]) -> list[int]:
 
 
 def _chunked(text: Column) -> Column:
-    """Bytes as an array of parts of ``CHUNK``, one at least."""
-    last = F.floor(F.greatest(F.octet_length(text) - 1, F.lit(0)) / CHUNK).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * CHUNK + 1, F.lit(CHUNK)))
+    """Bytes as an array of parts of ``CHUNK``, one at least. A row's bytes are copied out once, not for each part."""
+
+    def parts(whole: Column) -> Column:
+        last = F.floor(F.greatest(F.octet_length(whole) - 1, F.lit(0)) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(whole, i * CHUNK + 1, F.lit(CHUNK)))
+
+    return let(text, parts)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
