@@ -429,6 +429,17 @@ def test_chunks_of_a_long_text_cost_no_copy_each(spark):
     assert time.monotonic() - began < 15  # a copy of the text for each part would be over 100 GB
 
 
+def test_words_of_letters_go_straight_to_the_model(monkeypatch):
+    r = random.Random(9)
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    assert encoder.direct
+    letters = [c for c in map(chr, range(256)) if c.isalpha() and c not in "ªºµß"]
+    words = ["".join(r.choice(letters) for _ in range(r.randrange(1, 12))) for _ in range(4000)]
+    want = encoder.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    monkeypatch.setattr(encoder, "_batch", lambda texts: pytest.fail("split and aligned"))
+    assert encoder.encode([" ".join(words).encode()])[0].tolist() == want
+
+
 def test_packing_odd_texts():
     r = random.Random(3)
     parts = ["a", "É", "é", "ß", "İ", "'s", "don't", "1", "²", "…", ".", ",", " ", "\n", "́", "ﬁ", "中", "<|endoftext|>", "<|ENDOFTEXT|>", "≠", "\x1c", "\x85", "-"]

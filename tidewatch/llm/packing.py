@@ -17,7 +17,9 @@ id and the text are not read.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from .common import let, slices, text_bytes
 CAPACITY = 2048
 CUT_SIZES = (1024, 512, 256)
 END_ID = 1
-CACHE_WORDS = 300_000  # distinct words that a Python worker keeps encoded, across its tasks
+CACHE_WORDS = 150_000  # distinct words that a Python worker keeps encoded, across its tasks
 ROWS, TOKENS = 8_000, 1 << 18  # pieces and tokens in an output batch, about
 SLICE = 1 << 20  # bytes of text encoded at a time
 #: Bytes of a text in a row on the way to Python, so that a batch of Spark's 10,000 rows has 5 MB, however long texts are.
@@ -40,6 +42,11 @@ CHUNK = 1 << 9
 TASK_STRIDE = 1 << 33
 
 
+#: The characters that byte-level tokenizers write bytes as.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
 class WordEncoder:
     """Encodes whole texts by encoding each distinct white-space separated word once.
 
@@ -48,11 +55,16 @@ class WordEncoder:
     new words are encoded many in one call with a mark of one id between them. Words that hold
     the mark are encoded one by one, texts that may hold a special token's string as they are.
 
+    Words of Latin letters alone are one piece to tokenizers that split by kind of character and
+    map bytes to characters; they go straight to the model, past what aligns and splits texts. A
+    probe of all these letters tells whether a tokenizer is of this kind.
+
     At most ``cache_words`` words stay known; beyond that those go that were not met again.
     """
 
     MARK = "`"
     STOPS = ".,;:!?"
+    LETTERS = "a-zà-öø-ÿÀ-ÖØ-Þ"
     JOINED = 2048
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -63,6 +75,11 @@ class WordEncoder:
         self.cache_words = cache_words
         self.mark = self._whole(self.MARK)
         self.stop_ids = np.array([self._whole(c) for c in self.STOPS], np.uint32)[:, 0]
+        self.model = self.tokenizer.model
+        letters = [c for c in map(chr, range(256)) if re.fullmatch(f"[{self.LETTERS}]", c)]
+        self.spelled = str.maketrans({c: "".join(_BYTE_CHARS[b] for b in c.lower().encode()) for c in letters})
+        probes = [*letters, "".join(letters), "".join(reversed(letters))]
+        self.direct = self._direct(probes) == [self._whole(w) for w in probes]
         self._keep(np.zeros(0, np.int64))
 
     def _whole(self, text: str) -> list[int]:
@@ -71,18 +88,23 @@ class WordEncoder:
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _direct(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of ``LETTERS`` alone."""
+        return [[x.id for x in self.model.tokenize(w.translate(self.spelled))] for w in words]
+
     def _keep(self, places: np.ndarray) -> None:
         """Forget all words but those at these places of the table."""
         if not len(places):
-            self.known, self.used, self.size = pa.array([], pa.string()), 0, 0
+            self.known, self.used, self.size = {}, 0, 0
             self.flat = np.empty(1 << 16, np.uint32)
             self.starts, self.counts, self.met = (np.zeros(1 << 14, kind) for kind in (np.int64, np.int64, bool))
             return
-        known, counts, flat = self.known.take(pa.array(places)), self.counts[places], self.ids_at(places)
+        words, counts, flat = list(self.known), self.counts[places], self.ids_at(places)  # a word's place is its number in the order of the table
+        words = [words[i] for i in places]
         self._keep(places[:0])
-        self._add(known, counts, flat)
+        self._add(words, counts, flat)
 
-    def _add(self, words: pa.Array, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def _add(self, words: list[str], counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Put words at the end of the table: their places."""
         size, used = self.size + len(words), self.used + len(ids)
         while used > len(self.flat):
@@ -92,7 +114,7 @@ class WordEncoder:
         self.flat[self.used : used] = ids
         self.counts[self.size : size], self.starts[self.size : size] = counts, self.used + np.cumsum(counts) - counts
         self.met[self.size : size] = False
-        self.known = pa.concat_arrays([self.known, words])
+        self.known.update(zip(words, range(self.size, size)))
         first, self.size, self.used = self.size, size, used
         return np.arange(first, size)
 
@@ -104,10 +126,9 @@ class WordEncoder:
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """Places of distinct words in the table; those not yet known are learnt."""
-        places = pc.index_in(words, value_set=self.known)
-        self.met[places.drop_null().to_numpy()] = True
-        places = places.fill_null(-1).to_numpy().astype(np.int64)
+        places = np.fromiter(map(self.known.get, words.to_pylist(), repeat(-1)), np.int64, len(words))
         new = places < 0
+        self.met[places[~new]] = True
         if new.any():
             places[new] = self._learn(words.filter(pa.array(new)))
         return places
@@ -124,7 +145,7 @@ class WordEncoder:
             stop = pc.index_in(pc.utf8_slice_codeunits(with_stop, -1), value_set=pa.array(list(self.STOPS))).to_numpy()
             counts = self.counts[bodies]
             ids = np.insert(self.ids_at(bodies), np.cumsum(counts), self.stop_ids[stop])
-            order.append(self._add(with_stop, counts + 1, ids))
+            order.append(self._add(with_stop.to_pylist(), counts + 1, ids))
         out = np.empty(len(words), np.int64)
         is_stopped = stopped.to_numpy(zero_copy_only=False)
         out[~is_stopped] = order[0]
@@ -134,6 +155,21 @@ class WordEncoder:
 
     def _encoded(self, words: pa.Array) -> np.ndarray:
         """Encode words and add them: their places."""
+        if self.direct:
+            letters = pc.match_substring_regex(words, f"^[{self.LETTERS}]+$")
+            if pc.any(letters).as_py():
+                out, is_direct = np.empty(len(words), np.int64), letters.to_numpy(zero_copy_only=False)
+                plain, rest = words.filter(letters), words.filter(pc.invert(letters))
+                plain = plain.to_pylist()
+                made = self._direct(plain)
+                counts = np.fromiter(map(len, made), np.int64, len(made))
+                out[is_direct] = self._add(plain, counts, np.fromiter(chain.from_iterable(made), np.uint32, int(counts.sum())))
+                out[~is_direct] = self._split(rest)
+                return out
+        return self._split(words)
+
+    def _split(self, words: pa.Array) -> np.ndarray:
+        """Encode words by the whole tokenizer and add them: their places."""
         alone = pc.match_substring(words, self.MARK).to_numpy(zero_copy_only=False) if len(self.mark) == 1 else np.ones(len(words), bool)
         single, joined = np.flatnonzero(alone).tolist(), np.flatnonzero(~alone)
         texts, between = words.to_pylist(), f" {self.MARK} "
@@ -156,7 +192,7 @@ class WordEncoder:
         out = np.empty(len(words), np.int64)
         if order:
             order = np.concatenate(order)
-            out[order] = self._add(words.take(pa.array(order)), np.concatenate(counts), np.concatenate(ids))
+            out[order] = self._add([texts[i] for i in order], np.concatenate(counts), np.concatenate(ids))
         return out
 
     def encode(self, texts: pa.Array | list[bytes]) -> list[np.ndarray]:
