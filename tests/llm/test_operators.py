@@ -730,6 +730,26 @@ def test_near_duplicates_empty(empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("together, block, pairs", [(10_000, 1024, 7), (40, 4, 50)])
+def test_small_buckets_are_compared_together(spark, monkeypatch, together, block, pairs):
+    r = random.Random(together + block)
+    monkeypatch.setattr(minhash_dedup, "HUB_ROUNDS", 0)  # all is left over
+    for name, value in (("TOGETHER", together), ("BLOCK", block), ("PAIRS", pairs)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    texts = []
+    for _ in range(30):
+        base = [str(r.randrange(10_000)) for _ in range(60)]
+        for _ in range(r.choice([1, 2, 3, 9])):
+            own = list(base)
+            for _ in range(r.choice([0, 1, 2, 5])):
+                own[r.randrange(60)] = str(r.randrange(10_000))
+            texts.append(" ".join(own))
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85)
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got.collect()} == near_model(rows, 3, 85)
+
+
 def test_prune_bounds_keep_links():
     r = np.random.default_rng(0)
     for n, least in minhash_dedup.prune_bounds(0.85, miss=1e-4):

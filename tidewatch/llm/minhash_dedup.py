@@ -48,6 +48,8 @@ LONG = 1024  # rows of the longer signature of members that are left over and th
 LONG_BATCH = 64
 HUB_ROUNDS = 2
 BLOCK = 1024  # members of a bucket in a block of the last comparison
+TOGETHER = 512  # members of smaller buckets that are compared in one call, on average
+PAIRS = 100_000  # pairs at a time there
 #: Odd multipliers and offsets of the signature's hash functions, from a fixed seed.
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS + LONG, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -285,8 +287,8 @@ def _left_over_pairs(members: DataFrame, sets: DataFrame, signatures: DataFrame,
     """(a, b): members outside their bucket's largest component with the bucket's members of other
     components, unless their longer signatures rule the link out.
 
-    Buckets are compared block by block inside tasks, a pair in the first band that it shares; only
-    what may be linked leaves them.
+    Buckets are compared block by block inside tasks, small ones many in a call, a pair in the first
+    band that it shares; only what may be linked leaves them.
     """
     by = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = by.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("size"))
@@ -296,10 +298,13 @@ def _left_over_pairs(members: DataFrame, sets: DataFrame, signatures: DataFrame,
     marks = materialize(marks.join(signatures.dropDuplicates(["id"]), "id"), "minhash-long")
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("id"), blocks)
+    # a call costs more than the few pairs of a small bucket: many of these share one
+    groups = max(1, math.ceil(split.where(F.col("size") <= BLOCK).count() / TOGETHER))
+    group = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.col("bucket")).alias("group")
     # right members meet every block of left ones
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = split.where("left").select("bucket", own.alias("lb"), every.alias("rb"), "band", "id", "r", "component")
-    right = split.select("bucket", every.alias("lb"), own.alias("rb"), "id", "r", "component", "left")
+    left = split.where("left").select(group, "bucket", own.alias("lb"), every.alias("rb"), "band", "id", "r", "component")
+    right = split.select(group, "bucket", every.alias("lb"), own.alias("rb"), "id", "r", "component", "left")
     left, right = (x.join(marks, "id") for x in (left, right))
     left = left.toDF(*(f"{c}_a" for c in left.columns))
     bounds = prune_bounds(threshold + (1 - threshold) / 256, LONG, LONG_BATCH)
@@ -307,27 +312,39 @@ def _left_over_pairs(members: DataFrame, sets: DataFrame, signatures: DataFrame,
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 2), np.int64)]
         if len(a) and len(b):
-            x, y = (_stacked(s, np.uint8, LONG) for s in (a.long_a, b.long))
+            b = b.sort_values("bucket")
+            # a batch of rows is 8 words of 8 bytes
+            x, y = (_stacked(s, np.uint64, LONG // 8).reshape(-1, LONG // LONG_BATCH, LONG_BATCH // 8) for s in (a.long_a, b.long))
             kx, ky = (_band_keys(_stacked(s, np.uint32, BANDS * ROWS)) for s in (a.signature_a, b.signature))
-            band = int(a.band_a.iloc[0])
-            ids_a, ids_b, ra, rb = a.id_a.to_numpy(), b.id.to_numpy(), a.r_a.to_numpy(), b.r.to_numpy()
-            fine = (ra[:, None] + rb <= most) & (a.component_a.to_numpy()[:, None] != b.component.to_numpy())
-            fine &= ~b.left.to_numpy(bool) | (ids_a[:, None] < ids_b)  # two left-over members meet once
-            i, j = np.nonzero(fine)
-            for at in range(0, len(i), 100_000):
-                p, q = i[at : at + 100_000], j[at : at + 100_000]
-                if band:
-                    met_before = (kx[p, :band] == ky[q, :band]).any(1)
-                    p, q = p[~met_before], q[~met_before]
-                matched, done = np.zeros(len(p), np.int64), 0
-                for n, least in bounds:
-                    matched += (x[p, done:n] == y[q, done:n]).sum(1)
-                    go, done = matched >= least, n
+            band, ids_a, ra, ca = (a[c].to_numpy() for c in ("band_a", "id_a", "r_a", "component_a"))
+            bucket, ids_b, rb, cb = (b[c].to_numpy() for c in ("bucket", "id", "r", "component"))
+            left_b = b.left.to_numpy(bool)
+            first = np.searchsorted(bucket, a.bucket_a.to_numpy(), "left")
+            count = np.searchsorted(bucket, a.bucket_a.to_numpy(), "right") - first
+            ends, at = np.cumsum(count), 0
+            while at < len(count):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + PAIRS, side="right")))
+                some, n = count[at:to], int(count[at:to].sum())
+                p = np.repeat(np.arange(at, to), some)
+                q = np.arange(n) + np.repeat(first[at:to] - np.cumsum(some) + some, some)
+                # two left-over members meet once
+                fine = (ra[p] + rb[q] <= most) & (ca[p] != cb[q]) & (~left_b[q] | (ids_a[p] < ids_b[q]))
+                p, q = p[fine], q[fine]
+                matched = np.zeros(len(p), np.int64)
+                for k, (_, least) in enumerate(bounds):
+                    same = (x[p, k].view(np.uint8) == y[q, k].view(np.uint8)).view(np.uint64).sum(1)  # each byte a count up to 8
+                    matched += ((same * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+                    go = matched >= least
+                    if k == 0:  # few are left for the dearer look at the bands that they met in before
+                        go[go] = (kx[p[go]] == ky[q[go]]).argmax(1) == band[p[go]]
                     p, q, matched = p[go], q[go], matched[go]
+                    if not len(p):
+                        break
                 out.append(np.sort(np.column_stack([ids_a[p], ids_b[q]]), 1))
+                at = to
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
-    met = left.groupBy("bucket_a", "lb_a", "rb_a").cogroup(right.groupBy("bucket", "lb", "rb"))
+    met = left.groupBy("group_a", "lb_a", "rb_a").cogroup(right.groupBy("group", "lb", "rb"))
     return met.applyInPandas(compare, "a long, b long").distinct()
 
 
