@@ -726,6 +726,31 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == near_model(rows, 3, 85)
 
 
+def _memory_mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(n) for n in re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", f.read())) / 1024
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """What a task took is not kept by its Python worker, and the words it knows are bounded."""
+    tasks = []
+
+    class Docs:
+        mapInArrow = lambda self, task, schema: tasks.append(task)
+
+    monkeypatch.setattr(minhash_dedup, "_parts", lambda docs: docs, raising=False)
+    minhash_dedup._sketches(Docs(), 5)
+    made = lambda b: pa.RecordBatch.from_arrays([pa.array(range(b, b + 500)), pa.array([0] * 500), pa.array([" ".join(hashlib.md5(b"%d %d" % (i, k)).hexdigest() for k in range(200)).encode() for i in range(b, b + 500)])], ["doc_id", "number", "part"])
+    batches = (made(b) for b in range(0, 3000, 500))
+    before = _memory_mb()
+    assert sum(x.num_rows for x in tasks[0](batches)) == 3000
+    assert _memory_mb() - before < 30
+    shingler = minhash_dedup.Shingler(5)
+    for at in range(0, 700_000, 100_000):
+        shingler.sets([" ".join(map(str, range(at, at + 100_000))).encode()])
+    assert len(shingler.known) <= 400_000
+
+
 def test_near_duplicates_empty(empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 

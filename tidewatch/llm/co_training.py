@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialize, slices, text_bytes
+from .common import lean, materialize, slices, text_bytes
 
 LABELLED = 3000  # labelled documents that models are fitted to and calibrated on
 ROUNDS = 3
@@ -45,6 +45,7 @@ PASSES = 3  # gradient steps of a round
 CONFIDENT = 0.95
 TAUGHT = 0.5  # share of taught documents in a step; labelled ones have the rest
 KEEP = 0.5
+ROWS = 1024  # documents whose vectors a task holds at a time
 WORD_SLOTS, SHAPE_SLOTS, PAGE_SLOTS = 1 << 14, 1 << 10, 1 << 10
 _SHAPES = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"[a-zß-öø-ÿ]+", "a"), (r"[0-9]+", "0"), (r"([^Aa0])\1*", r"\1"))]
 OUTPUTS = ("p_content", "p_page", "p_quality")
@@ -250,7 +251,7 @@ def featured(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_co
     schema = StructType([read.schema[c] for c in plain])
     for name, kind in FEATURES.items():
         schema = schema.add(name, kind)
-    return materialize(read.mapInArrow(task, schema), "cotrain-features")
+    return materialize(read.mapInArrow(lean(task), schema), "cotrain-features")
 
 
 def _views(cs, cc, cn, ps) -> list[Sparse]:
@@ -294,15 +295,15 @@ def _taught_sums(features: DataFrame, teacher: Teacher) -> list[list[np.ndarray]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = sent.value, None
-        for batch in batches:
-            made = own.sums(_views(*(batch.column(i).to_pylist() for i in range(1, 5))), np.array(batch.column(0).is_null()))
+        for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+            made = own.sums(_views(*(part.column(i).to_pylist() for i in range(1, 5))), np.array(part.column(0).is_null()))
             total = made if total is None else [[a + b for a, b in zip(x, y)] for x, y in zip(total, made)]
         for view, classes in enumerate(total or []):
             for y, sums in enumerate(classes):
                 some = np.flatnonzero(sums)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), 2 * view + y, np.int32)), pa.array(some.astype(np.int32)), pa.array(sums[some])], ["part", "slot", "g"])
 
-    parts = features.select("_y", *FEATURES).mapInArrow(task, "part int, slot int, g double")
+    parts = features.select("_y", *FEATURES).mapInArrow(lean(task), "part int, slot int, g double")
     # at most twice the slots of both views
     got = parts.groupBy("part", "slot").agg(F.sum("g").alias("g")).toPandas()
     sent.unpersist()
@@ -369,7 +370,7 @@ def score(docs: DataFrame, model: CoModel | float, text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *own.outputs(content, page)], [*names, *OUTPUTS])
 
     read = docs.select(*(F.col(f"`{c}`") for c in names), *(c.alias(f"_page_{i}") for i, c in enumerate(_page_columns(docs))), text_bytes(text_col).alias("_text"))
-    return read.mapInArrow(task, StructType([*docs.schema.fields, *(StructField(c, DoubleType()) for c in OUTPUTS)]))
+    return read.mapInArrow(lean(task), StructType([*docs.schema.fields, *(StructField(c, DoubleType()) for c in OUTPUTS)]))
 
 
 def score_features(features: DataFrame, model: CoModel | float, columns: tuple[str, ...]) -> DataFrame:
@@ -382,12 +383,14 @@ def score_features(features: DataFrame, model: CoModel | float, columns: tuple[s
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = sent.value, len(columns)
         for batch in batches:
-            x, page = _views(*(batch.column(n + i).to_pylist() for i in range(4)))
-            made = own.outputs(x.times(own.content) + own.content_bias, page.times(own.page) + own.page_bias)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *made], [*columns, *OUTPUTS])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                x, page = _views(*(part.column(n + i).to_pylist() for i in range(4)))
+                made = own.outputs(x.times(own.content) + own.content_bias, page.times(own.page) + own.page_bias)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *made], [*columns, *OUTPUTS])
 
     read = features.select(*(f"_own_{i}" for i in range(len(columns))), *FEATURES)
-    return read.mapInArrow(task, StructType([*carried.schema.fields, *(StructField(c, DoubleType()) for c in OUTPUTS)]))
+    return read.mapInArrow(lean(task), StructType([*carried.schema.fields, *(StructField(c, DoubleType()) for c in OUTPUTS)]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP, text_col: str = "text", columns: tuple[str, ...] | None = None, labelled: int = LABELLED) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import chunked, lean, materialize, text_bytes, whole
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -154,17 +154,18 @@ def _line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
     """(k1, k2, doc_id), one row for each distinct key of a row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for ids, texts in whole(batches):
             found, owner = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text in zip(ids.to_pylist(), texts.to_pylist()):
                 own = {k for line in text.split(b"\n") if (k := line_key(line, min_chars))}
                 found += own
                 owner += [doc] * len(own)
             halves = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(owner, pa.int64())], ["k1", "k2", "doc_id"])
 
-    held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_bytes(text_col))
-    return held.mapInArrow(task, "k1 long, k2 long, doc_id long")
+    held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    held = held.select("doc_id", F.posexplode(chunked(F.col("text"))).alias("number", "part"))
+    return held.mapInArrow(lean(task), "k1 long, k2 long, doc_id long")
 
 
 def _shard(shards: int):
@@ -317,7 +318,7 @@ def _cut(joined: DataFrame, text_col: str, min_chars: int) -> DataFrame:
     from pyspark.sql.types import LongType, StructField, StructType
 
     out = StructType([f for f in joined.schema.fields if f.name != LOST] + [StructField(n, LongType()) for n in ("n_lines", "n_dropped")])
-    return joined.mapInArrow(task, out)
+    return joined.mapInArrow(lean(task), out)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import chunked, lean, materialize, text_bytes, whole
 
 BANDS, ROWS = 30, 4
 BATCH = 16  # signature rows compared at a time
@@ -66,7 +66,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of 64-bit shingle hashes of texts. Keeps the hashes of the words it has met, up to a bound."""
 
-    WORDS = 1_000_000
+    WORDS = 250_000
 
     def __init__(self, size: int):
         self.size, self.known = size, {}
@@ -120,7 +120,12 @@ def _long_signatures(sets: DataFrame) -> DataFrame:
                 made = _signatures(np.frombuffer(b"".join(own), np.uint64), np.array([len(x) // 8 for x in own]), BANDS * ROWS, LONG)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in made.astype(np.uint8)], pa.binary())], ["id", "long"])
 
-    return sets.select("id", "shingles").mapInArrow(task, "id long, long binary")
+    return sets.select("id", "shingles").mapInArrow(lean(task), "id long, long binary")
+
+
+def _parts(docs: DataFrame) -> DataFrame:
+    """doc_id and text as ``whole`` takes them."""
+    return docs.select("doc_id", F.posexplode(chunked(F.col("text"))).alias("number", "part"))
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
@@ -128,19 +133,18 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                flat, counts = shingler.sets(part.column(1).to_pylist())
+        for ids, texts in whole(batches):
+            for at in range(0, len(texts), 512):
+                flat, counts = shingler.sets(texts.slice(at, 512).to_pylist())
                 some = counts > 0
                 marks = np.zeros((len(counts), 2), np.int64)
                 for i, (e, n) in enumerate(zip(np.cumsum(counts), counts)):
                     marks[i] = np.frombuffer(hashlib.blake2b(flat[e - n : e].tobytes(), digest_size=16).digest(), "<i8")
                 made = iter(_signatures(flat, counts[some]))
                 rows = [next(made).tobytes() if x else None for x in some]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "signature"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array(counts), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "signature"])
 
-    return docs.mapInArrow(task, "doc_id long, n_shingles long, d1 long, d2 long, signature binary")
+    return _parts(docs).mapInArrow(lean(task), "doc_id long, n_shingles long, d1 long, d2 long, signature binary")
 
 
 def _band_keys(signatures: np.ndarray) -> np.ndarray:
@@ -166,7 +170,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
             band = np.tile(np.arange(BANDS, dtype=np.int32), len(key))
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "band", "id"])
 
-    return materialize(classes.select("id", "signature").mapInArrow(task, "bucket long, band int, id long"), "minhash-bands")
+    return materialize(classes.select("id", "signature").mapInArrow(lean(task), "bucket long, band int, id long"), "minhash-bands")
 
 
 def prune_bounds(threshold: float, length: int = BANDS * ROWS, batch: int = BATCH, miss: float = MISS) -> list[tuple[int, int]]:
@@ -203,7 +207,7 @@ def _prune(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFra
                 going, done = going[matched[going] >= least], n
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(going)) for i in (0, 1)] + [pa.array(matched[going])], ["a", "b", "matched"])
 
-    return both.mapInArrow(task, "a long, b long, matched long")
+    return both.mapInArrow(lean(task), "a long, b long, matched long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +226,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    return both.mapInArrow(task, "a long, b long")
+    return both.mapInArrow(lean(task), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -261,7 +265,7 @@ def _lonely(sets: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(own), "<i8")), pa.array(ids)], ["h", "id"])
 
-    held = sets.mapInArrow(task, "h long, id long").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    held = sets.mapInArrow(lean(task), "h long, id long").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     lonely = held.where("n = 1").groupBy("id").agg(F.count("*").alias("u"))
     sizes = sets.groupBy("id").agg(F.max(F.octet_length("shingles") / 8).alias("n"))
     u = F.coalesce("u", F.lit(0))
@@ -395,14 +399,13 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                flat, counts = shingler.sets(part.column(1).to_pylist())
+        for ids, texts in whole(batches):
+            for at in range(0, len(texts), 512):
+                flat, counts = shingler.sets(texts.slice(at, 512).to_pylist())
                 ends = np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([flat[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array([flat[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary())], ["id", "shingles"])
 
-    return docs.mapInArrow(task, "id long, shingles binary")
+    return _parts(docs).mapInArrow(lean(task), "id long, shingles binary")
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, slices, text_bytes
+from .common import CHUNK, chunked, lean, slices, text_bytes
+from .common import whole as _whole
 
 CAPACITY = 2048
 CUT_SIZES = (1024, 512, 256)
@@ -36,8 +37,6 @@ END_ID = 1
 CACHE_WORDS = 150_000  # distinct words that a Python worker keeps encoded, across its tasks
 ROWS, TOKENS = 8_000, 1 << 18  # pieces and tokens in an output batch, about
 SLICE = 1 << 20  # bytes of text encoded at a time
-#: Bytes of a text in a row on the way to Python, so that a batch of Spark's 10,000 rows has 5 MB, however long texts are.
-CHUNK = 1 << 9
 #: Sequence ids are the task's number times this, plus the task's own count.
 TASK_STRIDE = 1 << 33
 
@@ -235,33 +234,7 @@ def cuts(n: int, capacity: int, cut_sizes: tuple[int, ...]) -> list[int]:
 
 
 def _chunked(text: Column) -> Column:
-    """Bytes as an array of parts of ``CHUNK``, one at least. A row's bytes are copied out once, not for each part."""
-
-    def parts(whole: Column) -> Column:
-        last = F.floor(F.greatest(F.octet_length(whole) - 1, F.lit(0)) / CHUNK).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(whole, i * CHUNK + 1, F.lit(CHUNK)))
-
-    return let(text, parts)
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts) from rows (id, part's number, part): parts of a text lie in a row, so their bytes are not copied but for those of a batch's last text."""
-    held_id, held = None, []
-    for batch in batches:
-        ids, number, part = batch.columns
-        begins = np.flatnonzero(number.to_numpy(zero_copy_only=False) == 0)
-        _, offsets, data = part.buffers()
-        ends = np.frombuffer(offsets, np.int32)[part.offset : part.offset + len(part) + 1]
-        held += [data[ends[0] : ends[begins[0] if len(begins) else -1]].to_pybytes()] if data is not None and len(part) else []
-        if not len(begins):
-            continue
-        if held_id is not None:
-            yield held_id, pa.array([b"".join(held)], pa.binary())
-        if len(begins) > 1:
-            yield ids.take(pa.array(begins[:-1])), pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(ends[begins].copy()), data])
-        held_id, held = ids.slice(int(begins[-1]), 1), [data[ends[begins[-1]] : ends[-1]].to_pybytes()] if data is not None else []
-    if held_id is not None:
-        yield held_id, pa.array([b"".join(held)], pa.binary())
+    return chunked(text, CHUNK)
 
 
 class Packer:
@@ -344,7 +317,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     schema = f"doc_id {id_type.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long"
     rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
-    return rows.select("doc_id", F.posexplode(_chunked(F.col("text"))).alias("number", "part")).mapInArrow(task, schema)
+    return rows.select("doc_id", F.posexplode(_chunked(F.col("text"))).alias("number", "part")).mapInArrow(lean(task), schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
