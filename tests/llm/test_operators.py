@@ -472,6 +472,35 @@ def labelled(spark):
     return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_co_training_sends_texts_in_small_batches(spark, monkeypatch):
+    """Texts of thousands of documents go to Python in batches of some MB, and come back as they were."""
+
+    def watched(task):
+        def run(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < 8 << 20, batch.nbytes
+                    yield batch
+
+            yield from task(small())
+
+        return run
+
+    monkeypatch.setattr(co_training, "lean", watched)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(500)] + ["été", "Straße"]
+    rows = [(i, " ".join(r.choices(words, k=900)), "en", i) for i in range(3000)]
+    rows += [(3000, None, None, None), (3001, "", "en", 1), (None, "no id", "en", 2), (3002, None, "fr", 3), (3003, "é" * 300, "fr", 4), (3004, "long " * 1_500_000, "fr", 5), (3004, "twice", "fr", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, p_page long").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 3000, 3)], "doc_id long, quality int, toxic int")
+    got = co_training.classify(docs, labels, columns=("doc_id", "text", "lang", "p_page"))
+    assert got.columns == ["doc_id", "text", "lang", "p_content", "p_page", "p_quality", "kept"]
+    got = got.collect()
+    key = lambda x: tuple((v is not None, v) for v in x[:3])
+    assert sorted(map(key, got)) == sorted(map(key, rows))
+    assert all(0 <= x.p_page <= 1 and x.kept == (x.p_quality >= co_training.KEEP) for x in got)
+
+
 def test_co_training(spark):
     docs, labels = labelled(spark)
     got = co_training.classify(docs, labels).collect()

@@ -35,9 +35,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import lean, materialize, slices, text_bytes
+from .common import chunked, give_back, lean, materialize, slices, text_bytes, whole
 
 LABELLED = 3000  # labelled documents that models are fitted to and calibrated on
 ROUNDS = 3
@@ -46,6 +46,7 @@ CONFIDENT = 0.95
 TAUGHT = 0.5  # share of taught documents in a step; labelled ones have the rest
 KEEP = 0.5
 ROWS = 1024  # documents whose vectors a task holds at a time
+SLICE = 1 << 20  # bytes of text whose words a task holds at a time
 WORD_SLOTS, SHAPE_SLOTS, PAGE_SLOTS = 1 << 14, 1 << 10, 1 << 10
 _SHAPES = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"[a-zß-öø-ÿ]+", "a"), (r"[0-9]+", "0"), (r"([^Aa0])\1*", r"\1"))]
 OUTPUTS = ("p_content", "p_page", "p_quality")
@@ -231,27 +232,39 @@ FEATURES = {"_cs": "binary", "_cc": "binary", "_cn": "long", "_ps": "binary"}
 
 
 def featured(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
-    """Written once: _id, _y (null beside the sample), ``FEATURES``, and some columns of ``docs``."""
+    """Written once: _id, _y (null beside the sample), ``FEATURES``, and some columns of ``docs``.
+
+    A text goes to Python once, in parts; the columns go along with the first of them.
+    """
     sample = sample.select(F.col("doc_id").alias("_sample_id"), F.col("y").alias("_y"))
+    text_at = columns.index(text_col) if text_col in columns and isinstance(docs.schema[text_col].dataType, StringType) else None
     keep = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(columns)]
     read = docs.select(F.col(id_col).alias("_id"), *keep, *_page_columns(docs), text_bytes(text_col).alias("_text"))
     read = read.join(F.broadcast(sample), F.col("_id") == F.col("_sample_id"), "left").drop("_sample_id")
     plain = [c for c in read.columns if c not in ("lang", "source", "n_chars", "_text")]
+    copied = None if text_at is None else f"_own_{text_at}"
+    read = read.withColumn("_absent", F.col(copied).isNull() if copied else F.lit(False))
+    names = [c for c in read.columns if c not in ("_text", copied)]
+    parts = read.select(F.struct(*names).alias("row"), chunked(F.col("_text")).alias("parts"))
+    parts = parts.select("row", F.posexplode("parts").alias("number", "part")).select(F.when(F.col("number") == 0, F.col("row")).alias("row"), "number", "part")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = ContentFeatures()
-        for batch in batches:
-            for at, to in slices(batch.column("_text")):
-                part = batch.slice(at, to - at)
-                rows = features.rows(part.column("_text"))
-                pages = [np.array(page_slots(*x), "<u2").tobytes() for x in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars", "_text")))]
+        for held, all_texts in whole(batches):
+            for at, to in slices(all_texts, SLICE):
+                own, texts = dict(zip(names, held.slice(at, to - at).flatten())), all_texts.slice(at, to - at)
+                if copied:
+                    own[copied] = texts.cast(pa.string()).take(pa.array(np.arange(len(texts)), mask=own["_absent"].to_numpy(zero_copy_only=False)))
+                rows = features.rows(texts)
+                pages = [np.array(page_slots(*x), "<u2").tobytes() for x in zip(*(own[c].to_pylist() for c in ("lang", "source", "n_chars")), texts.to_pylist())]
                 made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in plain), *made, pa.array(pages, pa.binary())], [*plain, *FEATURES])
+                yield pa.RecordBatch.from_arrays([*(own[c] for c in plain), *made, pa.array(pages, pa.binary())], [*plain, *FEATURES])
+            held = all_texts = own = texts = rows = pages = made = None  # not held while the next batch comes
 
     schema = StructType([read.schema[c] for c in plain])
     for name, kind in FEATURES.items():
         schema = schema.add(name, kind)
-    return materialize(read.mapInArrow(lean(task), schema), "cotrain-features")
+    return materialize(parts.mapInArrow(lean(task), schema), "cotrain-features")
 
 
 def _views(cs, cc, cn, ps) -> list[Sparse]:
@@ -374,23 +387,26 @@ def score(docs: DataFrame, model: CoModel | float, text_col: str = "text") -> Da
 
 
 def score_features(features: DataFrame, model: CoModel | float, columns: tuple[str, ...]) -> DataFrame:
-    """``columns``, which ``featured`` carried along, with the outputs."""
-    carried = features.select(*(F.col(f"_own_{i}").alias(c) for i, c in enumerate(columns)))
+    """``columns``, which ``featured`` carried along, with the outputs; those named like one are replaced."""
+    own_columns = [F.col(f"_own_{i}").alias(c) for i, c in enumerate(columns) if c not in OUTPUTS]
     if isinstance(model, float):
-        return carried.withColumns({c: F.lit(float(_sigmoid(model))) for c in OUTPUTS})
+        return features.select(*own_columns).withColumns({c: F.lit(float(_sigmoid(model))) for c in OUTPUTS})
     sent = features.sparkSession.sparkContext.broadcast(model)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = sent.value, len(columns)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                x, page = _views(*(part.column(n + i).to_pylist() for i in range(4)))
-                made = own.outputs(x.times(own.content) + own.content_bias, page.times(own.page) + own.page_bias)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *made], [*columns, *OUTPUTS])
-
-    read = features.select(*(f"_own_{i}" for i in range(len(columns))), *FEATURES)
-    return read.mapInArrow(lean(task), StructType([*carried.schema.fields, *(StructField(c, DoubleType()) for c in OUTPUTS)]))
+    @F.arrow_udf(", ".join(f"{c} double" for c in OUTPUTS))
+    def scored(vectors: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        own = sent.value
+        try:
+            for columns in vectors:
+                for at in range(0, len(columns[0]), ROWS):
+                    x, page = _views(*(c.slice(at, ROWS).to_pylist() for c in columns))
+                    yield pa.StructArray.from_arrays(own.outputs(x.times(own.content) + own.content_bias, page.times(own.page) + own.page_bias), OUTPUTS)
+        finally:
+            give_back()
+
+    # only the vectors go to Python: the columns wait in Spark
+    held = features.select(*(f"_own_{i}" for i in range(len(columns))), scored(*FEATURES).alias("_scores"))
+    return held.select(*own_columns, "_scores.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP, text_col: str = "text", columns: tuple[str, ...] | None = None, labelled: int = LABELLED) -> DataFrame:
