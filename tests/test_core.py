@@ -243,6 +243,34 @@ def test_export_check_of_odd_folders(spark, tmp_path):
     assert got() == {"a+b %/c": (5, 5, "OK"), "plain": (5, 5, "OK"), "7": (5, 5, "INCOMPLETE(checkpoints)"), "gone": (5, 0, "INCOMPLETE(segments)")}
 
 
+def test_export_has_few_files(spark, tmp_path):
+    """Scattered events give a session one file, or as many as the ranges it fills; files of any size are read alike."""
+    from tidewatch.plans import exports, tables
+
+    schema, columns = "session string, row_id long, us long, type string, gap_reason string", ["session", "row_id", "us", "type"]
+    names = [f"s{i}" for i in range(20)] + ["a+b %/c=é", "x\ty[1]"]
+    events = spark.createDataFrame([(s, 50 * k + i, i, "proc.exec", None) for k, s in enumerate(names) for i in range(50)], schema)
+    e = ledger.row_hash(windows.count_segments(events, 8), columns).repartition(16)
+    segments = ledger.seal(ledger.segment_table(e))
+    path = f"file://{tmp_path}"
+    for _ in range(2):  # the second takes the first's place
+        tables.export_sessions(e, segments, ledger.checkpoints(segments, 2, 1 << 60), events, path)
+    for name in exports.TABLES:
+        assert len(names) <= len([x for x in (tmp_path / name).rglob("part-*")]) <= len(names) + 4
+        assert spark.read.schema("session string, x string").json(f"{path}/{name}").select("session").distinct().count() == len(names)
+    (tmp_path / "events" / "session=s3" / "part-odd").write_text('\n{"row_id": 1\nnull\r\n[1]\n')
+    (tmp_path / "segments" / "session=s4" / "part-none").write_text(" \n\n")
+    want = {s: (50, 50, "OK") for s in names} | {"s3": (50, 50, "BROKEN(events)")}
+    held = exports.SMALL
+    for size in (held, 0, 100):  # small ones, large ones, both
+        exports.SMALL = size
+        try:
+            got = {x.session: (x.declared, x.found, x.status) for x in exports.verify_folder(spark, path, columns, schema).collect()}
+        finally:
+            exports.SMALL = held
+        assert got == want
+
+
 def test_lineage_of_long_chains_and_cycles(spark):
     chain = [(i, i - 1) for i in range(1, 200)] + [(0, None)]
     odd = [(1000, 1001), (1001, 1000), (1002, 1001), (1003, 1003), (1004, 9999), (1005, None), (1006, 1002)]

@@ -1042,18 +1042,19 @@ def export_round_trip(spark, d):
 def export_from_disk(spark, d):
     """Exported folders with faults: no segments, a torn line, a forged root in a chain sealed anew, a forged link, a changed event, a lost event, a forged head."""
     e, s, c = _sealed(spark, d)
-    m, path = F.substring("session", 2, 20).cast("long") % 9, _folder(spark, "export-faults")
+    m, path = F.substring("session", 2, 20).try_cast("long") % 9, _folder(spark, "export-faults")  # nobody has no number
     forged = ledger.seal(s.drop("prev_seg_hash", "seg_hash").withColumn("merkle_root", F.when((m == 3) & (F.col("seg") == 0), F.sha2("merkle_root", 256)).otherwise(F.col("merkle_root"))))
     forged = forged.withColumn("prev_seg_hash", F.when((m == 4) & (F.col("seg") == 0), F.sha2("prev_seg_hash", 256)).otherwise(F.col("prev_seg_hash")))
     heads = c.drop("chain_head").join(forged.select("session", F.col("seg").alias("seg_last"), F.col("seg_hash").alias("chain_head")), ["session", "seg_last"])
     heads = heads.withColumn("chain_head", F.when(m == 7, F.sha2("chain_head", 256)).otherwise(F.col("chain_head")))
     last = e.groupBy("session").agg(F.max("row_id").alias("_last"))
     sessions = e.select("session").unionByName(spark.createDataFrame([("nobody",)], "session string"))
-    tables.export_sessions(e, forged, heads, sessions, path)
-    # after the export: files are lost, torn and changed
-    for name, kept in (("segments", forged.where(m != 1)), ("events", e.join(last, "session").where(~((m == 6) & (F.col("row_id") == F.col("_last")))).withColumn("k", F.when((m == 5) & (F.col("row_id") == F.col("_last")), F.col("k") + 1).otherwise(F.col("k"))).drop("_last"))):
-        kept.write.mode("overwrite").partitionBy("session").json(f"{path}/{name}")
-    e.where(m == 2).select("session", F.lit('{"row_id": 12').alias("value")).distinct().write.mode("append").partitionBy("session").text(f"{path}/events")
+    # the files as they are after some were lost and changed; the manifest says what there was
+    is_last = F.col("row_id") == F.col("_last")
+    kept = e.join(last, "session").where(~((m == 6) & is_last)).withColumn("k", F.when((m == 5) & is_last, F.col("k") + 1).otherwise(F.col("k"))).drop("_last")
+    tables.export_sessions(kept, forged.where(m != 1), heads, sessions, path)
+    tables.manifest(e, sessions.distinct()).write.mode("overwrite").json(f"{path}/manifest")
+    tables.write_folders(e.where(m == 2).select("session", F.lit('{"row_id": 12').alias("value")).distinct(), "session", ["value"], f"{path}/events", "append")
     return exports.verify_folder(spark, path, ["session", "row_id", "us", "type", "k"], "session string, row_id long, us long, type string, k long, gap_reason string")
 
 
