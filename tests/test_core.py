@@ -271,6 +271,24 @@ def test_export_has_few_files(spark, tmp_path):
         assert got == want
 
 
+def test_archive_files_follow_rows(spark, tmp_path):
+    """An archive of many sessions has a few files, each of few sessions; it holds what is due, names as they are."""
+    schema = "session string, seg long, row_id long"
+    names = [f"{i:03d}" for i in range(200)] + ["a+b %/c"]
+    events = spark.createDataFrame([(s, seg, 4 * k + seg) for k, s in enumerate(names) for seg in range(4)], schema).repartition(8)
+    segments = events.select("session", "seg")
+    path = str(tmp_path / "archived")
+    for seg in (0, 2):
+        hot, marked = tables.archive(events, segments, segments.where(F.col("seg") == seg), path)
+        assert hot.count() == 3 * len(names) and marked.where("archived_path is not null").count() == len(names)
+    files = list((tmp_path / "archived").rglob("part-*"))
+    assert 1 <= len(files) <= 2 * 4
+    got = spark.read.parquet(path)
+    assert sorted(map(tuple, got.select("session", "seg", "row_id").collect())) == sorted((s, seg, 4 * k + seg) for k, s in enumerate(names) for seg in (0, 2))
+    tables.archive(events, segments, segments.where("false"), str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
 def test_lineage_of_long_chains_and_cycles(spark):
     chain = [(i, i - 1) for i in range(1, 200)] + [(0, None)]
     odd = [(1000, 1001), (1001, 1000), (1002, 1001), (1003, 1003), (1004, 9999), (1005, None), (1006, 1002)]

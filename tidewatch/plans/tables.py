@@ -157,10 +157,14 @@ def retention_due(segments: DataFrame, ttl: DataFrame, now_us: int) -> DataFrame
 
 
 def archive(events: DataFrame, segments: DataFrame, due: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Write the due segments' events to the archive; (events that stay hot, segments with archived_path set for those written)."""
+    """Write the due segments' events to the archive; (events that stay hot, segments with archived_path set for those written).
+
+    The archive is clustered by session and segment: a reader of one session skips by the files'
+    statistics what others hold, and the number of files follows the rows and not the sessions.
+    """
     key = ["session", "seg"]
     due = due.select(*key).distinct()
-    events.join(due, key, "left_semi").write.mode("append").partitionBy("session").option("compression", "zstd").parquet(path)
+    events.join(due, key, "left_semi").repartitionByRange(*key).sortWithinPartitions(*key).write.mode("append").option("compression", "zstd").parquet(path)
     moved = due.withColumn("_now", F.lit(path))
     had = F.col("archived_path") if "archived_path" in segments.columns else F.lit(None).cast("string")
     marked = segments.join(moved, key, "left").withColumn("archived_path", F.coalesce(had, "_now")).drop("_now")
