@@ -1,6 +1,7 @@
 """The library's operators against sequential models and the mutation matrix; every query against its SQL."""
 
 import os
+import pathlib
 import random
 import re
 from collections import defaultdict, deque
@@ -586,6 +587,24 @@ def test_file_scan_finds_changes(spark, tmp_path):
     shutil.rmtree(root)
 
 
+def test_many_small_files_spread(spark, tmp_path):
+    """Files of a line each are written by all tasks, however few bytes they are, and read in a few."""
+    import hashlib
+    import time
+
+    pages = [(i, f"http://h{i}/ä?{i}") for i in range(-2, 900)] + [(None, "http://none/")]
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    began = time.time()
+    out = queries.QUERIES["file_scan"](spark, str(tmp_path))
+    got = sorted(map(tuple, out.select("page_id", "size", "digest").collect()))
+    text = lambda url: (url + "\n").encode()
+    assert got == sorted((i, len(text(url)), hashlib.sha256(text(url)).hexdigest()) for i, url in pages if i is not None and not str(i).startswith("1"))
+    assert out.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    root = max(pathlib.Path(tables.scratch_dir(spark).removeprefix("file://")).glob("scanned-*"), key=lambda x: x.stat().st_mtime)
+    files = [x.name for x in root.rglob("part-*")]
+    assert root.stat().st_mtime >= began - 1 and len(files) == len(pages) and len({x[:10] for x in files}) == 4
+
+
 def test_profiles_are_rejected(spark):
     schema = "name string, capture_exec boolean, capture_connect boolean, entropy_bits double, entropy_length int, patterns array<string>, scopes array<string>, lens string, ttl_days int, carry_fields array<string>, forbid_fields array<string>"
     base = ["p", True, True, 4.0, 20, ["a+"], ["/x/**"], "tree", 7, ["a"], ["b"]]
