@@ -32,14 +32,17 @@ def _session(path: Column) -> Column:
 
 
 def stored(spark: SparkSession, path: str, name: str) -> DataFrame | None:
-    """(path, length, content) of the files of an export's table; None if no session has it. Listed once, read when content is asked for."""
+    """(path, length, content) of the files of an export's table; None if no session has it. Listed once, read when content is asked for.
+
+    Spark gives a task 32 small files at most; here a core gets four tasks.
+    """
     try:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{name}")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return found.where(F.col("path").rlike("/session=[^/]*/[^/]*$"))
+    return found.where(F.col("path").rlike("/session=[^/]*/[^/]*$")).coalesce(4 * spark.sparkContext.defaultParallelism)
 
 
 def files_of(found: dict[str, DataFrame | None], spark: SparkSession) -> DataFrame:
@@ -52,7 +55,7 @@ def files_of(found: dict[str, DataFrame | None], spark: SparkSession) -> DataFra
 def read_table(spark: SparkSession, path: str, name: str, schema: str, found: DataFrame | None) -> DataFrame:
     """A table of an export, lines that are not of its form in ``_damaged``; empty if no session has it.
 
-    Small files are read whole, 32 or more in a task, as opening one as a table of lines takes some
+    Small files are read whole, as opening one as a table of lines takes some
     10 ms of CPU; those beyond 1 MiB are split by Spark.
     """
     kind = T.StructType.fromDDL(f"{schema}, {BAD} string")

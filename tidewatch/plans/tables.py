@@ -100,11 +100,11 @@ def write_folders(rows: DataFrame, key: str, order: list[str], path: str, mode:
                     folder, made = its, made + 1
                     files.create_dir(folder)
                     out = files.open_output_stream(f"{folder}/.{name}-{task.taskAttemptId()}")
-                out.write("".join(f"{line or ''}\n" for _, line in lines).encode())
+                out.write(b"".join((line or b"") + b"\n" for _, line in lines))
         finish()
         yield pa.RecordBatch.from_pydict({"files": pa.array([made], pa.int64())})
 
-    placed.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    placed.select(key, F.col("value").cast("binary")).mapInArrow(write, "files long").agg(F.sum("files")).collect()
 
 
 def as_lines(rows: DataFrame, key: str = "session") -> DataFrame:
